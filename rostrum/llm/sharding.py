@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import saved
 
@@ -135,7 +136,7 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 7, cell_rows: int = 819
             more = [pa.array(cell), pa.array(owner[cell].astype(np.int32)), pa.array(first[cell])]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*names, "_cell", "shard", "_first"])
 
-    schema = fixed.schema.add("_cell", "long").add("shard", "integer").add("_first", "long")
+    schema = StructType([*fixed.schema, *StructType.fromDDL("_cell long, shard int, _first long")])
     # second permutation: by a keyed hash of the place of origin, which no value of the rows touches
     again = Window.partitionBy("_cell").orderBy(F.xxhash64(F.lit(seed), F.col("_at")), "_at")
     placed = fixed.mapInArrow(label, schema).withColumn("slot", F.col("_first") + F.row_number().over(again) - 1)
