@@ -1,11 +1,16 @@
-"""Every query of the engine's own operators, and the SQL that each must equal."""
+"""Registry of the engine's own queries and the SQL that each must equal.
+
+The driver's tables stand in for the engine's relations: customer for sittings, orders for records and,
+by (o_custkey, o_orderkey), for transcript versions, events for word streams, attempts and audit entries,
+conversations and documents for passages, embeddings for passage vectors, nation, region, supplier and
+part for dictionaries and templates, labels for gold judgements.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -15,6 +20,8 @@ def query(sql: str | None = None):
     """Register a query under its function's name, with the SQL it must equal."""
 
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f.__name__)
         QUERIES[f.__name__] = f
         if sql:
             SQL[f.__name__] = sql
@@ -25,21 +32,3 @@ def query(sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query(
-    """
-    SELECT c_mktsegment AS session_type, count(*) AS n_records, max(o_totalprice) AS max_hours
-    FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders) o
-    JOIN customer ON c_custkey = o_custkey
-    WHERE rn = 1 GROUP BY c_mktsegment
-    """
-)
-def latest_by_session_type(spark, sf_dir):
-    newest = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
-        F.max_by("o_totalprice", "o_orderkey").alias("hours")
-    )
-    sittings = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("session_type"))
-    return newest.join(sittings, newest.o_custkey == sittings.c_custkey).groupBy("session_type").agg(
-        F.count("*").alias("n_records"), F.max("hours").alias("max_hours")
-    )
