@@ -45,7 +45,7 @@ class Encoder:
         special = {t["content"] for t in model.get("added_tokens", ())}
         ranks = {bytes(byte[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in special}
         core = tiktoken.Encoding("vocabulary", pat_str=_LETTERS, mergeable_ranks=ranks, special_tokens={})
-        self.encode = lambda text: core._core_bpe.encode_to_tiktoken_buffer(text, set())
+        self.encode = lambda text: bytes(core._core_bpe.encode_to_tiktoken_buffer(text, set()))
         self.known: dict[str, bytes] = {}
         self.most = most
 

@@ -60,7 +60,7 @@ def _counted(key, docs: pa.Table, trusted: pa.Table) -> pa.Table:
             every.append(text)
             if doc in ids:
                 good.append(text)
-    out = []
+    out = [pa.table({"block": pa.array([], pa.int32()), "lang": pa.array([], pa.string()), "gram": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})]
     for lang, (good, every) in texts.items():
         for texts_, counted in ((good, True), (every, False)):
             k, n = _distinct(texts_)
