@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..registry import query, table
 
-HOURS = F.col("o_totalprice").cast("decimal(18,2)")
+def hours():
+    """Sums of doubles hang on the order of rows; sums of decimals do not."""
+    return F.col("o_totalprice").cast("decimal(18,2)")
 
 
 def latest(records, key: str, version: str):
@@ -45,7 +47,7 @@ def a2_count_by_status(spark, sf_dir):
 @query("SELECT coalesce(sum(CAST(o_totalprice AS DECIMAL(18,2))), 0)::DOUBLE AS hours FROM orders WHERE o_orderstatus = 'P'")
 def a3_total_hours(spark, sf_dir):
     done = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
-    return done.agg(F.coalesce(F.sum(HOURS), F.lit(0)).cast("double").alias("hours"))
+    return done.agg(F.coalesce(F.sum(hours()), F.lit(0)).cast("double").alias("hours"))
 
 
 @query(
@@ -58,7 +60,7 @@ def a4_weekly_buckets(spark, sf_dir):
     as_of = F.lit("2001-08-01").cast("timestamp")
     recent = table(spark, sf_dir, "orders").where((F.col("o_orderdate") >= as_of - F.expr("INTERVAL 84 DAYS")) & (F.col("o_orderdate") < as_of))
     return recent.groupBy(F.date_trunc("week", "o_orderdate").cast("date").cast("string").alias("week")).agg(
-        F.count("*").alias("n"), F.sum(HOURS).cast("double").alias("hours")
+        F.count("*").alias("n"), F.sum(hours()).cast("double").alias("hours")
     )
 
 

@@ -233,3 +233,22 @@ def j16_unique_decision(spark, sf_dir):
 @query("SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'vetoed' ELSE event_type END AS stage FROM events")
 def e26_e27_evidence_grouping(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 == 0, "vetoed").otherwise(F.col("event_type")).alias("stage"))
+
+
+@query()
+def e13_text_walk(spark, sf_dir):
+    from ..operators.correction import broadcast_dictionary, correct_documents
+
+    names = table(spark, sf_dir, "part").where("p_partkey % 40 = 0").select(F.col("p_name").alias("canonical"), F.col("p_partkey").alias("load"))
+    texts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("Heard "), F.lower("p_name"), F.lit(" today.")).alias("text"))
+    out = correct_documents(texts, "id", "text", broadcast_dictionary(names))
+    return out.select("id", "corrected", F.size("corrections").cast("long").alias("n"))
+
+
+@query()
+def e14_word_walk(spark, sf_dir):
+    from ..operators.correction import broadcast_dictionary, correct_stream
+
+    names = table(spark, sf_dir, "events").select(F.initcap("event_type").alias("canonical")).distinct().withColumn("load", F.col("canonical"))
+    w = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("word"), F.unix_timestamp("ts").cast("double").alias("start"))
+    return correct_stream(w.withColumn("end", F.col("start") + 1), "user_id", ["ts", "event_id"], broadcast_dictionary(names))

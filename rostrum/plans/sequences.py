@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from ..operators.walks import balanced_batches, turn_chunks
 from ..registry import query, table
 
-ORDER = Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+
+def order():
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
 
 
 def words(spark, sf_dir):
@@ -34,8 +37,8 @@ WORDS_SQL = "(SELECT user_id, event_id, ts, event_type AS speaker, floor(epoch(t
     """
 )
 def w3_speaker_turns(spark, sf_dir):
-    flag = F.when(F.col("speaker").eqNullSafe(F.lag("speaker").over(ORDER)), 0).otherwise(1)
-    turns = words(spark, sf_dir).withColumn("f", flag).withColumn("turn", F.sum("f").over(ORDER))
+    flag = F.when(F.col("speaker").eqNullSafe(F.lag("speaker").over(order())), 0).otherwise(1)
+    turns = words(spark, sf_dir).withColumn("f", flag).withColumn("turn", F.sum("f").over(order()))
     return turns.groupBy("user_id", "turn").agg(F.min("speaker").alias("speaker"), F.count("*").alias("n_words"), F.min("start").alias("start"))
 
 
@@ -49,9 +52,9 @@ SEGMENTS_SQL = f"""
 
 def low_segments(w, threshold: float = 60.0, gap: int = 3600):
     """Maximal runs of words under the threshold with gaps of at most ``gap`` and no other word between."""
-    w = w.withColumn("prev_end", F.lag("end").over(ORDER)).withColumn("prev_low", F.coalesce(F.lag(F.col("confidence") < threshold).over(ORDER), F.lit(False)))
+    w = w.withColumn("prev_end", F.lag("end").over(order())).withColumn("prev_low", F.coalesce(F.lag(F.col("confidence") < threshold).over(order()), F.lit(False)))
     new = F.when(F.col("prev_low") & (F.col("start") - F.col("prev_end") <= gap), 0).otherwise(1)
-    w = w.withColumn("seg", F.sum(new).over(ORDER)).where(F.col("confidence") < threshold)
+    w = w.withColumn("seg", F.sum(new).over(order())).where(F.col("confidence") < threshold)
     return w.groupBy("user_id", "seg").agg(F.count("*").alias("n_words"), F.min("start").alias("start"), F.max("end").alias("stop"), F.min("event_id").alias("first_id"))
 
 
@@ -79,12 +82,12 @@ def p13_classify_words(spark, sf_dir):
 
 @query(f"SELECT event_id AS id, lag(speaker) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 AS is_first FROM {WORDS_SQL}")
 def w5_previous_word(spark, sf_dir):
-    return words(spark, sf_dir).select(F.col("event_id").alias("id"), F.lag("speaker").over(ORDER).alias("previous"), (F.row_number().over(ORDER) == 1).alias("is_first"))
+    return words(spark, sf_dir).select(F.col("event_id").alias("id"), F.lag("speaker").over(order()).alias("previous"), (F.row_number().over(order()) == 1).alias("is_first"))
 
 
 @query(f"SELECT event_id AS id, count(*) OVER w AS n, sum(confidence) OVER w >= 0 AS any_known, min(event_id) OVER w AS lowest FROM {WORDS_SQL} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 40 PRECEDING AND 40 FOLLOWING)")
 def w7_context_frame(spark, sf_dir):
-    frame = ORDER.rowsBetween(-40, 40)
+    frame = order().rowsBetween(-40, 40)
     return words(spark, sf_dir).select(
         F.col("event_id").alias("id"), F.count("*").over(frame).alias("n"), (F.sum("confidence").over(frame) >= 0).alias("any_known"), F.min("event_id").over(frame).alias("lowest")
     )
@@ -92,7 +95,7 @@ def w7_context_frame(spark, sf_dir):
 
 @query(f"SELECT event_id AS id, 'w' || (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) AS source_word_id FROM {WORDS_SQL}")
 def w12_source_word_ids(spark, sf_dir):
-    return words(spark, sf_dir).select(F.col("event_id").alias("id"), F.concat(F.lit("w"), F.row_number().over(ORDER) - 1).alias("source_word_id"))
+    return words(spark, sf_dir).select(F.col("event_id").alias("id"), F.concat(F.lit("w"), F.row_number().over(order()) - 1).alias("source_word_id"))
 
 
 @query(
@@ -104,7 +107,7 @@ def w12_source_word_ids(spark, sf_dir):
 )
 def w11_longest_pause(spark, sf_dir):
     """The longest pause of at least two seconds in a range of places, the first of equals."""
-    w = words(spark, sf_dir).select("user_id", (F.row_number().over(ORDER) - 1).cast("long").alias("pos"), (F.col("start") - F.lag("end").over(ORDER)).alias("pause"))
+    w = words(spark, sf_dir).select("user_id", (F.row_number().over(order()) - 1).cast("long").alias("pos"), (F.col("start") - F.lag("end").over(order())).alias("pause"))
     w = w.where("pos between 10 and 19 and pause >= 2")
     return w.groupBy("user_id").agg(F.max_by("pos", F.struct("pause", -F.col("pos"))).alias("pos"), F.max("pause").alias("pause"))
 
@@ -116,7 +119,7 @@ def w11_longest_pause(spark, sf_dir):
     """
 )
 def r13_fixed_chunks(spark, sf_dir):
-    w = words(spark, sf_dir).withColumn("chunk", F.floor((F.row_number().over(ORDER) - 1) / 30))
+    w = words(spark, sf_dir).withColumn("chunk", F.floor((F.row_number().over(order()) - 1) / 30))
     rows = F.sort_array(F.collect_list(F.struct("ts", "event_id", "speaker")))
     return w.groupBy("user_id", "chunk").agg(F.array_join(F.transform(rows, lambda x: x["speaker"]), " ").alias("text"), F.count("*").alias("n"))
 
@@ -187,3 +190,25 @@ def r11_equal_length_apply(spark, sf_dir):
 def r14_guards(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
     return rows.select("conv_id", "turn", F.when(F.col("text").rlike("[0-9]{4}"), F.col("text")).otherwise(F.upper("text")).alias("guarded"))
+
+
+def _spoken(spark, sf_dir):
+    e = words(spark, sf_dir)
+    k = F.col("event_id") % 6
+    spoken = F.when(k == 0, "nineteen").when(k == 1, "ninety").when(k == 2, "two").when(k == 3, "march").when(k == 4, "fifth").otherwise(F.col("speaker"))
+    return e.select("user_id", "ts", "event_id", spoken.alias("word"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+
+
+@query()
+def r16_spoken_dates(spark, sf_dir):
+    from ..operators.dates import correct_stream
+
+    return correct_stream(_spoken(spark, sf_dir), "user_id", ["ts", "event_id"])
+
+
+@query()
+def r17_spoken_dates_in_text(spark, sf_dir):
+    from ..operators.dates import correct_texts
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("On the fifth of march nineteen ninety two "), "text").alias("t"))
+    return correct_texts(rows, "t").select("conv_id", "turn", F.col("t").alias("text"))
