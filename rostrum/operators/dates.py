@@ -126,9 +126,7 @@ def _day_month_year(w, i):
     if not n or w[i + n : i + n + 1] == [] or w[i + n] not in MONTHS:
         return None
     year, k = year_at(w, i + n + 1)
-    if not k or re.fullmatch(r"\d+(?:st|nd|rd|th)", w[i]) and w[i + n + 1].isdigit():  # written out already
-        return None
-    return f"{suffix(day)} {w[i + n].title()}, {year}", n + 1 + k
+    return (f"{suffix(day)} {w[i + n].title()}, {year}", n + 1 + k) if k else None
 
 
 def _decade(w, i):
@@ -155,6 +153,10 @@ def _plain(form):
 MATCHERS = (_ordinal_of_month, _day_month_year, _month_day, _plain(two_thousand), _decade, _plain(century), _split_year)
 
 
+def _letters(text: str) -> str:
+    return re.sub(r"[^\w ]", "", text)
+
+
 def correct(words: list[str]) -> list[tuple[int, int, str]]:
     """(first, end, text) of the runs of words that are dates, left to right; the same text is no correction."""
     w = [bare(x) for x in words]
@@ -165,7 +167,7 @@ def correct(words: list[str]) -> list[tuple[int, int, str]]:
             if hit:
                 text, n = hit
                 tail = re.search(r"[.,;:?!]*$", words[i + n - 1])[0]
-                if " ".join(words[i : i + n]) != text + tail:
+                if _letters(" ".join(words[i : i + n])) != _letters(text):  # else it is written out already
                     out.append((i, i + n, text + tail))
                 i += n
                 break
