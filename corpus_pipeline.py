@@ -18,7 +18,7 @@ from rostrum.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose text has less likeness to its own language's prototype is no text of any language.
-LEAST_LIKENESS = 0.1
+LEAST_LIKENESS = 0.05
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
