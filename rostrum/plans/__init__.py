@@ -1,3 +1,3 @@
 """Query plans, by plane; importing this package registers them all."""
 
-from . import analytics, evaluation, maintenance, matching, retrieval, sequences, text  # noqa: F401
+from . import analytics, composed, evaluation, maintenance, matching, retrieval, sequences, text  # noqa: F401

@@ -212,3 +212,21 @@ def r17_spoken_dates_in_text(spark, sf_dir):
 
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("On the fifth of march nineteen ninety two "), "text").alias("t"))
     return correct_texts(rows, "t").select("conv_id", "turn", F.col("t").alias("text"))
+
+
+@query()
+def r8_text_chunks(spark, sf_dir):
+    from ..operators.alignment import text_chunks
+
+    return text_chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query()
+def r9_retimed_edits(spark, sf_dir):
+    from ..operators.alignment import retimed
+
+    w = words(spark, sf_dir).groupBy("user_id").agg(
+        F.sort_array(F.collect_list(F.struct("ts", "event_id", F.col("speaker").alias("word"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end")))).alias("w")
+    )
+    kept = F.array_join(F.transform(F.filter("w", lambda x: x["event_id"] % 5 != 0), lambda x: F.when(x["event_id"] % 7 == 0, F.lit("edited")).otherwise(x["word"])), " ")
+    return retimed(w.select("user_id", kept.alias("text"), F.transform("w", lambda x: F.struct(x["word"].alias("word"), x["start"].alias("start"), x["end"].alias("end"))).alias("words")), "user_id")
