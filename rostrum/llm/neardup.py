@@ -5,10 +5,11 @@ similarity and prune it once the probability of reaching the threshold is below
 left is verified exactly on the full shingle sets.
 
 Pairs are never expanded within a group: equal shingle sets form one class first; of each class one
-representative takes part. Phase one tries one pair per representative (with the smallest id it
-shares a bucket with). Phase two tries, in those buckets that still hold different components, every
-pair of different components whose set sizes allow the threshold, so no link that joins two
-components is lost.
+representative takes part. In rounds, every bucket draws a centre, and each representative tries the
+centres of other components with which it shares most buckets; what links becomes one component. Once
+few pairs are left for the bucket members (or after ``most_rounds``), every pair of different
+components in a bucket whose set sizes and parity marks allow the threshold is tried, so no link that joins
+two components is lost.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import U, WordHashes, mix, saved, shingle_set, word_hashes
 from .components import components
 
+#: Cells of the parity marks (2**11, so that the high 11 bits of a hash name one).
+MARKS = 2048
 SIG_SCHEMA = "doc_id long, n_shingles long, set_hash binary, sig binary, bands array<long>"
 
 
@@ -90,63 +93,70 @@ def least_matches(total: int, batch: int, threshold: float, miss: float) -> list
     return need
 
 
-def _bayes(pairs: DataFrame, sigs: DataFrame, hashes: int, batch: int, threshold: float, miss: float) -> DataFrame:
-    need = least_matches(hashes, batch, threshold, miss)
+def _sets(docs: DataFrame, sigs: DataFrame, width: int) -> DataFrame:
+    """Signature and full shingle set (sorted 64-bit hashes) of the documents in ``sigs`` (doc_id, sig)."""
 
     def run(batches):
+        memo = WordHashes()
         for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(b.num_rows, hashes) for c in (b.column(2), b.column(3)))
-            live, got = np.arange(b.num_rows), np.zeros(b.num_rows, np.int64)
-            for k, least in enumerate(need):
-                part = slice(k * batch, (k + 1) * batch)
-                got[live] += (x[live, part] == y[live, part]).sum(axis=1)
-                live = live[got[live] >= least]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(live)), b.column(1).take(pa.array(live))], names=["a", "b"])
+            sets = [shingle_set(word_hashes(t.as_py(), memo), width) for t in b.column(2)]
+            bits = np.array([_parities(s) for s in sets], np.int64).reshape(-1)
+            at = pa.array(range(0, len(bits) + 1, MARKS // 64), pa.int32())
+            hashes = pa.array([s.tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), hashes, pa.ListArray.from_arrays(at, pa.array(bits))], names=["doc_id", "sig", "hashes", "marks"]
+            )
 
-    one = sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a"))
-    two = sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b")
-    return both.mapInArrow(run, "a long, b long")
+    named = sigs.join(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id")
+    return named.select("doc_id", "sig", "text").mapInArrow(run, "doc_id long, sig binary, hashes binary, marks array<long>")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """Full shingle sets of the documents named by ``ids`` (sorted 64-bit hashes)."""
+def _parities(s: np.ndarray) -> np.ndarray:
+    """Parity of the number of hashes in each of MARKS cells, packed.
+
+    Two sets' parities differ in at most as many cells as the sets differ in members, so too many differing
+    cells rule a link out for certain.
+    """
+    return np.packbits((np.bincount((s >> U(53)).astype(np.int64), minlength=MARKS) & 1).astype(np.uint8)).view(np.int64)
 
-    def run(batches):
-        memo = WordHashes()
-        for b in batches:
-            sets = [shingle_set(word_hashes(t.as_py(), memo), width).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["doc_id", "hashes"])
 
-    named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi")
-    return named.mapInArrow(run, "doc_id long, hashes binary")
+def _verified(pairs: DataFrame, sets: DataFrame, hashes: int, batch: int, percent: int, miss: float) -> DataFrame:
+    """Pairs that survive the signature batches and hold on the full sets."""
+    need = least_matches(hashes, batch, percent / 100, miss)
 
+    def holds(x: np.ndarray, y: np.ndarray) -> bool:
+        if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+            return False
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= percent * (len(x) + len(y) - both)
 
-def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for b in batches:
-            keep = []
-            for i in range(b.num_rows):
-                x, y = (np.frombuffer(b.column(c)[i].as_py(), np.uint64) for c in (2, 3))
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(i)
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(b.num_rows, hashes) for c in (2, 3))
+            live, got = np.arange(b.num_rows), np.zeros(b.num_rows, np.int64)
+            for k, least in enumerate(need):
+                part = slice(k * batch, (k + 1) * batch)
+                got[live] += (x[live, part] == y[live, part]).sum(axis=1)
+                live = live[got[live] >= least]
+            keep = [i for i in live.tolist() if holds(*(np.frombuffer(b.column(c)[i].as_py(), np.uint64) for c in (4, 5)))]
             kept = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(kept), b.column(1).take(kept)], names=["a", "b"])
 
-    one = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("hashes_a"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hashes_b"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "hashes_a", "hashes_b")
+    sides = [sets.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("hashes").alias(f"hashes_{c}")) for c in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sig_a", "sig_b", "hashes_a", "hashes_b")
     return both.mapInArrow(run, "a long, b long")
 
 
+def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members with their components, of the buckets that hold more than one component."""
+    placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    return saved(placed.join(mixed, "key", "left_semi").select("key", "rep", "n", "comp"))
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4,
-    batch: int = 32, miss: float = 1e-9, seed: int = 11,
+    batch: int = 32, miss: float = 1e-9, seed: int = 11, per_round: int = 4, most_rounds: int = 3,
 ) -> DataFrame:
     """Groups of documents linked by ``100 * |A & B| >= percent * |A | B|`` over ``width``-word shingles.
 
@@ -156,28 +166,46 @@ def near_duplicates(
     alone. Copies share a component. Rows that repeat a doc_id count as one document; a null doc_id stands
     for itself. An empty table gives no rows. Other columns of ``docs`` are not read.
     """
+    spark = docs.sparkSession
     sig = saved(signatures(docs, width, bands, rows, seed))
     classes = sig.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
     chosen = classes.where("rep is not null").select(F.col("rep").alias("doc_id"), F.col("set_hash").alias("own"))
     reps = sig.join(chosen, "doc_id").where("set_hash = own")
     members = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
-    shared = members.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("other")).where("centre < other")
-    members = saved(members.join(shared.drop("other"), "key"))
-    sigs = sig.select("doc_id", "sig")
-    sets = saved(_sets(docs, members.select(F.col("rep").alias("doc_id")).distinct(), width))
-
-    first = members.where("rep <> centre").groupBy("rep").agg(F.min("centre").alias("b")).withColumnRenamed("rep", "a")
-    links = saved(_exact(_bayes(first, sigs, bands * rows, batch, percent / 100, miss), sets, percent))
-    found = components(links)
-
-    placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    placed = saved(placed.join(mixed, "key", "left_semi").select("key", "rep", "n", "comp"))
-    x, y = placed.alias("x"), placed.alias("y")
-    rest = x.join(y, F.expr(f"x.key = y.key and x.comp < y.comp and 100 * x.n >= {percent} * y.n and 100 * y.n >= {percent} * x.n"))
-    rest = saved(rest.selectExpr("x.rep as a", "y.rep as b").distinct())
-    more = _exact(_bayes(rest, sigs, bands * rows, batch, percent / 100, miss), sets, percent)
-    found = components(saved(links.unionByName(more)))
+    shared = members.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
+    members = saved(members.join(shared, "key", "left_semi"))
+    shared = members.select(F.col("rep").alias("doc_id")).distinct()
+    sets = saved(_sets(docs, reps.select("doc_id", "sig").join(shared, "doc_id", "left_semi"), width))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return saved(_verified(pairs, sets, bands * rows, batch, percent, miss))
+
+    fits = f"100 * n >= {percent} * m and 100 * m >= {percent} * n"
+    found = spark.createDataFrame([], "node long, comp long")
+    placed = members.withColumn("comp", F.col("rep"))
+    for round_ in range(most_rounds):
+        if round_:
+            known = placed.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key")
+            known = known.agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
+            open_ = known.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2), F.sum("k")).first()
+            if (open_[0] or 0) <= 2 * (open_[1] or 0):  # few pairs are left for the bucket members
+                break
+        draw = F.struct(F.xxhash64("rep", "key", F.lit(round_)).alias("h"), F.col("rep").alias("centre"), F.col("n").alias("m"), F.col("comp").alias("other"))
+        centres = placed.groupBy("key").agg(F.min(draw).alias("c")).select("key", "c.centre", "c.m", "c.other")
+        tries = placed.join(centres, "key").where("comp <> other").where(fits).groupBy("rep", "centre").agg(F.count("*").alias("k"))
+        best = F.slice(F.sort_array(F.collect_list(F.struct("k", "centre")), False), 1, per_round)  # at most ``bands`` to sort
+        tries = tries.groupBy("rep").agg(best.alias("best")).select(F.col("rep").alias("a"), F.explode("best.centre").alias("b"))
+        links = verified(tries)
+        found = saved(components(links.unionByName(found.select(F.col("node").alias("a"), F.col("comp").alias("b")))))
+        placed = _mixed(members, found)
+
+    placed = placed.join(sets.select(F.col("doc_id").alias("rep"), "marks"), "rep")
+    x, y = placed.alias("x"), placed.select("key", "rep", F.col("n").alias("m"), "comp", "marks").alias("y")
+    apart = "aggregate(zip_with(x.marks, y.marks, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
+    fits = f"{fits} and {100 + percent} * {apart} <= {100 - percent} * (n + m)"
+    rest = x.join(y, F.expr(f"x.key = y.key and x.comp < y.comp and {fits}"))
+    links = verified(rest.selectExpr("x.rep as a", "y.rep as b").distinct())
+    found = components(links.unionByName(found.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
 
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_hash", F.coalesce("comp", "rep").alias("component_id")

@@ -20,12 +20,34 @@ ORDER = 4
 _CHUNK = 1 << 20
 
 
-def grams(text: str) -> np.ndarray:
+def grams(text: bytes) -> np.ndarray:
     """The n-gram that ends at each byte, as a number; the text is led in by ORDER - 1 zero bytes."""
-    b = np.frombuffer(bytes(ORDER - 1) + text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
+    b = np.frombuffer(bytes(ORDER - 1) + text, np.uint8).astype(np.uint32)
     return (b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:]
 
 
+def _pressed(dealt: DataFrame) -> DataFrame:
+    """(block, doc_id, text, lang) with the text as a zstd frame: the exchange of whole texts is the largest cost."""
+
+    def run(batches):
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            made = [press.compress(x.as_py().encode("utf-8", "surrogatepass")) if x.is_valid else None for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary()), b.column(3)], names=["block", "doc_id", "text", "lang"])
+
+    return dealt.mapInArrow(run, "block int, doc_id long, text binary, lang string")
+
+
+def _opened(column):
+    import zstandard
+
+    open_ = zstandard.ZstdDecompressor()
+    for x in column:
+        yield open_.decompress(x.as_py()) if x.is_valid else None
+
+
 def _distinct(texts) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of texts with counts, merged chunk by chunk."""
     keys, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -53,9 +75,8 @@ def _counted(key, docs: pa.Table, trusted: pa.Table) -> pa.Table:
     """Of one block: counts of trusted n-grams (n > 0), and all distinct n-grams as requests (n = 0)."""
     ids = {*trusted.column("doc_id").to_pylist()}
     texts: dict[str, tuple[list, list]] = {}
-    for doc, text, lang in zip(docs.column("doc_id").to_pylist(), docs.column("text"), docs.column("lang").to_pylist()):
+    for doc, text, lang in zip(docs.column("doc_id").to_pylist(), _opened(docs.column("text")), docs.column("lang").to_pylist()):
         good, every = texts.setdefault(lang, ([], []))
-        text = text.as_py()
         if text:
             every.append(text)
             if doc in ids:
@@ -80,8 +101,7 @@ def _scored(key, docs: pa.Table, answers: pa.Table) -> pa.Table:
         order = np.argsort(g[own])
         known[lang] = g[own][order], p[own][order]
     sizes, sums = [], []
-    for text, lang in zip(docs.column("text"), docs.column("lang").to_pylist()):
-        text = text.as_py()
+    for text, lang in zip(_opened(docs.column("text")), docs.column("lang").to_pylist()):
         x = grams(text) if text else np.zeros(0, np.uint32)
         sizes.append(len(x))
         if not len(x) or lang not in known:
@@ -157,7 +177,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, quantile: float = 0.95, bl
     total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
-    dealt = given.select(place, "doc_id", "text", "lang")
+    dealt = _pressed(given.select(place, "doc_id", "text", "lang"))
     known = trusted.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct().select(place, "doc_id")
     made = saved(
         dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_counted, "block int, lang string, gram long, n long")

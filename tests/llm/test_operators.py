@@ -240,7 +240,7 @@ def test_fingerprint_likeness():
 def test_quality_probabilities(spark):
     # the joins against a direct Kneser-Ney recursion
     texts = ["the cat sat", "the dog sat on the mat", "a cat and a dog"]
-    count = Counter(int(g) for t in texts for g in quality.grams(t))
+    count = Counter(int(g) for t in texts for g in quality.grams(t.encode()))
     seen = {4: count}
     for k in (3, 2, 1):
         seen[k] = Counter(g & quality._mask(k) for g in seen[k + 1])
@@ -262,7 +262,7 @@ def test_quality_probabilities(spark):
         c = seen[k].get(g, 0)
         return ((max(0.0, c - d[k][min(c, 3) - 1]) if c else 0.0) + freed * below) / sum(own.values())
 
-    wanted = {int(g) for g in quality.grams("the cat on a zebra")}
+    wanted = {int(g) for g in quality.grams(b"the cat on a zebra")}
     counts = spark.createDataFrame([("en", g, n) for g, n in count.items()], "lang string, gram long, n long")
     asked = spark.createDataFrame([("en", g) for g in wanted], "lang string, gram long")
     got = {r.gram: r.logp for r in quality.probabilities(counts, asked).collect()}
