@@ -126,7 +126,7 @@ def r35_grounded_answer(spark, sf_dir):
     """Recommendations are split off, valid citations kept when grounded, and markers stripped."""
     raw = F.concat(F.lit("Agreed ["), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") % 50).otherwise(F.lit(999999)), F.lit("].\nRECOMMENDATIONS:\n- x"))
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.regexp_extract(raw, r"(?s)^(.*?)\s*(?:\n\s*RECOMMENDATIONS:.*)?$", 1).alias("a"))
-    known = table(spark, sf_dir, "documents").where("doc_id < 50").select(F.col("doc_id").alias("cite"))
+    known = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cite")).distinct()
     cites = rows.select("id", F.explode(T.citation_ids("a")).alias("cite")).join(known, "cite").groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("cite")), ",").alias("cited"))
     return rows.join(cites, "id", "left").select("id", T.strip_citations("a").alias("answer"), F.coalesce("cited", F.lit("")).alias("cited"))
 

@@ -101,17 +101,17 @@ def e8_fuzzy_bounded(spark, sf_dir):
 
 
 COMPONENT_SQL = """
-    SELECT span_id, canonical, 0.80::DOUBLE AS confidence, 'component' AS strategy FROM (SELECT p_partkey AS span_id, string_split(p_name, ' ')[1] AS span FROM part)
-    JOIN (SELECT part, min(canonical) AS canonical FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS part, p_name AS canonical FROM part WHERE p_partkey % 50 = 0) WHERE length(part) >= 6 GROUP BY 1 HAVING count(DISTINCT canonical) = 1) ON lower(span) = part
+    SELECT span_id, canonical, 0.80::DOUBLE AS confidence, 'component' AS strategy FROM (SELECT c_custkey AS span_id, CASE WHEN c_nationkey < 12 THEN c_name ELSE c_mktsegment END AS span FROM customer)
+    JOIN (SELECT part, min(canonical) AS canonical FROM (SELECT unnest(string_split(lower(c_name || ' ' || c_mktsegment), ' ')) AS part, c_name || ' ' || c_mktsegment AS canonical FROM customer) WHERE length(part) >= 6 GROUP BY 1 HAVING count(DISTINCT canonical) = 1) ON lower(span) = part
 """
 
 
 @query(COMPONENT_SQL)
 def e9_component(spark, sf_dir):
-    parts = table(spark, sf_dir, "part")
-    names = parts.where("p_partkey % 50 = 0").select(F.lower("p_name").alias("key"), F.col("p_name").alias("canonical"))
-    asked = parts.select(F.col("p_partkey").alias("span_id"), F.split("p_name", " ")[0].alias("span"))
-    return D.component(asked, names)
+    people = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name", "c_mktsegment", F.concat_ws(" ", "c_name", "c_mktsegment").alias("canonical"))
+    names = people.select(F.lower("canonical").alias("key"), "canonical")
+    span = F.when(F.col("c_nationkey") < 12, F.col("c_name")).otherwise(F.col("c_mktsegment"))
+    return D.component(people.select(F.col("c_custkey").alias("span_id"), span.alias("span")), names)
 
 
 @query("SELECT s_suppkey AS id, arg_min(n_name, n_nationkey) AS canonical FROM supplier JOIN nation ON contains(lower(n_name), 'nation_' || (s_suppkey % 3)) GROUP BY 1")
@@ -216,17 +216,17 @@ def o13_fuzzy_candidates(spark, sf_dir):
     return pairs.withColumn("rank", F.row_number().over(at)).where("rank <= 3").select("span_id", "d", "rank")
 
 
-@query("SELECT doc_id, min(turn) AS chunk FROM (SELECT l.doc_id, c.turn FROM (SELECT doc_id, string_split(text, ' ')[1] AS w FROM documents WHERE doc_id < 50) l JOIN conversations c ON c.conv_id = l.doc_id % 7 AND contains(c.text, l.w)) GROUP BY 1")
+@query("SELECT doc_id, min(turn) AS chunk FROM (SELECT l.doc_id, c.turn FROM (SELECT doc_id, string_split(text, ' ')[1] AS w FROM documents) l JOIN conversations c ON c.conv_id = l.doc_id AND contains(c.text, l.w)) GROUP BY 1")
 def j17_first_chunk_with(spark, sf_dir):
-    fixes = table(spark, sf_dir, "documents").where("doc_id < 50").select("doc_id", (F.col("doc_id") % 7).alias("conv_id"), F.split("text", " ")[0].alias("w"))
+    fixes = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("conv_id"), F.split("text", " ")[0].alias("w"))
     chunks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     return fixes.join(chunks, "conv_id").where(F.col("text").contains(F.col("w"))).groupBy("doc_id").agg(F.min("turn").alias("chunk"))
 
 
-@query("SELECT k AS id, n FROM (SELECT a.event_id AS k, count(*) OVER (PARTITION BY a.event_id) AS n FROM events a JOIN events b ON lower(trim(a.event_type)) = lower(trim(b.event_type)) AND a.user_id = b.user_id AND b.event_id % 40 = 0) WHERE n = 1")
+@query("SELECT k AS id, n FROM (SELECT a.event_id AS k, count(*) OVER (PARTITION BY a.event_id) AS n FROM events a JOIN events b ON lower(trim(a.event_type)) = lower(trim(b.event_type)) AND a.user_id = b.user_id AND b.value > 95) WHERE n = 1")
 def j16_unique_decision(spark, sf_dir):
-    a = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", F.lower(F.trim("event_type")).alias("k"))
-    decisions = a.where("id % 40 = 0").groupBy("user_id", "k").agg(F.count("*").alias("n"))
+    a = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", F.lower(F.trim("event_type")).alias("k"), "value")
+    decisions = a.where("value > 95").groupBy("user_id", "k").agg(F.count("*").alias("n"))
     return a.join(decisions, ["user_id", "k"]).where("n = 1").select("id", "n")
 
 
@@ -239,8 +239,9 @@ def e26_e27_evidence_grouping(spark, sf_dir):
 def e13_text_walk(spark, sf_dir):
     from ..operators.correction import broadcast_dictionary, correct_documents
 
-    names = table(spark, sf_dir, "part").where("p_partkey % 40 = 0").select(F.col("p_name").alias("canonical"), F.col("p_partkey").alias("load"))
-    texts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("Heard "), F.lower("p_name"), F.lit(" today.")).alias("text"))
+    people = table(spark, sf_dir, "customer")
+    names = people.select(F.initcap("c_mktsegment").alias("canonical")).distinct().withColumn("load", F.col("canonical"))
+    texts = people.select(F.col("c_custkey").alias("id"), F.concat(F.lit("Heard "), F.lower("c_mktsegment"), F.lit(" today.")).alias("text"))
     out = correct_documents(texts, "id", "text", broadcast_dictionary(names))
     return out.select("id", "corrected", F.size("corrections").cast("long").alias("n"))
 

@@ -171,7 +171,7 @@ def p2_retrieval_filters(spark, sf_dir):
 
 @query(
     """
-    SELECT c.event_id AS chunk, coalesce(string_agg(e.s_name, ',' ORDER BY e.lo, e.s_suppkey), '') AS names, count(e.s_suppkey) AS n FROM (SELECT event_id, user_id, (event_id % 50)::DOUBLE AS lo, event_id % 50 + 3.0 AS hi FROM events WHERE event_id < 500) c
+    SELECT c.event_id AS chunk, coalesce(string_agg(e.s_name, ',' ORDER BY e.lo, e.s_suppkey), '') AS names, count(e.s_suppkey) AS n FROM (SELECT event_id, user_id, (event_id % 50)::DOUBLE AS lo, event_id % 50 + 3.0 AS hi FROM events) c
     LEFT JOIN (SELECT s_suppkey, s_name, s_suppkey % 150 AS user_id, (s_suppkey % 50)::DOUBLE AS lo, s_suppkey % 50 + 2.0 AS hi FROM supplier) e ON e.user_id = c.user_id AND e.lo < c.hi AND e.hi > c.lo GROUP BY 1
     """
 )
@@ -180,7 +180,7 @@ def j11_interval_overlap(spark, sf_dir):
     e = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey"), "s_name", (F.col("s_suppkey") % 150).alias("user_id"), (F.col("s_suppkey") % 50).cast("double").alias("lo"), (F.col("s_suppkey") % 50 + 2).cast("double").alias("hi")
     ).alias("e")
-    c = table(spark, sf_dir, "events").where("event_id < 500").select(
+    c = table(spark, sf_dir, "events").select(
         "event_id", "user_id", (F.col("event_id") % 50).cast("double").alias("lo"), (F.col("event_id") % 50 + 3).cast("double").alias("hi")
     ).alias("c")
     both = c.join(e, F.expr("e.user_id = c.user_id and e.lo < c.hi and e.hi > c.lo"), "left")
