@@ -2,13 +2,16 @@
 
 Strict patterns give base spans, which always stay. High-recall generators propose further spans, which
 may overlap; boosted trees score them by format and context, and those over their kind's calibrated
-threshold are added. Trees learn from the corpus itself: a loose candidate that overlaps a base span of
-its kind is positive, any other negative, so a shape that is seldom personal data stays out.
+threshold are added. Trees learn from the corpus itself: base spans, rewritten in place into the loose
+shapes of their kind, are positives; negatives are the same shapes broken against their kind's rules, and
+loose candidates beside base spans that break them. Others beside base spans have no label.
 """
 
 from __future__ import annotations
 
+import ipaddress
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +85,64 @@ _CUES = (
     re.compile(r"card|visa|credit|pay|carte|karte|tarjeta", re.I),
     re.compile(r"phone|call|tel|mobile|fax|cell|appel|ruf", re.I),
 )
-FEATURES = 20
+FEATURES = 24
+_SPELLED = re.compile(r"[ ]?[(\[{][ ]?(at|dot)[ ]?[)\]}][ ]?", re.I)
+
+
+def proper(kind: int, span: str) -> bool:
+    """Whether a loose span, read as its strict shape, keeps its kind's rules.
+
+    Emails: a last label of two letters at least. Phones without 00: area and exchange start with 2 to 9.
+    """
+    if kind == 0:
+        local, _, domain = _SPELLED.sub(lambda m: "@" if m[1].lower() == "at" else ".", span).partition("@")
+        last = domain.rpartition(".")[2]
+        return len(last) > 1 and last.isalpha() and local[:1] != "." and local[-1:] != "."
+    if kind == 1 and ":" in span:
+        try:
+            return bool(ipaddress.IPv6Address(span))
+        except ValueError:
+            return False
+    digits = _digits(span)
+    if kind == 1:
+        return all(map(_part, re.split("[.,]", span)))
+    if kind == 2:
+        return 13 <= len(digits) <= 19 and _luhn(digits)
+    return span.startswith("00") or digits[-10] > "1" and digits[-7] > "1"
+
+
+def rewritten(kind: int, span: str, h: int) -> list[tuple[str, float]]:
+    """(loose shape, label) of a base span: each shape that can hold it, whole and broken; ``h`` picks details."""
+    digits, out = _digits(span), []
+    if kind == 0:
+        local, _, domain = span.rpartition("@")
+        for a, b in ("[]", "()", "{}"):
+            for gap in ("", " "):
+                at, dot = f"{gap}{a}at{b}{gap}", f"{gap}{a}dot{b}{gap}"
+                host, _, last = domain.rpartition(".")
+                out.append((local + at + domain.replace(".", dot), 1.0))
+                out.append((local + at + host.replace(".", dot) + dot + str(h % 100), 0.0))
+    elif kind == 1:
+        parts = [p.lstrip("0") or "0" for p in span.split(".")]
+        out.append((",".join(parts), 1.0))
+        out.append((",".join([*parts[:3], str(256 + h % 744)]), 0.0))
+        out.append((",".join([parts[0], *(p.zfill(3) for p in parts[1:])]), 0.0))  # a number with thousands marks
+        groups = [f"{(h >> i) & 0xFFFF:x}" for i in range(0, 48, 6)]
+        out += [(":".join(groups), 1.0), (":".join(groups[: 3 + h % 4]) + "::" + groups[7], 1.0)]
+        out += [(":".join(groups[: 4 + h % 4]), 0.0), (":".join(f"{int(g, 16) % 60:02d}" for g in groups[: 4 + h % 3]), 0.0)]
+    elif kind == 2:
+        wrong = digits[:-1] + str((int(digits[-1]) + 1 + h % 9) % 10)
+        for mark in "./_":
+            for d, y in ((digits, 1.0), (wrong, 0.0)):
+                out.append((mark.join([d[:4], d[4:8], d[8:12], d[12:]]), y))
+    elif len(digits) == 10 or len(digits) == 11 and digits[0] == "1":
+        a, b, c = digits[-10:-7], digits[-7:-4], digits[-4:]
+        for shape in ("({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}", "1 ({}) {}-{}", "1-{}-{}-{}"):
+            out.append((shape.format(a, b, c), 1.0))
+            out.append((shape.format(str(h % 2) + a[1:], b, c) if h % 4 < 2 else shape.format(a, str(h % 2) + b[1:], c), 0.0))
+    if kind == 3 and 11 <= len(digits) <= 13:
+        out.append((f"00{digits[:-10]} {digits[-10:-7]} {digits[-7:-4]} {digits[-4:]}", 1.0))
+    return [(shape, y) for shape, y in out if not y or proper(kind, shape)]
 
 
 def features(text: str, kind: int, lo: int, hi: int) -> list[float]:
@@ -96,7 +156,8 @@ def features(text: str, kind: int, lo: int, hi: int) -> list[float]:
         float(max((len(p) for p in parts), default=0)), float(all(map(_part, parts))), float(13 <= len(digits) <= 19 and _luhn(digits)),
         float("+" in before[-4:] or "+" in span), span.count("("), span.count("."), span.count("-"), span.count(" "),
         float("@" in span), float(prev.isalnum()), float(nxt.isalnum()), float(prev in ("", " ", "\n", "\t")),
-        float(bool(_CUES[kind].search(before))), float(len(set(digits))),
+        float(bool(_CUES[kind].search(before))), float(len(set(digits))), float(proper(kind, span)), span.count(","), span.count(":"),
+        float(min((len(p) for p in parts[1:]), default=0)),
     ]
 
 
@@ -115,6 +176,37 @@ def _overlaps(kind: int, lo: int, hi: int, spans: list[tuple[int, int, int]]) ->
     return any(k == kind and a < hi and lo < b for k, a, b in spans)
 
 
+def examples(text: str) -> list[tuple[int, float, list[float]]]:
+    """(hash of text and place, label, features) of every labelled example of a text."""
+    base, out, h = base_spans(text), [], 0
+    for kind, lo, hi in base:
+        h = h or hash_of(text)
+        key = hash_of(f"{h}:{kind}:{lo}")
+        before, after = text[max(0, lo - 96) : lo], text[hi : hi + 96]
+        for shape, y in rewritten(kind, text[lo:hi], key):
+            near, end = before + shape + after, len(before) + len(shape)
+            out += [(key, y, features(near, *c)) for c in candidates(near) if c == (kind, len(before), end)]
+    loose = candidates(text)
+    if loose:
+        taken = [merged(base, k) for k in range(len(KINDS))]
+        for kind, lo, hi in loose:
+            if not proper(kind, text[lo:hi]) and not touches(taken[kind], lo, hi):
+                h = h or hash_of(text)
+                out.append((hash_of(f"{h}:{kind}:{lo}"), 0.0, features(text, kind, lo, hi)))
+    return out
+
+
+def merged(spans: list[tuple[int, int, int]], kind: int) -> tuple[list[int], list[int]]:
+    """Starts and ends of a kind's spans, which never overlap each other."""
+    own = sorted((a, b) for k, a, b in spans if k == kind)
+    return [a for a, _ in own], [b for _, b in own]
+
+
+def touches(spans: tuple[list[int], list[int]], lo: int, hi: int) -> bool:
+    at = bisect_left(spans[0], hi) - 1
+    return at >= 0 and spans[1][at] > lo
+
+
 class Boosted:
     """Gradient-boosted regression trees for the logistic loss, over features cut into few bins."""
 
@@ -127,7 +219,7 @@ class Boosted:
         p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         self.start = float(np.log(p / (1 - p)))
         f = np.full(len(y), self.start)
-        cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
+        cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[:-1])) for j in range(x.shape[1])]
         for _ in range(self.n):
             q = 1 / (1 + np.exp(-f))
             tree, node = [(0, 0.0, 0.0)] * (2 ** (self.depth + 1)), np.ones(len(y), np.int64)
@@ -198,50 +290,59 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, most: int = 8000, precision: float = 0.95, least: int = 20) -> Model:
-    """Trees and thresholds from at most ``most`` candidates of the whole corpus.
+#: Scores are counted in so many bins; a power of two, so their edges are exact.
+BINS = 1024
+
 
-    The bound holds for labelled candidates (those with the smallest hashes of text and place are taken,
-    so it is a uniform sample of all). Half fits the trees; on the other half each kind's threshold is
-    the least score from which candidates are positive with ``precision``. A kind with fewer than
-    ``least`` positives there accepts nothing; without both classes there is no model.
+def fit(docs: DataFrame, most: int = 8000, precision: float = 0.95) -> Model:
+    """Trees from at most ``most`` examples, thresholds from all others of the whole corpus.
+
+    Trees learn from distinct examples of even hash with the smallest hashes of text and place, so copies
+    count once. All other examples are scored and counted by kind and score; a kind's threshold is the
+    least score from which they are positive with ``precision``. A kind without positives there accepts
+    nothing; without both classes there is no model.
     """
+    texts = docs.select(F.col("text").cast("string").alias("text"))
 
-    def run(batches):
+    def labelled(batches):
         for b in batches:
-            rows = []
-            for text in b.column(0):
-                text = text.as_py()
-                found = candidates(text) if text else []
-                if found:
-                    base = base_spans(text)
-                    h = hash_of(text)
-                    rows += [(h ^ hash_of(f"{c}"), float(_overlaps(*c, base)), features(text, *c)) for c in found]
+            rows = [e for t in b.column(0) for e in examples(t.as_py() or "")]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64()),
                  pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["h", "y", "x"],
             )
 
-    sample = docs.select(F.col("text").cast("string")).mapInArrow(run, "h long, y double, x array<double>")
-    rows = sample.orderBy("h", "y", "x").limit(most).collect()
-    if not rows:
-        return Model(None, [2.0] * len(KINDS))
-    x, y = np.array([r.x for r in rows]), np.array([r.y for r in rows])
-    half = np.arange(len(y)) % 2 == 0
-    if len({*y[half]}) < 2:
-        return Model(None, [2.0] * len(KINDS))
-    trees = Boosted().fit(x[half], y[half])
-    scores, rest, thresholds = trees.score(x[~half]), y[~half], []
-    for kind in range(len(KINDS)):
-        own = x[~half][:, 0] == kind
-        order = np.argsort(-scores[own], kind="stable")
-        s, good = scores[own][order], rest[own][order]
-        rate = good.cumsum() / np.arange(1, len(good) + 1)
-        last = np.ones(len(s), bool)
-        last[:-1] = s[:-1] != s[1:]  # a threshold takes all candidates of its score
-        ok = np.flatnonzero((rate >= precision) & last)
-        thresholds.append(float(max(0.5, s[ok[-1]])) if len(ok) and good.sum() >= least else 2.0)
-    return Model(trees, thresholds)
+    even = texts.mapInArrow(labelled, "h long, y double, x array<double>").where("h % 2 = 0").distinct()
+    rows = even.orderBy("h", "y", "x").limit(most).collect()
+    nothing = Model(None, [2.0] * len(KINDS))
+    if len({r.y for r in rows}) < 2:
+        return nothing
+    trees = Boosted().fit(np.array([r.x for r in rows]), np.array([r.y for r in rows]))
+    top = rows[-1].h  # an even hash up to this one may be of the sample
+    shared = docs.sparkSession.sparkContext.broadcast(trees)
+
+    def counted(batches):
+        counts = np.zeros((len(KINDS), BINS, 2), np.int64)
+        for b in batches:
+            rest = [e for t in b.column(0) for e in examples(t.as_py() or "") if e[0] % 2 or e[0] > top]
+            if rest:
+                x = np.array([e[2] for e in rest])
+                at = np.minimum(shared.value.score(x) * BINS, BINS - 1).astype(np.int64)
+                np.add.at(counts, (x[:, 0].astype(np.int64), at, np.array([int(e[1]) for e in rest])), 1)
+        kind, at, y = counts.nonzero()
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (kind, at, y, counts[kind, at, y])], names=["kind", "bin", "y", "n"])
+
+    counts = np.zeros((len(KINDS), BINS, 2))
+    for r in texts.mapInArrow(counted, "kind long, bin long, y long, n long").groupBy("kind", "bin", "y").agg(F.sum("n").alias("n")).collect():
+        counts[r.kind, r.bin, r.y] = r.n
+    return Model(trees, [_least_score(c, precision) for c in counts])
+
+
+def _least_score(counts: np.ndarray, precision: float) -> float:
+    """The least bin edge (0.5 at least) from which positives have ``precision``; 2 where there is none."""
+    wrong, good = counts[::-1].cumsum(0).T
+    ok = np.flatnonzero((good > 0) & (good >= precision * (good + wrong)))
+    return max(0.5, float(BINS - 1 - ok[-1]) / BINS) if len(ok) else 2.0
 
 
 def hash_of(text: str) -> int:

@@ -382,6 +382,43 @@ def test_pii(spark, docs, odd, empty):
     assert pii.redacted("call +1 555 now", [(3, 5, 11), (2, 6, 11)]) == "call <PHONE> now"
 
 
+def test_pii_adds_loose_shapes(spark):
+    """Personal data in shapes that base patterns miss is found and redacted; the same shapes, broken, are not."""
+    rng = np.random.default_rng(5)
+
+    def card():
+        d = "4" + "".join(map(str, rng.integers(0, 10, 14)))
+        return next(d + c for c in "0123456789" if pii._luhn(d + c))
+
+    texts = []
+    for i in range(120):
+        ip = ".".join(map(str, rng.integers(0, 256, 4)))
+        phone = "+1 ({}{:02d}) {}{:02d}-{:04d}".format(*(int(rng.integers(*r)) for r in ((2, 10), (0, 100), (2, 10), (0, 100), (0, 10_000))))
+        texts += [f"the note of day {i} says user{i}@host{i}.example.org is here", f"words and {ip} and more", f"he gave {card()} then left", f"reach us under {phone} soon"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    model = pii.fit(docs)
+    loose = [
+        "jane.doe [at] example [dot] com", "jane(at)mail(dot)example(dot)org", "2001:db8:85a3:1:2:8a2e:370:7334", "fe80:1:2::7334",
+        "(212) 555-0143", "212.555.0143", "4111.1111.1111.1111", "4111_1111_1111_1111",
+    ]
+    broken = ["jane (at) 5 (dot) 30", "12:34:56:78", "(012) 555-0143", "4111.1111.1111.1112", "4111_1111_1111_1113", "300,400,1,2", "1,234,123,200"]
+    given = spark.createDataFrame([(i, f"some words then {s} and the end") for i, s in enumerate(loose + broken)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.detect(given, model).collect()}
+    assert [s for i, s in enumerate(loose) if s in got[i].redacted or got[i].base] == []
+    assert [s for i, s in enumerate(broken, len(loose)) if got[i].spans] == []
+
+
+def test_pii_sample_takes_copies_once(spark, monkeypatch):
+    """Copies of one text do not fill the sample of the trees."""
+    seen = []
+    real = pii.Boosted.fit
+    monkeypatch.setattr(pii.Boosted, "fit", lambda self, x, y: seen.append(len(x)) or real(self, x, y))
+    texts = ["mail a@b.org and c@d.org and e@f.org and 10.0.0.7"] * 500 + [f"mail u{i}@h{i}.org" for i in range(40)]
+    pii.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    distinct = {(e[0], e[1], tuple(e[2])) for t in texts for e in pii.examples(t) if e[0] % 2 == 0}
+    assert seen == [len(distinct)] and len(distinct) < 1000
+
+
 def test_pii_trees_learn():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 5))
