@@ -116,6 +116,27 @@ def test_html(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_html_ratios_decide():
+    """Without a declared article, with teasers or a summary declared so, and inside and beside a true one."""
+    story = [f"This is part {i} of the story, which goes on, with commas, for a good while. It has more than one sentence, too; it is told in full." for i in range(8)]
+    told = "".join(f"<p>{s}</p>" for s in story)
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(12)) + "</ul>"
+    teasers = "".join(f"<article><h2>Other {i}</h2><p>Another thing that happened, number {i}.</p></article>" for i in range(8))
+    plain = " ".join(story)
+    for page in (
+        f"<body>{links}<div><div>{told}</div></div></body>",
+        f"<body><div id=x>{told}</div><div class=cards>{teasers}</div></body>",
+        f"<body><article>{told}</article>{links}</body>",
+    ):
+        assert " ".join(html.select(page)) == plain, page
+    got = html.select(f"<body><div class=cards>{teasers}</div><div id=x>{told}</div></body>")
+    assert got[-8:] == story and len(got) <= 9  # smoothing may keep the story's neighbour
+    got = html.select(f"<body><article>{told}{links}</article></body>")
+    assert got[:8] == story and len(got) <= 9
+    page = f"<body><article><p>In short, it went on.</p></article><div id=x>{told}</div></body>"
+    assert " ".join(html.select(page)).endswith(plain)
+
+
 def test_html_whole_table(spark):
     pages = spark.read.parquet(f"{DIR}/pages.parquet")
     for r in pages.join(html.extract(pages).select("page_id", "text"), "page_id").collect():
