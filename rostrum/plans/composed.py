@@ -55,10 +55,18 @@ def u5_distinct_array(spark, sf_dir):
 
 @query("SELECT item_id AS id, upper(text) = text AS all_upper FROM benchmark WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
 def w6_all_uppercase_span(spark, sf_dir):
-    rows = table(spark, sf_dir, "benchmark").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    return _all_upper(table(spark, sf_dir, "benchmark").where(~F.col("text").rlike(r"[^\x00-\x7F]")))
+
+
+def _all_upper(rows):
     return rows.select(F.col("item_id").alias("id"), F.forall(F.split("text", " "), lambda w: F.upper(w) == w).alias("all_upper"))
 
 
+@query("SELECT item_id AS id, upper(text) = text AS all_upper FROM benchmark")
+def w6_all_uppercase_span_whole(spark, sf_dir):
+    return _all_upper(table(spark, sf_dir, "benchmark"))
+
+
 @query(
     """
     SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (ORDER BY turn) - 1 AS pos, count(*) OVER () AS n FROM conversations WHERE conv_id = (SELECT min(conv_id) FROM conversations WHERE role ILIKE '%user%'))

@@ -180,18 +180,34 @@ def j14_merge_by_occurrence(spark, sf_dir):
 @query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 AND len(string_split(text, ' ')) = len(string_split(text, ' ')) THEN upper(text) ELSE text END AS aligned FROM conversations WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
 def r11_equal_length_apply(spark, sf_dir):
     """Refined tokens replace words one to one where both have the same number; otherwise the words stay."""
-    rows = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    return _applied(table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"[^\x00-\x7F]")))
+
+
+def _applied(rows):
     own, new = F.split("text", " "), F.split(F.when(F.col("turn") % 2 == 0, F.upper("text")).otherwise(F.concat("text", F.lit(" x"))), " ")
     made = F.when(F.size(own) == F.size(new), F.zip_with(own, new, lambda a, b: F.coalesce(b, a))).otherwise(own)
     return rows.select("conv_id", "turn", F.array_join(made, " ").alias("aligned"))
 
 
+@query()  # DuckDB's upper keeps ß as one letter
+def r11_equal_length_apply_whole(spark, sf_dir):
+    return _applied(table(spark, sf_dir, "conversations"))
+
+
 @query("SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[0-9]{4}') THEN text ELSE upper(text) END AS guarded FROM conversations WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
 def r14_guards(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    return _guarded(table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"[^\x00-\x7F]")))
+
+
+def _guarded(rows):
     return rows.select("conv_id", "turn", F.when(F.col("text").rlike("[0-9]{4}"), F.col("text")).otherwise(F.upper("text")).alias("guarded"))
 
 
+@query()  # DuckDB's upper keeps ß as one letter
+def r14_guards_whole(spark, sf_dir):
+    return _guarded(table(spark, sf_dir, "conversations"))
+
+
 def _spoken(spark, sf_dir):
     e = words(spark, sf_dir)
     k = F.col("event_id") % 6

@@ -35,21 +35,48 @@ def f5_clamp(spark, sf_dir):
 
 @query("SELECT doc_id AS id, lower(regexp_replace(w, '^[^\\w]+|[^\\w]+$', '', 'g')) AS token FROM (SELECT doc_id, string_split(text, ' ')[1] AS w FROM documents WHERE lang = 'en')")
 def f6_token_normalise(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), T.edge_stripped(F.split("text", " ")[0]).alias("token"))
+    return _first_tokens(table(spark, sf_dir, "documents").where("lang = 'en'"))
+
+
+def _first_tokens(docs):
+    return docs.select(F.col("doc_id").alias("id"), T.edge_stripped(F.split("text", " ")[0]).alias("token"))
+
+
+@query("SELECT doc_id AS id, lower(regexp_replace(string_split(text, ' ')[1], '^[^\\p{L}\\p{N}\\p{M}_]+|[^\\p{L}\\p{N}\\p{M}_]+$', '', 'g')) AS token FROM documents")
+def f6_token_normalise_whole(spark, sf_dir):
+    return _first_tokens(table(spark, sf_dir, "documents"))
 
 
 @query("SELECT doc_id AS id, md5(regexp_replace(lower(text), '[^\\w'']+', '', 'g')) AS align_md5, md5(trim(regexp_replace(lower(text), '[^\\w]+', ' ', 'g'))) AS passage_md5 FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]')")
 def f7_f8_keys(spark, sf_dir):
     ascii_only = table(spark, sf_dir, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return ascii_only.select(F.col("doc_id").alias("id"), F.md5(T.align_key("text")).alias("align_md5"), F.md5(T.passage_key("text")).alias("passage_md5"))
+    return _keys(ascii_only)
+
+
+def _keys(docs):
+    return docs.select(F.col("doc_id").alias("id"), F.md5(T.align_key("text")).alias("align_md5"), F.md5(T.passage_key("text")).alias("passage_md5"))
+
+
+@query("SELECT doc_id AS id, md5(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\p{M}_'']+', '', 'g')) AS align_md5, md5(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\p{M}_]+', ' ', 'g'))) AS passage_md5 FROM documents")
+def f7_f8_keys_whole(spark, sf_dir):
+    return _keys(table(spark, sf_dir, "documents"))
 
 
 @query("SELECT item_id AS id, lower(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '[?.! ]+$', '')) AS question, nullif(trim(regexp_replace(text, '\\s+', ' ', 'g')), '') AS clean FROM benchmark WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
 def f9_f10_questions(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    return _questions(items)
+
+
+def _questions(items):
     return items.select(F.col("item_id").alias("id"), T.question_key("text").alias("question"), T.blank_to_null("text").alias("clean"))
 
 
+@query("SELECT item_id AS id, lower(regexp_replace(trim(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g')), '[?.! ]+$', '')) AS question, nullif(trim(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g')), '') AS clean FROM benchmark")
+def f9_f10_questions_whole(spark, sf_dir):
+    return _questions(table(spark, sf_dir, "benchmark"))
+
+
 @query("SELECT item_id AS id, len(regexp_extract_all(text, '[A-Za-zÀ-ÿ''\\-]+'))::BIGINT AS n_tokens, regexp_extract_all(text, '[A-Za-zÀ-ÿ''\\-]+')[1] AS first_token FROM benchmark")
 def f11_tokenizer(spark, sf_dir):
     tokens = F.regexp_extract_all("text", F.lit(r"[A-Za-zÀ-ÿ'\-]+"), F.lit(0))
@@ -217,8 +244,17 @@ def f35_select_winner(spark, sf_dir):
 
 @query("SELECT item_id AS id, list_aggregate(list_filter(list_transform(string_split(text, ' '), lambda x: trim(x)), lambda x: x <> ''), 'string_agg', ' ') AS flat FROM benchmark WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
 def f37_flatten_segments(spark, sf_dir):
+    return _flat(table(spark, sf_dir, "benchmark").where(~F.col("text").rlike(r"[^\x00-\x7F]")))
+
+
+def _flat(items):
     kept = F.filter(F.transform(F.split("text", " "), lambda x: F.trim(x)), lambda x: x != "")
-    return table(spark, sf_dir, "benchmark").where(~F.col("text").rlike(r"[^\x00-\x7F]")).select(F.col("item_id").alias("id"), F.array_join(kept, " ").alias("flat"))
+    return items.select(F.col("item_id").alias("id"), F.array_join(kept, " ").alias("flat"))
+
+
+@query("SELECT item_id AS id, list_aggregate(list_filter(list_transform(string_split(text, ' '), lambda x: trim(x)), lambda x: x <> ''), 'string_agg', ' ') AS flat FROM benchmark")
+def f37_flatten_segments_whole(spark, sf_dir):
+    return _flat(table(spark, sf_dir, "benchmark"))
 
 
 @query("SELECT p_partkey AS id, CASE WHEN length(p_name) <= length(p_brand) + 1 THEN p_brand ELSE p_name END AS display FROM part")

@@ -1,6 +1,7 @@
 """Every query of the engine against its SQL in DuckDB, and unit tests of the sequential walks."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -57,6 +58,36 @@ def test_spoken_dates(text, want):
     assert dates.correct_text(want) == want  # what is corrected stays
 
 
+def test_text_functions_on_accents(spark):
+    """Whole words with accents, composed or not, pass the normalisers and the whole-table queries lose no row."""
+    from pyspark.sql import functions as F
+
+    from rostrum.functions import textfn as T
+
+    texts = ["«Élan vital», ça va?", "Cafe\u0301 au lait!", "Ñandú… y más", "ÜBER straße", None, "日本語 テスト"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = df.select(T.align_key("text"), T.passage_key("text"), T.question_key("text"), T.edge_stripped(F.split("text", " ")[0])).collect()
+    assert [tuple(r) for r in rows] == [
+        ("élanvitalçava", "élan vital ça va", "«élan vital», ça va", "élan"), ("cafe\u0301aulait", "cafe\u0301 au lait", "cafe\u0301 au lait", "cafe\u0301"),
+        ("ñandúymás", "ñandú y más", "ñandú… y más", "ñandú"), ("überstraße", "über straße", "über straße", "über"), (None,) * 4,
+        ("日本語テスト", "日本語 テスト", "日本語 テスト", "日本語"),
+    ]
+    for name, of in (
+        ("f6_token_normalise", "documents"), ("f7_f8_keys", "documents"), ("f9_f10_questions", "benchmark"), ("f37_flatten_segments", "benchmark"),
+        ("w6_all_uppercase_span", "benchmark"), ("r11_equal_length_apply", "conversations"), ("r14_guards", "conversations"),
+    ):
+        assert registry.QUERIES[f"{name}_whole"](spark, DIR).count() == registry.table(spark, DIR, of).count(), name
+
+
+def test_whole_conversations_by_brute_force(spark):
+    given = registry.table(spark, DIR, "conversations").collect()
+    own = lambda r: r.text.upper() if r.turn % 2 == 0 else r.text
+    guarded = lambda r: r.text if re.search("[0-9]{4}", r.text) else r.text.upper()
+    for name, made in (("r11_equal_length_apply_whole", own), ("r14_guards_whole", guarded)):
+        got = sorted(tuple(r) for r in registry.QUERIES[name](spark, DIR).collect())
+        assert got == sorted((r.conv_id, r.turn, made(r)) for r in given), name
+
+
 def test_dictionary_walks():
     d = correction.Dictionary(["Prampram", "Kwame Mensah", "Tema"], {"PramPram Town": "Prampram"}, frozenset({"nation"}))
     text = "We met at pram pram with Kwami Mensah, in Tema and the nation."
