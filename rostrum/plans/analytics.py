@@ -174,7 +174,20 @@ def j9_alias_parity(spark, sf_dir):
     """
 )
 def j10_sittings_with_records(spark, sf_dir):
-    page = table(spark, sf_dir, "customer").where("c_custkey % 7 = 0").select("c_custkey")
+    return _with_records(spark, sf_dir, table(spark, sf_dir, "customer").where("c_custkey % 7 = 0").select("c_custkey"))
+
+
+@query(
+    """
+    SELECT c_custkey AS id, count(o_orderkey) AS n_records, coalesce(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey), '') AS records
+    FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1
+    """
+)
+def j10_sittings_with_records_whole(spark, sf_dir):
+    return _with_records(spark, sf_dir, table(spark, sf_dir, "customer").select("c_custkey"))
+
+
+def _with_records(spark, sf_dir, page):
     kids = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
     rows = page.join(kids, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy(F.col("c_custkey").alias("id"))
     return rows.agg(

@@ -186,11 +186,23 @@ def e24_span_alignment(spark, sf_dir):
 
 @query("SELECT q, id FROM (SELECT lower(n_name) AS q, n_nationkey::BIGINT AS id, row_number() OVER (ORDER BY n_nationkey) AS rn FROM nation WHERE n_nationkey % 2 = 0) WHERE rn <= 10")
 def e29_fallback_lookup(spark, sf_dir):
-    names = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("key"), F.col("n_nationkey").cast("long").alias("id"))
+    names = _nations(spark, sf_dir)
     asked = names.where("id % 2 = 0").select(F.col("key").alias("q"), F.col("id").alias("pos"))
     return asked.join(names, F.col("q") == F.col("key")).orderBy("pos").limit(10).select("q", "id")
 
 
+def _nations(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select(F.lower("n_name").alias("key"), F.col("n_nationkey").cast("long").alias("id"))
+
+
+@query("SELECT lower(n_name) AS q, n_nationkey::BIGINT AS id FROM nation UNION ALL SELECT lower(r_name), n_nationkey::BIGINT FROM region JOIN nation ON lower(r_name) = lower(n_name)")
+def e29_fallback_lookup_whole(spark, sf_dir):
+    """Every nation and every region is asked for; what is no nation finds nothing."""
+    names = _nations(spark, sf_dir)
+    asked = names.select(F.col("key").alias("q")).unionByName(table(spark, sf_dir, "region").select(F.lower("r_name").alias("q")))
+    return asked.join(names, F.col("q") == F.col("key")).select("q", "id")
+
+
 @query("SELECT event_id AS id, attempt, CASE WHEN attempt <= 3 THEN pow(2.0, attempt - 1) END AS wait_s, attempt <= 3 AS again FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS attempt FROM events)")
 def t2_retry_backoff(spark, sf_dir):
     nth = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")).cast("long")
@@ -205,10 +217,20 @@ def t2_retry_backoff(spark, sf_dir):
     """
 )
 def t3_reconcile(spark, sf_dir):
+    return _lacking(spark, sf_dir, "turn % 3 = 0").orderBy((F.col("missing") == 0).desc(), F.desc("missing"), "id").limit(50)
+
+
+@query("SELECT c_custkey AS id, 0::BIGINT AS missing FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT conv_id, count(*) FROM conversations WHERE role = 'assistant' GROUP BY 1")
+def t3_reconcile_whole(spark, sf_dir):
+    """Every parent without children and every one whose answers are missing, without a limit."""
+    return _lacking(spark, sf_dir, "role = 'assistant'")
+
+
+def _lacking(spark, sf_dir, missing):
     have = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
     never = table(spark, sf_dir, "customer").join(have, "c_custkey", "left_anti").select(F.col("c_custkey").alias("id"), F.lit(0).cast("long").alias("missing"))
-    partial = table(spark, sf_dir, "conversations").where("turn % 3 = 0").groupBy(F.col("conv_id").alias("id")).agg(F.count("*").alias("missing"))
-    return never.unionByName(partial).orderBy((F.col("missing") == 0).desc(), F.desc("missing"), "id").limit(50)
+    partial = table(spark, sf_dir, "conversations").where(missing).groupBy(F.col("conv_id").alias("id")).agg(F.count("*").alias("missing"))
+    return never.unionByName(partial)
 
 
 @query("SELECT event_id AS id FROM events WHERE ts >= TIMESTAMP '2024-01-15' - INTERVAL 15 MINUTE AND ts < TIMESTAMP '2024-01-15'")

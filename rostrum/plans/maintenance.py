@@ -30,7 +30,15 @@ def a13_s12_next_version(spark, sf_dir):
 
 @query("SELECT o_custkey AS record_id, max(o_orderkey) + 1 AS version, arg_max(o_orderpriority, o_orderkey) AS words FROM orders WHERE o_custkey % 5 = 0 GROUP BY 1")
 def s13_edit_save(spark, sf_dir):
-    edited = table(spark, sf_dir, "orders").where("o_custkey % 5 = 0")
+    return _edited(table(spark, sf_dir, "orders").where("o_custkey % 5 = 0"))
+
+
+@query("SELECT o_custkey AS record_id, max(o_orderkey) + 1 AS version, arg_max(o_orderpriority, o_orderkey) AS words FROM orders GROUP BY 1")
+def s13_edit_save_whole(spark, sf_dir):
+    return _edited(table(spark, sf_dir, "orders"))
+
+
+def _edited(edited):
     return edited.groupBy(F.col("o_custkey").alias("record_id")).agg((F.max("o_orderkey") + 1).alias("version"), F.max_by("o_orderpriority", "o_orderkey").alias("words"))
 
 

@@ -88,6 +88,18 @@ def test_whole_conversations_by_brute_force(spark):
         assert got == sorted((r.conv_id, r.turn, made(r)) for r in given), name
 
 
+def test_whole_tables_are_compared(spark):
+    def rows(name):
+        return registry.table(spark, DIR, name).count()
+
+    got = {n: registry.QUERIES[f"{n}_whole"](spark, DIR) for n in ("a20_parity_counts", "j10_sittings_with_records", "s13_edit_save", "t3_reconcile", "e29_fallback_lookup")}
+    assert got["a20_parity_counts"].agg({"n_target": "sum"}).first()[0] == rows("customer")
+    assert got["j10_sittings_with_records"].count() == rows("customer")
+    assert got["s13_edit_save"].count() == registry.table(spark, DIR, "orders").select("o_custkey").distinct().count()
+    assert got["t3_reconcile"].agg({"missing": "sum"}).first()[0] == registry.table(spark, DIR, "conversations").where("role = 'assistant'").count()
+    assert got["e29_fallback_lookup"].count() >= rows("nation")
+
+
 def test_dictionary_walks():
     d = correction.Dictionary(["Prampram", "Kwame Mensah", "Tema"], {"PramPram Town": "Prampram"}, frozenset({"nation"}))
     text = "We met at pram pram with Kwami Mensah, in Tema and the nation."
