@@ -158,13 +158,18 @@ def corrected(text: str, found: list[tuple[int, int, str, float, str]]) -> str:
 def broadcast_dictionary(names: DataFrame, aliases: DataFrame | None = None, blocked: DataFrame | None = None, most: int = 200_000):
     """Names (canonical, load), aliases (alias, canonical) and blocked (token) as a broadcast Dictionary.
 
-    More than ``most`` names is an error: match them by the joins of ``operators.dictionary`` instead.
+    More than ``most`` of any of them is an error: match them by the joins of ``operators.dictionary`` instead.
     """
-    rows = names.orderBy("load").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} names: use the joins of operators.dictionary")
-    more = {r.alias: r.canonical for r in aliases.limit(most).collect()} if aliases is not None else {}
-    stop = frozenset(r.token.lower() for r in blocked.limit(most).collect()) if blocked is not None else frozenset()
+
+    def whole(df: DataFrame | None, what: str) -> list:
+        found = df.limit(most + 1).collect() if df is not None else []
+        if len(found) > most:
+            raise ValueError(f"more than {most} {what}: use the joins of operators.dictionary")
+        return found
+
+    rows = whole(names.orderBy("load"), "names")
+    more = {r.alias: r.canonical for r in whole(aliases, "aliases")}
+    stop = frozenset(r.token.lower() for r in whole(blocked, "blocked tokens"))
     return names.sparkSession.sparkContext.broadcast(Dictionary([r.canonical for r in rows], more, stop))
 
 

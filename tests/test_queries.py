@@ -100,6 +100,16 @@ def test_whole_tables_are_compared(spark):
     assert got["e29_fallback_lookup"].count() >= rows("nation")
 
 
+def test_dictionary_takes_all_or_raises(spark):
+    names = spark.createDataFrame([("Tema", "Tema")], "canonical string, load string")
+    aliases = spark.createDataFrame([("a", "Tema"), ("b", "Tema"), ("c", "Tema")], "alias string, canonical string")
+    blocked = spark.createDataFrame([("x",), ("y",), ("z",)], "token string")
+    for given, what in (((aliases, None), "aliases"), ((None, blocked), "blocked tokens")):
+        with pytest.raises(ValueError, match=what):
+            correction.broadcast_dictionary(names, *given, most=2)
+    assert correction.broadcast_dictionary(names, aliases, blocked, most=3).value is not None
+
+
 def test_dictionary_walks():
     d = correction.Dictionary(["Prampram", "Kwame Mensah", "Tema"], {"PramPram Town": "Prampram"}, frozenset({"nation"}))
     text = "We met at pram pram with Kwami Mensah, in Tema and the nation."
