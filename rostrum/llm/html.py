@@ -1,18 +1,23 @@
 """Main-text extraction by tag-path ratios.
 
 A page becomes a sequence of text blocks, each with the path of tags (and first classes) from the root to
-its block element; inline tags belong to the block around them. For each path the text length and the
-punctuation of its blocks are aggregated and divided by the number of blocks; the two ratios are fused,
-smoothed along the page, and blocks whose smoothed ratio reaches a threshold derived from the page's
-spread are content. Subtrees that declare themselves boilerplate (tags, roles, class names) have no
-ratio. Paths in an element that declares itself the article get a bonus on their ratio of the page's
-threshold at most: whole where they hold the page's highest ratio, none where theirs is half of it.
+its block element; inline tags belong to the block around them, and the cells of a table or the items of a
+list have the path of their table or list, which is the node that they count for. For each path the
+length of text outside links and the punctuation are aggregated and divided by the number of nodes; the
+two ratios are fused, a heading takes half its ratio from what it heads, and the ratios are smoothed along the
+page. Blocks whose smoothed ratio reaches a threshold derived from the page's spread are content.
+Subtrees that declare themselves boilerplate (tags, roles, whole class names) have no ratio. Paths in an
+element that declares itself the article get a bonus on their ratio of the page's threshold at most: whole
+where they hold the page's highest ratio, none where theirs is half of it.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import lru_cache
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +59,16 @@ CUES = frozenset(
     "overlay newsletter subscribe subscription signup login signin register share sharing social related "
     "recommended recommendations widget widgets pagination pager toolbar topbar search skip".split()
 )
+#: Words that say nothing in a class name: a name declares boilerplate if it has a cue and else only these.
+PLAIN = frozenset(
+    "site page post article main global js block box wrap wrapper container content area section slot zone unit panel "
+    "holder placeholder group list item items row col column inner outer top bottom left right primary secondary button "
+    "buttons btn link links icon icons text form title head header body bar strip module region the and us a large small".split()
+)
+HEAD_TAGS = frozenset("base basefont bgsound head link meta".split()) | RAW
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose text counts for the list or table that they are in.
+PARTS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "td": ("table",), "th": ("table",), "caption": ("table",)}
 ARTICLE_TAGS = frozenset(("article", "main"))
 ARTICLE_CUES = frozenset("article articlebody maincontent postcontent entrycontent storybody".split())
 
@@ -78,7 +93,7 @@ def _declares(tag: str, raw: str, inside: bool) -> tuple[bool, bool, str]:
             for name in names:
                 words = [w for w in re.split(r"[-_:]+|(?<=[a-z])(?=[A-Z])", name) if w]
                 low = [w.lower() for w in words]
-                if low and low[0] not in ("has", "with", "no") and (low[0] in CUES or low[-1] in CUES):
+                if any(w in CUES for w in low) and all(w in CUES or w in PLAIN or w.isdigit() for w in low):
                     skip = True
                 if low and low[-1] == "header" and not inside:
                     skip = True
@@ -91,29 +106,62 @@ def _declares(tag: str, raw: str, inside: bool) -> tuple[bool, bool, str]:
     return skip, main and not skip, label
 
 
-def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
-    """(text, path, boilerplate, in article) of every block in page order, references decoded."""
-    out: list[tuple[str, str, bool, bool]] = []
-    # element: tag, path, boilerplate, in article, path of its block
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+class Block(NamedTuple):
+    text: str
+    path: int  # of the block's tag path, numbered by first appearance on the page
+    node: int  # that the block counts for: its list or table, or itself
+    skip: bool
+    article: bool
+    heading: bool
+    linked: int  # characters inside links
+
+
+def blocks(page: str) -> list[Block]:
+    """Every block in page order, references decoded. Time and memory are linear in the page."""
+    out: list[Block] = []
+    paths: dict[tuple[int, str], int] = {}
+    # element: tag, path, node, boilerplate, in article
+    stack: list[tuple[str, int, int, bool, bool]] = [("", 0, 0, False, False)]
+    opened: Counter[str] = Counter()
     buffer: list[str] = []
-    at, end = 0, len(page)
+    links = linked = nodes = 0
+    at, end, last = 0, len(page), page.rfind(">")
+
+    def push(tag: str, path: int, node: int, skip: bool, article: bool) -> None:
+        stack.append((tag, path, node, skip, article))
+        opened[tag] += 1
+
+    def cut(i: int) -> None:
+        for e in stack[i:]:
+            opened[e[0]] -= 1
+        del stack[i:]
 
     def flush() -> None:
+        nonlocal linked, nodes
         if buffer:
             text = _SPACE.sub(" ", unescape("".join(buffer))).strip()
             buffer.clear()
             if text:
-                _, path, skip, main = stack[-1]
-                out.append((text, path, skip, main))
+                if stack[-1][0] == "head":  # text ends the head
+                    cut(len(stack) - 1)
+                tag, path, node, skip, article = stack[-1]
+                nodes += 1
+                out.append(Block(text, path, node or -nodes, skip, article, tag in HEADINGS, min(linked, len(text))))
+        linked = 0
 
     while at < end:
         lt = page.find("<", at)
         if lt < 0:
-            buffer.append(page[at:])
-            break
+            lt = end
         if lt > at:
             buffer.append(page[at:lt])
+            if links:
+                linked += lt - at
+        if lt == end:
+            break
+        if lt > last:  # nothing closes a tag from here on
+            buffer.append(page[lt:])
+            break
         m = _TAG.match(page, lt) or _BARE.match(page, lt)
         if m is None:
             buffer.append("<")
@@ -128,7 +176,7 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
             continue
         tag, closing = m[2].lower(), bool(m[1])
         if not closing and tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            close = _closing(tag).search(page, at)
             at = end if close is None else close.end()
             gt = page.find(">", at)
             at = end if gt < 0 else gt + 1
@@ -136,70 +184,98 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
         if tag == "br":
             buffer.append(" ")
             continue
+        if tag == "a":
+            links = 0 if closing else 1
         if tag in INLINE:
-            if not closing:
-                skip, _, _ = _declares(tag, m[3], stack[-1][3]) if m[3] else (False, False, "")
-                if not skip:
+            if closing:
+                if not opened[tag]:
                     continue
-                # an inline element that is boilerplate is set apart
-            elif not any(x[0] == tag for x in stack[-8:]):
+            elif not opened[tag] and not (m[3] and _declares(tag, m[3], stack[-1][4])[0]):
                 continue
+            # an inline element that is boilerplate is set apart, with those of its name inside it
         flush()
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if opened[tag]:
+                cut(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
             continue
-        if tag in CLOSES_P:
+        if stack[-1][0] == "head" and tag not in HEAD_TAGS:  # its end tag may be left out
+            cut(len(stack) - 1)
+        if tag in CLOSES_P and opened["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == "p":
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i][0] in ("table", "td", "button", "object"):
                     break
         if tag in SIBLINGS:
             same, scope = SIBLINGS[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in same:
-                    del stack[i:]
-                    break
-                if stack[i][0] in scope:
-                    break
+            if any(opened[t] for t in same):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i][0] in same:
+                        cut(i)
+                        break
+                    if stack[i][0] in scope:
+                        break
         if tag in VOID or m[3].endswith("/") and tag not in CLOSES_P:
             continue
-        _, path, skipped, inside = stack[-1]
-        skip, main, label = _declares(tag, m[3], inside)
-        deep = len(stack) > 200  # paths of absurdly deep pages stay short
-        stack.append((tag, path if deep else f"{path}/{tag}{label}", skipped or skip, inside or main))
+        _, path, node, skipped, inside = stack[-1]
+        skip, article, label = _declares(tag, m[3], inside)
+        if tag in ("ul", "ol", "menu", "dl", "table"):
+            nodes += 1
+            node = nodes
+        elif tag in INLINE or tag in ("tr", "tbody", "thead", "tfoot") or tag in PARTS and node:
+            pass
+        else:
+            node = 0
+        if not (node and (tag in PARTS or tag in ("tr", "tbody", "thead", "tfoot"))) and tag not in INLINE:
+            path = paths.setdefault((path, tag + label), len(paths) + 1)
+        push(tag, path, node, skipped or skip, inside or article)
     flush()
     return out
 
 
-def select(page: str, spread: float = 0.5, radius: int = 2) -> list[str]:
-    """Texts of the content blocks of a page, by tag-path ratios."""
-    all_blocks = [b for b in blocks(page) if not b[2]]
-    if not all_blocks:
+@lru_cache(maxsize=64)
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])", re.I)
+
+
+def select(page: str, spread: float = 0.55, radius: int = 2, trust: float = 1.0) -> list[str]:
+    """Texts of the content blocks of a page, by tag-path ratios.
+
+    ``trust`` scales the bonus of declared articles; with 0 the ratios stand alone.
+    """
+    every = [b for b in blocks(page) if not b.skip]
+    n = len(every)
+    if not n:
         return []
-    names: dict[str, int] = {}
-    path = np.fromiter((names.setdefault(b[1], len(names)) for b in all_blocks), np.int64, len(all_blocks))
-    length = np.fromiter((len(b[0]) for b in all_blocks), np.float64, len(all_blocks))
-    punct = np.fromiter((len(_PUNCT.findall(b[0])) for b in all_blocks), np.float64, len(all_blocks))
-    nodes = np.bincount(path)
+    names: dict[int, int] = {}
+    path = np.fromiter((names.setdefault(b.path, len(names)) for b in every), np.int64, n)
+    length = np.fromiter((len(b.text) - b.linked for b in every), np.float64, n)
+    punct = np.fromiter((len(_PUNCT.findall(b.text)) if b.linked < len(b.text) else 0 for b in every), np.float64, n)
+    nodes = np.bincount([names[p] for p, _ in {(b.path, b.node) for b in every}])
     fused = np.log1p(np.bincount(path, length) / nodes) * (1 + np.bincount(path, punct) / nodes)
+    unit = np.cumsum([k > 0 and b.node != every[k - 1].node for k, b in enumerate(every)])
+    first = np.flatnonzero(np.diff(unit, prepend=-1))  # the page as a sequence of nodes
+    m = len(first)
     kernel = np.exp(-0.5 * (np.arange(-radius, radius + 1) / (radius / 2)) ** 2)
-    weight = np.convolve(np.ones(len(path)), kernel, "full")[radius : radius + len(path)]
-
-    def smoothed() -> tuple[np.ndarray, float]:
-        smooth = np.convolve(fused[path], kernel, "full")[radius : radius + len(path)] / weight
-        return smooth, spread * (smooth.mean() + smooth.std()) if smooth.std() > 0 else 0.0
-
-    smooth, threshold = smoothed()
-    flagged = np.bincount(path, np.fromiter((b[3] for b in all_blocks), np.float64, len(all_blocks))) / nodes
-    if flagged.any():  # teasers and summaries may be declared articles too: the ratios say how far to trust it
-        fused = fused + flagged * threshold * max(0.0, 2 * fused[flagged > 0].max() / fused.max() - 1)
-        smooth, threshold = smoothed()
-    return [b[0] for b, s in zip(all_blocks, smooth) if s >= threshold]
+    weight = np.convolve(np.ones(m), kernel, "full")[radius : radius + m]
+    headings = [k for k in range(m - 2, -1, -1) if every[first[k]].heading]
+
+    def smoothed() -> tuple[np.ndarray, np.ndarray, float]:
+        own = fused[path[first]]
+        for k in headings:  # from the last, so that a heading of a heading sees what is below both
+            own[k] = max(own[k], (own[k] + own[k + 1]) / 2)
+        smooth = np.convolve(own, kernel, "full")[radius : radius + m] / weight
+        return own, smooth, spread * (smooth.mean() + smooth.std()) if smooth.std() > 0 else 0.0
+
+    own, smooth, threshold = smoothed()
+    flagged = np.bincount(path, np.fromiter((b.article for b in every), np.float64, n)) / np.bincount(path)
+    if trust and flagged.any():  # teasers and summaries may be declared articles too: the ratios say how far to trust it
+        fused = fused + trust * flagged * (fused > 0) * threshold * max(0.0, 2 * fused[flagged > 0].max() / max(fused.max(), 1e-9) - 1)
+        own, smooth, threshold = smoothed()
+    # smoothing brings in what stands between content; what has next to no ratio of its own stays out
+    kept = (smooth >= threshold) & (own > 0.05 * threshold)
+    return [b.text for b, k in zip(every, unit.tolist()) if kept[k]]
 
 
 def extract(pages: DataFrame) -> DataFrame:
