@@ -7,7 +7,8 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _MADE: list[tuple[SparkSession, str]] = []
 
@@ -17,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is named (tests)."""
+    """The folder that all executors share; a temporary one only where none is named and there is one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = getattr(spark, "_rostrum_scratch", None)
         if not named:
             named = spark._rostrum_scratch = "file://" + tempfile.mkdtemp(prefix="rostrum-")
@@ -32,17 +36,32 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/rostrum-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _MADE.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._rostrum_path = path
+    return out
 
 
-def drop_saved(df: DataFrame | None) -> None:
-    """Delete the files of a table made by :func:`saved` that no later step reads."""
-    if df is None:
-        return
-    for f in df.inputFiles()[:1]:
-        root = f.rsplit("/", 1)[0]
-        _delete(df.sparkSession, root)
-        _MADE[:] = [(s, p) for s, p in _MADE if not root.endswith(p.rsplit("/", 1)[1])]
+def drop_saved(*tables: DataFrame | None) -> None:
+    """Delete the files of tables made by :func:`saved` that no later step reads; others are left alone."""
+    gone = {p for df in tables if df is not None and (p := getattr(df, "_rostrum_path", None))}
+    _drop([(s, p) for s, p in _MADE if p in gone])
+
+
+def made_so_far() -> int:
+    """A mark for :func:`drop_since`."""
+    return len(_MADE)
+
+
+def drop_since(mark: int, *keep: DataFrame) -> None:
+    """Delete what :func:`saved` has made since ``mark``, but for ``keep``: steps whose result is saved need it no more."""
+    kept = {getattr(df, "_rostrum_path", None) for df in keep}
+    _drop([(s, p) for s, p in _MADE[mark:] if p not in kept])
+
+
+def _drop(entries: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in entries:
+        _delete(spark, path)
+        _MADE.remove((spark, path))
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -60,6 +79,28 @@ def _clean() -> None:
             return
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, led by as many underscores as it takes for no column of ``df`` to have it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def beside_key(rows: DataFrame, key: str, by: list[str], aggregates: dict[str, Column], where: str = "true") -> DataFrame:
+    """``rows`` with ``aggregates`` of their key, for keys that meet ``where``; no task has all rows of a key.
+
+    The aggregates are combined before their shuffle. For the join rows are dealt by the hash of their
+    ``by`` columns into 64 salts, and a key's aggregates get one row for each salt that the key's rows
+    hold, so that there are never more of those than rows.
+    """
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(64)).cast("int"))
+    held = F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")
+    per_key = dealt.groupBy(key).agg(held, *(c.alias(name) for name, c in aggregates.items())).where(where)
+    per_salt = per_key.withColumn("salt", F.explode(F.expr("filter(sequence(0, 63), i -> getbit(salts, i) = 1)")))
+    return dealt.join(per_salt.drop("salts"), [key, "salt"]).drop("salt")
+
+
 U = np.uint64
 
 

@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_saved, saved
+from .common import beside_key, drop_saved, saved
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with the least of u and its neighbours as m."""
+    return beside_key(edges, "u", ["v"], {"m": F.least("u", F.min("v"))})
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) edges of longs to (node, comp): every node with an edge and the smallest node it reaches.
 
     Loops and repeated edges are ignored; no edges give no rows. Hot nodes are pre-aggregated
-    before each shuffle and the joins may be split by adaptive execution.
+    before each shuffle and salted in the joins.
     """
     now = saved(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -27,11 +32,9 @@ def components(edges: DataFrame) -> DataFrame:
                 now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
             )
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            low.select("u", F.col("m").alias("v"))
+        large = _least(both).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _least(large).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+            large.groupBy("u").agg(F.min("v").alias("v"))
         )
         then = saved(small.where("u <> v").distinct())
         drop_saved(now)

@@ -9,7 +9,7 @@ representative takes part. In rounds, every bucket draws a centre, and each repr
 centres of other components with which it shares most buckets; what links becomes one component. Once
 few pairs are left for the bucket members (or after ``most_rounds``), every pair of different
 components in a bucket whose set sizes and parity marks allow the threshold is tried, so no link that joins
-two components is lost.
+two components is lost; a bucket is dealt into blocks for that, so that no task has a large bucket.
 """
 
 from __future__ import annotations
@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, WordHashes, mix, saved, shingle_set, word_hashes
+from .common import U, WordHashes, beside_key, drop_saved, drop_since, made_so_far, mix, saved, shingle_set, word_hashes
 from .components import components
 
 #: Cells of the parity marks (2**11, so that the high 11 bits of a hash name one).
 MARKS = 2048
-SIG_SCHEMA = "doc_id long, n_shingles long, set_hash binary, sig binary, bands array<long>"
+#: Nodes of rows without a doc_id are numbered from here; doc_ids are smaller.
+NAMELESS = 2**62
+SIG_SCHEMA = "doc_id long, node long, text_hash long, n_shingles long, set_hash binary, sig binary, bands array<long>"
 
 
 def _multipliers(n: int, seed: int) -> np.ndarray:
@@ -49,8 +51,8 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int, seed: int) ->
         a, memo = _multipliers(bands * rows, seed), WordHashes()
         place = (np.arange(bands, dtype=np.uint64) + U(1)) * U(0x9E3779B97F4A7C15)
         for batch in batches:
-            ids, n, sets, sigs, keys, at = batch.column(0), [], [], [], [], [0]
-            for text in batch.column(1):
+            ids, n, sets, sigs, keys, at = batch.columns[:3], [], [], [], [], [0]
+            for text in batch.column(3):
                 s = shingle_set(word_hashes(text.as_py(), memo), width)
                 n.append(len(s))
                 if not len(s):
@@ -68,12 +70,19 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int, seed: int) ->
                 at.append(at[-1] + bands)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary()),
+                [*ids, pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary()),
                  pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))],
-                names=["doc_id", "n_shingles", "set_hash", "sig", "bands"],
+                names=["doc_id", "node", "text_hash", "n_shingles", "set_hash", "sig", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIG_SCHEMA)
+    return _noded(docs).mapInArrow(run, SIG_SCHEMA)
+
+
+def _noded(docs: DataFrame) -> DataFrame:
+    """doc_id, node (doc_id, or a number of the text where that is null), text_hash and text."""
+    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    nameless = F.lit(NAMELESS) + F.pmod(F.xxhash64("text", F.lit(1)), F.lit(NAMELESS))
+    return given.select("doc_id", F.coalesce("doc_id", nameless).alias("node"), F.xxhash64("text").alias("text_hash"), "text")
 
 
 def least_matches(total: int, batch: int, threshold: float, miss: float) -> list[int]:
@@ -94,7 +103,7 @@ def least_matches(total: int, batch: int, threshold: float, miss: float) -> list
 
 
 def _sets(docs: DataFrame, sigs: DataFrame, width: int) -> DataFrame:
-    """Signature and full shingle set (sorted 64-bit hashes) of the documents in ``sigs`` (doc_id, sig)."""
+    """Signature and full shingle set (sorted 64-bit hashes) of the texts in ``sigs`` (node, text_hash, sig)."""
 
     def run(batches):
         memo = WordHashes()
@@ -104,11 +113,12 @@ def _sets(docs: DataFrame, sigs: DataFrame, width: int) -> DataFrame:
             at = pa.array(range(0, len(bits) + 1, MARKS // 64), pa.int32())
             hashes = pa.array([s.tobytes() for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), hashes, pa.ListArray.from_arrays(at, pa.array(bits))], names=["doc_id", "sig", "hashes", "marks"]
+                [b.column(0), b.column(1), hashes, pa.ListArray.from_arrays(at, pa.array(bits))], names=["node", "sig", "hashes", "marks"]
             )
 
-    named = sigs.join(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id")
-    return named.select("doc_id", "sig", "text").mapInArrow(run, "doc_id long, sig binary, hashes binary, marks array<long>")
+    texts = _noded(docs).select("node", "text_hash", "text")
+    named = sigs.join(texts, ["node", "text_hash"]).dropDuplicates(["node", "text_hash"])
+    return named.select("node", "sig", "text").mapInArrow(run, "node long, sig binary, hashes binary, marks array<long>")
 
 
 def _parities(s: np.ndarray) -> np.ndarray:
@@ -142,7 +152,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, hashes: int, batch: int, percen
             kept = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(kept), b.column(1).take(kept)], names=["a", "b"])
 
-    sides = [sets.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("hashes").alias(f"hashes_{c}")) for c in "ab"]
+    sides = [sets.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("hashes").alias(f"hashes_{c}")) for c in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sig_a", "sig_b", "hashes_a", "hashes_b")
     return both.mapInArrow(run, "a long, b long")
 
@@ -150,8 +160,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, hashes: int, batch: int, percen
 def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
     """Members with their components, of the buckets that hold more than one component."""
     placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    return saved(placed.join(mixed, "key", "left_semi").select("key", "rep", "n", "comp"))
+    ends = {"lo": F.min("comp"), "hi": F.max("comp")}
+    return saved(beside_key(placed, "key", ["rep"], ends, "lo < hi").select("key", "rep", "n", "comp"))
+
+
+#: Members of a bucket that one task compares with so many others.
+BLOCK = 512
+
+
+def _pairs(placed: DataFrame, marked: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in a bucket whose sizes and parity marks allow the threshold.
+
+    A bucket of k blocks is dealt to k * k groups; each member goes to the groups of its block.
+    """
+    sized = beside_key(placed, "key", ["rep"], {"blocks": F.ceil(F.count("*") / BLOCK)}).join(marked, "rep")
+    own = F.expr("pmod(xxhash64(rep), blocks)")
+    x = sized.select("*", own.alias("bx"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("by")).alias("x")
+    y = sized.select(
+        "key", "rep", F.col("n").alias("m"), "comp", "marks", own.alias("by"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("bx")
+    ).alias("y")
+    apart = "aggregate(zip_with(x.marks, y.marks, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
+    fits = f"100 * n >= {percent} * m and 100 * m >= {percent} * n and {100 + percent} * {apart} <= {100 - percent} * (n + m)"
+    both = x.join(y, F.expr(f"x.key = y.key and x.bx = y.bx and x.by = y.by and x.comp < y.comp and {fits}"))
+    return both.selectExpr("x.rep as a", "y.rep as b").distinct()
 
 
 def near_duplicates(
@@ -160,22 +191,26 @@ def near_duplicates(
 ) -> DataFrame:
     """Groups of documents linked by ``100 * |A & B| >= percent * |A | B|`` over ``width``-word shingles.
 
-    Returns doc_id, n_shingles, component_id (smallest doc_id reachable), kept, one row per input row.
-    Banding misses a pair at the threshold with probability (1 - 0.8**rows)**bands (5e-8 here). Words are
-    runs without ASCII white space, A-Z lower-cased. Null, empty or blank texts have no shingles and stand
-    alone. Copies share a component. Rows that repeat a doc_id count as one document; a null doc_id stands
-    for itself. An empty table gives no rows. Other columns of ``docs`` are not read.
+    Returns doc_id, n_shingles, component_id (smallest doc_id reachable), kept and text_hash (xxhash64 of
+    the text), one row per input row. Banding misses a pair at the threshold with probability
+    (1 - 0.8**rows)**bands (5e-8 here). Words are runs without ASCII white space, A-Z lower-cased. Null,
+    empty or blank texts have no shingles and stand alone. Copies share a component. Equal rows count as
+    one document. Rows that repeat a doc_id with other texts link by their own texts each, and are one node
+    where the doc_id is the smallest of both texts' copies. A row without a doc_id links by its text and is
+    kept if no document of its group has a doc_id and its text stands for the group. doc_ids are below
+    2**62. An empty table gives no rows. Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
     sig = saved(signatures(docs, width, bands, rows, seed))
-    classes = sig.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
-    chosen = classes.where("rep is not null").select(F.col("rep").alias("doc_id"), F.col("set_hash").alias("own"))
-    reps = sig.join(chosen, "doc_id").where("set_hash = own")
-    members = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
-    shared = members.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
-    members = saved(members.join(shared, "key", "left_semi"))
-    shared = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = saved(_sets(docs, reps.select("doc_id", "sig").join(shared, "doc_id", "left_semi"), width))
+    mark = made_so_far()
+    classes = sig.where("n_shingles > 0").groupBy("set_hash").agg(F.min("node").alias("rep"))
+    chosen = classes.select(F.col("rep").alias("node"), F.col("set_hash").alias("own"))
+    reps = sig.drop("doc_id").join(chosen, "node").where("set_hash = own").dropDuplicates(["node", "set_hash"])
+    members = reps.select(F.explode("bands").alias("key"), F.col("node").alias("rep"), F.col("n_shingles").alias("n"))
+    ends = {"lo": F.min("rep"), "hi": F.max("rep")}
+    members = saved(beside_key(members, "key", ["rep"], ends, "lo < hi").select("key", "rep", "n"))
+    shared = members.select(F.col("rep").alias("node")).distinct()
+    sets = saved(_sets(docs, reps.select("node", "text_hash", "sig").join(shared, "node", "left_semi"), width))
 
     def verified(pairs: DataFrame) -> DataFrame:
         return saved(_verified(pairs, sets, bands * rows, batch, percent, miss))
@@ -191,27 +226,23 @@ def near_duplicates(
             if (open_[0] or 0) <= 2 * (open_[1] or 0):  # few pairs are left for the bucket members
                 break
         draw = F.struct(F.xxhash64("rep", "key", F.lit(round_)).alias("h"), F.col("rep").alias("centre"), F.col("n").alias("m"), F.col("comp").alias("other"))
-        centres = placed.groupBy("key").agg(F.min(draw).alias("c")).select("key", "c.centre", "c.m", "c.other")
-        tries = placed.join(centres, "key").where("comp <> other").where(fits).groupBy("rep", "centre").agg(F.count("*").alias("k"))
+        drawn = beside_key(placed, "key", ["rep"], {"c": F.min(draw)}).select("rep", "comp", "n", "c.centre", "c.m", "c.other")
+        tries = drawn.where("comp <> other").where(fits).groupBy("rep", "centre").agg(F.count("*").alias("k"))
         best = F.slice(F.sort_array(F.collect_list(F.struct("k", "centre")), False), 1, per_round)  # at most ``bands`` to sort
         tries = tries.groupBy("rep").agg(best.alias("best")).select(F.col("rep").alias("a"), F.explode("best.centre").alias("b"))
         links = verified(tries)
+        before = found, placed
         found = saved(components(links.unionByName(found.select(F.col("node").alias("a"), F.col("comp").alias("b")))))
         placed = _mixed(members, found)
-
-    placed = placed.join(sets.select(F.col("doc_id").alias("rep"), "marks"), "rep")
-    x, y = placed.alias("x"), placed.select("key", "rep", F.col("n").alias("m"), "comp", "marks").alias("y")
-    apart = "aggregate(zip_with(x.marks, y.marks, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
-    fits = f"{fits} and {100 + percent} * {apart} <= {100 - percent} * (n + m)"
-    rest = x.join(y, F.expr(f"x.key = y.key and x.comp < y.comp and {fits}"))
-    links = verified(rest.selectExpr("x.rep as a", "y.rep as b").distinct())
-    found = components(links.unionByName(found.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
-
-    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "set_hash", F.coalesce("comp", "rep").alias("component_id")
-    )
-    some = sig.where("n_shingles > 0").select("doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")
-    none = sig.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = some.select("doc_id", "n_shingles", "component_id").unionByName(none)
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        drop_saved(links, *before)
+
+    links = verified(_pairs(placed, sets.select(F.col("node").alias("rep"), "marks"), percent))
+    found = saved(components(links.unionByName(found.select(F.col("node").alias("a"), F.col("comp").alias("b")))))
+    drop_since(mark, found)
+
+    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("comp", "rep").alias("comp"))
+    some = sig.where("n_shingles > 0").join(named, "set_hash", "left")
+    none = sig.where("n_shingles = 0").withColumn("comp", F.col("node"))
+    out = some.select(*none.columns).unionByName(none)
+    named_comp = F.when(F.col("doc_id").isNotNull() & (F.col("comp") < NAMELESS), F.col("comp"))
+    return out.select("doc_id", "n_shingles", named_comp.alias("component_id"), (F.col("node") == F.col("comp")).alias("kept"), "text_hash")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rostrum.llm import fingerprint, html, langid, packing, pii, quality, queries, sharding, tokencount
+from rostrum.llm import fingerprint, html, langid, neardup, packing, pii, quality, queries, sharding, tokencount
 from rostrum.llm.decontaminate import decontaminate
 from rostrum.llm.neardup import least_matches, near_duplicates
 
@@ -74,7 +74,7 @@ def test_near_duplicates(docs, odd, empty, width):
         assert len(got) == table.count()
         for r in got:
             if r.doc_id is None:
-                assert r.component_id is None and r.kept
+                assert r.component_id is None and r.kept  # its text is in no group
             else:
                 assert (r.n_shingles, r.component_id, r.kept) == (*want[r.doc_id], want[r.doc_id][1] == r.doc_id)
     assert near_duplicates(empty, width).count() == 0
@@ -94,6 +94,28 @@ def test_near_duplicates_family(spark):
     assert got == {i: c for i, (_, c) in brute_groups(rows, 4).items()}
 
 
+def test_near_duplicates_odd_ids(spark):
+    """A doc_id with several texts links by each; rows without one are kept only for a group without doc_ids."""
+    a, b, c, d = ("a b c d e f g h i j k l m n o p", "q r s t u v w x y z", "one two three four five six", "seven eight nine ten eleven")
+    rows = [(7, a), (7, b), (9, a), (3, b), (3, b), (None, a), (None, c), (None, c), (None, c + "!"), (None, d), (5, d)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    texts = {r.x: r.text for r in spark.createDataFrame(rows, "doc_id long, text string").select("text", F.xxhash64("text").alias("x")).collect()}
+    seen = sorted((r.doc_id or 0, texts[r.text_hash], r.component_id, r.kept) for r in got)
+    want = [(7, a, 7, True), (7, b, 3, False), (9, a, 7, False), (3, b, 3, True), (3, b, 3, True), (0, a, None, False)]
+    want += [(0, c, None, True), (0, c, None, True), (0, c + "!", None, True), (0, d, None, False), (5, d, 5, True)]
+    assert seen == sorted(want, key=lambda r: (r[0], r[1]))
+
+
+def test_near_duplicates_blocks(spark, monkeypatch):
+    """A bucket dealt into blocks gives the same pairs as one that is whole."""
+    placed = spark.createDataFrame([(1, i, 10, i // 2) for i in range(40)], "key long, rep long, n long, comp long")
+    marked = spark.createDataFrame([(i, [0] * 32) for i in range(40)], "rep long, marks array<long>")
+    whole = {(r.a, r.b) for r in neardup._pairs(placed, marked, 80).collect()}
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    assert {(r.a, r.b) for r in neardup._pairs(placed, marked, 80).collect()} == whole
+    assert whole == {(i, j) for i in range(40) for j in range(40) if i // 2 < j // 2}
+
+
 def test_least_matches():
     need = least_matches(64, 32, 0.8, 1e-6)
     assert 0 < need[0] < 0.8 * 32 and need[0] < need[1] < 0.8 * 64
@@ -137,6 +159,48 @@ def test_html_ratios_decide():
     assert " ".join(html.select(page)).endswith(plain)
 
 
+def test_html_ratios_alone():
+    """On whole pages the ratios without the bonus of declared articles give the article."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column(0).to_pylist()
+    for page in pages:
+        inner = page[page.index("<article>") : page.index("</article>")]
+        want = re.sub(r"\s+", " ", __import__("html").unescape(re.sub(r"</?(?:h1|p|br|article|b)\b[^>]*>", " ", inner))).strip()
+        assert re.sub(r"\s+", " ", " ".join(html.select(page, trust=0.0))) == want
+
+
+def test_html_plain_cases():
+    select = lambda page: " ".join(html.select(page))
+    # the head may lack its end tag
+    assert select("<html><head><title>x</title><body><p>Main text, here.</p>") == "Main text, here."
+    assert select("<html><head><title>x</title><p>Main text, here.</p>") == "Main text, here."
+    # names that only hold a cue are content, whole names are not
+    page = "<article><div class='notice-of-appeal'><p>A notice, given.</p></div><p class=search-history>Searched, often.</p><div class='site-cookie-banner'>No, thanks.</div><p>More, too.</p></article>"
+    assert select(page) == "A notice, given. Searched, often. More, too."
+    # short cells belong to their table
+    rows = "".join(f"<tr><td>{y}</td><td>{y % 7}</td></tr>" for y in range(2001, 2009))
+    page = f"<body><p>The table below, as told, gives all numbers.</p><table>{rows}</table><p>So it is, in the end, clear enough.</p></body>"
+    assert select(page).count("200") == 8
+    # depth and unclosed elements change nothing, and take linear time
+    assert select("<div>" * 60_000 + "deep, text.") == "deep, text."
+    deep = "<div>" * 300 + "<p>Some text, told here, at length.</p><ul><li><a>x</a></li></ul>" + "</div>" * 300
+    assert select(deep) == "Some text, told here, at length."
+    assert select("<span class=share>" * 9 + "<span>go</span> on" + "</span>" * 9 + "<p>Text, here.</p>") == "Text, here."
+    assert len(html.select("<p" * 200_000)) == 1
+
+
+def test_html_table(spark):
+    """Repeated rows stay, other columns are not read, an empty table gives none; op1 is the operator on pages."""
+    rows = [(1, "u", "<p>Text, here.</p>", 5), (1, "u", "<p>Text, here.</p>", 5), (None, None, None, None)]
+    given = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    assert sorted((r.text, r.n_chars) for r in html.extract(given).collect()) == [("", 0), ("Text, here.", 11), ("Text, here.", 11)]
+    assert html.extract(given.limit(0)).count() == 0
+    got = queries.op1_html_extraction(spark, DIR)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted(got.collect()) == sorted(html.extract(spark.read.parquet(f"{DIR}/pages.parquet")).collect())
+
+
 def test_html_whole_table(spark):
     pages = spark.read.parquet(f"{DIR}/pages.parquet")
     for r in pages.join(html.extract(pages).select("page_id", "text"), "page_id").collect():
