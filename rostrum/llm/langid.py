@@ -1,9 +1,9 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter has a random bipolar vector. A letter n-gram is the elementwise product of its letters'
-vectors, each rotated by its place (binding permuted letters). A document is the sum of its n-gram
-vectors, a language prototype the sum of its normalised training documents; documents go to the
-prototype with the largest cosine.
+Every letter has a random bipolar vector, drawn from its code point. A letter n-gram is the elementwise
+product of its letters' vectors, each rotated by its place (binding permuted letters). A document is the
+sum of its n-gram vectors, a language prototype the sum of its normalised training documents; documents go
+to the prototype with the largest cosine.
 """
 
 from __future__ import annotations
@@ -12,71 +12,83 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRAM = 3
-#: Letter codes: 0 for a boundary, 1 to 26 for a to z, the rest shared by all other letters.
-CODES = 128
 DIM = 1024
+_POINT = 21  # bits of a code point
 
 
 @lru_cache(maxsize=1)
-def _letter_codes() -> np.ndarray:
-    """Code of every code point; upper case has the code of its lower case, non-letters have 0."""
-    out = np.zeros(0x110000, np.uint8)
+def _letters() -> np.ndarray:
+    """Lower case of every code point that is a letter; 0 for others."""
+    out = np.zeros(0x110000, np.int64)
     for cp in range(0x110000):
         c = chr(cp)
         if c.isalpha():
-            low = ord(c.lower()[0])
-            out[cp] = low - 96 if 97 <= low <= 122 else 27 + low % (CODES - 27)
+            out[cp] = ord(c.lower()[0])
     return out
 
 
 class Encoder:
-    """Texts to distinct n-gram codes with counts, and codes to bound vectors (both cached per task)."""
+    """Texts to distinct n-grams with counts, and n-grams to bound vectors (kept by task, up to a bound)."""
 
-    def __init__(self, seed: int, dim: int = DIM):
-        self.codes = _letter_codes()
-        letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (CODES, dim))
-        self.rotated = [np.roll(letters, GRAM - 1 - k, axis=1) for k in range(GRAM)]
-        self.place = np.full(CODES**GRAM, -1, np.int32)
+    def __init__(self, seed: int, dim: int = DIM, most: int = 40_000):
+        self.fold, self.seed, self.dim, self.most = _letters(), seed, dim, most
+        self.letters: dict[int, np.ndarray] = {}
+        self.place: dict[int, int] = {}
         self.vectors = np.zeros((1024, dim), np.int8)
-        self.used = 0
+
+    def letter(self, point: int) -> np.ndarray:
+        """The vector of a code point (0: the boundary); no two letters share one."""
+        if point not in self.letters:
+            if len(self.letters) >= 4096:
+                self.letters.clear()
+            self.letters[point] = np.random.default_rng([self.seed, point]).choice(np.array([-1, 1], np.int8), self.dim)
+        return self.letters[point]
 
     def grams(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct n-gram codes and their counts; runs of non-letters are one boundary."""
+        """Distinct n-grams and their counts; runs of non-letters are one boundary."""
         none = np.zeros(0, np.int64)
         if not text:
             return none, none
-        c = self.codes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        c = self.fold[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
         if not c.any():
             return none, none
-        c = np.concatenate(([0], c, [0])).astype(np.int32)
+        c = np.concatenate(([0], c, [0]))
         c = c[np.concatenate(([True], (c[1:] != 0) | (c[:-1] != 0)))]
-        g = c[:-2] * (CODES * CODES) + c[1:-1] * CODES + c[2:]
-        return np.unique(g, return_counts=True)
+        return np.unique(c[:-2] << 2 * _POINT | c[1:-1] << _POINT | c[2:], return_counts=True)
 
     def bound(self, grams: np.ndarray) -> np.ndarray:
-        """The vectors of n-grams; new ones are bound once and kept, up to all CODES**GRAM of them."""
-        at = self.place[grams]
-        new = grams[at < 0]
+        """The vectors of n-grams; new ones are bound once and kept."""
+        get = self.place.get
+        at = np.fromiter((get(g, -1) for g in grams.tolist()), np.int64, len(grams))
+        new = np.flatnonzero(at < 0)
         if len(new):
-            while self.used + len(new) > len(self.vectors):
-                if self.used >= 40_000:  # start again rather than grow on
-                    self.place[:] = -1
-                    self.used, new = 0, grams
-                if self.used + len(new) > len(self.vectors):
-                    self.vectors = np.concatenate((self.vectors, np.zeros_like(self.vectors)))
-            made = self.rotated[0][new // (CODES * CODES)] * self.rotated[1][new // CODES % CODES] * self.rotated[2][new % CODES]
-            self.vectors[self.used : self.used + len(new)] = made
-            self.place[new] = np.arange(self.used, self.used + len(new))
-            self.used += len(new)
-            at = self.place[grams]
+            if len(self.place) + len(new) > self.most:  # start again rather than grow on
+                self.place.clear()
+                new = np.arange(len(grams))
+            used = len(self.place)
+            if used + len(new) > len(self.vectors):
+                room = max(2 * len(self.vectors), used + len(new))
+                more = np.zeros((room - used, self.dim), np.int8)
+                self.vectors = np.concatenate((self.vectors[:used], more))
+            made = np.ones((len(new), self.dim), np.int8)
+            for k in range(GRAM):
+                points, which = np.unique(grams[new] >> (GRAM - 1 - k) * _POINT & (1 << _POINT) - 1, return_inverse=True)
+                made *= np.array([np.roll(self.letter(p), GRAM - 1 - k) for p in points.tolist()])[which]
+            self.vectors[used : used + len(new)] = made
+            at[new] = np.arange(used, used + len(new))
+            self.place.update(zip(grams[new].tolist(), at[new].tolist()))
         return self.vectors[at]
 
     def document(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return counts.astype(np.float32) @ self.bound(grams).astype(np.float32)
+        """The sum of a text's n-gram vectors, a part of its distinct n-grams at a time."""
+        out = np.zeros(self.dim, np.float32)
+        for i in range(0, len(grams), 8192):
+            out += counts[i : i + 8192].astype(np.float32) @ self.bound(grams[i : i + 8192]).astype(np.float32)
+        return out
 
 
 def train(docs: DataFrame, seed: int = 5, most_languages: int = 2000) -> dict[str, np.ndarray]:
@@ -123,12 +135,13 @@ def train(docs: DataFrame, seed: int = 5, most_languages: int = 2000) -> dict[st
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], seed: int = 5) -> DataFrame:
-    """``docs`` without text, plus lang_pred and score (the cosine, at least 0; ``und`` has 0).
+    """``docs`` without text, plus lang_pred, score (the cosine, at least 0; ``und`` has 0) and n_grams (distinct ones).
 
     A null, empty or letterless text is ``und``; without any prototype all texts are. Ties go to the
-    first language in the order of names. Earlier lang_pred and score columns are replaced.
+    first language in the order of names. Rows that repeat stay; an empty table gives none. Earlier
+    columns of the added names are replaced, in any case of letters.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score", "n_grams")])
     rest = [c for c in docs.columns if c != "text"]
     langs = list(prototypes)
     matrix = np.array([prototypes[k] for k in langs], np.float32).reshape(len(langs), DIM)
@@ -137,9 +150,10 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], seed: int = 5) -
     def run(batches):
         enc, p = Encoder(seed), shared.value
         for b in batches:
-            names, scores = [], []
+            names, scores, sizes = [], [], []
             for text in b.column(len(rest)):
                 grams, counts = enc.grams(text.as_py())
+                sizes.append(len(grams))
                 v = enc.document(grams, counts) if len(grams) and langs else None
                 n = 0.0 if v is None else float(np.linalg.norm(v))
                 if not n:
@@ -149,14 +163,15 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], seed: int = 5) -
                 best = int(cos.argmax())
                 names.append(langs[best]), scores.append(min(1.0, max(0.0, float(cos[best]))))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[: len(rest)], pa.array(names), pa.array(scores)], names=[*rest, "lang_pred", "score"]
+                [*b.columns[: len(rest)], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())],
+                names=[*rest, "lang_pred", "score", "n_grams"],
             )
 
-    schema = docs.select(*rest).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*rest).schema.add("lang_pred", "string").add("score", "double").add("n_grams", "long")
     return docs.select(*rest, F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def held_out() -> F.col:
+def held_out() -> Column:
     """True where crc32 of the doc_id as text leaves 2 when divided by 4 (null ids are not held out)."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
@@ -165,3 +180,26 @@ def identify(docs: DataFrame, seed: int = 5) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row; learns from the rows that are not held out."""
     prototypes = train(docs.where(~held_out()), seed)
     return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), prototypes, seed)
+
+
+def likely(scored: DataFrame, langs: list[str], share: float = 0.5, quantile: float = 0.01) -> Column:
+    """Whether a text that :func:`predict` has scored is as like its language as that language's own texts are.
+
+    The limit is ``share`` of a low ``quantile`` of the scores of documents whose lang is the one predicted,
+    by language and by the power of two of their distinct n-grams, and never rises from longer to shorter
+    texts. Texts shorter than any with a known lang have no limit. ``scored`` has lang, lang_pred, score and
+    n_grams; a few rows a language come to the driver.
+    """
+    step = F.floor(F.log2(F.greatest("n_grams", F.lit(1)))).cast("int")
+    own = scored.where(F.col("lang") == F.col("lang_pred")).groupBy("lang", step.alias("step"))
+    rows = own.agg(F.percentile_approx("score", quantile, 10_000).alias("low")).where(F.col("lang").isin(langs)).collect()
+    limits: dict[str, list[float]] = {}
+    for r in sorted(rows, key=lambda r: -r.step):  # from the longest texts down, never rising
+        steps = limits.setdefault(r.lang, [0.0] * 64)
+        steps[r.step] = min([share * r.low, *(x for x in steps[r.step + 1 :] if x)])
+    for steps in limits.values():  # lengths that no known text has: as the next shorter ones
+        for k in range(1, 64):
+            steps[k] = steps[k] or steps[k - 1]
+    at = F.create_map(*[x for lang, steps in limits.items() for x in (F.lit(lang), F.array(*map(F.lit, steps)))]) if limits else None
+    below = F.lit(0.0) if at is None else F.coalesce(F.get(at[F.col("lang_pred")], step), F.lit(0.0))
+    return (F.col("lang_pred") != "und") & (F.col("score") >= below)

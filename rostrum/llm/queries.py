@@ -65,7 +65,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(spark, sf_dir, "documents"))
+    out = langid.identify(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
