@@ -8,6 +8,7 @@ empty. Only the low ``BITS`` bits of each bin are kept, so likeness corrects for
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +22,14 @@ BITS = 4
 WIDTH = 5
 
 
-def _probes(attempts: int = 64) -> np.ndarray:
-    """Bins to try for each empty bin, by attempt."""
-    i = np.arange(BINS * attempts, dtype=np.uint64)
+@lru_cache(maxsize=256)
+def _probes(part: int, attempts: int = 64) -> np.ndarray:
+    """Bins to try for each empty bin, for one part of the endless row of attempts."""
+    i = np.arange(part * attempts * BINS, (part + 1) * attempts * BINS, dtype=np.uint64)
     with np.errstate(over="ignore"):
         return (mix(i * U(0x9E3779B97F4A7C15) + U(1)) % U(BINS)).astype(np.int64).reshape(attempts, BINS)
 
 
-_PROBES = _probes()
-
-
 def fingerprint(shingles: np.ndarray) -> np.ndarray | None:
     """Low-order bits of the densified bins; None for the empty set."""
     if not len(shingles):
@@ -39,14 +38,17 @@ def fingerprint(shingles: np.ndarray) -> np.ndarray | None:
     np.minimum.at(low, (shingles >> U(56)).astype(np.int64), shingles & U(2**56 - 1))
     empty = low == np.iinfo(np.uint64).max
     if empty.any():
-        source = np.where(empty, -1, np.arange(BINS))
-        for probe in _PROBES:
-            open_ = source < 0
-            if not open_.any():
-                break
-            ok = open_ & ~empty[probe]
-            source[ok] = probe[ok]
-        source[source < 0] = int(np.flatnonzero(~empty)[0])
+        source = np.arange(BINS)
+        open_, part = np.flatnonzero(empty), 0
+        if len(open_) == BINS - 1:  # every attempt ends at the same bin
+            source[:] = np.flatnonzero(~empty)[0]
+            open_ = open_[:0]
+        while len(open_):  # each bin draws on by itself until it meets one that is not empty
+            probe = _probes(part)[:, open_]
+            ok = ~empty[probe]
+            found = ok.any(axis=0)
+            source[open_[found]] = probe[ok.argmax(axis=0)[found], np.flatnonzero(found)]
+            open_, part = open_[~found], part + 1
         low = low[source]
     return (mix(low) & U(2**BITS - 1)).astype(np.uint8)
 
@@ -94,6 +96,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
+def _pressed(batches):
+    """Texts as zstd frames: their exchange is the largest cost."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=1)
+    for b in batches:
+        made = [press.compress(x.as_py().encode("utf-8", "surrogatepass")) for x in b.column(2)]
+        yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(made, pa.binary())], names=["doc_id", "tie", "text"])
+
+
 def beside_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of the text with its second half replaced by the next document's head.
 
@@ -105,14 +117,17 @@ def beside_edits(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(_pressed, "doc_id long, tie long, text binary")
     order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
     dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     names = [k.split()[0] for k in _KINDS.split(", ")]
 
     def stream(batches):
+        import zstandard
         from pyspark import TaskContext
 
+        open_ = zstandard.ZstdDecompressor().decompress
+
         pid, memo, done, last, head = TaskContext.get().partitionId(), WordHashes(), [], None, None
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
 
@@ -123,7 +138,7 @@ def beside_edits(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                text = text.as_py()
+                text = open_(text.as_py()).decode("utf-8", "surrogatepass")
                 now = (doc, text, _of(text, memo))
                 if last is None:
                     head = text
