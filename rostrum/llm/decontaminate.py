@@ -8,6 +8,8 @@ words are removed from the text, and texts that are mostly benchmark are emptied
 from __future__ import annotations
 
 import re
+from array import array
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from .common import saved
+from .common import fresh, saved
 
 #: A-Z to a-z; bytes that are no word characters (below 0x80, other than 0-9 and a-z) to spaces.
 _FOLD = bytes(
@@ -30,72 +32,90 @@ def folded(text: str | None) -> bytes:
 
 
 class ItemAutomaton:
-    """Suffix automaton over the word ids of several items, with the items that own each window."""
+    """Suffix automaton over the word ids of several items, with the items that own each window.
+
+    Transitions are one table from (state, word) to state; states have no objects of their own.
+    """
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.window = window
         self.words: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        ends: list[tuple[int, int]] = []  # (state, item) at the last word of each window
+        self.next: dict[int, int] = {}  # state << 32 | word
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        # the words that lead out of a state, as a linked list: only copies of states need them
+        self._last, self._word, self._before = array("i", [-1]), array("i"), array("i")
         self.names = [name for name, _ in items]
-        spelled = [[self.words.setdefault(w, len(self.words)) for w in words] for _, words in items]
+        spelled = [array("i", [self.words.setdefault(w, len(self.words)) for w in words]) for _, words in items]
         for ids in spelled:
             last = 0
             for c in ids:
                 last = self._extend(last, c)
         self.shortest = min([window, *(len(x) for x in spelled if x)])
+        self.sizes = sorted({min(window, len(x)) for x in spelled if x})
+        #: state * (window + 1) + size of every whole window: the item that holds it, or a tuple of several.
+        self.owners: dict[int, int | tuple[int, ...]] = {}
         for item, ids in enumerate(spelled):
             state, length, size = 0, 0, min(window, len(ids))
             for c in ids:
                 state, length = self.step(state, length, c)
                 if length >= size and size:
-                    ends.append((self._at(state, size), item, size))
-        #: For each state that a whole window reaches: the window's size and the items that hold it.
-        self.owners: dict[tuple[int, int], set[int]] = {}
-        for state, item, size in ends:
-            self.owners.setdefault((state, size), set()).add(item)
-        self.sizes: dict[int, list[int]] = {}
-        for state, size in self.owners:
-            self.sizes.setdefault(state, []).append(size)
-        self._found: dict[int, list[tuple[int, frozenset[int]]]] = {}
+                    key = self._at(state, size) * (window + 1) + size
+                    have = self.owners.get(key)
+                    if have is None:
+                        self.owners[key] = item
+                    elif item not in (have if isinstance(have, tuple) else (have,)):
+                        self.owners[key] = (*(have if isinstance(have, tuple) else (have,)), item)
+        del self._last, self._word, self._before
+        self._found: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
+
+    def _state(self, length: int, link: int) -> int:
+        self.length.append(length)
+        self.link.append(link)
+        self._last.append(-1)
+        return len(self.length) - 1
+
+    def _lead(self, state: int, c: int, to: int) -> None:
+        key = state << 32 | c
+        if key not in self.next:
+            self._word.append(c)
+            self._before.append(self._last[state])
+            self._last[state] = len(self._word) - 1
+        self.next[key] = to
 
     def _extend(self, last: int, c: int) -> int:
         nxt, link, length = self.next, self.link, self.length
-        if c in nxt[last]:  # another item has been here
-            q = nxt[last][c]
+        q = nxt.get(last << 32 | c)
+        if q is not None:  # another item has been here
             return q if length[q] == length[last] + 1 else self._clone(last, c, q)
-        now = len(nxt)
-        nxt.append({})
-        length.append(length[last] + 1)
-        link.append(0)
+        now = self._state(length[last] + 1, 0)
         p = last
-        while p >= 0 and c not in nxt[p]:
-            nxt[p][c] = now
+        while p >= 0 and p << 32 | c not in nxt:
+            self._lead(p, c, now)
             p = link[p]
         if p >= 0:
-            q = nxt[p][c]
+            q = nxt[p << 32 | c]
             link[now] = q if length[q] == length[p] + 1 else self._clone(p, c, q)
         return now
 
     def _clone(self, p: int, c: int, q: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        twin = len(nxt)
-        nxt.append(dict(nxt[q]))
-        length.append(length[p] + 1)
-        link.append(link[q])
-        link[q] = twin
-        while p >= 0 and nxt[p].get(c) == q:
-            nxt[p][c] = twin
-            p = link[p]
+        twin = self._state(self.length[p] + 1, self.link[q])
+        at = self._last[q]
+        while at >= 0:
+            self._lead(twin, self._word[at], self.next[q << 32 | self._word[at]])
+            at = self._before[at]
+        self.link[q] = twin
+        while p >= 0 and self.next.get(p << 32 | c) == q:
+            self.next[p << 32 | c] = twin
+            p = self.link[p]
         return twin
 
     def step(self, state: int, length: int, c: int) -> tuple[int, int]:
         """The state and longest matching length after one more word."""
-        while state and c not in self.next[state]:
+        to = self.next.get(state << 32 | c)
+        while to is None and state:
             state = self.link[state]
             length = self.length[state]
-        to = self.next[state].get(c)
+            to = self.next.get(state << 32 | c)
         return (0, 0) if to is None else (to, length + 1)
 
     def _at(self, state: int, size: int) -> int:
@@ -104,14 +124,19 @@ class ItemAutomaton:
             state = self.link[state]
         return state
 
-    def windows(self, state: int) -> list[tuple[int, frozenset[int]]]:
+    def windows(self, state: int) -> list[tuple[int, tuple[int, ...]]]:
         """(size, items) of every whole window that is a suffix of the state's longest word run."""
         if state not in self._found:
+            if len(self._found) >= 50_000:  # start again rather than grow on
+                self._found.clear()
             out, s = [], state
             while s > 0:
-                out += [(size, frozenset(self.owners[s, size])) for size in self.sizes.get(s, ())]
+                for size in self.sizes:
+                    have = self.owners.get(s * (self.window + 1) + size)
+                    if have is not None:
+                        out.append((size, have if isinstance(have, tuple) else (have,)))
                 s = self.link[s]
-            self._found[state] = sorted(out, key=lambda x: x[0])
+            self._found[state] = sorted(out)
         return self._found[state]
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[int]]:
@@ -131,7 +156,7 @@ class ItemAutomaton:
                         if size > length:
                             break
                         hit[j - size + 1 : j + 1] = True
-                        items |= owners
+                        items.update(owners)
         return hit, items
 
 
@@ -152,7 +177,7 @@ def _cut(text: str, marks: np.ndarray, min_span: int, max_cover: float) -> str:
 
 def decontaminate(
     docs: DataFrame, items: DataFrame, window: int = 10, min_span: int = 1, max_cover: float = 0.5,
-    most_words: int = 2_000_000, keep_text: bool = True,
+    most_words: int = 600_000, keep_text: bool = True,
 ) -> DataFrame:
     """``docs`` plus n_words, n_hit, item_ids (sorted as strings) and clean (text without hit spans).
 
@@ -161,43 +186,59 @@ def decontaminate(
     least ``min_span`` hit words are cut out; a text of which more than ``max_cover`` is hit becomes
     empty. Without ``keep_text`` clean is null and no text leaves the tasks.
 
-    One automaton holds at most ``most_words`` item words (its size is bounded by that); a larger item
-    table is dealt into several automata, which the documents pass one after another, so nothing is
-    lost. Null text has no words and stays null. Items without words match nothing; items that repeat an
-    item_id count once. Columns of ``docs`` with the added names are replaced, others pass through.
+    One automaton holds about ``most_words`` item words (items are dealt by hash), which takes
+    about 240 MB in a Python worker and on the driver (0.4 kB a word, measured) and 27 MB to broadcast.
+    A larger item table is dealt into several automata: each but the last is one pass over the texts that
+    writes only the marks of hit texts, which the last pass joins by text, so nothing is lost. Null text
+    has no words and stays null. Items without words match nothing; items that repeat an item_id count
+    once. Rows of ``docs`` that repeat stay; an empty table gives none. Columns of ``docs`` with the added
+    names are replaced, others pass through.
     """
     spark = docs.sparkSession
-    docs = docs.drop("n_words", "n_hit", "item_ids", "clean")
-    count = F.udf(lambda t: len(folded(t).split()), "long")
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_words", "n_hit", "item_ids", "clean")])
     sized = items.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("text is not null and item_id is not null")
-    total = sized.agg(F.sum(count("text"))).first()[0] or 0
+    total = sized.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
     parts = max(1, -(-total // most_words))
-    hits = "_hits binary, _items array<string>"
-    for part in range(parts):
+
+    def automaton(part: int):
         own = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else sized
         rows = [(r.item_id, folded(r.text).split()) for r in own.orderBy("item_id", "text").toLocalIterator()]
-        automaton = spark.sparkContext.broadcast(ItemAutomaton(rows, window))
-        if part + 1 < parts:
-            docs = saved(_scanned(docs, automaton, lambda text, marks, items: (_packed(marks), items), hits))
-    wanted = "n_words long, n_hit long, item_ids array<string>, clean string"
+        return spark.sparkContext.broadcast(ItemAutomaton(rows, window))
+
+    marks, items_ = fresh(docs, "hits"), fresh(docs, "items")
+    if parts > 1:
+        key = fresh(docs, "text_key")
+        whole = F.sha2("text", 256)
+        texts = docs.select(F.col("text").cast("string").alias("text"))
+        found = [saved(_marked(texts, automaton(k)).select(whole.alias(key), "hits", "items").distinct()) for k in range(parts - 1)]
+        every = reduce(DataFrame.unionByName, found).groupBy(key)  # at most ``parts`` rows a text
+        every = every.agg(F.collect_list("hits").alias(marks), F.array_distinct(F.flatten(F.collect_list("items"))).alias(items_))
+        docs = docs.withColumn(key, whole).join(every, key, "left").drop(key)
+    return _scanned(docs, automaton(parts - 1), min_span, max_cover, keep_text, marks, items_)
 
-    def finish(text, marks, items):
-        n_hit = int(marks.sum())
-        clean = None if not keep_text else _cut(text, marks, min_span, max_cover) if n_hit else text
-        return len(marks), n_hit, items, clean
 
-    return _scanned(docs, automaton, finish, wanted, keep_text)
+def _marked(texts: DataFrame, automaton) -> DataFrame:
+    """text, hits (packed marks) and items of the texts that an automaton hits."""
 
+    def run(batches):
+        sam = automaton.value
+        for b in batches:
+            at, hits, items = [], [], []
+            for i, text in enumerate(b.column(0)):
+                hit, found = sam.scan(folded(text.as_py()).split())
+                if found:
+                    at.append(i), hits.append(np.packbits(hit).tobytes()), items.append(sorted(sam.names[k] for k in found))
+            rows = [b.column(0).take(pa.array(at, pa.int64())), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(rows, names=["text", "hits", "items"])
 
-def _packed(marks: np.ndarray) -> bytes | None:
-    return np.packbits(marks).tobytes() if marks.any() else None
+    return texts.mapInArrow(run, "text string, hits binary, items array<string>")
 
 
-def _scanned(docs: DataFrame, automaton, result, wanted: str, keep_text: bool = True) -> DataFrame:
-    """One pass over the texts; marks of an earlier automaton (_hits, _items) are merged in."""
+def _scanned(docs: DataFrame, automaton, min_span: int, max_cover: float, keep_text: bool, marks: str, items: str) -> DataFrame:
+    """The last pass; marks and items of earlier automata, if there are such columns, are merged in."""
     names = docs.columns
-    rest = [c for c in names if c not in ("_hits", "_items") and (keep_text or c != "text")]
-    kinds = StructType.fromDDL(wanted)
+    rest = [c for c in names if c not in (marks, items) and (keep_text or c != "text")]
+    kinds = StructType.fromDDL("n_words long, n_hit long, item_ids array<string>, clean string")
     out = StructType([*docs.select(*rest).schema, *kinds])
     arrow = [(f.name, to_arrow_type(f.dataType)) for f in kinds]
 
@@ -206,15 +247,16 @@ def _scanned(docs: DataFrame, automaton, result, wanted: str, keep_text: bool =
         for b in batches:
             col = dict(zip(names, b.columns))
             made = []
-            for i, text in enumerate(col["text"].to_pylist()):
+            for i, text in enumerate(x.as_py() for x in col["text"]):
                 hit, found = sam.scan(folded(text).split())
-                items = {sam.names[k] for k in found}
-                if "_hits" in col:
-                    before = col["_hits"][i].as_py()
-                    if before is not None:
+                owners = {sam.names[k] for k in found}
+                if marks in col:
+                    for before in col[marks][i].as_py() or ():
                         hit |= np.unpackbits(np.frombuffer(before, np.uint8), count=len(hit)).astype(bool)
-                    items |= set(col["_items"][i].as_py())
-                made.append(result(text, hit, sorted(items)))
+                    owners |= set(col[items][i].as_py() or ())
+                n_hit = int(hit.sum())
+                clean = None if not keep_text else _cut(text, hit, min_span, max_cover) if n_hit else text
+                made.append((len(hit), n_hit, sorted(owners), clean))
             added = [pa.array([m[k] for m in made], kind) for k, (_, kind) in enumerate(arrow)]
             yield pa.RecordBatch.from_arrays([col[c] for c in rest] + added, names=rest + [n for n, _ in arrow])
 

@@ -273,7 +273,11 @@ def test_decontaminate(spark, docs, odd, empty):
     sizes = {len(k) for k in windows}
     for given in (docs, odd):
         for most in (2_000_000, 700):
-            for r in decontaminate(given, table, most_words=most).collect():
+            clash = given.withColumn("hits", F.lit("x")).withColumn("_hits", F.lit(1)).withColumn("items", F.lit(2))
+            out = decontaminate(clash, table, most_words=most)
+            assert {"hits", "_hits", "items"} <= set(out.columns)
+            for r in out.collect():
+                assert (r["hits"], r["_hits"], r["items"]) == ("x", 1, 2)
                 w, hit, found = words(r.text), set(), set()
                 for size in sizes:
                     for k in range(len(w) - size + 1):
@@ -312,6 +316,24 @@ def test_fingerprints(spark, docs, odd, empty):
     assert fingerprint.beside_edits(empty).count() == 0
 
 
+def test_densification():
+    """Every empty bin draws by itself: sources are spread evenly over few bins, and follow the plain definition."""
+    for k in (1, 2, 5, 10, 60):
+        held = np.random.default_rng(k).permutation(fingerprint.BINS)[:k].astype(np.uint64)
+        shingles = (held << np.uint64(56)) | np.arange(k, dtype=np.uint64)
+        got = fingerprint.fingerprint(shingles)
+        values = (fingerprint.mix(np.arange(k, dtype=np.uint64)) & np.uint64(15)).astype(int)
+        by_bin = dict(zip(held.tolist(), values.tolist()))
+        for b in range(fingerprint.BINS):
+            at = attempt = b if b in by_bin else None
+            attempt = 0
+            while at is None:
+                with np.errstate(over="ignore"):
+                    probe = int(fingerprint.mix(np.array([attempt * fingerprint.BINS + b], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))[0] % np.uint64(256))
+                at, attempt = (probe if probe in by_bin else None), attempt + 1
+            assert got[b] == by_bin[at]
+
+
 def test_fingerprint_likeness():
     rng = np.random.default_rng(1)
     for share in (0.0, 0.3, 0.8, 1.0):
@@ -377,11 +399,43 @@ def test_language_id(spark, docs, odd, empty):
     # what is held out is not learnt from
     other = docs.withColumn("lang", F.when(langid.held_out(), F.lit("zz")).otherwise(F.col("lang")))
     assert {r.doc_id: r.lang_pred for r in langid.identify(other).collect()} == {i: r.lang_pred for i, r in got.items()}
+    assert queries.op8_language_id(spark, DIR).columns == ["doc_id", "held_out", "lang_pred", "score"]
     rows = langid.identify(odd).collect()
     assert len(rows) == len(ODD) and {r.doc_id for r in rows if r.lang_pred == "und"} == {1, 2, 5, 11}
     assert langid.identify(empty).count() == 0
 
 
+def test_language_letters_have_own_vectors():
+    enc = langid.Encoder(5)
+    points = [*range(0x4E00, 0x4E00 + 3000), *range(97, 123), 0x3B1, 0x430]
+    assert len({enc.letter(p).tobytes() for p in points}) == len(points)
+    # the cosine against a plain sum of bound vectors
+    text = "Été 東京 abc"
+    grams, counts = enc.grams(text)
+    folded = [0] + [ord(c.lower()) if c.isalpha() else 0 for c in text] + [0]
+    want = sum(np.roll(enc.letter(a), 2) * np.roll(enc.letter(b), 1) * enc.letter(c).astype(int) for a, b, c in zip(folded, folded[1:], folded[2:]))
+    assert (enc.document(grams, counts) == want).all()
+    small = langid.Encoder(5, most=50)  # what is kept is bounded, and changes nothing
+    for t in ("the cat sat on the mat", "der Hund und die Katze " * 5, "the cat sat on the mat"):
+        assert (small.document(*small.grams(t)) == enc.document(*enc.grams(t))).all()
+
+
+def test_language_dimensions(docs, monkeypatch):
+    """Accuracy on held-out documents by dimension: 1024 is enough for these languages."""
+    rows = [r for r in docs.collect() if r.text]
+    held = [zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows]
+    right = {}
+    for dim in (64, 1024):
+        enc, sums = langid.Encoder(5, dim), {}
+        made = [(enc.document(*g) if len((g := enc.grams(r.text))[0]) else None) for r in rows]
+        for r, v, h in zip(rows, made, held):
+            if not h and v is not None and r.lang:
+                sums[r.lang] = sums.get(r.lang, 0) + v / np.abs(v).sum()
+        p = {k: v / np.linalg.norm(v) for k, v in sums.items()}
+        right[dim] = np.mean([max(p, key=lambda k: p[k] @ v) == r.lang for r, v, h in zip(rows, made, held) if h and v is not None and r.lang])
+    assert right[1024] > 0.95 and right[1024] >= right[64]
+
+
 def test_packing(spark, docs, odd, empty):
     from tokenizers import Tokenizer
 
