@@ -12,6 +12,7 @@ from __future__ import annotations
 import ipaddress
 import re
 from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -176,23 +177,34 @@ def _overlaps(kind: int, lo: int, hi: int, spans: list[tuple[int, int, int]]) ->
     return any(k == kind and a < hi and lo < b for k, a, b in spans)
 
 
-def examples(text: str) -> list[tuple[int, float, list[float]]]:
-    """(hash of text and place, label, features) of every labelled example of a text."""
-    base, out, h = base_spans(text), [], 0
-    for kind, lo, hi in base:
+def sources(text: str) -> Iterator[tuple[int, float | None, tuple[int, int, int]]]:
+    """(hash of text and place, label, span) of what gives labelled examples; a base span (no label) gives several."""
+    base, h = base_spans(text), 0
+    for span in base:
         h = h or hash_of(text)
-        key = hash_of(f"{h}:{kind}:{lo}")
-        before, after = text[max(0, lo - 96) : lo], text[hi : hi + 96]
-        for shape, y in rewritten(kind, text[lo:hi], key):
-            near, end = before + shape + after, len(before) + len(shape)
-            out += [(key, y, features(near, *c)) for c in candidates(near) if c == (kind, len(before), end)]
+        yield hash_of(f"{h}:{span[0]}:{span[1]}"), None, span
     loose = candidates(text)
     if loose:
         taken = [merged(base, k) for k in range(len(KINDS))]
         for kind, lo, hi in loose:
             if not proper(kind, text[lo:hi]) and not touches(taken[kind], lo, hi):
                 h = h or hash_of(text)
-                out.append((hash_of(f"{h}:{kind}:{lo}"), 0.0, features(text, kind, lo, hi)))
+                yield hash_of(f"{h}:{kind}:{lo}"), 0.0, (kind, lo, hi)
+
+
+def examples(text: str, wanted: Callable[[int], bool] = lambda key: True) -> list[tuple[int, float, list[float]]]:
+    """(hash of text and place, label, features) of every labelled example of a text whose hash is wanted."""
+    out = []
+    for key, label, (kind, lo, hi) in sources(text):
+        if not wanted(key):
+            continue
+        if label is not None:
+            out.append((key, label, features(text, kind, lo, hi)))
+            continue
+        before, after = text[max(0, lo - 96) : lo], text[hi : hi + 96]
+        for shape, y in rewritten(kind, text[lo:hi], key):
+            near, end = before + shape + after, len(before) + len(shape)
+            out += [(key, y, features(near, *c)) for c in candidates(near) if c == (kind, len(before), end)]
     return out
 
 
@@ -304,16 +316,24 @@ def fit(docs: DataFrame, most: int = 8000, precision: float = 0.95) -> Model:
     """
     texts = docs.select(F.col("text").cast("string").alias("text"))
 
+    def hashes(batches):
+        for b in batches:
+            keys = [key for t in b.column(0) for key, _, _ in sources(t.as_py() or "") if key % 2 == 0]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64())], names=["h"])
+
+    # each distinct hash gives one example at least, and hashes are spread evenly: no task sends more than its part of the sample
+    distinct = texts.mapInArrow(hashes, "h long").distinct().count()
+    bound = int(min(1.0, 1.2 * most / max(distinct, 1)) * 2**63)
+
     def labelled(batches):
         for b in batches:
-            rows = [e for t in b.column(0) for e in examples(t.as_py() or "")]
+            rows = [e for t in b.column(0) for e in examples(t.as_py() or "", lambda key: key % 2 == 0 and key < bound)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64()),
                  pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["h", "y", "x"],
             )
 
-    even = texts.mapInArrow(labelled, "h long, y double, x array<double>").where("h % 2 = 0").distinct()
-    rows = even.orderBy("h", "y", "x").limit(most).collect()
+    rows = texts.mapInArrow(labelled, "h long, y double, x array<double>").distinct().orderBy("h", "y", "x").limit(most).collect()
     nothing = Model(None, [2.0] * len(KINDS))
     if len({r.y for r in rows}) < 2:
         return nothing
@@ -324,7 +344,7 @@ def fit(docs: DataFrame, most: int = 8000, precision: float = 0.95) -> Model:
     def counted(batches):
         counts = np.zeros((len(KINDS), BINS, 2), np.int64)
         for b in batches:
-            rest = [e for t in b.column(0) for e in examples(t.as_py() or "") if e[0] % 2 or e[0] > top]
+            rest = [e for t in b.column(0) for e in examples(t.as_py() or "", lambda key: key % 2 or key > top)]
             if rest:
                 x = np.array([e[2] for e in rest])
                 at = np.minimum(shared.value.score(x) * BINS, BINS - 1).astype(np.int64)
@@ -368,8 +388,8 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 def detect(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
     """``docs`` plus n_email, n_ip, n_card, n_phone and base (base spans), spans (all), redacted (text).
 
-    Null text is empty (and stays null where redacted). Every row gives one row; earlier columns of these
-    names are replaced. Without ``keep_text`` neither the text nor the redacted text leaves the tasks.
+    Null text is empty (and stays null where redacted). Every row gives one row, repeated ones too, and an
+    empty table none; earlier columns of these names are replaced. Without ``keep_text`` neither the text nor the redacted text leaves the tasks.
     """
     new = [*(f"n_{k}" for k in KINDS), "base", "spans", "redacted"]
     docs = docs.drop(*new)
