@@ -3,27 +3,33 @@
 Trusted text gives n-gram counts per language; continuation counts, discounts and back-off weights are
 Spark aggregations and joins sharded by n-gram. Documents are dealt into blocks of bounded size; a block
 asks for its distinct n-grams once, the joins resolve their probabilities, and the answers meet the block
-again to score its documents. Thresholds are quantiles of each language's trusted perplexities.
+again to score its documents. Thresholds are quantiles of the perplexities of trusted documents that the
+model has not learned from.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import drop_saved, saved
 
-ORDER = 4
+ORDER = 5  # bytes; seven at most, so that n-grams are positive longs
+#: One in so many trusted documents is held out of the model and sets the thresholds.
+FOLDS = 4
 _CHUNK = 1 << 20
 
 
 def grams(text: bytes) -> np.ndarray:
     """The n-gram that ends at each byte, as a number; the text is led in by ORDER - 1 zero bytes."""
-    b = np.frombuffer(bytes(ORDER - 1) + text, np.uint8).astype(np.uint32)
-    return (b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:]
+    b = np.frombuffer(bytes(ORDER - 1) + text, np.uint8)
+    g = np.zeros(len(text), np.int64)
+    for i in range(ORDER):
+        g = (g << 8) | b[i : i + len(text)]
+    return g
 
 
 def _pressed(dealt: DataFrame) -> DataFrame:
@@ -32,7 +38,7 @@ def _pressed(dealt: DataFrame) -> DataFrame:
     def run(batches):
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         for b in batches:
             made = [press.compress(x.as_py().encode("utf-8", "surrogatepass")) if x.is_valid else None for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary()), b.column(3)], names=["block", "doc_id", "text", "lang"])
@@ -50,7 +56,7 @@ def _opened(column):
 
 def _distinct(texts) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of texts with counts, merged chunk by chunk."""
-    keys, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     waiting, size = [], 0
 
     def merge():
@@ -87,7 +93,7 @@ def _counted(key, docs: pa.Table, trusted: pa.Table) -> pa.Table:
             k, n = _distinct(texts_)
             out.append(pa.table({
                 "block": pa.array(np.full(len(k), key[0].as_py(), np.int32)), "lang": pa.array([lang] * len(k), pa.string()),
-                "gram": pa.array(k.astype(np.int64)), "n": pa.array(n if counted else np.zeros(len(k), np.int64)),
+                "gram": pa.array(k), "n": pa.array(n if counted else np.zeros(len(k), np.int64)),
             }))
     return pa.concat_tables(out)
 
@@ -95,14 +101,14 @@ def _counted(key, docs: pa.Table, trusted: pa.Table) -> pa.Table:
 def _scored(key, docs: pa.Table, answers: pa.Table) -> pa.Table:
     known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     langs = answers.column("lang").to_numpy(zero_copy_only=False)
-    g, p = answers.column("gram").to_numpy().astype(np.uint32), answers.column("logp").to_numpy()
+    g, p = answers.column("gram").to_numpy(), answers.column("logp").to_numpy()
     for lang in set(langs.tolist()):
         own = langs == lang
         order = np.argsort(g[own])
         known[lang] = g[own][order], p[own][order]
     sizes, sums = [], []
     for text, lang in zip(_opened(docs.column("text")), docs.column("lang").to_pylist()):
-        x = grams(text) if text else np.zeros(0, np.uint32)
+        x = grams(text) if text else np.zeros(0, np.int64)
         sizes.append(len(x))
         if not len(x) or lang not in known:
             sums.append(None)
@@ -166,21 +172,32 @@ def probabilities(counts: DataFrame, wanted: DataFrame) -> DataFrame:
 def perplexities(docs: DataFrame, trusted: DataFrame, quantile: float = 0.95, block_bytes: int = 24 << 20) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, threshold, kept for every document.
 
-    ``trusted`` has the doc_id of documents to learn from. A language's threshold is the ``quantile`` of
-    its trusted documents' perplexities (to 1 % of their logarithm); documents above it are not kept.
-    Null or empty texts have no perplexity and are not kept; those of a language without trusted text
-    have none and are kept unjudged. Null languages are the language ``und``. Rows that repeat stay.
+    ``trusted`` has the doc_id of documents to learn from. A language's threshold is the ``quantile`` of the
+    perplexities (to 1 % of their logarithm) of those trusted documents that were held out, one in FOLDS by
+    a hash of the doc_id; where none was, of those learned from. Documents above it are not kept. Null or
+    empty texts have no perplexity and are not kept; those of a language without trusted text have none and
+    are kept unjudged. Null languages are the language ``und``. Rows that repeat stay, and so do those
+    without a doc_id, which are never trusted. An empty table gives no rows. Blocks are dealt by doc_id and
+    text, so that neither an absent nor a repeated doc_id fills a block.
     """
     given = docs.select(
         F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
     )
     total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
+    spread = min(blocks, 16)  # blocks that the rows of one doc_id are dealt to
+
+    def block(part: Column) -> Column:
+        return F.pmod(F.xxhash64("doc_id") + part, F.lit(blocks)).cast("int").alias("block")
+
+    place = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int"))
+    place = F.coalesce(place, block(F.pmod(F.xxhash64("text"), F.lit(spread)))).alias("block")
     dealt = _pressed(given.select(place, "doc_id", "text", "lang"))
-    known = trusted.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct().select(place, "doc_id")
+    known = trusted.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
+    held = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FOLDS)) == 0
+    learned = known.where(~held).withColumn("part", F.explode(F.array(*map(F.lit, range(spread))))).select(block(F.col("part")), "doc_id")
     made = saved(
-        dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_counted, "block int, lang string, gram long, n long")
+        dealt.groupBy("block").cogroup(learned.distinct().groupBy("block")).applyInArrow(_counted, "block int, lang string, gram long, n long")
     )
     counts = saved(made.where("n > 0").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     asked = made.where("n = 0").select("block", "lang", "gram")
@@ -189,12 +206,14 @@ def perplexities(docs: DataFrame, trusted: DataFrame, quantile: float = 0.95, bl
         dealt.groupBy("block").cogroup(answers.select("block", "lang", "gram", "logp").groupBy("block"))
         .applyInArrow(_scored, "doc_id long, lang string, n_bytes long, logp double")
     )
+    drop_saved(made, counts)
     scores = scores.withColumn("log_ppl", -F.col("logp") / F.col("n_bytes")).drop("logp")
-    step = F.floor(F.col("log_ppl") * 100)
-    bins = scores.join(known.select("doc_id"), "doc_id", "left_semi").where("log_ppl is not null").groupBy("lang", step.alias("bin")).agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("lang").orderBy("bin")
-    bins = bins.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
-    limits = bins.where(F.col("upto") >= quantile * F.col("all")).groupBy("lang").agg((F.min("bin") + 1).alias("bin"))
+    judges = scores.join(known.withColumn("held", held), "doc_id").where("log_ppl is not null")
+    bins = judges.groupBy("lang", "held", F.floor(F.col("log_ppl") * 100).alias("bin")).agg(F.count("*").alias("n"))
+    own = Window.partitionBy("lang", "held")
+    bins = bins.withColumn("upto", F.sum("n").over(own.orderBy("bin"))).withColumn("all", F.sum("n").over(own))
+    limits = bins.where(F.col("upto") >= quantile * F.col("all")).groupBy("lang", "held").agg((F.min("bin") + 1).alias("bin"))
+    limits = limits.groupBy("lang").agg(F.max_by("bin", "held").alias("bin"))
     limits = limits.select("lang", F.exp(F.col("bin") / 100).alias("threshold"))
     out = scores.withColumn("perplexity", F.exp("log_ppl")).join(F.broadcast(limits), "lang", "left")  # one row a language
     kept = (F.col("n_bytes") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
