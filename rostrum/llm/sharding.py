@@ -22,7 +22,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import saved
+from .common import fresh, saved
 
 
 def shard_sizes(rows: int, shards: int) -> np.ndarray:
@@ -105,16 +105,17 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 7, cell_rows: int = 819
     """
     spark = docs.sparkSession
     docs = docs.drop("shard", "slot")
-    fixed = saved(docs.withColumn("_task", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
-    by_task = {r["_task"]: r["n"] for r in fixed.groupBy("_task").agg(F.count("*").alias("n")).collect()}
-    tasks = sorted(by_task)  # one count an input task
+    from_task, at_row, in_cell, first_slot = (fresh(docs, c) for c in ("task", "at", "cell", "first"))
+    fixed = saved(docs.withColumn(from_task, F.spark_partition_id()).withColumn(at_row, F.monotonically_increasing_id()))
+    by_task = {r[0]: r[1] for r in fixed.groupBy(from_task).agg(F.count("*")).collect()}
+    tasks = sorted(by_task)  # one count an input task, which is all that is broadcast
     counts = np.array([by_task[t] for t in tasks], np.int64)
-    cells = cell_sizes(int(counts.sum()), shards, cell_rows)
-    shared = spark.sparkContext.broadcast((tasks, counts, *cells))
+    shared = spark.sparkContext.broadcast((tasks, counts))
     names = fixed.columns
 
     def label(batches):
-        tasks, counts, owner, first, size = shared.value
+        tasks, counts = shared.value
+        owner, first, size = cell_sizes(int(counts.sum()), shards, cell_rows)
         known: dict[int, np.ndarray] = {}
 
         def labels_of(task: int) -> np.ndarray:
@@ -127,17 +128,17 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 7, cell_rows: int = 819
             return known[task]
 
         for b in batches:
-            task, at = (b.column(names.index(c)).to_numpy() for c in ("_task", "_at"))
+            task, at = (b.column(names.index(c)).to_numpy() for c in (from_task, at_row))
             place = at & (2**33 - 1)  # the low bits count the rows of a task
             cell = np.empty(len(at), np.int64)
             for t in np.unique(task).tolist():
                 own = task == t
                 cell[own] = labels_of(t)[place[own]]
             more = [pa.array(cell), pa.array(owner[cell].astype(np.int32)), pa.array(first[cell])]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*names, "_cell", "shard", "_first"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*names, in_cell, "shard", first_slot])
 
-    schema = StructType([*fixed.schema, *StructType.fromDDL("_cell long, shard int, _first long")])
+    schema = StructType([*fixed.schema, *StructType.fromDDL(f"{in_cell} long, shard int, {first_slot} long")])
     # second permutation: by a keyed hash of the place of origin, which no value of the rows touches
-    again = Window.partitionBy("_cell").orderBy(F.xxhash64(F.lit(seed), F.col("_at")), "_at")
-    placed = fixed.mapInArrow(label, schema).withColumn("slot", F.col("_first") + F.row_number().over(again) - 1)
-    return placed.drop("_task", "_at", "_cell", "_first")
+    again = Window.partitionBy(in_cell).orderBy(F.xxhash64(F.lit(seed), F.col(at_row)), at_row)
+    placed = fixed.mapInArrow(label, schema).withColumn("slot", F.col(first_slot) + F.row_number().over(again) - 1)
+    return placed.drop(from_task, at_row, in_cell, first_slot)
