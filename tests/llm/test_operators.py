@@ -245,6 +245,19 @@ def test_sharding(docs, odd, empty, cell):
     assert sharding.shard(empty, 24).count() == 0
 
 
+def test_sharding_names_and_op(spark, docs):
+    """Columns of any name survive; the query's size and checksum are those of the texts."""
+    names = ["_task", "_at", "_cell", "_first", "task", "at", "cell", "first", "slot"]
+    given = docs.limit(50).withColumns({c: F.lit(c) for c in names})
+    out = sharding.shard(given, 5, cell_rows=7)
+    assert set(out.columns) == {*given.columns, "shard"} and out.count() == 50
+    assert all(r[c] == c for r in out.collect() for c in names[:-1])
+    got = {r.doc_id: r for r in queries.op3_sharding(spark, DIR).collect()}
+    for r in docs.collect():
+        raw = (r.text or "").encode()
+        assert (got[r.doc_id].size, got[r.doc_id].text_crc32, got[r.doc_id].law, got[r.doc_id].grown_shard) == (len(raw) + 8, zlib.crc32(raw), "rows", None)
+
+
 def test_sharding_matrix():
     counts, cells = np.array([5, 0, 9, 3, 7]), np.array([8, 8, 8])
     rows = np.array([sharding.row_of_matrix(i, counts, cells, 1) for i in range(5)])
@@ -346,13 +359,14 @@ def test_fingerprint_likeness():
 
 def test_quality_probabilities(spark):
     # the joins against a direct Kneser-Ney recursion
+    top = quality.ORDER
     texts = ["the cat sat", "the dog sat on the mat", "a cat and a dog"]
     count = Counter(int(g) for t in texts for g in quality.grams(t.encode()))
-    seen = {4: count}
-    for k in (3, 2, 1):
+    seen = {top: count}
+    for k in range(top - 1, 0, -1):
         seen[k] = Counter(g & quality._mask(k) for g in seen[k + 1])
     d = {}
-    for k in range(1, 5):
+    for k in range(1, top + 1):
         n = Counter(seen[k].values())
         y = n[1] / (n[1] + 2 * n[2])
         d[k] = [min(i, max(0.0, i - (i + 1) * y * n[i + 1] / n[i])) if n[i] else 0.5 for i in (1, 2, 3)]
@@ -374,7 +388,7 @@ def test_quality_probabilities(spark):
     asked = spark.createDataFrame([("en", g) for g in wanted], "lang string, gram long")
     got = {r.gram: r.logp for r in quality.probabilities(counts, asked).collect()}
     assert got.keys() == wanted
-    assert all(abs(got[g] - np.log(p(g, 4))) < 1e-9 for g in wanted)
+    assert all(abs(got[g] - np.log(p(g, top))) < 1e-9 for g in wanted)
 
 
 def test_quality(spark, docs, odd, empty):
@@ -384,8 +398,28 @@ def test_quality(spark, docs, odd, empty):
     assert len(got) == docs.count()
     assert {r.doc_id: round(r.perplexity, 6) for r in got if r.perplexity} == {r.doc_id: round(r.perplexity, 6) for r in one if r.perplexity}
     known = {r.doc_id for r in trusted.collect()}
+    # thresholds are quantiles of trusted documents that were held out
+    held = known & {r.doc_id for r in docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(quality.FOLDS)) == 0).collect()}
+    by_lang = defaultdict(list)
+    for r in got:
+        if r.doc_id in held and r.perplexity:
+            by_lang[r.lang].append(r)
+    assert by_lang
+    for rows in by_lang.values():
+        logs = sorted(np.floor(np.log(r.perplexity) * 100) for r in rows)
+        assert abs(np.log(rows[0].threshold) * 100 - (logs[int(np.ceil(0.95 * len(logs))) - 1] + 1)) < 1e-6
+    # the perplexity of documents, from the probabilities of their n-grams by the direct recursion
+    learned = Counter(int(g) for r in docs.collect() if r.doc_id in known - held and r.lang == "en" and r.text for g in quality.grams(r.text.encode()))
+    one_doc = min((r for r in docs.collect() if r.lang == "en" and r.text), key=lambda r: len(r.text))
+    counts = spark.createDataFrame([("en", g, n) for g, n in learned.items()], "lang string, gram long, n long")
+    asked = [int(g) for g in quality.grams(one_doc.text.encode())]
+    logp = {r.gram: r.logp for r in quality.probabilities(counts, spark.createDataFrame([("en", g) for g in set(asked)], "lang string, gram long")).collect()}
+    found = next(r for r in got if r.doc_id == one_doc.doc_id)
+    assert abs(found.perplexity - np.exp(-np.mean([logp[g] for g in asked]))) < 1e-6
     assert np.mean([r.kept for r in got if r.doc_id in known]) >= 0.95
-    assert quality.perplexities(odd, trusted).count() == len(ODD)
+    strange = quality.perplexities(odd, trusted).collect()
+    assert len(strange) == len(ODD) and all((r.perplexity is None) == (not r.n_bytes) or r.threshold is None for r in strange)
+    assert all(not r.kept for r in strange if not r.n_bytes)
     assert quality.perplexities(empty, trusted).count() == 0
     assert quality.perplexities(docs, trusted.limit(0)).where("kept").count() == docs.where("length(text) > 0").count()
 
@@ -441,9 +475,8 @@ def test_packing(spark, docs, odd, empty):
 
     vocabulary = queries.vocabulary("byte_bpe_50k.json")
     exact = Tokenizer.from_file(vocabulary)
-    exact.encode_special_tokens = True
     spaced = spark.createDataFrame(
-        [(1, "a  b   c \n d\n\n e\t f "), (2, " lead"), (3, "x² ½ 3\x1c4 it's WE'LL"), (4, "a \n \n b"), (5, "  two"), (6, "<|endoftext|> end")],
+        [(1, "a  b   c \n d\n\n e\t f "), (2, " lead"), (3, "x² ½ 3\x1c4 it's WE'LL"), (4, "a \n \n b"), (5, "  two"), (6, "<|endoftext|> end"), (7, "x <|endoftext|> y"), (8, " <|endoftext|><|endoftext|>  a <|endoftext"), (9, "<|endoftext|>")],
         "doc_id long, text string",
     )
     for given in (docs.repartition(5), odd.dropDuplicates(["doc_id"]), spaced):
@@ -468,6 +501,102 @@ def test_packing(spark, docs, odd, empty):
     assert packing.pack(odd, vocabulary).count() >= len(ODD)
 
 
+def test_packing_special_as_text():
+    from tokenizers import Tokenizer
+
+    vocabulary = queries.vocabulary("byte_bpe_50k.json")
+    exact = Tokenizer.from_file(vocabulary)
+    exact.encode_special_tokens = True
+    text = "x <|endoftext|> y"
+    assert np.frombuffer(packing.Encoder(vocabulary, special_as_text=True).ids(text), "<u4").tolist() == exact.encode(text, add_special_tokens=False).ids
+    assert 50256 in np.frombuffer(packing.Encoder(vocabulary).ids(text), "<u4").tolist()
+
+
+def test_packing_op(spark, docs):
+    got = queries.op9_packing(spark, DIR)
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    counts = Counter(r.length for r in got.collect())
+    used = got.select("sequence_id").distinct().count()
+    full = counts.pop(1024, 0)
+    assert used - full <= packing.least_sequences(counts, 1024) * 1.002 + 1
+
+
+def test_packing_repeats(spark, docs):
+    """Rows that repeat, doc_ids too, each get their pieces."""
+    given = docs.limit(20).unionByName(docs.limit(20)).withColumn("rank", F.lit("x")).withColumn("pid", F.lit("y"))
+    once = packing.pack(docs.limit(20), queries.vocabulary("byte_bpe_50k.json")).collect()
+    twice = packing.pack(given, queries.vocabulary("byte_bpe_50k.json")).collect()
+    key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
+    assert Counter(map(key, twice)) == Counter({k: 2 * n for k, n in Counter(map(key, once)).items()})
+    assert len({(r.sequence_id, r.offset) for r in twice}) == len(twice)
+
+
+def _optimum(items, size):
+    items, best = sorted(items, reverse=True), [len(items)]
+
+    def go(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(bins)
+            return
+        for k in {b: k for k, b in enumerate(bins)}.values():
+            if bins[k] + items[i] <= size:
+                bins[k] += items[i]
+                go(i + 1, bins)
+                bins[k] -= items[i]
+        bins.append(items[i])
+        go(i + 1, bins)
+        bins.pop()
+
+    go(0, [])
+    return best[0]
+
+
+def test_packing_plan_is_optimal_for_few_pieces():
+    rng = np.random.default_rng(0)
+    for k in range(120):
+        items = (rng.integers(1, 100, 12) if k % 2 else rng.integers(20, 70, 12)).tolist()
+        best = _optimum(items, 100)
+        found = packing.plan(Counter(items), 100)
+        used = Counter(s for times, fill in found for s in fill for _ in range(times))
+        assert used == Counter(items) and all(sum(fill) <= 100 for _, fill in found)
+        assert sum(times for times, _ in found) == best and packing.least_sequences(Counter(items), 100) <= best
+
+
+def test_packing_fillings():
+    """Fillings come by falling sum, none dominated, and none that is undominated is left out."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        items, room = rng.integers(1, 30, 7).tolist(), 40
+        got = [tuple(f) for f in packing.fillings(Counter(items), room)]
+        sums = [sum(f) for f in got]
+        assert sums == sorted(sums, reverse=True) and len(set(got)) == len(got)
+        every = {tuple(sorted((items[i] for i in c), reverse=True)) for k in range(8) for c in combinations(range(7), k) if sum(items[i] for i in c) <= room}
+        assert set(got) <= every
+
+        def dominated(fill):
+            spare = Counter(items) - Counter(fill)
+            for x in spare:
+                for k in range(1, len(fill) + 1):
+                    for c in combinations(fill, k):
+                        if max(c) < x and sum(c) <= x and sum(fill) - sum(c) + x <= room:
+                            return True
+            return False
+
+        # a filling that could take one piece more is dominated too, but its sum is not the largest: it may be given
+        assert {f for f in every if not dominated(f)} <= set(got)
+
+
+def test_packing_bound():
+    rng = np.random.default_rng(2)
+    for lengths in (rng.integers(1, 1024, 20_000), np.clip(rng.lognormal(5.5, 0.9, 20_000), 2, 1023).astype(int)):
+        counts = Counter(lengths.tolist())
+        assert sum(times for times, _ in packing.plan(counts, 1024)) <= 1.003 * packing.least_sequences(counts, 1024)
+
+
 def test_packing_plan():
     counts = {700: 3, 400: 2, 324: 5, 300: 4, 24: 6, 1: 2}
     used = Counter()
@@ -558,6 +687,38 @@ def test_pii_sample_takes_copies_once(spark, monkeypatch):
     assert seen == [len(distinct)] and len(distinct) < 1000
 
 
+def test_pii_sample_is_of_bounded_size(spark, monkeypatch):
+    """The driver gets little more than the sample, whatever the number of tasks."""
+    texts = [f"mail user{i}@host{i}.org or 10.0.{i % 200}.{i % 250}" for i in range(3000)]
+    seen = []
+    real = pii.Boosted.fit
+    monkeypatch.setattr(pii.Boosted, "fit", lambda self, x, y: seen.append(len(x)) or real(self, x[:200], y[:200]))
+    pii.fit(spark.createDataFrame([(t,) for t in texts], "text string").repartition(16), most=300)
+    assert seen == [300]
+
+
+def test_pii_op(spark, docs):
+    got = {r.doc_id: r for r in queries.op10_pii(spark, DIR).collect()}
+    for r in docs.collect():
+        base = pii.spelled(pii.base_spans(r.text or ""))
+        assert got[r.doc_id].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert {*filter(None, base.split(","))} <= {*got[r.doc_id].spans.split(",")}
+
+
+def test_other_ops(spark, docs):
+    """The digest columns of the queries on whole tables, and their columns."""
+    marks = {r.doc_id: r for r in decontaminate(docs, spark.read.parquet(f"{DIR}/benchmark.parquet")).collect()}
+    for r in queries.op5_decontamination(spark, DIR).collect():
+        m = marks[r.doc_id]
+        assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (m.n_words, m.n_hit, len(m.item_ids), m.n_hit > 0)
+        assert r.items_sha256 == hashlib.sha256(",".join(m.item_ids).encode()).hexdigest()
+    n = docs.count()
+    assert queries.op4_minhash_neardup(spark, DIR).columns[:4] == ["doc_id", "n_shingles", "component_id", "kept"]
+    prints = queries.op6_fingerprints(spark, DIR)
+    assert prints.columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    assert prints.count() == n == queries.op2_token_counts(spark, DIR).count() == queries.op7_quality(spark, DIR).count()
+
+
 def test_pii_trees_learn():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 5))
