@@ -62,6 +62,39 @@ def test_stages(spark):
     assert max(used.values()) <= 1024
 
 
+def test_language_stage(spark):
+    """Other scripts and random letters go; short clean texts and those of a null lang stay."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    docs = table(spark, DIR, "documents")
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    noise = [" ".join("".join(rng.choice(letters, 9)) for _ in range(120)) for _ in range(10)]
+    other = ["".join(chr(0x4E00 + int(k)) for k in rng.integers(0, 5000, 300)), " ".join("".join(chr(0x430 + int(k)) for k in rng.integers(0, 32, 6)) for _ in range(90))]
+    short = ["the and", "one", "Was it there, and with that?"]
+    rows = [(80_000 + i, t, None, "x", len(t)) for i, t in enumerate(noise + other + short)]
+    rows += [(None, "the and of it", "en", "x", 1), (None, "the and of it", "en", "x", 1), (81_000, "", "en", "x", 0)]
+    given = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    out = corpus_pipeline.language_id(spark, given, DIR)
+    got = Counter(r.doc_id for r in out.collect())
+    assert not [i for i in range(80_000, 80_000 + len(noise + other)) if got[i]]
+    assert all(got[80_000 + len(noise + other) + i] for i in range(len(short))) and got[None] == 2 and not got[81_000]
+    assert out.where("lang is null").count() == 0
+    clean = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    assert clean <= set(got)
+    assert corpus_pipeline.language_id(spark, docs.limit(0), DIR).count() == 0
+
+
+def test_near_dedup_stage(spark):
+    """Rows of one doc_id with different texts, and rows without one, are judged by their texts."""
+    a, b, c = "a b c d e f g h i j k l m n", "o p q r s t u v w x y z", "one two three four five six seven"
+    rows = [(7, a), (7, b), (9, a), (3, b), (3, b), (None, a), (None, c), (None, c), (8, None), (8, None), (-1, "alone here with some words")]
+    docs = spark.createDataFrame([(i, t, "en", "x", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, docs, DIR)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=key) == sorted([(7, a), (3, b), (None, c), (8, None), (-1, rows[-1][1])], key=key)
+
+
 def test_run_matches_stages(spark):
     rows = corpus_pipeline.run(spark, DIR)
     assert rows.columns[:2] == ["doc_id", "piece"] and rows.count() > 0
