@@ -1,218 +1,177 @@
 """Spoken dates in word streams: years, decades, days and months become digits.
 
-Matchers are tried in a fixed order at each place; the first that takes words replaces them by one word with
-the first one's start and the last one's end. The walk is sequential, so it runs grouped by transcript.
+The forms are a small grammar of regular expressions over cleaned words (lower case, without ``.,;:!?``).
+Forms are tried in a fixed order at each place; the first that reads a date there replaces its words by one
+word with the first one's start and the last one's end, unless that changes nothing. Whether a date begins
+at a word depends on that word and the next few only, so a stream is read by sliding windows; what
+overlaps is settled left to right within runs of overlapping dates.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-# Number words and months.
-UNITS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
-TENS = {w: 10 * i for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
-CENTURIES = {"thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19, "twenty": 20}
-DECADES = {"tens": 10, "twenties": 20, "thirties": 30, "forties": 40, "fifties": 50, "sixties": 60, "seventies": 70, "eighties": 80, "nineties": 90}
-ORDINALS = {w: i for i, w in enumerate(
+from .spans import ahead, merged_words, settled
+
+# Number words, months, and what cleaning drops.
+ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+ORDINALS = (
     "first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth "
-    "seventeenth eighteenth nineteenth twentieth".split(), 1)} | {"thirtieth": 30}
+    "seventeenth eighteenth nineteenth twentieth".split()
+)
+DECADES = "twenties thirties forties fifties sixties seventies eighties nineties".split()
 MONTHS = "january february march april may june july august september october november december".split()
+DROPPED = re.compile(r"[.,;:!?]")
 
+VALUES = {w: i for i, w in enumerate(ONES)} | {w: 10 * i for i, w in enumerate(TENS, 2)} | {w: 10 * i for i, w in enumerate(DECADES, 2)}
+VALUES |= {w: i for i, w in enumerate(ORDINALS, 1)} | {"thirtieth": 30, "oh": 0, "o": 0}
+#: Words of the longest date: two of the day, "of", the month, and "two thousand and ninety two".
+LONGEST = 9
 
-def bare(word: str) -> str:
-    return re.sub(r"^[^\w]+|[^\w]+$", "", word).lower()
-
-
-def suffix(day: int) -> str:
-    return f"{day}{'th' if 10 <= day % 100 <= 20 else {1: 'st', 2: 'nd', 3: 'rd'}.get(day % 10, 'th')}"
-
-
-def two_digits(w: list[str], i: int) -> tuple[int, int]:
-    """(value, words) of 0 to 99 in words at ``i``, hyphenated or apart; no words if there is none."""
-    if i >= len(w):
-        return 0, 0
-    head, _, tail = w[i].partition("-")
-    if tail:
-        return (TENS[head] + UNITS[tail], 1) if head in TENS and 0 < UNITS.get(tail, 0) < 10 else (0, 0)
-    if head in TENS:
-        if i + 1 < len(w) and 0 < UNITS.get(w[i + 1], 0) < 10:
-            return TENS[head] + UNITS[w[i + 1]], 2
-        return TENS[head], 1
-    if head == "oh" and i + 1 < len(w) and 0 < UNITS.get(w[i + 1], 0) < 10:
-        return UNITS[w[i + 1]], 2
-    return (UNITS[head], 1) if head in UNITS else (0, 0)
-
-
-def day_at(w: list[str], i: int) -> tuple[int, int]:
-    """(day, words) of an ordinal, cardinal or numeric day of 1 to 31."""
-    if i >= len(w):
-        return 0, 0
-    if m := re.fullmatch(r"(\d{1,2})(?:st|nd|rd|th)?", w[i]):
-        return (int(m[1]), 1) if 1 <= int(m[1]) <= 31 else (0, 0)
-    parts = w[i].split("-")
-    if len(parts) == 2 and parts[0] in ("twenty", "thirty") and 0 < ORDINALS.get(parts[1], 0) < 10:
-        return (d, 1) if (d := TENS[parts[0]] + ORDINALS[parts[1]]) <= 31 else (0, 0)
-    if w[i] in ORDINALS:
-        return ORDINALS[w[i]], 1
-    if w[i] in ("twenty", "thirty") and i + 1 < len(w) and 0 < ORDINALS.get(w[i + 1], 0) < 10:
-        return (d, 2) if (d := TENS[w[i]] + ORDINALS[w[i + 1]]) <= 31 else (0, 0)
-    value, n = two_digits(w, i)
-    return (value, n) if n and 1 <= value <= 31 else (0, 0)
-
-
-def two_thousand(w: list[str], i: int) -> tuple[int, int]:
-    if w[i : i + 2] != ["two", "thousand"]:
-        return 0, 0
-    at = i + 2 + (w[i + 2 : i + 3] == ["and"])
-    value, n = two_digits(w, at)
-    if n and value:
-        return 2000 + value, at + n - i
-    return (2000, 2) if at == i + 2 else (0, 0)
-
-
-def century(w: list[str], i: int) -> tuple[int, int]:
-    """A century word and a suffix of two digits; after "twenty" a suffix under ten is an ordinary number."""
-    if w[i] not in CENTURIES:
-        return 0, 0
-    if w[i + 1 : i + 2] == ["hundred"] and w[i] != "twenty":
-        return CENTURIES[w[i]] * 100, 2
-    value, n = two_digits(w, i + 1)
-    spoken_oh = w[i + 1 : i + 2] == ["oh"]
-    if not n or value < 10 and (w[i] == "twenty" or not spoken_oh):
-        return 0, 0
-    year = CENTURIES[w[i]] * 100 + value
-    return (year, 1 + n) if 1300 <= year <= 2099 else (0, 0)
-
-
-def year_at(w: list[str], i: int) -> tuple[int, int]:
-    if i >= len(w):
-        return 0, 0
-    for form in (two_thousand, century):
-        year, n = form(w, i)
-        if n:
-            return year, n
-    return (int(w[i]), 1) if re.fullmatch(r"(?:19|20)\d\d", w[i]) else (0, 0)
-
-
-def _ordinal_of_month(w, i):
-    at = i + (w[i] == "the")
-    day, n = day_at(w, at)
-    if not n or w[at + n : at + n + 1] != ["of"] or w[at + n + 1 : at + n + 2] == [] or w[at + n + 1] not in MONTHS:
-        return None
-    month, end = w[at + n + 1].title(), at + n + 2
-    year, k = year_at(w, end)
-    return f"{suffix(day)} {month}" + (f" {year}" if k else ""), end + k - i
 
+def _word(*words: str) -> str:
+    return rf"(?>(?:{'|'.join(words)})(?!\S))"
 
-def _month_day(w, i):
-    if w[i] not in MONTHS:
-        return None
-    month = w[i].title()
-    year, k = year_at(w, i + 1)
-    if k:
-        return f"{month} {year}", 1 + k
-    day, n = day_at(w, i + 1)
-    if not n or w[i] == "may" and not re.match(r"\d|.*(?:st|nd|rd|th)$", w[i + 1]):
-        return None
-    year, k = year_at(w, i + 1 + n)
-    return f"{month} {suffix(day)}" + (f", {year}" if k else ""), 1 + n + k
 
+_UNIT, _TENS = _word(*ONES[:10]), _word(*TENS)
+_SUFFIX = rf"(?>{_word('oh', 'o')} {_UNIT}|{_TENS}(?> {_UNIT})?|{_word(*ONES)})"
+_LONG_SUFFIX = rf"(?>{_TENS}(?> {_UNIT})?|{_word(*ONES[10:])})"  # "twenty six" is a number, "twenty sixteen" a year
+_THOUSAND = rf"(?P<thousand>two(?!\S) thousand(?!\S)(?> and(?!\S))?(?> {_SUFFIX})?)"
+_CENTURY = rf"(?P<century>{_word(*ONES[13:])} {_SUFFIX}|twenty(?!\S) {_LONG_SUFFIX})"
+_YEAR = rf"(?>{_THOUSAND}|{_CENTURY}|(?P<year>(?:19|20)[0-9]{{2}})(?!\S))"
+_MONTH = rf"(?P<month>{_word(*MONTHS)})"
+_ORDINAL = rf"(?>{_word('(?:twenty|thirty)[ -](?:' + '|'.join(ORDINALS[:9]) + ')', *ORDINALS, 'thirtieth', '[0-9]{1,2}(?:st|nd|rd|th)')})"
+_DAY = rf"(?>{_ORDINAL}|(?:twenty|thirty)(?!\S)(?> {_word(*ONES[1:10])})?|{_word('[0-9]{1,2}', *ONES[1:])})"
 
-def _day_month_year(w, i):
-    day, n = day_at(w, i)
-    if not n or w[i + n : i + n + 1] == [] or w[i + n] not in MONTHS:
-        return None
-    year, k = year_at(w, i + n + 1)
-    return (f"{suffix(day)} {w[i + n].title()}, {year}", n + 1 + k) if k else None
 
+def _number(words: str) -> int:
+    """The sum of number words, or the digits they begin with."""
+    digits = re.match("[0-9]+", words)
+    return int(digits[0]) if digits else sum(VALUES.get(w, 0) for w in re.split("[ -]", words))
 
-def _decade(w, i):
-    if w[i] in CENTURIES and w[i + 1 : i + 2] and w[i + 1] in DECADES:
-        return f"{CENTURIES[w[i]] * 100 + DECADES[w[i + 1]]}s", 2
-    return None
 
+def _year(m: re.Match) -> int | None:
+    found = m.groupdict()
+    if found.get("thousand"):
+        return 2000 + _number(found["thousand"].removeprefix("two thousand").replace(" and", ""))
+    if found.get("century"):
+        prefix, _, rest = found["century"].partition(" ")
+        return VALUES[prefix] * 100 + _number(rest)
+    return int(found["year"]) if found.get("year") else None
 
-def _split_year(w, i):
-    if re.fullmatch(r"19|20", w[i]) and re.fullmatch(r"\d\d", (w[i + 1 : i + 2] or [""])[0]):
-        return w[i] + w[i + 1], 2
-    return None
+
+def _with_suffix(day: int) -> str:
+    return f"{day}{'th' if day in (11, 12, 13) else {1: 'st', 2: 'nd', 3: 'rd'}.get(day % 10, 'th')}"
 
 
-def _plain(form):
-    def match(w, i):
-        year, n = form(w, i)
-        return (str(year), n) if n else None
+def _day_and_month(m: re.Match, form: str) -> str | None:
+    day, year = _number(m["day"]), _year(m)
+    if not 1 <= day <= 31:
+        return None
+    return form.format(day=_with_suffix(day), month=m["month"].title(), year="" if year is None else year, comma="" if year is None else ", ", gap="" if year is None else " ")
+
+
+def _split(m: re.Match) -> str | None:
+    both = m[0].replace(" ", "")
+    return both if 1900 <= int(both) <= 2099 else None
+
 
-    return match
+#: (form, reading) in their fixed order; a reading of None leaves the place to the next form.
+FORMS = tuple(
+    (re.compile(pattern), read)
+    for pattern, read in (
+        (rf"(?P<day>{_ORDINAL})(?> of(?!\S))? {_MONTH}(?> {_YEAR})?", lambda m: _day_and_month(m, "{day} {month}{gap}{year}")),
+        (rf"{_MONTH} {_YEAR}", lambda m: f"{m['month'].title()} {_year(m)}"),
+        (rf"{_MONTH} (?P<day>{_DAY})(?> {_YEAR})?", lambda m: _day_and_month(m, "{month} {day}{comma}{year}")),
+        (rf"(?P<day>[0-9]{{1,2}}) {_MONTH} {_YEAR}", lambda m: _day_and_month(m, "{day} {month}, {year}")),
+        (_THOUSAND, lambda m: str(_year(m))),
+        (_CENTURY, lambda m: str(_year(m))),
+        (r"(?>[0-9] [0-9]{3}|[0-9]{2} [0-9]{2}|[0-9]{3} [0-9])(?!\S)", _split),
+        (rf"(?P<prefix>{_word(*ONES[13:], *TENS)}) (?P<decade>{_word(*DECADES)})", lambda m: f"{VALUES[m['prefix']] * 100 + VALUES[m['decade']]}s"),
+    )
+)
+_STARTS = re.compile("[0-9]|" + "|".join([*MONTHS, *ONES[1:], *TENS, *ORDINALS, "thirtieth"]))
 
 
-#: Fixed order of precedence.
-MATCHERS = (_ordinal_of_month, _day_month_year, _month_day, _plain(two_thousand), _decade, _plain(century), _split_year)
+def clean(word: str | None) -> str:
+    """A word as the grammar reads it; it stays one word."""
+    return re.sub(r"\s+", "_", DROPPED.sub("", (word or "").lower()).strip()) or "_"
 
 
-def _letters(text: str) -> str:
-    return re.sub(r"[^\w ]", "", text)
+def date_at(spoken: str, place: int, said: list[str | None]) -> tuple[str, int] | None:
+    """(date, words) of the date that begins at ``place`` of the cleaned words, if it differs from what was ``said``."""
+    if not _STARTS.match(spoken, place):
+        return None
+    for form, read in FORMS:
+        m = form.match(spoken, place)
+        text = read(m) if m else None
+        if text is not None:
+            n = m[0].count(" ") + 1
+            same = text.lower() == " ".join(x or "" for x in said[:n]).lower()
+            return None if same else (text, n)
+    return None
 
 
-def correct(words: list[str]) -> list[tuple[int, int, str]]:
-    """(first, end, text) of the runs of words that are dates, left to right; the same text is no correction."""
-    w = [bare(x) for x in words]
-    out, i = [], 0
-    while i < len(w):
-        for match in MATCHERS:
-            hit = match(w, i) if w[i] else None
-            if hit:
-                text, n = hit
-                tail = re.search(r"[.,;:?!]*$", words[i + n - 1])[0]
-                if _letters(" ".join(words[i : i + n])) != _letters(text):  # else it is written out already
-                    out.append((i, i + n, text + tail))
-                i += n
-                break
-        else:
-            i += 1
+def correct(words: list[str | None]) -> list[tuple[int, int, str]]:
+    """(first, end, text) of the runs of words that are dates, left to right."""
+    cleaned = [clean(w) for w in words]
+    places = np.cumsum([0, *(len(w) + 1 for w in cleaned)]).tolist()
+    spoken, out, i = " ".join(cleaned), [], 0
+    while i < len(words):
+        found = date_at(spoken, places[i], words[i : i + LONGEST])
+        if found:
+            out.append((i, i + found[1], found[0]))
+        i += found[1] if found else 1
     return out
 
 
 def correct_text(text: str | None) -> str | None:
-    if not text:
+    """A text with its dates corrected and its words joined by one space; blank texts stay."""
+    words = (text or "").split()
+    if not words:
         return text
-    spans = [m.span() for m in re.finditer(r"\S+", text)]
     out, done = [], 0
-    for lo, hi, to in correct([text[a:b] for a, b in spans]):
-        out += [text[done : spans[lo][0]], to]
-        done = spans[hi - 1][1]
-    return "".join([*out, text[done:]])
+    for lo, hi, to in correct(words):
+        out += [*words[done:lo], to]
+        done = hi
+    return " ".join([*out, *words[done:]])
 
 
 def correct_texts(rows: DataFrame, column: str) -> DataFrame:
     """``rows`` with the dates of one text column corrected; null stays null."""
+    names = rows.columns
+
+    def run(batches):
+        for b in batches:
+            made = pa.array([correct_text(t.as_py()) for t in b.column(names.index(column))], pa.string())
+            yield pa.RecordBatch.from_arrays([made if c == column else b.column(k) for k, c in enumerate(names)], names=names)
+
+    return rows.mapInArrow(run, rows.schema)
 
-    def run(frames):
-        for f in frames:
-            f[column] = [correct_text(t) for t in f[column]]
-            yield f
 
-    return rows.mapInPandas(run, rows.schema)
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("n", IntegerType())]))
+def _dates_at(ahead: pd.Series) -> pd.DataFrame:
+    found = []
+    for words in ahead:
+        words = [] if words is None else list(words)
+        found.append(date_at(" ".join(map(clean, words)), 0, words) if words else None)
+    return pd.DataFrame({"text": [f[0] if f else None for f in found], "n": pd.array([f[1] if f else None for f in found], "Int32")})
 
 
 def correct_stream(words: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Words (key, order, word, start, end) with each date merged into one word; pos counts what is left."""
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order).reset_index(drop=True)
-        given, start, end = rows["word"].tolist(), rows["start"].tolist(), rows["end"].tolist()
-        made, done = [], 0
-        for lo, hi, to in [*correct(given), (len(given), len(given), None)]:
-            made += [(given[i], start[i], end[i], False) for i in range(done, lo)]
-            if to is not None:
-                made.append((to, start[lo], end[hi - 1], True))
-            done = hi
-        out = pd.DataFrame(made, columns=["word", "start", "end", "corrected"])
-        out.insert(0, key, rows[key].iloc[0])
-        out.insert(1, "pos", range(len(out)))
-        return out
-
-    return words.groupBy(key).applyInPandas(walk, f"{key} long, pos int, word string, start double, end double, corrected boolean")
+    """Words (key, order, word, start, end) with each date merged into one word; pos counts what is left.
+
+    Only words that may begin a date leave the JVM, with the next few words.
+    """
+    begins = F.lower("word").rlike(rf"^\s*[.,;:!?]*(?:{_STARTS.pattern})")
+    rows = ahead(words, key, order, ["word", "end"], LONGEST).withColumn("hit", _dates_at(F.when(begins, F.col("next_word"))))
+    rows = settled(rows.withColumns({"text": F.col("hit.text"), "n": F.col("hit.n")}), key)
+    return merged_words(rows, key, F.col("text"), F.lit(True), {"corrected": F.col("changed")})
