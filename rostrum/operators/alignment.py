@@ -4,42 +4,50 @@ from __future__ import annotations
 
 import difflib
 import re
+from array import array
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 
 def lcs_anchors(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence, letter case ignored; the earliest pairs among equals."""
+    """Index pairs of a longest common subsequence, letter case ignored; the latest pairs among equals.
+
+    Row i of the table has the lengths for the first i words of ``a``; rows are kept as arrays of numbers.
+    """
     x, y = [t.lower() for t in a], [t.lower() for t in b]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(x) and j < len(y):
-        if x[i] == y[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out
+    rows = [array("i", bytes(4 * (len(y) + 1)))]
+    for word in x:
+        above, row = rows[-1], array("i", [0])
+        for j, other in enumerate(y):
+            row.append(above[j] + 1 if word == other else max(above[j + 1], row[j]))
+        rows.append(row)
+    out, j = [], len(y)
+    for i in range(len(x), 0, -1):
+        while j and x[i - 1] != y[j - 1] and rows[i - 1][j] < rows[i][j - 1]:
+            j -= 1
+        if j and x[i - 1] == y[j - 1]:
+            j -= 1
+            out.append((i - 1, j))
+    return out[::-1]
 
 
 def apply_aligned(words: list[str], tokens: list[str]) -> list[str]:
-    """Words with refined tokens: all of them if the numbers agree, else anchors and gaps of equal size only."""
+    """Words with refined tokens: all of them if the numbers agree, else anchors and gaps of equal size only.
+
+    A word of several tokens (a merged name) counts as those; only its first one may replace it.
+    """
     if len(words) == len(tokens):
         return list(tokens)
-    out = list(words)
-    i = j = 0
-    for x, y in [*lcs_anchors(words, tokens), (len(words), len(tokens))]:
-        if x - i == y - j:
-            out[i:x] = tokens[j:y]
-        if x < len(words):
-            out[x] = tokens[y]
-        i, j = x + 1, y + 1
+    spelled = [(i, k, t) for i, w in enumerate(words) for k, t in enumerate(w.split())]
+    out, a, b = list(words), 0, 0
+    for x, y in [*lcs_anchors([t for *_, t in spelled], tokens), (len(spelled), len(tokens))]:
+        gap = range(x - a) if x - a == y - b else ()
+        for at, to in [*((a + k, b + k) for k in gap), *([(x, y)] if x < len(spelled) else [])]:
+            i, k, t = spelled[at]
+            if k == 0 and t != tokens[to]:
+                out[i] = tokens[to]
+        a, b = x + 1, y + 1
     return out
 
 

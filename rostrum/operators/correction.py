@@ -1,209 +1,93 @@
-"""Entity correction walks over whole texts and over word streams, with a dictionary broadcast to the tasks.
+"""Entity correction over whole texts and over word streams.
 
-Both walks are sequential (what a match consumes decides what is tried next), so they run grouped by
-transcript. The dictionary is small by nature; its size is checked before it is broadcast.
+Every window of a few tokens is a span; the distinct spans are matched by the joins of ``dictionary.chain``,
+whatever the dictionary's size, and joined back. What overlaps is then settled from left to right.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from ..functions import textfn as T
+from .dictionary import chain
+from .spans import ahead, merged_words, settled
 
-from ..functions.textfn import PHONETIC
+#: Fixed value: what a token of a text is.
+TOKEN = r"[A-Za-zÀ-ÿ'\-]+"
 
-TOKEN = re.compile(r"[A-Za-zÀ-ÿ'\-]+")
-STRATEGIES = ("exact", "fused", "initials", "phonetic", "fuzzy", "component")
 
+def _matched(windows: DataFrame, keys: DataFrame, blocked: DataFrame | None, evidence: bool) -> DataFrame:
+    """``windows`` (with span) that the dictionary knows, with canonical, confidence and strategy."""
+    spans = windows.select("span").distinct().withColumn("span_id", F.col("span"))
+    found = chain(spans, keys, blocked, evidence).withColumnRenamed("span_id", "span")
+    return windows.join(found, "span")
 
-def fuse(text: str) -> str:
-    return re.sub(r"[\s\-']", "", text).lower()
 
+def correct_stream(
+    words: DataFrame, key: str, order: list[str], keys: DataFrame, least: float = 0.90, widest: int = 3,
+    stop: tuple[str, ...] = (), blocked: DataFrame | None = None, evidence: bool = False,
+) -> DataFrame:
+    """Words (key, order, word, start, end) with corrected runs merged: first word's start, last word's end.
 
-def phonetic(text: str) -> str:
-    out = fuse(text)
-    for pattern, to in PHONETIC:
-        out = re.sub(pattern, to.replace("$1", r"\1"), out)
-    return out
-
-
-def distance(a: str, b: str, most: int) -> int:
-    """Edit distance, or most + 1 when it is larger."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        left, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
-        if min(row) > most:
-            return most + 1
-    return row[-1]
-
-
-@dataclass
-class Dictionary:
-    """Names with their lookup maps; ``blocked`` tokens never match approximately."""
-
-    names: list[str]
-    aliases: dict[str, str] = field(default_factory=dict)
-    blocked: frozenset[str] = frozenset()
-
-    def __post_init__(self):
-        self.key: dict[str, str] = {}
-        for text, name in [*((n, n) for n in self.names), *self.aliases.items()]:
-            self.key.setdefault(text.lower(), name)
-        self.fused: dict[str, str] = {}
-        self.phonetic: dict[str, str] = {}
-        self.initials: dict[str, str] = {}
-        self.parts: dict[str, set[str]] = {}
-        self.by_length: dict[int, list[str]] = {}
-        for k, name in self.key.items():
-            self.fused.setdefault(fuse(k), name)
-            self.phonetic.setdefault(phonetic(k), name)
-            self.by_length.setdefault(len(k), []).append(k)
-            for part in k.split():
-                self.parts.setdefault(part, set()).add(name)
-        for name in self.names:
-            letters = "".join(w[0] for w in name.lower().split())
-            if len(letters) > 1:
-                self.initials.setdefault(letters, name)
-
-    def match(self, span: str) -> tuple[str, float, str] | None:
-        """(name, confidence, strategy) of the first strategy that hits; under four letters only exact or fused."""
-        low = span.lower()
-        if low in self.key:
-            return self.key[low], 1.0, "exact"
-        if (f := fuse(span)) in self.fused:
-            return self.fused[f], 0.98, "fused"
-        if len(span) < 4:
-            return None
-        if (i := fuse(span.replace(".", ""))) in self.initials:
-            return self.initials[i], 0.95, "initials"
-        if low in self.blocked:
-            return None
-        if (p := phonetic(span)) in self.phonetic:
-            return self.phonetic[p], 0.90, "phonetic"
-        most = 1 if len(low) <= 4 else 2 if len(low) <= 7 else 3 if len(low) <= 11 else 4
-        best = None
-        for n in range(len(low) - most, len(low) + most + 1):
-            for k in self.by_length.get(n, ()):
-                d = distance(low, k, most)
-                if 0 < d <= most and (best is None or d < best[0]):
-                    best = (d, self.key[k])
-        if best:
-            return best[1], max(0.70, 1 - 0.12 * best[0]), "fuzzy"
-        if " " not in low and len(low) >= 6 and len(own := self.parts.get(low, set())) == 1:
-            return next(iter(own)), 0.80, "component"
-        return None
-
-
-def correct_text(text: str, d: Dictionary, least: float = 0.85, widest: int = 4) -> list[tuple[int, int, str, float, str]]:
-    """(start, end, name, confidence, strategy) of the corrections of a text.
-
-    At each token, windows of ``widest`` down to one token are tried; a strictly greater confidence wins,
-    so the longer of equals stays. A window that spells its name already consumes its tokens, drops what
-    longer windows offered and corrects nothing.
+    At each word the longest window accepted wins, and its words are passed. Stop words and words under
+    three letters begin none. A single word may only become up to two. ``keys`` has key, canonical, load.
     """
-    tokens = [m.span() for m in TOKEN.finditer(text)]
-    out, i = [], 0
-    while i < len(tokens):
-        best = None
-        for n in range(min(widest, len(tokens) - i), 0, -1):
-            lo, hi = tokens[i][0], tokens[i + n - 1][1]
-            hit = d.match(text[lo:hi])
-            if hit is None:
-                continue
-            if text[lo:hi] == hit[0]:
-                best = (n, None)
-                break
-            if hit[1] >= least and (best is None or hit[1] > best[1][3]):
-                best = (n, (lo, hi, *hit))
-        if best and best[1]:
-            out.append(best[1])
-        i += best[0] if best else 1
-    return out
-
-
-def correct_words(words: list[str], d: Dictionary, least: float = 0.90, widest: int = 3, stop: frozenset[str] = frozenset()) -> list[tuple[int, int, str, float, str]]:
-    """(first, end, name, confidence, strategy) over words: the first accepted window wins, longest first.
-
-    Stop words and words under three letters are skipped. A single word may only become up to two.
+    bare = F.regexp_replace("word", T.U + r"^[^\w]+|[^\w]+$", "")
+    rows = ahead(words.withColumn("bare", bare), key, order, ["bare", "word", "end"], widest)
+    begins = (F.length("bare") >= 3) & ~F.coalesce(F.lower("bare").isin(*stop), F.lit(False))
+    sizes = rows.where(begins).select(key, "at", "next_bare", F.explode(F.sequence(F.lit(1), F.size("next_bare"))).alias("n"))
+    windows = sizes.select(key, "at", "n", F.array_join(F.slice("next_bare", 1, F.col("n")), " ").alias("span"))
+    short = (F.col("n") > 1) | (F.size(F.split("canonical", " ")) <= 2)
+    hits = _matched(windows, keys, blocked, evidence).where((F.col("confidence") >= least) & short)
+    best = hits.groupBy(key, "at").agg(F.max_by(F.struct("n", "span", "canonical", "confidence", "strategy"), "n").alias("b")).select(key, "at", "b.*")
+    rows = settled(rows.join(best, [key, "at"], "left"), key)
+    changed = F.col("span") != F.col("canonical")
+    tail = F.regexp_extract(F.get("next_word", F.col("n") - 1), r"[.?!]?$", 0)
+    extra = {"strategy": F.when(F.col("changed"), F.col("strategy"))}
+    return merged_words(rows, key, F.concat("canonical", tail), changed, extra)
+
+
+def correct_documents(
+    docs: DataFrame, id_: str, text: str, keys: DataFrame, least: float = 0.85, widest: int = 4,
+    blocked: DataFrame | None = None, evidence: bool = False,
+) -> DataFrame:
+    """id, corrected text and corrections of every document; null texts stay null without corrections.
+
+    At each token the most confident window wins, the longer of equals. A window that spells its name
+    already passes its tokens and corrects nothing. ``id_`` names a key without repeats.
     """
-    bare = [re.sub(r"^[^\w]+|[^\w]+$", "", w) for w in words]
-    out, i = [], 0
-    while i < len(words):
-        taken = 1
-        if len(bare[i]) >= 3 and bare[i].lower() not in stop:
-            for n in range(min(widest, len(words) - i), 0, -1):
-                span = " ".join(bare[i : i + n])
-                hit = d.match(span)
-                if hit and hit[1] >= least and (n > 1 or len(hit[0].split()) <= 2):
-                    taken = n
-                    if span != hit[0]:
-                        out.append((i, i + n, *hit))
-                    break
-        i += taken
-    return out
-
-
-def corrected(text: str, found: list[tuple[int, int, str, float, str]]) -> str:
-    for lo, hi, name, *_ in reversed(found):
-        text = text[:lo] + name + text[hi:]
-    return text
-
-
-def broadcast_dictionary(names: DataFrame, aliases: DataFrame | None = None, blocked: DataFrame | None = None, most: int = 200_000):
-    """Names (canonical, load), aliases (alias, canonical) and blocked (token) as a broadcast Dictionary.
-
-    More than ``most`` of any of them is an error: match them by the joins of ``operators.dictionary`` instead.
-    """
-
-    def whole(df: DataFrame | None, what: str) -> list:
-        found = df.limit(most + 1).collect() if df is not None else []
-        if len(found) > most:
-            raise ValueError(f"more than {most} {what}: use the joins of operators.dictionary")
-        return found
-
-    rows = whole(names.orderBy("load"), "names")
-    more = {r.alias: r.canonical for r in whole(aliases, "aliases")}
-    stop = frozenset(r.token.lower() for r in whole(blocked, "blocked tokens"))
-    return names.sparkSession.sparkContext.broadcast(Dictionary([r.canonical for r in rows], more, stop))
-
-
-def correct_documents(docs: DataFrame, id_: str, text: str, dictionary, least: float = 0.85) -> DataFrame:
-    """id, corrected text and corrections of every document; null texts stay null without corrections."""
-    kind = "array<struct<start:int,end:int,canonical:string,confidence:double,strategy:string>>"
-
-    def run(frames):
-        d = dictionary.value
-        for f in frames:
-            found = [correct_text(t, d, least) if t else [] for t in f[text]]
-            f["corrected"] = [corrected(t, x) if t else t for t, x in zip(f[text], found)]
-            f["corrections"] = [[dict(zip(("start", "end", "canonical", "confidence", "strategy"), c)) for c in x] for x in found]
-            yield f[[id_, "corrected", "corrections"]]
-
-    return docs.select(id_, text).mapInPandas(run, f"{id_} long, corrected string, corrections {kind}")
-
-
-def correct_stream(words: DataFrame, key: str, order: list[str], dictionary, least: float = 0.90) -> DataFrame:
-    """Words (key, order, word, start, end) with corrected runs merged: first word's start, last word's end."""
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order).reset_index(drop=True)
-        given, made, done = rows["word"].tolist(), [], 0
-        start, end = rows["start"].tolist(), rows["end"].tolist()
-        for lo, hi, name, _, strategy in [*correct_words(given, dictionary.value, least), (len(given), len(given), None, 0, None)]:
-            made += [(given[i], start[i], end[i], None) for i in range(done, lo)]
-            if name is not None:
-                tail = re.search(r"[.?!]?$", given[hi - 1])[0]
-                made.append((name + tail, start[lo], end[hi - 1], strategy))
-            done = hi
-        out = pd.DataFrame(made, columns=["word", "start", "end", "strategy"])
-        out.insert(0, key, rows[key].iloc[0])
-        out.insert(1, "pos", range(len(out)))
-        return out
-
-    return words.groupBy(key).applyInPandas(walk, f"{key} long, pos int, word string, start double, end double, strategy string")
+    given = docs.select(F.col(id_).alias("id"), F.col(text).alias("text"))
+    parts = given.select(
+        "id", F.split("text", TOKEN, -1).alias("gaps"), F.posexplode(F.arrays_zip(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("token"), F.slice(F.split("text", TOKEN, -1), 2, 2**30).alias("gap")))
+    )
+    parts = parts.select("id", F.col("pos"), F.get("gaps", F.lit(0)).alias("lead"), F.col("col.token").alias("token"), F.col("col.gap").alias("gap"))
+    per = Window.partitionBy("id").orderBy("pos")
+    upto = F.coalesce(F.sum(F.length("token") + F.length("gap")).over(per.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("from", F.when(F.col("pos") == 0, F.length("lead")).otherwise(F.lit(0)) + upto)
+    rows = ahead(parts, "id", ["pos"], ["token", "gap"], widest)
+    rows = rows.withColumn("shift", F.length(F.first("lead").over(per)))
+    sizes = rows.select("id", "at", "next_token", "next_gap", F.explode(F.sequence(F.lit(1), F.size("next_token"))).alias("n"))
+    span = F.expr("array_join(transform(sequence(1, n), k -> if(k < n, concat(next_token[k - 1], next_gap[k - 1]), next_token[k - 1])), '')")
+    hits = _matched(sizes.select("id", "at", "n", span.alias("span")), keys, blocked, evidence)
+    offer = F.struct("n", "span", "canonical", "confidence", "strategy")
+    same, good = F.col("span") == F.col("canonical"), F.col("confidence") >= least
+    best = hits.where(same | good).groupBy("id", "at").agg(
+        F.max_by(F.when(same, offer), F.when(same, F.col("n"))).alias("own"), F.max_by(F.when(good, offer), F.when(good, F.struct("confidence", "n"))).alias("other")
+    ).select("id", "at", F.coalesce("own", "other").alias("b")).select("id", "at", "b.*")
+    rows = settled(rows.join(best, ["id", "at"], "left"), "id")
+    rows = rows.withColumn("changed", F.coalesce(F.col("taken") & (F.col("span") != F.col("canonical")), F.lit(False)))
+    by_place = Window.partitionBy("id").orderBy("at")
+    gone = F.max(F.when(F.col("changed"), F.col("at") + F.col("n") - 1)).over(by_place.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("at")
+    rows = rows.withColumn("gone", F.coalesce(gone, F.lit(False))).where("not gone")
+    piece = F.when(F.col("changed"), F.concat("canonical", F.get("next_gap", F.col("n") - 1))).otherwise(F.concat("token", "gap"))
+    begin = F.when(F.col("at") == 1, F.lit(0)).otherwise(F.col("shift")) + F.col("from")
+    made = F.struct(begin.cast("int").alias("start"), (begin + F.length("span")).cast("int").alias("end"), "canonical", "confidence", "strategy")
+    done = rows.groupBy("id").agg(
+        F.sort_array(F.collect_list(F.struct("at", piece.alias("piece")))).alias("pieces"), F.first("lead").alias("lead"),
+        F.sort_array(F.collect_list(F.when(F.col("changed"), made))).alias("corrections"),
+    )
+    text_ = F.concat("lead", F.array_join(F.transform("pieces", lambda p: p["piece"]), ""))
+    out = given.join(done.select("id", text_.alias("made"), "corrections"), "id", "left")
+    none = F.array().cast("array<struct<start:int,end:int,canonical:string,confidence:double,strategy:string>>")
+    return out.select(F.col("id").alias(id_), F.coalesce("made", "text").alias("corrected"), F.coalesce("corrections", none).alias("corrections"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import textfn as T
+from .spans import ahead
 
 
 def key_map(records: DataFrame, aliases: DataFrame, key) -> DataFrame:
@@ -36,13 +37,19 @@ def fused(spans: DataFrame, keys: DataFrame) -> DataFrame:
     return spans.join(k, T.fuse("span") == F.col("fkey")).select("span_id", "canonical", F.lit(0.98).alias("confidence"), F.lit("fused").alias("strategy"))
 
 
-def phonetic(spans: DataFrame, keys: DataFrame, least_key: int = 4, least_similarity: float = 0.6) -> DataFrame:
-    """Equal phonetic keys, scored by similarity, key length and fan-out (how many names share the key)."""
+def phonetic(spans: DataFrame, keys: DataFrame, evidence: bool = True, least_key: int = 4, least_similarity: float = 0.6) -> DataFrame:
+    """Equal phonetic keys, scored by similarity, key length and fan-out (how many names share the key).
+
+    Without ``evidence`` the first key loaded wins with a flat 0.90.
+    """
     k = keys.select(T.phonetic_key("key").alias("pkey"), "key", "canonical", "load")
+    s = spans.select("span_id", "span", T.phonetic_key("span").alias("pkey"))
+    if not evidence:
+        first = k.groupBy("pkey").agg(F.min_by("canonical", F.struct("load", "key")).alias("canonical"))
+        return s.join(first, "pkey").select("span_id", "canonical", F.lit(0.90).alias("confidence"), F.lit("phonetic").alias("strategy"))
     fan = k.groupBy("pkey").agg(F.countDistinct("canonical").alias("fanout"))
-    s = spans.select("span_id", "span", T.phonetic_key("span").alias("pkey")).where(F.length("pkey") >= least_key)
-    hit = s.join(k, "pkey").join(fan, "pkey").withColumn("sim", T.similarity(T.fuse("span"), T.fuse("key"))).where(F.col("sim") >= least_similarity)
-    hit = hit.withColumn("confidence", phonetic_score(F.col("sim"), F.length("pkey"), F.col("fanout")))
+    hit = s.where(F.length("pkey") >= least_key).join(k, "pkey").join(fan, "pkey").withColumn("sim", T.similarity(T.fuse("span"), T.fuse("key")))
+    hit = hit.where(F.col("sim") >= least_similarity).withColumn("confidence", phonetic_score(F.col("sim"), F.length("pkey"), F.col("fanout")))
     best = hit.groupBy("span_id").agg(F.min(F.struct((-F.col("confidence")).alias("neg"), "load", "canonical")).alias("b"))
     return best.select("span_id", F.col("b.canonical").alias("canonical"), (-F.col("b.neg")).alias("confidence"), F.lit("phonetic").alias("strategy"))
 
@@ -53,29 +60,71 @@ def phonetic_score(similarity, key_length, fanout):
 
 
 def most_distance(length):
-    """Allowed edit distance by the span's length."""
+    """Allowed edit distance by the span's length, without bounds on the relative distance."""
     return F.when(length <= 4, 1).when(length <= 7, 2).when(length <= 11, 3).otherwise(4)
 
 
-def fuzzy(spans: DataFrame, keys: DataFrame, bounded: bool = False) -> DataFrame:
-    """Nearest key by edit distance (not 0), ties to the lowest load position, then the name.
+def distance_ceiling(length):
+    """Allowed edit distance by the span's length, where the relative distance is bounded too."""
+    return F.when(length <= 3, 0).when(length <= 6, 1).when(length <= 11, 2).otherwise(3)
+
+
+def fuzzy_score(relative):
+    """Evidence of a bounded match: it falls with the distance relative to the span's length."""
+    return T.clamp(0.92 - F.greatest(F.lit(0.0), relative), 0.55, 0.92)
+
 
-    Blocked by length: a span meets only keys within its allowed distance of its length, by an equi-join on
-    the length, so no all-pairs join is planned.
+def legacy_fuzzy_score(distance):
+    return F.greatest(F.lit(0.70), 1 - 0.12 * distance)
+
+
+def near_keys(spans: DataFrame, keys: DataFrame, bounded: bool = False) -> DataFrame:
+    """(span_id, span, key, canonical, load, d): every key within the edit distance that its span's length allows, but 0.
+
+    A key cut into most + 1 pieces has one piece untouched by ``most`` edits, which then stands in the span
+    at a place that the edits before and after it allow. So spans and keys meet by equi-joins on a piece, its
+    number and the key's length; no span meets all keys of its length. Distinct spans are matched once.
     """
-    s = spans.select("span_id", F.lower("span").alias("span")).where(F.length("span") >= 4)
-    most = most_distance(F.length("span")) if not bounded else most_distance(F.length("span")) - 1
-    s = s.withColumn("most", most).withColumn("len", F.explode(F.sequence(F.length("span") - F.col("most"), F.length("span") + F.col("most"))))
-    k = keys.select("key", "canonical", "load", F.length("key").alias("len"))
-    hit = s.join(k, "len").withColumn("d", F.levenshtein("span", "key", 4)).where((F.col("d") > 0) & (F.col("d") <= F.col("most")))
+    limit = distance_ceiling if bounded else most_distance
+    k = keys.select("key", "canonical", "load", F.length("key").alias("len"), F.explode(F.array(*map(F.lit, range(1, 5)))).alias("most"))
+    cut = {
+        "size": "len div (most + 1) + if(piece > most - len % (most + 1), 1, 0)",
+        "begin": "piece * (len div (most + 1)) + greatest(0, piece - (most + 1 - len % (most + 1)))",
+    }
+    k = k.withColumn("piece", F.explode(F.expr("sequence(0, most)"))).withColumns({c: F.expr(e) for c, e in cut.items()})
+    k = k.select("most", "len", "piece", F.expr("substring(key, begin + 1, size)").alias("part"), "key", "canonical", "load")
+    s = spans.select(F.lower("span").alias("low")).where(F.length("low") >= 4).distinct()
+    s = s.withColumns({"n": F.length("low"), "most": limit(F.length("low"))}).where("most > 0")
+    s = s.withColumn("len", F.explode(F.expr("sequence(n - most, n + most)"))).withColumn("piece", F.explode(F.expr("sequence(0, most)")))
+    s = s.withColumns({"lo": F.expr("greatest(-piece, n - len - (most - piece))"), "hi": F.expr("least(piece, n - len + most - piece)")}).where("lo <= hi")
+    s = s.withColumns({c: F.expr(e) for c, e in cut.items()}).withColumn("shift", F.explode(F.expr("sequence(lo, hi)")))
+    s = s.where("begin + shift >= 0 and begin + shift + size <= n").select("low", "most", "len", "piece", F.expr("substring(low, begin + shift + 1, size)").alias("part"))
+    hit = s.distinct().join(k, ["most", "len", "piece", "part"]).withColumn("d", F.levenshtein("low", "key", 4)).where("d > 0 and d <= most")
     if bounded:
-        hit = hit.where(F.col("d") / F.greatest(F.length("span"), F.length("key")) <= 0.25)
-    best = hit.groupBy("span_id").agg(F.min(F.struct("d", "load", "canonical", "key")).alias("b"), F.max(F.length("span")).alias("n"))
-    relative = F.col("b.d") / F.greatest(F.col("n"), F.length("b.key"))
-    score = T.clamp(0.92 - relative, 0.0, 1.0) if bounded else F.greatest(F.lit(0.70), 1 - 0.12 * F.col("b.d"))
+        hit = hit.where(F.col("d") / F.length("low") <= 0.25)
+    hit = hit.select("low", "key", "canonical", "load", "d").distinct()
+    return spans.select("span_id", "span", F.lower("span").alias("low")).join(hit, "low").drop("low")
+
+
+def fuzzy(spans: DataFrame, keys: DataFrame, bounded: bool = False) -> DataFrame:
+    """Nearest key by edit distance (not 0), ties to the lowest load position, then the name."""
+    best = near_keys(spans, keys, bounded).groupBy("span_id").agg(F.min(F.struct("d", "load", "canonical", "key")).alias("b"), F.max(F.length("span")).alias("n"))
+    score = fuzzy_score(F.col("b.d") / F.col("n")) if bounded else legacy_fuzzy_score(F.col("b.d"))
     return best.select("span_id", F.col("b.canonical").alias("canonical"), score.alias("confidence"), F.lit("fuzzy").alias("strategy"))
 
 
+def substring(spans: DataFrame, keys: DataFrame, least: int = 6) -> DataFrame:
+    """Names whose key contains the span's text of at least ``least`` characters; the first name loaded wins.
+
+    Spans meet keys by their first ``least`` characters, which must stand somewhere in the key.
+    """
+    grams = F.transform(F.sequence(F.lit(1), F.length("key") - least + 1), lambda i: F.substring("key", i, F.lit(least)))
+    k = keys.where(F.length("key") >= least).select(F.explode(F.array_distinct(grams)).alias("gram"), "key", "canonical", "load")
+    s = spans.select("span_id", F.lower("span").alias("low")).where(F.length("low") >= least).withColumn("gram", F.substring("low", 1, least))
+    hit = s.join(k, "gram").where(F.col("key").contains(F.col("low"))).groupBy("span_id").agg(F.min_by("canonical", F.struct("load", "canonical")).alias("canonical"))
+    return hit.select("span_id", "canonical", F.lit(0.80).alias("confidence"), F.lit("substring").alias("strategy"))
+
+
 def component(spans: DataFrame, keys: DataFrame) -> DataFrame:
     """Single words of at least six characters that are a whole part of exactly one name."""
     parts = keys.select(F.explode(F.split("key", " ")).alias("part"), "canonical").where(F.length("part") >= 6)
@@ -91,26 +140,68 @@ def initials_match(spans: DataFrame, keys: DataFrame) -> DataFrame:
     return spans.join(made, T.fuse(F.regexp_replace("span", r"\.", "")) == F.col("k")).select("span_id", "canonical", F.lit(0.95).alias("confidence"), F.lit("initials").alias("strategy"))
 
 
-RANKS = {"exact": 0, "fused": 1, "initials": 2, "phonetic": 3, "fuzzy": 4, "component": 5}
+RANKS = {"exact": 0, "fused": 1, "initials": 2, "phonetic": 3, "fuzzy": 4, "component": 5, "substring": 6}
 
 
-def chain(spans: DataFrame, keys: DataFrame) -> DataFrame:
-    """First hit by strategy order; later strategies only see spans that earlier ones left over.
+def chain(spans: DataFrame, keys: DataFrame, blocked: DataFrame | None = None, evidence: bool = True) -> DataFrame:
+    """First hit by strategy order for each span (span_id, span); the first hit ends the chain, whatever its confidence.
 
-    Spans under four characters only match exactly or fused. The first hit ends the chain, whatever its
-    confidence, so thresholds come after.
+    Spans under four characters only match exactly or fused, and so do ``blocked`` ones (token) but for
+    initials. With ``evidence`` approximate hits are scored and bounded by evidence, and a word that is
+    part of one name only stands for it; without, scores are flat and a name that contains the text does.
+    The equi-joins of the first strategies see all spans; the dearer ones only what those left over.
     """
-    found = None
-    rest = spans
-    for strategy in (exact, fused, initials_match, phonetic, fuzzy, component):
-        if strategy is initials_match:
-            rest = rest.where(F.length("span") >= 4)
-        hit = strategy(rest, keys)
-        found = hit if found is None else found.unionByName(hit)
-        rest = rest.join(hit.select("span_id"), "span_id", "left_anti")
+    long = spans.where(F.length("span") >= 4)
+    loose = long
+    if blocked is not None:
+        loose = long.join(blocked.select(F.lower("token").alias("token")).distinct(), F.lower("span") == F.col("token"), "left_anti")
     order = F.create_map(*(F.lit(x) for kv in RANKS.items() for x in kv))
-    best = found.groupBy("span_id").agg(F.min_by(F.struct("canonical", "confidence", "strategy"), order[F.col("strategy")]).alias("b"))
-    return best.select("span_id", "b.*")
+
+    def first(found: DataFrame) -> DataFrame:
+        pick = F.min_by(F.struct("canonical", "confidence", "strategy"), order[F.col("strategy")])
+        return found.groupBy("span_id").agg(pick.alias("b")).select("span_id", "b.*")
+
+    cheap = exact(spans, keys).unionByName(fused(spans, keys)).unionByName(initials_match(long, keys)).unionByName(phonetic(loose, keys, evidence))
+    cheap = first(cheap)
+    rest = loose.join(cheap, "span_id", "left_anti")
+    dear = fuzzy(rest, keys, evidence).unionByName(component(rest, keys) if evidence else substring(rest, keys))
+    return cheap.unionByName(first(dear))
+
+
+def title_person(words: DataFrame, key: str, order: list[str], titles: tuple[str, ...], keys: DataFrame, kinds: DataFrame, stop: tuple[str, ...] = (), least: float = 0.65) -> DataFrame:
+    """The person named after a title: (key, at, n, canonical, confidence, strategy), at counting words from 1.
+
+    Of the three, two or one words after a title word, the longest that the chain takes for a person with
+    ``least`` confidence; one stop word, or more that end in one, are passed over. Else the first word alone:
+    a person's surname (0.90, the first loaded), then its phonetic key, then a near name. ``kinds`` has
+    canonical, kind and load.
+    """
+    bare = F.regexp_replace("word", T.U + r"^[^\w]+|[^\w]+$", "")
+    rows = ahead(words.withColumn("bare", bare), key, order, ["bare"], 4).where(F.lower("bare").isin(*titles) & (F.size("next_bare") > 1))
+    names = rows.select(key, (F.col("at") + 1).alias("at"), F.slice("next_bare", 2, 3).alias("name"))
+    sizes = names.withColumn("n", F.explode(F.sequence(F.lit(1), F.size("name"))))
+    stops = F.coalesce(F.lower(F.get("name", F.col("n") - 1)).isin(*stop), F.lit(False))
+    windows = sizes.where(~stops).select(key, "at", "n", F.array_join(F.slice("name", 1, F.col("n")), " ").alias("span"))
+    persons = kinds.where("kind = 'person'").select("canonical").distinct()
+
+    def by_text(rows: DataFrame, match) -> DataFrame:
+        spans = rows.select("span").distinct().withColumn("span_id", F.col("span"))
+        found = match(spans).withColumnRenamed("span_id", "span").where(F.col("confidence") >= least)
+        return rows.join(found.join(persons, "canonical", "left_semi"), "span")
+
+    # the chain's longest window first, then what the first word alone gives
+    rank = F.create_map(F.lit("title_person"), F.lit(1), F.lit("phonetic"), F.lit(2), F.lit("fuzzy"), F.lit(3))
+    whole = by_text(windows, lambda spans: chain(spans, keys)).withColumn("rank", F.lit(0))
+    alone = names.select(key, "at", F.lit(1).alias("n"), F.get("name", F.lit(0)).alias("span"))
+    own = kinds.where("kind = 'person'").select(F.lower(F.element_at(F.split("canonical", " "), -1)).alias("surname"), "canonical", "load")
+    own = own.groupBy("surname").agg(F.min_by("canonical", F.struct("load", "canonical")).alias("canonical"))
+    by_surname = alone.join(own, F.lower("span") == F.col("surname")).withColumns({"confidence": F.lit(0.90), "strategy": F.lit("title_person")})
+    near = by_text(alone, lambda spans: phonetic(spans, keys).unionByName(fuzzy(spans, keys, bounded=True)))
+    columns = [key, "at", "n", "canonical", "confidence", "strategy"]
+    rest = by_surname.select(*columns).unionByName(near.select(*columns)).withColumn("rank", rank[F.col("strategy")])
+    every = whole.select(*columns, "rank").unionByName(rest)
+    pick = F.min_by(F.struct("n", "canonical", "confidence", "strategy"), F.struct("rank", -F.col("n")))
+    return every.groupBy(key, "at").agg(pick.alias("b")).select(key, "at", "b.*")
 
 
 def trigram_search(queries: DataFrame, names: DataFrame, least: float = 0.3, most: int = 50) -> DataFrame:
