@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -149,3 +150,111 @@ def circuit_states(stream: DataFrame, key: str, open_after: int = 5, open_s: flo
 def hourly_turns(stream: DataFrame, at: str, late: str = "10 minutes") -> DataFrame:
     """Extension: event-time counts per hour with a watermark for late rows."""
     return stream.withWatermark(at, late).groupBy(F.window(at, "1 hour").alias("hour"), "event_type").agg(F.count("*").alias("n"))
+
+
+class Snapshot:
+    """The last good state of a static side, read anew at most every ``every_s`` seconds; a failed read keeps it.
+
+    ``load`` gives a DataFrame; it is tried by running it, and what it gave last stands until it works again.
+    """
+
+    def __init__(self, load: Callable[[], DataFrame], every_s: float = 300.0, clock: Callable[[], float] = time.monotonic):
+        self.load, self.every_s, self.clock = load, every_s, clock
+        self.good: DataFrame | None = None
+        self.at, self.failures = float("-inf"), 0
+
+    def current(self) -> DataFrame:
+        if self.clock() - self.at >= self.every_s:
+            self.at = self.clock()
+            try:
+                fresh = self.load()
+                fresh.limit(1).collect()
+                self.good, self.failures = fresh, 0
+            except Exception:
+                self.failures += 1
+                if self.good is None:
+                    raise
+        return self.good
+
+
+def enriched_stream(stream: DataFrame, snapshot: Snapshot, key: str, deliver, checkpoint: str) -> StreamingQuery:
+    """Each micro-batch joined to the snapshot that is current then goes to ``deliver(rows, batch)``."""
+    apply = lambda rows, batch: deliver(rows.join(snapshot.current(), key, "left"), batch)
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def retention_loop(ticks: DataFrame, table: VersionedTable, at: str, keep_s: float, most: int, checkpoint: str) -> StreamingQuery:
+    """At every tick (column now, seconds) drops the oldest rows that are older than ``keep_s``, at most ``most`` of them."""
+
+    def apply(rows: DataFrame, batch: int) -> None:
+        now = rows.agg(F.max("now")).first()[0]
+        have = table.read(before=batch)
+        if now is not None:
+            ids = have.columns
+            gone = have.where(F.col(at) < now - keep_s).orderBy(at, *ids).limit(most)
+            have = have.join(gone, ids, "left_anti")
+        table.write(have, batch)
+
+    return ticks.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def retried(stream: DataFrame, key: str, most: int = 3, first_s: float = 1.0) -> DataFrame:
+    """Outcomes (key, at seconds, ok) of attempts to what comes next: done, retry (at due) or given up.
+
+    The wait doubles with each failure. A timer on event time fires once a retry is due and emits it, so an
+    attempt is asked for again even when nothing more arrives for its key. ``stream`` has a watermark on
+    the timestamp column ``seen``.
+    """
+
+    def walk(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            fails, due = state.get
+            state.update((fails, -1.0))  # asked for; the state stays for the next outcome
+            yield pd.DataFrame([(group[0], fails + 1, "due", due)], columns=[key, "attempt", "what", "due"])
+            return
+        fails, due = state.get if state.exists else (0, -1.0)
+        out = []
+        for at, ok in pd.concat(list(frames)).sort_values("at", kind="stable")[["at", "ok"]].itertuples(index=False):
+            fails = 0 if ok else fails + 1
+            what = "done" if ok else "retry" if fails < most else "given up"
+            due = at + first_s * 2 ** (fails - 1) if what == "retry" else -1.0
+            out.append((group[0], fails + (what == "done"), what, due))
+        if due < 0:
+            state.remove()
+        else:
+            state.update((fails, due))
+            state.setTimeoutTimestamp(max(int(1000 * due), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[key, "attempt", "what", "due"])
+
+    return stream.groupBy(key).applyInPandasWithState(
+        walk, f"{key} long, attempt int, what string, due double", "fails int, due double", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def refined(chunks: DataFrame, key: str, text: str, call: Callable[[str], str], at_once: int = 4, timeout_s: float = 30.0) -> DataFrame:
+    """key, refined text and status (ok, failed or timeout) of each chunk by an outside model.
+
+    A task has at most ``at_once`` calls under way. A call that fails or is late leaves its chunk as it is; late
+    ones are not waited for. Null texts are not sent.
+    """
+    names = [key, "refined", "status"]
+
+    def run(frames):
+        from concurrent.futures import ThreadPoolExecutor, TimeoutError
+
+        for f in frames:
+            pool = ThreadPoolExecutor(at_once)
+            waiting = [pool.submit(call, t) if t is not None else None for t in f[text]]
+            out = []
+            for k, t, job in zip(f[key], f[text], waiting):
+                try:
+                    out.append((k, job.result(timeout_s) if job else None, "ok"))
+                except TimeoutError:
+                    job.cancel()
+                    out.append((k, t, "timeout"))
+                except Exception:
+                    out.append((k, t, "failed"))
+            pool.shutdown(wait=False, cancel_futures=True)
+            yield pd.DataFrame(out, columns=names)
+
+    return chunks.select(F.col(key).cast("long").alias(key), text).mapInPandas(run, f"{key} long, refined string, status string")
