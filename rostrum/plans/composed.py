@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import textfn as T
 from ..operators.walks import balanced_batches
+from ..operators.spans import ahead
 from ..registry import query, table
 from .analytics import latest
 from .sequences import ASR, low_segments, words
@@ -53,17 +54,12 @@ def u5_distinct_array(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.size(given).cast("long").alias("n"))
 
 
-@query("SELECT item_id AS id, upper(text) = text AS all_upper FROM benchmark WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
-def w6_all_uppercase_span(spark, sf_dir):
-    return _all_upper(table(spark, sf_dir, "benchmark").where(~F.col("text").rlike(r"[^\x00-\x7F]")))
-
-
 def _all_upper(rows):
     return rows.select(F.col("item_id").alias("id"), F.forall(F.split("text", " "), lambda w: F.upper(w) == w).alias("all_upper"))
 
 
 @query("SELECT item_id AS id, upper(text) = text AS all_upper FROM benchmark")
-def w6_all_uppercase_span_whole(spark, sf_dir):
+def w6_all_uppercase_span(spark, sf_dir):
     return _all_upper(table(spark, sf_dir, "benchmark"))
 
 
@@ -83,21 +79,28 @@ def r26_record_summary(spark, sf_dir):
     return own.where((F.col("n") <= 4) | F.array_contains(places, F.col("pos"))).select("conv_id", "turn")
 
 
-@query("SELECT o_orderkey AS id, 'all time' AS period FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 25")
+@query(
+    """
+    SELECT * FROM (SELECT 'order' AS scope, o_orderkey AS id, count(*) OVER () AS scope_total, 'the whole registry' AS period FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 25)
+    UNION ALL SELECT * FROM (SELECT 'event', event_id, count(*) OVER (), 'the whole registry' FROM events ORDER BY ts DESC, event_id DESC LIMIT 25)
+    """
+)
 def r27_recent_activity_tool(spark, sf_dir):
-    """A recent period without rows falls back to all time, and says so."""
+    """The newest rows of each scope with its total; a recent period without rows falls back to all, and says so."""
     from ..functions.periods import resolve
 
-    rows = table(spark, sf_dir, "orders")
+    scopes = {"order": ("orders", "o_orderkey", "o_orderdate"), "event": ("events", "event_id", "ts")}
 
-    def within(period: str) -> DataFrame:
+    def within(period: str):
         lo, hi, label = resolve(period, as_of="2030-01-01")
-        found = rows
-        if lo:
-            found = found.where(F.col("o_orderdate") >= F.lit(lo))
-        if hi:
-            found = found.where(F.col("o_orderdate") < F.lit(hi))
-        return found.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(25).select(F.col("o_orderkey").alias("id"), F.lit(label).alias("period"))
+        out = None
+        for scope, (name, id_, at) in scopes.items():
+            found = table(spark, sf_dir, name).where((F.col(at) >= F.lit(lo)) & (F.col(at) < F.lit(hi))).select(F.col(id_).alias("id"), F.col(at).alias("at"))
+            total = found.agg(F.count("*").alias("scope_total"))  # one row, before the limit
+            top = found.orderBy(F.desc("at"), F.desc("id")).limit(25).crossJoin(F.broadcast(total))
+            rows = top.select(F.lit(scope).alias("scope"), "id", "scope_total", F.lit(label).alias("period"))
+            out = rows if out is None else out.unionByName(rows)
+        return out
 
     recent = within("recent")
     return recent if recent.limit(1).count() else within("all")
@@ -178,17 +181,24 @@ def e25_provider_profiles(spark, sf_dir):
     return asked.join(F.broadcast(profiles), ["provider", "gate"], "left").select("id", "gate", F.coalesce("active", F.lit(False)).alias("active"))
 
 
-@query("SELECT item_id AS id, list_slice(w, 2, 3) = ['x', 'y'] AS aligned, list_slice(w, 1, 2)[1] = w[1] AS starts FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark) WHERE len(w) > 2")
+@query(
+    """
+    SELECT id, CASE WHEN same = n THEN lowest END AS confidence, same = n AS aligned FROM
+    (SELECT s.event_id AS id, s.n, count(*) FILTER (WHERE w.word = s.w[w.rn - s.rn + 1]) AS same, min(w.c) AS lowest FROM
+     (SELECT event_id, user_id, rn, CASE WHEN last % 3 = 0 THEN ['other', b] WHEN b IS NULL THEN [a] ELSE [a, b] END AS w, CASE WHEN last % 3 = 0 OR b IS NOT NULL THEN 2 ELSE 1 END AS n FROM
+      (SELECT event_id, user_id, event_type AS a, lead(event_type) OVER u AS b, row_number() OVER u AS rn, floor(value)::BIGINT AS last FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id))) s
+     LEFT JOIN (SELECT user_id, event_type AS word, value / 100 AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) w ON w.user_id = s.user_id AND w.rn BETWEEN s.rn AND s.rn + s.n - 1 GROUP BY 1, 2)
+    """
+)
 def e24_span_alignment(spark, sf_dir):
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.split("text", " ").alias("w")).where(F.size("w") > 2)
-    return rows.select(F.col("item_id").alias("id"), (F.slice("w", 2, 2) == F.array(F.lit("x"), F.lit("y"))).alias("aligned"), (F.slice("w", 1, 2)[0] == F.col("w")[0]).alias("starts"))
-
-
-@query("SELECT q, id FROM (SELECT lower(n_name) AS q, n_nationkey::BIGINT AS id, row_number() OVER (ORDER BY n_nationkey) AS rn FROM nation WHERE n_nationkey % 2 = 0) WHERE rn <= 10")
-def e29_fallback_lookup(spark, sf_dir):
-    names = _nations(spark, sf_dir)
-    asked = names.where("id % 2 = 0").select(F.col("key").alias("q"), F.col("id").alias("pos"))
-    return asked.join(names, F.col("q") == F.col("key")).orderBy("pos").limit(10).select("q", "id")
+    """Spans of two tokens against the words at their place; the lowest confidence where all agree, else unknown."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.col("event_type").alias("word"), (F.col("value") / 100).alias("c"), F.floor("value").alias("f"))
+    rows = ahead(e, "user_id", ["ts", "event_id"], ["word", "c"], 2)
+    first = F.when(F.col("f") % 3 == 0, F.lit("other")).otherwise(F.get("next_word", F.lit(0)))
+    said = F.concat(F.array(first), F.when((F.col("f") % 3 == 0) & (F.size("next_word") < 2), F.array(F.lit(None).cast("string"))).otherwise(F.slice("next_word", 2, 1)))
+    same = said == F.col("next_word")
+    aligned = F.coalesce(same, F.lit(False))
+    return rows.select(F.col("event_id").alias("id"), F.when(aligned, F.array_min("next_c")).alias("confidence"), aligned.alias("aligned"))
 
 
 def _nations(spark, sf_dir):
@@ -196,7 +206,7 @@ def _nations(spark, sf_dir):
 
 
 @query("SELECT lower(n_name) AS q, n_nationkey::BIGINT AS id FROM nation UNION ALL SELECT lower(r_name), n_nationkey::BIGINT FROM region JOIN nation ON lower(r_name) = lower(n_name)")
-def e29_fallback_lookup_whole(spark, sf_dir):
+def e29_fallback_lookup(spark, sf_dir):
     """Every nation and every region is asked for; what is no nation finds nothing."""
     names = _nations(spark, sf_dir)
     asked = names.select(F.col("key").alias("q")).unionByName(table(spark, sf_dir, "region").select(F.lower("r_name").alias("q")))
@@ -213,11 +223,11 @@ def t2_retry_backoff(spark, sf_dir):
 @query(
     """
     SELECT id, missing FROM (SELECT c_custkey AS id, 0::BIGINT AS missing FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
-    UNION ALL SELECT conv_id, count(*) FROM conversations WHERE turn % 3 = 0 GROUP BY 1) ORDER BY missing = 0 DESC, missing DESC, id LIMIT 50
+    UNION ALL SELECT conv_id, count(*) FROM conversations WHERE role = 'assistant' GROUP BY 1) ORDER BY missing = 0 DESC, missing DESC, id LIMIT 50
     """
 )
 def t3_reconcile(spark, sf_dir):
-    return _lacking(spark, sf_dir, "turn % 3 = 0").orderBy((F.col("missing") == 0).desc(), F.desc("missing"), "id").limit(50)
+    return _lacking(spark, sf_dir, "role = 'assistant'").orderBy((F.col("missing") == 0).desc(), F.desc("missing"), "id").limit(50)
 
 
 @query("SELECT c_custkey AS id, 0::BIGINT AS missing FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT conv_id, count(*) FROM conversations WHERE role = 'assistant' GROUP BY 1")

@@ -5,10 +5,13 @@ supplier, nation and part names stand in for the dictionary; spans are the same
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import textfn as T
 from ..operators import dictionary as D
+from ..operators import evidence, gates
+from ..operators.correction import correct_documents, correct_stream
 from ..registry import query, table
 
 
@@ -64,14 +67,53 @@ def e3_e4_fused(spark, sf_dir):
     return D.fused(spans(spark, sf_dir), keys(spark, sf_dir))
 
 
-@query()
+def initials_sql(spans, names):
+    """Spans against (key, canonical, load) by initials; names of one word have none."""
+    return f"""
+    SELECT span_id, canonical, 0.95::DOUBLE AS confidence, 'initials' AS strategy FROM {spans}
+    JOIN (SELECT k, arg_min(canonical, (load, canonical)) AS canonical FROM (SELECT lower(array_to_string(list_transform(string_split(canonical, ' '), lambda w: w[1]), '')) AS k, canonical, load FROM {names}) WHERE length(k) >= 2 GROUP BY 1)
+    ON lower(regexp_replace(replace(span, '.', ''), '[\\s\\-'']', '', 'g')) = k
+    """
+
+
+PART_NAMES_SQL = "(SELECT lower(p_name) AS key, p_name AS canonical, p_partkey AS load FROM part)"
+
+
+@query(initials_sql("(SELECT p_partkey AS span_id, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1])), '.') AS span FROM part)", PART_NAMES_SQL))
 def e5_initials(spark, sf_dir):
     names = table(spark, sf_dir, "part").select(F.lower("p_name").alias("key"), F.col("p_name").alias("canonical"), F.col("p_partkey").alias("load"))
     asked = names.select(F.col("load").alias("span_id"), F.array_join(F.transform(F.split("canonical", " "), lambda w: F.upper(F.substring(w, 1, 1))), ".").alias("span"))
     return D.initials_match(asked, names)
 
 
-@query()
+def fused_sql(x):
+    return f"lower(regexp_replace({x}, '[\\s\\-'']', '', 'g'))"
+
+
+def phonetic_sql(x):
+    """The phonetic key in DuckDB, whose patterns have no look-ahead and no back-reference: runs of a letter are dropped place by place."""
+    out = f"replace({fused_sql(x)}, 'ph', 'f')"
+    for _ in range(2):  # a gh that is not at the end; twice for those that touch
+        out = f"regexp_replace({out}, 'gh(.)', 'g\\1', 'g')"
+    out = f"replace({out}, 'ck', 'k')"
+    out = f"regexp_replace(regexp_replace({out}, 'ei|ey', 'e', 'g'), 'ou|oo', 'u', 'g')"
+    for a, b in (("aa", "a"), ("ee", "e"), ("ii", "i")):
+        out = f"replace({out}, '{a}', '{b}')"
+    return f"array_to_string(list_transform([{out}], lambda z: array_to_string(list_transform(range(1, length(z) + 1), lambda i: CASE WHEN i > 1 AND z[i] = z[i - 1] THEN '' ELSE z[i] END), '')), '')"
+
+
+def phonetic_match_sql(spans, keys):
+    return f"""
+    SELECT span_id, arg_min(canonical, (-score, load, canonical)) AS canonical, round(max(score), 9) AS confidence, 'phonetic' AS strategy FROM
+    (SELECT span_id, canonical, load, greatest(0.55, least(0.92, CASE WHEN fanout >= 5 THEN least(0.749, raw) ELSE raw END))::DOUBLE AS score FROM
+     (SELECT *, 0.55 + 0.27 * sim + 0.10 * least(length(pkey), 12) / 12 - 0.30 * least(fanout - 1, 10) / 10 AS raw FROM
+      (SELECT s.span_id, k.canonical, k.load, k.pkey, f.fanout, 1 - levenshtein({fused_sql("s.span")}, {fused_sql("k.key")})::DOUBLE / greatest(length({fused_sql("s.span")}), length({fused_sql("k.key")})) AS sim
+       FROM (SELECT *, {phonetic_sql("span")} AS pkey FROM {spans}) s JOIN (SELECT *, {phonetic_sql("key")} AS pkey FROM {keys}) k ON s.pkey = k.pkey AND length(s.pkey) >= 4
+       JOIN (SELECT {phonetic_sql("key")} AS pkey, count(DISTINCT canonical) AS fanout FROM {keys} GROUP BY 1) f ON f.pkey = k.pkey) WHERE sim >= 0.6)) GROUP BY 1
+    """
+
+
+@query(phonetic_match_sql(SPANS_SQL, KEYS_SQL))
 def e6_phonetic(spark, sf_dir):
     return D.phonetic(spans(spark, sf_dir), keys(spark, sf_dir)).withColumn("confidence", F.round("confidence", 9))
 
@@ -88,18 +130,28 @@ def e7_fuzzy(spark, sf_dir):
     return D.fuzzy(spans(spark, sf_dir), keys(spark, sf_dir)).withColumn("confidence", F.round("confidence", 9))
 
 
-@query(
-    f"""
-    SELECT span_id, canonical, round(0.92 - d::DOUBLE / greatest(n, length(key)), 9) AS confidence, 'fuzzy' AS strategy FROM
+def bounded_sql(spans, keys):
+    return f"""
+    SELECT span_id, canonical, round(greatest(0.55, least(0.92, 0.92 - d::DOUBLE / n)), 9)::DOUBLE AS confidence, 'fuzzy' AS strategy FROM
     (SELECT span_id, length(span) AS n, canonical, key, d, row_number() OVER (PARTITION BY span_id ORDER BY d, load, canonical) AS rn FROM
-     (SELECT span_id, span, canonical, key, load, levenshtein(lower(span), key)::BIGINT AS d, CASE WHEN length(span) <= 4 THEN 0 WHEN length(span) <= 7 THEN 1 WHEN length(span) <= 11 THEN 2 ELSE 3 END AS most
-      FROM {SPANS_SQL}, {KEYS_SQL} WHERE length(span) >= 4) WHERE d > 0 AND d <= most AND d::DOUBLE / greatest(length(span), length(key)) <= 0.25) WHERE rn = 1
+     (SELECT span_id, span, canonical, key, load, levenshtein(lower(span), key)::BIGINT AS d, CASE WHEN length(span) <= 3 THEN 0 WHEN length(span) <= 6 THEN 1 WHEN length(span) <= 11 THEN 2 ELSE 3 END AS most
+      FROM {spans}, {keys} WHERE length(span) >= 4) WHERE d > 0 AND d <= most AND d::DOUBLE / length(span) <= 0.25) WHERE rn = 1
     """
-)
+
+
+@query(bounded_sql(SPANS_SQL, KEYS_SQL))
 def e8_fuzzy_bounded(spark, sf_dir):
     return D.fuzzy(spans(spark, sf_dir), keys(spark, sf_dir), bounded=True).withColumn("confidence", F.round("confidence", 9))
 
 
+@query(
+    f"SELECT span_id, key, d FROM (SELECT span_id, key, levenshtein(lower(span), key)::BIGINT AS d, CASE WHEN length(span) <= 4 THEN 1 WHEN length(span) <= 7 THEN 2 WHEN length(span) <= 11 THEN 3 ELSE 4 END AS most FROM {SPANS_SQL}, {KEYS_SQL} WHERE length(span) >= 4) WHERE d > 0 AND d <= most"
+)
+def u6_near_candidates(spark, sf_dir):
+    """Candidates by length and distance at once: no bucket of equal lengths and no tree is walked."""
+    return D.near_keys(spans(spark, sf_dir), keys(spark, sf_dir)).select("span_id", "key", F.col("d").cast("long").alias("d"))
+
+
 COMPONENT_SQL = """
     SELECT span_id, canonical, 0.80::DOUBLE AS confidence, 'component' AS strategy FROM (SELECT c_custkey AS span_id, CASE WHEN c_nationkey < 12 THEN c_name ELSE c_mktsegment END AS span FROM customer)
     JOIN (SELECT part, min(canonical) AS canonical FROM (SELECT unnest(string_split(lower(c_name || ' ' || c_mktsegment), ' ')) AS part, c_name || ' ' || c_mktsegment AS canonical FROM customer) WHERE length(part) >= 6 GROUP BY 1 HAVING count(DISTINCT canonical) = 1) ON lower(span) = part
@@ -116,15 +168,106 @@ def e9_component(spark, sf_dir):
 
 @query("SELECT s_suppkey AS id, arg_min(n_name, n_nationkey) AS canonical FROM supplier JOIN nation ON contains(lower(n_name), 'nation_' || (s_suppkey % 3)) GROUP BY 1")
 def e10_substring(spark, sf_dir):
-    """A name that contains the text, the lowest load position first (the dictionary side has 25 rows)."""
-    asked = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("nation_"), F.col("s_suppkey") % 3).alias("text"))
-    names = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
-    return asked.join(names, F.lower("n_name").contains(F.col("text"))).groupBy("id").agg(F.min_by("n_name", "n_nationkey").alias("canonical"))
+    """A name that contains the text, the lowest load position first."""
+    asked = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("span_id"), F.concat(F.lit("nation_"), F.col("s_suppkey") % 3).alias("span"))
+    names = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("key"), F.col("n_name").alias("canonical"), F.col("n_nationkey").alias("load"))
+    return D.substring(asked, names).select(F.col("span_id").alias("id"), "canonical")
+
+
+CHAIN_SQL = f"""
+    WITH s AS {SPANS_SQL}, k AS {KEYS_SQL}, b AS (SELECT 'unknown thing' AS token),
+    loose AS (SELECT * FROM s WHERE length(span) >= 4 AND lower(span) NOT IN (SELECT token FROM b)),
+    cheap AS (SELECT span_id, arg_min(struct_pack(canonical := canonical, confidence := confidence, strategy := strategy), r) AS h FROM (
+      SELECT span_id, canonical, 1.0::DOUBLE AS confidence, 'exact' AS strategy, 0 AS r FROM s JOIN k ON lower(span) = key
+      UNION ALL SELECT span_id, canonical, 0.98::DOUBLE, 'fused', 1 FROM s JOIN (SELECT {fused_sql("key")} AS fkey, arg_min(canonical, load) AS canonical FROM k GROUP BY 1) ON {fused_sql("span")} = fkey
+      UNION ALL SELECT *, 2 FROM ({initials_sql("(SELECT * FROM s WHERE length(span) >= 4)", "k")}) UNION ALL SELECT *, 3 FROM ({phonetic_match_sql("loose", "k")})) GROUP BY 1),
+    rest AS (SELECT * FROM loose WHERE span_id NOT IN (SELECT span_id FROM cheap)),
+    dear AS (SELECT span_id, struct_pack(canonical := canonical, confidence := confidence, strategy := strategy) AS h FROM ({bounded_sql("rest", "k")}))
+    SELECT span_id, h.canonical AS canonical, round(h.confidence, 9) AS confidence, h.strategy AS strategy FROM (SELECT * FROM cheap UNION ALL SELECT * FROM dear)
+"""
 
 
-@query()
+@query(CHAIN_SQL)  # no supplier's name has a part of six characters of its own that is not the whole name
 def e11_strategy_chain(spark, sf_dir):
-    return D.chain(spans(spark, sf_dir), keys(spark, sf_dir)).withColumn("confidence", F.round("confidence", 9))
+    blocked = spark.createDataFrame([("Unknown thing",)], "token string")
+    return D.chain(spans(spark, sf_dir), keys(spark, sf_dir), blocked).withColumn("confidence", F.round("confidence", 9))
+
+
+WORDS_SQL = "(SELECT event_id, user_id, ts, CASE event_type WHEN 'view' THEN 'member' WHEN 'error' THEN 'for' ELSE event_type END AS word, CASE WHEN user_id % 2 = 0 THEN (value > 30)::VARCHAR END AS speaker, value / 100 AS heard FROM events)"
+
+
+def _heard(spark, sf_dir):
+    """events as words: some users' words have speakers, others none."""
+    word = F.when(F.col("event_type") == "view", "member").when(F.col("event_type") == "error", "for").otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", "user_id", "ts", word.alias("word"), F.when(F.col("user_id") % 2 == 0, (F.col("value") > 30).cast("string")).alias("speaker"),
+        (F.col("value") / 100).alias("heard"), F.lit(False).alias("capital"),
+    )
+
+
+def _signals(spark, sf_dir, reach):
+    words = _heard(spark, sf_dir)
+    at = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    one = words.select("event_id", "user_id", at.alias("at"), F.lit(1).alias("n"))
+    seats = spark.createDataFrame([("signup", "Signup", 0), ("signup purchase", "Signup Purchase", 1)], "key string, canonical string, load int")
+    return gates.context_signals(words, "user_id", ["ts", "event_id"], one, ("click",), seats, reach=reach)
+
+
+SIGNALS_SQL = f"""
+    SELECT event_id, user_id, word, heard, coalesce(before = 'click', false) OR CASE WHEN speaker IS NULL THEN near_m > 0 OR near_1 + near_2 > own ELSE turn_m > 0 OR turn_1 + turn_2 > own_turn END AS signal FROM
+    (SELECT *, sum(m) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) AS near_m, sum(one) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near_1,
+       sum(two) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) AS near_2, one + two + coalesce(lag(two) OVER w, 0) AS own,
+       one + two * same + coalesce(lag(two * same) OVER w, 0) AS own_turn,
+       sum(m * same) OVER (PARTITION BY user_id, turn) AS turn_m, sum(one) OVER (PARTITION BY user_id, turn) AS turn_1, sum(two * same) OVER (PARTITION BY user_id, turn) AS turn_2 FROM
+     (SELECT *, coalesce((lead(turn) OVER v = turn)::INT, 0) AS same FROM
+      (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY rn) AS turn FROM
+       (SELECT *, row_number() OVER u AS rn, lag(word) OVER u AS before, coalesce((word = 'member' AND lead(word) OVER u = 'for')::INT, 0) AS m, (word = 'signup')::INT AS one,
+          coalesce((word = 'signup' AND lead(word) OVER u = 'purchase')::INT, 0) AS two, (speaker IS DISTINCT FROM lag(speaker) OVER u)::INT AS f FROM {WORDS_SQL} WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id)))
+      WINDOW v AS (PARTITION BY user_id ORDER BY rn))
+     WINDOW w AS (PARTITION BY user_id ORDER BY rn))
+"""
+
+
+@query(f"SELECT event_id AS id, user_id, signal AS has_context FROM ({SIGNALS_SQL})")
+def e18_e31_context_signal(spark, sf_dir):
+    """Titles, "member for" and constituencies of one or two words in the turn, or in three words to either side."""
+    return _signals(spark, sf_dir, 3).select(F.col("event_id").alias("id"), "user_id", F.col("signal").alias("has_context"))
+
+
+GATED_SQL = f"""
+    SELECT event_id, word, heard, gate, final, gate IS NULL AND final >= 0.5 AS accepted FROM
+    (SELECT *, CASE WHEN heard >= 0.9 THEN 'asr_confidence' WHEN word IN ('for', 'member') AND heard >= 0.6 THEN 'lexicon' WHEN word = 'purchase' THEN 'block_list' WHEN person AND NOT signal THEN 'context'
+       WHEN outside AND heard >= 0.5 AND final < 0.5 THEN 'sitting_scope' END AS gate FROM
+     (SELECT *, CASE WHEN outside THEN greatest(0.0, heard - 0.10) ELSE heard END AS final FROM (SELECT *, word <> 'signup' AS person, word <> 'signup' AND user_id % 5 <> 0 AS outside FROM ({SIGNALS_SQL}))))
+"""
+
+
+def _gated(spark, sf_dir):
+    """Each word as an approximate match of itself, as sure as it was heard; every fifth user is in scope."""
+    rows = _heard(spark, sf_dir).join(_signals(spark, sf_dir, 3).select("event_id", "signal"), "event_id")
+    lexicon = spark.createDataFrame([("for",), ("member",), ("click",)], "token string")
+    texts = rows.select(F.col("word").alias("span_id"), F.col("word").alias("span")).distinct()
+    known = gates.in_lexicon(texts, lexicon, spark.createDataFrame([("click",)], "alias string")).select(F.col("span").alias("word"), "in_lexicon")
+    return gates.decided(
+        rows.join(known, "word").select(
+            "event_id", "word", F.lit(True).alias("approximate"), F.col("heard").alias("span_confidence"), "in_lexicon", (F.col("word") == "purchase").alias("blocked"),
+            (F.col("word") != "signup").alias("person"), "signal", (F.col("user_id") % 5 == 0).alias("in_scope"), F.col("heard").alias("confidence"),
+        ),
+        accept=0.5,
+    )
+
+
+@query(f"SELECT event_id AS id, gate, round(final, 9)::DOUBLE AS confidence, accepted FROM ({GATED_SQL})")
+def e16_e30_gates_in_order(spark, sf_dir):
+    return _gated(spark, sf_dir).select(F.col("event_id").alias("id"), "gate", F.round("final_confidence", 9).alias("confidence"), "accepted")
+
+
+@query(
+    f"SELECT gate, count(*) AS n FROM (SELECT word || (event_id % 50) AS span, arg_min(gate, list_position(['asr_confidence', 'lexicon', 'block_list', 'context', 'sitting_scope'], gate)) AS gate FROM ({GATED_SQL}) WHERE gate IS NOT NULL GROUP BY 1) GROUP BY 1"
+)
+def a11_gate_tally(spark, sf_dir):
+    """A span that several gates reject counts for the earliest gate in their order."""
+    return gates.tally(_gated(spark, sf_dir).select(F.concat("word", F.col("event_id") % 50).alias("span"), "gate"))
 
 
 @query("SELECT event_id AS id, value / 100 >= 0.9 AS blocked, (value / 100 IS NULL OR value / 100 >= 0.6) AND event_type IN ('view', 'click') AS lexicon_blocked FROM events")
@@ -135,16 +278,6 @@ def e16_e17_gates(spark, sf_dir):
     return rows.select(F.col("event_id").alias("id"), (c >= 0.9).alias("blocked"), ((c.isNull() | (c >= 0.6)) & F.coalesce("known", F.lit(False))).alias("lexicon_blocked"))
 
 
-@query("SELECT event_id AS id, user_id, CASE WHEN lag(event_type) OVER w = 'click' OR (lag(event_type, 2) OVER w = 'view' AND lag(event_type) OVER w = 'purchase') THEN true ELSE false END AS has_context FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
-def e18_e31_context_signal(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    one, two = F.lag("event_type").over(w), F.lag("event_type", 2).over(w)
-    signal = F.coalesce((one == "click") | ((two == "view") & (one == "purchase")), F.lit(False))
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", signal.alias("has_context"))
-
-
 @query("SELECT event_id AS id, round(greatest(0, value / 100 - CASE WHEN user_id % 5 = 0 THEN 0 ELSE 0.10 END), 9)::DOUBLE AS confidence, NOT (value / 100 >= 0.5 AND greatest(0, value / 100 - CASE WHEN user_id % 5 = 0 THEN 0 ELSE 0.10 END) < 0.5) AS accepted FROM events")
 def e19_e30_sitting_scope(spark, sf_dir):
     c = F.col("value") / 100
@@ -154,7 +287,8 @@ def e19_e30_sitting_scope(spark, sf_dir):
 
 @query(
     """
-    SELECT s_suppkey AS id, round(greatest(0.55, least(0.92, CASE WHEN f >= 5 THEN least(0.749, raw) ELSE raw END)), 9)::DOUBLE AS phonetic, round(greatest(0.0, least(1.0, 0.92 - sim / 4)), 9)::DOUBLE AS fuzzy, greatest(0.70, 1 - 0.12 * (s_suppkey % 5))::DOUBLE AS legacy FROM
+    SELECT s_suppkey AS id, round(greatest(0.55, least(0.92, CASE WHEN f >= 5 THEN least(0.749, raw) ELSE raw END)), 9)::DOUBLE AS phonetic, round(greatest(0.55, least(0.92, 0.92 - sim / 2)), 9)::DOUBLE AS fuzzy, greatest(0.70, 1 - 0.12 * (s_suppkey % 5))::DOUBLE AS legacy,
+     CASE WHEN s_suppkey % 15 <= 3 THEN 0 WHEN s_suppkey % 15 <= 6 THEN 1 WHEN s_suppkey % 15 <= 11 THEN 2 ELSE 3 END AS ceiling FROM
     (SELECT s_suppkey, f, sim, 0.55 + 0.27 * sim + 0.10 * least(k, 12) / 12 - 0.30 * least(f - 1, 10) / 10 AS raw FROM
      (SELECT s_suppkey, (s_suppkey % 11)::DOUBLE / 10 AS sim, (s_suppkey % 15)::DOUBLE AS k, (1 + s_suppkey % 7)::DOUBLE AS f FROM supplier))
     """
@@ -163,18 +297,46 @@ def e20_e23_scores(spark, sf_dir):
     s = F.col("s_suppkey")
     sim = s % 11 / 10
     return table(spark, sf_dir, "supplier").select(
-        s.alias("id"), F.round(D.phonetic_score(sim, s % 15, 1 + s % 7), 9).alias("phonetic"), F.round(T.clamp(0.92 - sim / 4, 0.0, 1.0), 9).alias("fuzzy"),
-        F.greatest(F.lit(0.70), 1 - 0.12 * (s % 5)).alias("legacy"),
+        s.alias("id"), F.round(D.phonetic_score(sim, s % 15, 1 + s % 7), 9).alias("phonetic"), F.round(D.fuzzy_score(sim / 2), 9).alias("fuzzy"),
+        D.legacy_fuzzy_score(s % 5).alias("legacy"), D.distance_ceiling(s % 15).alias("ceiling"),
     )
 
 
-@query()
+def trigram_sql(x):
+    words = f"list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+    return f"list_distinct(flatten(list_transform({words}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+def similar_sql(asked, names, most):
+    return f"""
+    SELECT q, id, round(similarity, 9) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY similarity DESC, canonical, id) AS rank FROM
+    (SELECT q, id, canonical, max(k::DOUBLE / (nq + nt - k)) AS similarity FROM (SELECT q, id, canonical, len(list_intersect(a.t, b.t)) AS k, len(a.t) AS nq, len(b.t) AS nt
+     FROM (SELECT q, {trigram_sql("q")} AS t FROM {asked}) a, (SELECT id, canonical, {trigram_sql("text")} AS t FROM {names}) b) WHERE k::DOUBLE / (nq + nt - k) > 0.3 GROUP BY 1, 2, 3)) WHERE rank <= {most}
+    """
+
+
+@query(similar_sql("(SELECT replace(n_name, 'NATION', 'NATON') AS q FROM nation)", "(SELECT n_nationkey::BIGINT AS id, n_name AS canonical, n_name AS text FROM nation)", 50))
 def e28_trigram_search(spark, sf_dir):
     asked = table(spark, sf_dir, "nation").select(F.regexp_replace("n_name", "NATION", "NATON").alias("q"))
     names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("canonical"), F.col("n_name").alias("text"))
     return D.trigram_search(asked, names).select("q", "id", F.round("similarity", 9).alias("similarity"), "rank")
 
 
+@query(
+    similar_sql(
+        "(SELECT DISTINCT replace(p_name, 'l', 'll') AS q FROM part)",
+        "(SELECT min(p_partkey) AS id, p_name AS canonical, p_name AS text FROM part GROUP BY 2 UNION ALL SELECT min(p_partkey), p_name, lower(p_type) || ' ' || p_name FROM part GROUP BY p_name, p_type)", 5,
+    )
+)
+def j6_terms_by_similarity(spark, sf_dir):
+    """Query terms meet entities by the trigrams they share, names and aliases alike; five for each term."""
+    p = table(spark, sf_dir, "part")
+    asked = p.select(F.regexp_replace("p_name", "l", "ll").alias("q")).distinct()
+    own = p.groupBy("p_name").agg(F.min("p_partkey").alias("id")).select("id", F.col("p_name").alias("canonical"), F.col("p_name").alias("text"))
+    more = p.groupBy("p_name", "p_type").agg(F.min("p_partkey").alias("id")).select("id", F.col("p_name").alias("canonical"), F.concat(F.lower("p_type"), F.lit(" "), "p_name").alias("text"))
+    return D.trigram_search(asked, own.unionByName(more), most=5).select("q", "id", F.round("similarity", 9).alias("similarity"), "rank")
+
+
 @query("SELECT s_nationkey::BIGINT AS key, count(DISTINCT s_name) AS fanout FROM supplier GROUP BY 1")
 def a19_fanout(spark, sf_dir):
     return table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("key")).agg(F.countDistinct("s_name").alias("fanout"))
@@ -188,32 +350,37 @@ def a10_entity_summary(spark, sf_dir):
     return both.groupBy("name", "kind").agg(F.count("*").alias("mentions"), F.min("pos").alias("first_pos"))
 
 
-@query("SELECT gate, count(*) AS n FROM (SELECT user_id, arg_min(event_type, event_type) AS gate FROM events GROUP BY 1) GROUP BY 1")
-def a11_gate_tally(spark, sf_dir):
-    first = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_type").alias("gate"))
-    return first.groupBy("gate").agg(F.count("*").alias("n"))
-
-
 @query("SELECT user_id, min(greatest(0.0, least(1.0, value / 100))) AS confidence FROM events GROUP BY 1")
 def a12_span_confidence(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min(T.clamp(F.col("value") / 100, 0.0, 1.0)).alias("confidence"))
 
 
-@query("SELECT user_id, event_id AS best FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY round(value, 6) DESC, event_type, event_id) AS rn FROM events) WHERE rn = 1")
+@query(
+    """
+    SELECT user_id, event_id AS best FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY round(value / 100, 1) DESC, event_type <> 'signup', -length(event_type),
+      list_position(['view', 'click', 'signup', 'purchase', 'error'], event_type), event_id) AS rn FROM events) WHERE rn = 1
+    """
+)
 def o17_competing_corrections(spark, sf_dir):
-    key = F.struct((-F.round("value", 6)).alias("neg"), "event_type", "event_id")
+    """By confidence, members of the sitting first, the longer span, the strategy's rank, the name."""
+    ranks = F.create_map(*(F.lit(x) for k, t in enumerate(("view", "click", "signup", "purchase", "error")) for x in (t, k)))
+    key = F.struct((-F.round(F.col("value") / 100, 1)).alias("conf"), (F.col("event_type") != "signup").alias("outside"), (-F.length("event_type")).alias("span"), ranks[F.col("event_type")].alias("strategy"), "event_id")
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("event_id", key).alias("best"))
 
 
-@query("SELECT span_id, d, rank FROM (SELECT span_id, d, row_number() OVER (PARTITION BY span_id ORDER BY d, key) AS rank FROM (SELECT a.n_nationkey::BIGINT AS span_id, b.n_name AS key, levenshtein(a.n_name, b.n_name)::BIGINT AS d FROM nation a, nation b)) WHERE rank <= 3")
+@query(
+    f"""
+    SELECT span_id, arg_min(key, rank) AS key, min(rank)::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY span_id ORDER BY d, load, key) AS rank FROM
+    (SELECT span_id, length(span) AS n, key, load, levenshtein(lower(span), key) AS d, CASE WHEN length(span) <= 4 THEN 1 WHEN length(span) <= 7 THEN 2 WHEN length(span) <= 11 THEN 3 ELSE 4 END AS most FROM {SPANS_SQL}, {KEYS_SQL} WHERE length(span) >= 4)
+    WHERE d > 0 AND d <= most) WHERE rank <= 200 AND d::DOUBLE / n <= 0.25 AND key LIKE '%5' GROUP BY 1
+    """
+)
 def o13_fuzzy_candidates(spark, sf_dir):
-    from pyspark.sql import Window
-
-    n = table(spark, sf_dir, "nation")  # 25 rows, a dictionary against itself
-    a, b = n.alias("a"), F.broadcast(n.alias("b"))
-    pairs = a.crossJoin(b).select(F.col("a.n_nationkey").cast("long").alias("span_id"), F.col("b.n_name").alias("key"), F.levenshtein("a.n_name", "b.n_name").cast("long").alias("d"))
-    at = Window.partitionBy("span_id").orderBy("d", "key")
-    return pairs.withColumn("rank", F.row_number().over(at)).where("rank <= 3").select("span_id", "d", "rank")
+    """Candidates by (distance, load, text), 200 at most, of which the first acceptable one is taken."""
+    near = D.near_keys(spans(spark, sf_dir), keys(spark, sf_dir))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("span_id").orderBy("d", "load", "key"))).where("rank <= 200")
+    fit = ranked.where((F.col("d") / F.length("span") <= 0.25) & F.col("key").endswith("5"))
+    return fit.groupBy("span_id").agg(F.min_by("key", "rank").alias("key"), F.min("rank").alias("rank"))
 
 
 @query("SELECT doc_id, min(turn) AS chunk FROM (SELECT l.doc_id, c.turn FROM (SELECT doc_id, string_split(text, ' ')[1] AS w FROM documents) l JOIN conversations c ON c.conv_id = l.doc_id AND contains(c.text, l.w)) GROUP BY 1")
@@ -230,26 +397,76 @@ def j16_unique_decision(spark, sf_dir):
     return a.join(decisions, ["user_id", "k"]).where("n = 1").select("id", "n")
 
 
-@query("SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'vetoed' ELSE event_type END AS stage FROM events")
-def e26_e27_evidence_grouping(spark, sf_dir):
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 == 0, "vetoed").otherwise(F.col("event_type")).alias("stage"))
+DAMAGED_SQL = "CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN replace(p_name, ' ', '') WHEN 2 THEN replace(p_name, ' ', '-') ELSE upper(p_name) END"
 
 
-@query()
-def e13_text_walk(spark, sf_dir):
-    from ..operators.correction import broadcast_dictionary, correct_documents
+def damaged_parts(spark, sf_dir):
+    """(parts with a damaged name, the keys of all names)."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey") % 4
+    damaged = F.when(k == 0, F.col("p_name")).when(k == 1, F.regexp_replace("p_name", " ", "")).when(k == 2, F.regexp_replace("p_name", " ", "-")).otherwise(F.upper("p_name"))
+    names = p.groupBy("p_name").agg(F.min("p_partkey").alias("load"))
+    return p.withColumn("damaged", damaged), names.select(F.lower("p_name").alias("key"), F.col("p_name").alias("canonical"), "load")
 
-    people = table(spark, sf_dir, "customer")
-    names = people.select(F.initcap("c_mktsegment").alias("canonical")).distinct().withColumn("load", F.col("canonical"))
-    texts = people.select(F.col("c_custkey").alias("id"), F.concat(F.lit("Heard "), F.lower("c_mktsegment"), F.lit(" today.")).alias("text"))
-    out = correct_documents(texts, "id", "text", broadcast_dictionary(names))
+
+@query("SELECT p_partkey AS id, 'Heard: ' || p_name || ', today.' AS corrected, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE 1 END::BIGINT AS n FROM part")
+def e13_text_walk(spark, sf_dir):
+    """Names that lost their space, got a hyphen or capitals are written as the dictionary has them; others stay."""
+    parts, names = damaged_parts(spark, sf_dir)
+    texts = parts.select(F.col("p_partkey").alias("id"), F.concat(F.lit("Heard: "), "damaged", F.lit(", today.")).alias("text"))
+    out = correct_documents(texts, "id", "text", names)
     return out.select("id", "corrected", F.size("corrections").cast("long").alias("n"))
 
 
-@query()
+@query(
+    f"""
+    SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY p_partkey, i) - 1 AS pos, word, p_partkey + i / 10.0::DOUBLE AS start, p_partkey + last / 10.0 + 0.05::DOUBLE AS "end", strategy FROM
+    (SELECT p_size::BIGINT AS user_id, p_partkey, i, word, last, strategy FROM
+     (SELECT *, unnest(w) AS word, unnest(ix) AS i, unnest(lx) AS last, unnest(sx) AS strategy FROM
+      (SELECT p_size, p_partkey,
+         CASE p_partkey % 4 WHEN 0 THEN ['heard', string_split(p_name, ' ')[1], string_split(p_name, ' ')[2]] ELSE ['heard', p_name] END AS w,
+         CASE p_partkey % 4 WHEN 0 THEN [0, 1, 2] ELSE [0, 1] END AS ix, CASE p_partkey % 4 WHEN 0 THEN [0, 1, 2] WHEN 3 THEN [0, 2] ELSE [0, 1] END AS lx,
+         CASE p_partkey % 4 WHEN 0 THEN [NULL, NULL, NULL] WHEN 3 THEN [NULL, 'exact'] ELSE [NULL, 'fused'] END AS sx FROM part)))
+    """
+)
 def e14_word_walk(spark, sf_dir):
-    from ..operators.correction import broadcast_dictionary, correct_stream
+    parts, names = damaged_parts(spark, sf_dir)
+    w = parts.select(F.col("p_size").cast("long").alias("user_id"), "p_partkey", F.posexplode(F.split(F.concat(F.lit("heard "), "damaged"), " ")).alias("i", "word"))
+    start = F.col("p_partkey") + F.col("i") / 10.0
+    return correct_stream(w.withColumns({"start": start, "end": start + 0.05}), "user_id", ["p_partkey", "i"], names).withColumns({"start": F.round("start", 6), "end": F.round("end", 6)})
+
+
+PEOPLE_SQL = "(SELECT c_custkey, substr(md5(c_custkey::VARCHAR), 1, 8) || ' ' || substr(md5((c_custkey // 3)::VARCHAR), 1, 5) AS name, substr(md5((c_custkey // 3)::VARCHAR), 1, 5) AS surname FROM customer)"
+
 
-    names = table(spark, sf_dir, "events").select(F.initcap("event_type").alias("canonical")).distinct().withColumn("load", F.col("canonical"))
-    w = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("word"), F.unix_timestamp("ts").cast("double").alias("start"))
-    return correct_stream(w.withColumn("end", F.col("start") + 1), "user_id", ["ts", "event_id"], broadcast_dictionary(names))
+@query(
+    f"""
+    SELECT c_custkey AS id, 2 AS at, 2 AS n, name AS canonical, 'exact' AS strategy FROM {PEOPLE_SQL} WHERE c_custkey % 3 = 1
+    UNION ALL SELECT c.c_custkey, 2, 1, p.name, 'title_person' FROM {PEOPLE_SQL} c JOIN (SELECT surname, arg_min(name, c_custkey) AS name FROM {PEOPLE_SQL} WHERE c_custkey % 3 > 0 GROUP BY 1) p ON p.surname = c.surname WHERE c_custkey % 3 = 2
+    """
+)
+def e12_e15_title_person(spark, sf_dir):
+    """After a title: a person's whole name, or a surname alone, which is the first person's; a place's name is passed over."""
+    surname = F.substring(F.md5(F.floor(F.col("c_custkey") / 3).cast("string").cast("binary")), 1, 5)
+    first = F.substring(F.md5(F.col("c_custkey").cast("string").cast("binary")), 1, 8)
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat_ws(" ", first, surname).alias("canonical"), (F.col("c_custkey") % 3).alias("k"))
+    kinds = c.select("canonical", F.when(F.col("k") == 0, "place").otherwise("person").alias("kind"), F.col("id").alias("load"))
+    names = c.select(F.lower("canonical").alias("key"), "canonical", F.col("id").alias("load"))
+    said = F.when(F.col("k") == 2, F.element_at(F.split("canonical", " "), -1)).otherwise(F.col("canonical"))
+    words = c.select("id", F.posexplode(F.split(F.concat_ws(" ", F.lit("Hon."), said), " ")).alias("i", "word"))
+    return D.title_person(words, "id", ["i"], ("hon",), names, kinds).select("id", "at", "n", "canonical", "strategy")
+
+
+@query(
+    """
+    SELECT user_id, stage, outcome, count(*) AS n, min(pos) AS first_pos, row_number() OVER (PARTITION BY user_id ORDER BY outcome = 'applied', list_position(['rule', 'year', 'llm'], stage)) AS rank FROM
+    (SELECT user_id, event_id AS pos, CASE WHEN event_type IN ('view', 'click') THEN 'rule' WHEN event_type = 'signup' THEN 'year' ELSE 'llm' END AS stage,
+       CASE WHEN EXISTS (SELECT 1 FROM (SELECT user_id, event_type FROM events WHERE value > 90 GROUP BY 1, 2 HAVING count(*) = 1) v WHERE v.user_id = e.user_id AND v.event_type = e.event_type) THEN 'vetoed' ELSE 'applied' END AS outcome FROM events e) GROUP BY 1, 2, 3
+    """
+)
+def e26_e27_evidence_grouping(spark, sf_dir):
+    """Entries of the three stages in one table; those with exactly one veto of their pair are vetoed and come first."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("original"), "value")
+    stages = {"rule": e.where("original in ('view', 'click')"), "year": e.where("original = 'signup'"), "llm": e.where("original in ('purchase', 'error')")}
+    vetoes = e.where("value > 90").select("user_id", "original")
+    return evidence.grouped(evidence.entries(stages, "user_id", "original", "event_id", vetoes), "user_id")

@@ -85,12 +85,22 @@ def w5_previous_word(spark, sf_dir):
     return words(spark, sf_dir).select(F.col("event_id").alias("id"), F.lag("speaker").over(order()).alias("previous"), (F.row_number().over(order()) == 1).alias("is_first"))
 
 
-@query(f"SELECT event_id AS id, count(*) OVER w AS n, sum(confidence) OVER w >= 0 AS any_known, min(event_id) OVER w AS lowest FROM {WORDS_SQL} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 40 PRECEDING AND 40 FOLLOWING)")
+@query(
+    f"""
+    SELECT event_id AS id, CASE WHEN known THEN count(*) OVER t ELSE count(*) OVER w END AS n, CASE WHEN known THEN min(event_id) OVER t ELSE min(event_id) OVER w END AS lowest FROM
+    (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM
+     (SELECT *, speaker <> 'error' AS known, CASE WHEN speaker IS NOT DISTINCT FROM lag(speaker) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS f FROM {WORDS_SQL}))
+    WINDOW t AS (PARTITION BY user_id, turn), w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 40 PRECEDING AND 40 FOLLOWING)
+    """
+)
 def w7_context_frame(spark, sf_dir):
-    frame = order().rowsBetween(-40, 40)
-    return words(spark, sf_dir).select(
-        F.col("event_id").alias("id"), F.count("*").over(frame).alias("n"), (F.sum("confidence").over(frame) >= 0).alias("any_known"), F.min("event_id").over(frame).alias("lowest")
-    )
+    """The run of words of one speaker around a word, or 40 words to either side where it has no speaker (here: error)."""
+    w = words(spark, sf_dir)
+    flag = F.when(F.col("speaker").eqNullSafe(F.lag("speaker").over(order())), 0).otherwise(1)
+    w = w.withColumn("f", flag).withColumn("turn", F.sum("f").over(order())).withColumn("known", F.col("speaker") != "error")
+    turn, near = Window.partitionBy("user_id", "turn"), order().rowsBetween(-40, 40)
+    pick = lambda c: F.when(F.col("known"), c.over(turn)).otherwise(c.over(near))
+    return w.select(F.col("event_id").alias("id"), pick(F.count("*")).alias("n"), pick(F.min("event_id")).alias("lowest"))
 
 
 @query(f"SELECT event_id AS id, 'w' || (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) AS source_word_id FROM {WORDS_SQL}")
@@ -177,57 +187,82 @@ def j14_merge_by_occurrence(spark, sf_dir):
     return a.join(b, ["user_id", "start", "speaker", "k"]).select("user_id", F.col("event_id").alias("id"), "start")
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 AND len(string_split(text, ' ')) = len(string_split(text, ' ')) THEN upper(text) ELSE text END AS aligned FROM conversations WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
-def r11_equal_length_apply(spark, sf_dir):
-    """Refined tokens replace words one to one where both have the same number; otherwise the words stay."""
-    return _applied(table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"[^\x00-\x7F]")))
-
-
 def _applied(rows):
     own, new = F.split("text", " "), F.split(F.when(F.col("turn") % 2 == 0, F.upper("text")).otherwise(F.concat("text", F.lit(" x"))), " ")
     made = F.when(F.size(own) == F.size(new), F.zip_with(own, new, lambda a, b: F.coalesce(b, a))).otherwise(own)
     return rows.select("conv_id", "turn", F.array_join(made, " ").alias("aligned"))
 
 
-@query()  # DuckDB's upper keeps ß as one letter
-def r11_equal_length_apply_whole(spark, sf_dir):
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN replace(upper(text), 'ẞ', 'SS') ELSE text END AS aligned FROM conversations")  # DuckDB has a capital of ß
+def r11_equal_length_apply(spark, sf_dir):
     return _applied(table(spark, sf_dir, "conversations"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[0-9]{4}') THEN text ELSE upper(text) END AS guarded FROM conversations WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
-def r14_guards(spark, sf_dir):
-    return _guarded(table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"[^\x00-\x7F]")))
-
-
 def _guarded(rows):
     return rows.select("conv_id", "turn", F.when(F.col("text").rlike("[0-9]{4}"), F.col("text")).otherwise(F.upper("text")).alias("guarded"))
 
 
-@query()  # DuckDB's upper keeps ß as one letter
-def r14_guards_whole(spark, sf_dir):
+@query("SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[0-9]{4}') THEN text ELSE replace(upper(text), 'ẞ', 'SS') END AS guarded FROM conversations")
+def r14_guards(spark, sf_dir):
     return _guarded(table(spark, sf_dir, "conversations"))
 
 
-def _spoken(spark, sf_dir):
-    e = words(spark, sf_dir)
-    k = F.col("event_id") % 6
-    spoken = F.when(k == 0, "nineteen").when(k == 1, "ninety").when(k == 2, "two").when(k == 3, "march").when(k == 4, "fifth").otherwise(F.col("speaker"))
-    return e.select("user_id", "ts", "event_id", spoken.alias("word"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+_ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+_DAYS = ["first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth", "eleventh", "twelfth", *(f"{x}th" for x in _ONES[13:]), "twentieth"]
+_DAYS += [*(f"twenty {x}" for x in _DAYS[:9]), "thirtieth", "thirty first"]
+_YEARS = {1990 + k: f"nineteen ninety{' ' + _ONES[k] if k else ''}" for k in range(10)} | {2000: "two thousand"} | {2000 + k: f"two thousand and {_ONES[k]}" for k in range(1, 10)}
+_MONTHS = "January February March April May June July August September October November December".split()
 
 
-@query()
+def spoken_day(day):
+    """A date column in words: "the seventh of July nineteen ninety two"."""
+    days, months = (F.array(*map(F.lit, x)) for x in (_DAYS, _MONTHS))
+    years = F.create_map(*(F.lit(x) for kv in _YEARS.items() for x in kv))
+    return F.concat(F.lit("the "), F.element_at(days, F.day(day)), F.lit(" of "), F.element_at(months, F.month(day)), F.lit(" "), years[F.year(day)])
+
+
+DAY_SQL = "day(o_orderdate) || CASE WHEN day(o_orderdate) IN (11, 12, 13) THEN 'th' WHEN day(o_orderdate) % 10 = 1 THEN 'st' WHEN day(o_orderdate) % 10 = 2 THEN 'nd' WHEN day(o_orderdate) % 10 = 3 THEN 'rd' ELSE 'th' END || ' ' || monthname(o_orderdate) || ' ' || year(o_orderdate)"
+
+
+@query(
+    f"""
+    SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY o_orderkey, i) - 1 AS pos, word, corrected FROM
+    (SELECT o_custkey AS user_id, o_orderkey, unnest([0, 1, 2, 3]) AS i, unnest(['on', 'the', {DAY_SQL}, 'ordered']) AS word, unnest([false, false, true, false]) AS corrected FROM orders)
+    """
+)
 def r16_spoken_dates(spark, sf_dir):
+    """Every customer's order dates as one stream of spoken words."""
     from ..operators.dates import correct_stream
 
-    return correct_stream(_spoken(spark, sf_dir), "user_id", ["ts", "event_id"])
+    said = F.split(F.concat(F.lit("on "), spoken_day(F.col("o_orderdate")), F.lit(" ordered")), " ")
+    w = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), "o_orderkey", F.posexplode(said).alias("i", "word"))
+    w = w.withColumns({"start": F.col("i").cast("double"), "end": F.col("i") + 0.5})
+    return correct_stream(w, "user_id", ["o_orderkey", "i"]).select("user_id", "pos", "word", "corrected")
 
 
-@query()
+@query(f"SELECT o_orderkey AS id, 'It came on the ' || {DAY_SQL} || ' for ' || o_orderpriority AS text FROM orders")
 def r17_spoken_dates_in_text(spark, sf_dir):
     from ..operators.dates import correct_texts
 
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("On the fifth of march nineteen ninety two "), "text").alias("t"))
-    return correct_texts(rows, "t").select("conv_id", "turn", F.col("t").alias("text"))
+    said = F.concat(F.lit("It came  on "), spoken_day(F.col("o_orderdate")), F.lit(" for "), "o_orderpriority")
+    return correct_texts(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), said.alias("text")), "text")
+
+
+#: What is said and what is written, a few for each form and for what is left alone.
+SAID = (
+    ("two thousand and sixteen", "2016"), ("two thousand", "2000"), ("two thousand and then", "2000 then"), ("nineteen ninety two", "1992"), ("nineteen five", "1905"),
+    ("twenty six", "twenty six"), ("twenty sixteen", "2016"), ("nineteen hundred", "nineteen hundred"), ("the nineteen seventies", "the 1970s"), ("nineteen tens", "nineteen tens"),
+    ("19 92", "1992"), ("1 992", "1992"), ("18 92", "18 92"), ("seventh July", "7th July"), ("seventh of July nineteen ninety two", "7th July 1992"), ("five of march", "five of march"),
+    ("june nineteen ninety two", "June 1992"), ("March fifth twenty twenty four", "March 5th, 2024"), ("December twenty first", "December 21st"), ("may five", "May 5th"),
+    ("march thirty two", "march thirty two"), ("3 March 2024", "3rd March, 2024"), ("3 March", "3 March"), ("March 2024", "March 2024"), ("I have three dogs", "I have three dogs"),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{to}')" for k, (_, to) in enumerate(SAID)) + ") t(id, text)")
+def r18_r25_date_forms(spark, sf_dir):
+    from ..operators.dates import correct_texts
+
+    return correct_texts(spark.createDataFrame([(k, said) for k, (said, _) in enumerate(SAID)], "id int, text string"), "text")
 
 
 @query()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import textfn as T
 from ..registry import query, table
+from .matching import phonetic_sql
 
 
 @query("SELECT s_suppkey AS id, lower(regexp_replace(s_name, '[\\s\\-'']', '', 'g')) AS fused FROM supplier")
@@ -13,7 +14,7 @@ def f1_fuse(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), T.fuse("s_name").alias("fused"))
 
 
-@query()
+@query(f"SELECT p_partkey AS id, {phonetic_sql('p_name')} AS key FROM part")
 def f2_phonetic_key(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), T.phonetic_key("p_name").alias("key"))
 
@@ -33,47 +34,30 @@ def f5_clamp(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), T.clamp(F.col("value"), 0.25, 0.75).alias("clamped"))
 
 
-@query("SELECT doc_id AS id, lower(regexp_replace(w, '^[^\\w]+|[^\\w]+$', '', 'g')) AS token FROM (SELECT doc_id, string_split(text, ' ')[1] AS w FROM documents WHERE lang = 'en')")
-def f6_token_normalise(spark, sf_dir):
-    return _first_tokens(table(spark, sf_dir, "documents").where("lang = 'en'"))
-
-
 def _first_tokens(docs):
     return docs.select(F.col("doc_id").alias("id"), T.edge_stripped(F.split("text", " ")[0]).alias("token"))
 
 
 @query("SELECT doc_id AS id, lower(regexp_replace(string_split(text, ' ')[1], '^[^\\p{L}\\p{N}\\p{M}_]+|[^\\p{L}\\p{N}\\p{M}_]+$', '', 'g')) AS token FROM documents")
-def f6_token_normalise_whole(spark, sf_dir):
+def f6_token_normalise(spark, sf_dir):
     return _first_tokens(table(spark, sf_dir, "documents"))
 
 
-@query("SELECT doc_id AS id, md5(regexp_replace(lower(text), '[^\\w'']+', '', 'g')) AS align_md5, md5(trim(regexp_replace(lower(text), '[^\\w]+', ' ', 'g'))) AS passage_md5 FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]')")
-def f7_f8_keys(spark, sf_dir):
-    ascii_only = table(spark, sf_dir, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return _keys(ascii_only)
-
-
 def _keys(docs):
     return docs.select(F.col("doc_id").alias("id"), F.md5(T.align_key("text")).alias("align_md5"), F.md5(T.passage_key("text")).alias("passage_md5"))
 
 
 @query("SELECT doc_id AS id, md5(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\p{M}_'']+', '', 'g')) AS align_md5, md5(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\p{M}_]+', ' ', 'g'))) AS passage_md5 FROM documents")
-def f7_f8_keys_whole(spark, sf_dir):
+def f7_f8_keys(spark, sf_dir):
     return _keys(table(spark, sf_dir, "documents"))
 
 
-@query("SELECT item_id AS id, lower(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '[?.! ]+$', '')) AS question, nullif(trim(regexp_replace(text, '\\s+', ' ', 'g')), '') AS clean FROM benchmark WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
-def f9_f10_questions(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return _questions(items)
-
-
 def _questions(items):
     return items.select(F.col("item_id").alias("id"), T.question_key("text").alias("question"), T.blank_to_null("text").alias("clean"))
 
 
 @query("SELECT item_id AS id, lower(regexp_replace(trim(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g')), '[?.! ]+$', '')) AS question, nullif(trim(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g')), '') AS clean FROM benchmark")
-def f9_f10_questions_whole(spark, sf_dir):
+def f9_f10_questions(spark, sf_dir):
     return _questions(table(spark, sf_dir, "benchmark"))
 
 
@@ -101,6 +85,27 @@ def f13_period_month(spark, sf_dir):
     return table(spark, sf_dir, "orders").where((dates >= F.lit(lo)) & (dates < F.lit(hi))).select(F.col("o_orderkey").alias("id"))
 
 
+#: (period, its range in SQL, its label) as of noon of 15 March 2024, by the rules of periods.
+PERIODS = (
+    ("", "2024-03-08 12:00", "2024-03-15 12:00", "the last 7 days"), (" Recent", "2024-03-08 12:00", "2024-03-15 12:00", "the last 7 days"),
+    ("all time", "1970-01-01 00:00", "2024-03-16 12:00", "the whole registry"), ("Everything", "1970-01-01 00:00", "2024-03-16 12:00", "the whole registry"),
+    ("today", "2024-03-15 00:00", "2024-03-15 12:00", "today"), ("this month", "2024-03-01 00:00", "2024-03-15 12:00", "March 2024"),
+    ("last month", "2024-02-01 00:00", "2024-03-01 00:00", "February 2024"), ("last 10 days", "2024-03-05 12:00", "2024-03-15 12:00", "the last 10 days"),
+    ("2023-12", "2023-12-01 00:00", "2024-01-01 00:00", "December 2023"), ("2024-03", "2024-03-01 00:00", "2024-03-15 12:00", "March 2024"),
+    ("2024-01-02..2024-01-03", "2024-01-02 00:00", "2024-01-04 00:00", "2024-01-02 to 2024-01-03"), ("July 2023", "2023-07-01 00:00", "2023-08-01 00:00", "July 2023"),
+    ("Jan.", "2024-01-01 00:00", "2024-02-01 00:00", "January 2024"), ("february", "2024-02-01 00:00", "2024-03-01 00:00", "February 2024"),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, TIMESTAMP '{lo}', TIMESTAMP '{hi}', '{label}')" for k, (_, lo, hi, label) in enumerate(PERIODS)) + ") t(id, lo, hi, label)")
+def f13_periods(spark, sf_dir):
+    """Every form of a period, as its range and label."""
+    from ..functions.periods import resolve
+
+    rows = [(k, *resolve(asked, "2024-03-15T12:00:00")) for k, (asked, *_) in enumerate(PERIODS)]
+    return spark.createDataFrame(rows, "id int, lo timestamp, hi timestamp, label string")
+
+
 @query("SELECT o_orderkey AS id, CAST(date_trunc('month', o_orderdate) AS DATE)::VARCHAR AS lo, CAST(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH AS DATE)::VARCHAR AS hi FROM orders")
 def f14_month_bounds(spark, sf_dir):
     lo = F.trunc(F.col("o_orderdate").cast("date"), "month")
@@ -199,7 +204,7 @@ def f27_event_hash(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), T.event_id(F.col("event_id").cast("string"), "event_type", F.lit("denied")).alias("event_hash"))
 
 
-@query()
+@query("SELECT event_id AS id, substr(sha256('[{\"key\":\"type\",\"value\":\"' || event_type || '\"},{\"key\":\"user\",\"value\":\"' || user_id || '\"}]'), 1, 16) AS hash FROM events")
 def f28_params_hash(spark, sf_dir):
     params = F.create_map(F.lit("type"), F.col("event_type"), F.lit("user"), F.col("user_id").cast("string"), F.lit("gone"), F.lit(None).cast("string"))
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), T.params_hash(params).alias("hash"))
@@ -242,18 +247,13 @@ def f35_select_winner(spark, sf_dir):
     return rows.groupBy("conv_id").agg(F.max_by("role", F.struct("sc", "role")).alias("winner"), F.max("sc").alias("score"))
 
 
-@query("SELECT item_id AS id, list_aggregate(list_filter(list_transform(string_split(text, ' '), lambda x: trim(x)), lambda x: x <> ''), 'string_agg', ' ') AS flat FROM benchmark WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
-def f37_flatten_segments(spark, sf_dir):
-    return _flat(table(spark, sf_dir, "benchmark").where(~F.col("text").rlike(r"[^\x00-\x7F]")))
-
-
 def _flat(items):
     kept = F.filter(F.transform(F.split("text", " "), lambda x: F.trim(x)), lambda x: x != "")
     return items.select(F.col("item_id").alias("id"), F.array_join(kept, " ").alias("flat"))
 
 
 @query("SELECT item_id AS id, list_aggregate(list_filter(list_transform(string_split(text, ' '), lambda x: trim(x)), lambda x: x <> ''), 'string_agg', ' ') AS flat FROM benchmark")
-def f37_flatten_segments_whole(spark, sf_dir):
+def f37_flatten_segments(spark, sf_dir):
     return _flat(table(spark, sf_dir, "benchmark"))
 
 
@@ -268,14 +268,27 @@ def f40_replaced_word(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.concat(first, F.regexp_extract("text", r"([.?!]?)\z", 1)).alias("word"))
 
 
-@query()
+@query(
+    """
+    SELECT item_id, min(pos)::INT AS pos, arg_min(gram, pos) AS gram FROM
+    (SELECT item_id, unnest(g) AS gram, unnest(range(0, len(g))) AS pos FROM
+     (SELECT item_id, list_filter(list_concat(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])),
+        lambda x: length(x) >= 4 AND NOT regexp_matches(x, '\\d') AND NOT list_contains(['this', 'that', 'with', 'from'], lower(x))) AS g FROM
+      (SELECT item_id, list_filter(list_transform(regexp_split_to_array(text, '[\\s\\p{Z}]+'), lambda x: regexp_replace(x, '^[^\\p{L}\\p{N}\\p{M}_]+|[^\\p{L}\\p{N}\\p{M}_]+$', '', 'g')), lambda x: x <> '') AS w FROM benchmark)))
+    GROUP BY item_id, lower(gram)
+    """
+)
 def f41_candidate_ngrams(spark, sf_dir):
     """One to three word candidates of at least four characters, without digits or stop words, first seen first."""
     words = F.filter(F.transform(F.split("text", T.U + r"\s+"), lambda w: F.regexp_replace(w, T.U + r"^[^\w]+|[^\w]+$", "")), lambda w: w != "")
     rows = table(spark, sf_dir, "benchmark").select("item_id", words.alias("w"))
     n = F.size("w")
+
+    def run_of(k: int):
+        return lambda i: F.array_join(F.slice("w", i, k), " ")
+
     grams = F.concat(
-        *(F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i, k=k: F.array_join(F.slice("w", i, k), " "))).otherwise(F.array().cast("array<string>")) for k in (1, 2, 3))
+        *(F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), run_of(k))).otherwise(F.array().cast("array<string>")) for k in (1, 2, 3))
     )
     kept = F.filter(grams, lambda g: (F.length(g) >= 4) & ~g.rlike(r"\d") & ~F.lower(g).isin("this", "that", "with", "from"))
     seen = rows.select("item_id", F.posexplode(kept).alias("pos", "gram"))
@@ -321,7 +334,7 @@ def p16_json_properties(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), kept["k"].cast("long").alias("k")).where("k is not null")
 
 
-@query()
+@query("SELECT '{\"id\":' || event_id || CASE WHEN event_id % 2 = 0 THEN ',\"stage\":\"' || event_type || '\"' ELSE '' END || '}' AS entry FROM events")
 def p23_omit_nulls(spark, sf_dir):
     entry = F.struct(F.col("event_id").alias("id"), F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("stage"))
     return table(spark, sf_dir, "events").select(F.to_json(entry).alias("entry"))

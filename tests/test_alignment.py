@@ -22,6 +22,19 @@ def test_apply_aligned():
     assert A.apply_aligned("we mett in tema now".split(), "We met in Tema".split()) == "We met in Tema now".split()
 
 
+def test_anchors_among_equals_are_the_latest():
+    assert A.lcs_anchors(["a", "a"], ["a"]) == [(1, 0)]
+    assert A.lcs_anchors(["a"], ["a", "A"]) == [(0, 1)]
+    assert A.lcs_anchors("x a b y".split(), "a z b".split()) == [(1, 0), (2, 2)]
+
+
+def test_apply_aligned_to_merged_words():
+    """A word of several tokens is written at its first one only."""
+    assert A.apply_aligned(["the", "Tema East", "memberr", "spoke"], "The Tema East member spoke".split()) == ["The", "Tema East", "member", "spoke"]
+    assert A.apply_aligned(["so", "tema east", "spoke"], "so Tema East spoke now".split()) == ["so", "Tema", "spoke"]
+    assert A.apply_aligned(["a", "b", "c"], "a x y c".split()) == ["a", "b", "c"]  # gaps of unequal size stay
+
+
 def test_retime():
     words = [("one", 0.0, 1.0), ("two", 1.0, 2.0), ("three", 2.0, 4.0), ("four", 4.0, 5.0)]
     assert A.retime("One two new things, four more", words) == [
