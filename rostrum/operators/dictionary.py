@@ -78,14 +78,14 @@ def legacy_fuzzy_score(distance):
     return F.greatest(F.lit(0.70), 1 - 0.12 * distance)
 
 
-def near_keys(spans: DataFrame, keys: DataFrame, bounded: bool = False) -> DataFrame:
+def near_keys(spans: DataFrame, keys: DataFrame, bounded: bool = False, limit=None) -> DataFrame:
     """(span_id, span, key, canonical, load, d): every key within the edit distance that its span's length allows, but 0.
 
     A key cut into most + 1 pieces has one piece untouched by ``most`` edits, which then stands in the span
     at a place that the edits before and after it allow. So spans and keys meet by equi-joins on a piece, its
     number and the key's length; no span meets all keys of its length. Distinct spans are matched once.
     """
-    limit = distance_ceiling if bounded else most_distance
+    limit = limit or (distance_ceiling if bounded else most_distance)  # 4 at most
     k = keys.select("key", "canonical", "load", F.length("key").alias("len"), F.explode(F.array(*map(F.lit, range(1, 5)))).alias("most"))
     cut = {
         "size": "len div (most + 1) + if(piece > most - len % (most + 1), 1, 0)",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import textfn as T
 from ..operators import dictionary as D
-from ..operators import evidence, gates
+from ..operators import evidence, gates, variants
 from ..operators.correction import correct_documents, correct_stream
 from ..registry import query, table
 
@@ -470,3 +470,62 @@ def e26_e27_evidence_grouping(spark, sf_dir):
     stages = {"rule": e.where("original in ('view', 'click')"), "year": e.where("original = 'signup'"), "llm": e.where("original in ('purchase', 'error')")}
     vetoes = e.where("value > 90").select("user_id", "original")
     return evidence.grouped(evidence.entries(stages, "user_id", "original", "event_id", vetoes), "user_id")
+
+
+NAMES_SQL = "(SELECT lower(p_name) AS key, p_name AS canonical, min(p_partkey) AS load FROM part GROUP BY p_name)"
+ASKED_SQL = "(SELECT p_partkey AS span_id, replace(p_name, 'l', 'll') AS span FROM part)"
+
+
+def _asked(spark, sf_dir):
+    _, names = damaged_parts(spark, sf_dir)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("span_id"), F.regexp_replace("p_name", "l", "ll").alias("span")), names
+
+
+@query(
+    f"""
+    SELECT span_id, arg_min(canonical, (d, load, canonical)) AS canonical, round(greatest(0.70, 1 - 0.12 * min(d)), 9)::DOUBLE AS confidence, 'fuzzy' AS strategy FROM
+    (SELECT span_id, canonical, load, levenshtein(lower(span), key)::BIGINT AS d, CASE WHEN length(span) <= 4 THEN 0 WHEN length(span) <= 5 THEN 1 WHEN length(span) <= 8 THEN 2 WHEN length(span) <= 12 THEN 3 ELSE 4 END AS most
+     FROM {ASKED_SQL}, {NAMES_SQL} WHERE length(span) >= 4 AND lower(span) <> 'olld rod') WHERE d > 0 AND d <= most GROUP BY 1
+    """
+)
+def jv_fuzzy_scan(spark, sf_dir):
+    asked, names = _asked(spark, sf_dir)
+    blocked = spark.createDataFrame([("Olld rod",)], "token string")
+    return variants.fuzzy_scan(asked, names, blocked).withColumn("confidence", F.round("confidence", 9))
+
+
+@query(
+    f"""
+    SELECT span_id, arg_min(canonical, (-length(key), load, canonical)) AS canonical, 0.80::DOUBLE AS confidence, 'substring' AS strategy FROM (SELECT p_partkey AS span_id, 'x' || p_name || ' ' || lower(p_type) AS span FROM part), {NAMES_SQL}
+    WHERE length(span) >= 8 AND length(key) >= 5 AND contains(lower(span), key) AND length(key) >= 0.6 * length(span) GROUP BY 1
+    """
+)
+def jv_contained_key(spark, sf_dir):
+    _, names = damaged_parts(spark, sf_dir)
+    asked = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("span_id"), F.concat(F.lit("x"), "p_name", F.lit(" "), F.lower("p_type")).alias("span"))
+    return variants.contained_key(asked, names)
+
+
+@query(
+    f"""
+    SELECT span_id, canonical, 0.90::DOUBLE AS confidence, 'phonetic' AS strategy FROM (SELECT span_id, arg_min(canonical, (d, load, canonical)) AS canonical, min(d) AS d FROM
+    (SELECT span_id, canonical, load, levenshtein(lower(span), lower(canonical)) AS d FROM {ASKED_SQL}, {NAMES_SQL} WHERE {phonetic_sql("span")} = {phonetic_sql("key")} AND length({phonetic_sql("key")}) >= 4) GROUP BY 1)
+    WHERE d <= ceil(length(canonical) * 0.4)
+    """
+)
+def jv_phonetic_nearest(spark, sf_dir):
+    return variants.phonetic_nearest(*_asked(spark, sf_dir))
+
+
+@query(
+    f"""
+    SELECT p_partkey AS span_id, n.canonical, 0.95::DOUBLE AS confidence, 'initials' AS strategy FROM part JOIN
+    (SELECT substr(key, 1, 1) AS letter, string_split(key, ' ')[2] AS surname, arg_min(canonical, (load, canonical)) AS canonical FROM {NAMES_SQL} GROUP BY 1, 2) n
+    ON n.letter = substr(lower(p_name), 1, 1) AND n.surname = string_split(lower(p_name), ' ')[2]
+    """
+)
+def jv_initials_shapes(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    _, names = damaged_parts(spark, sf_dir)
+    asked = p.select(F.col("p_partkey").alias("span_id"), F.concat(F.upper(F.substring("p_name", 1, 1)), F.lit(". "), F.initcap(F.element_at(F.split("p_name", " "), -1))).alias("span"))
+    return variants.initials_shapes(asked, names)

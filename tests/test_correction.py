@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rostrum.operators import correction, dates, dictionary as D, gates, spans
+from rostrum.operators import correction, dates, dictionary as D, gates, spans, variants
 
 NAMES = ["Prampram", "Kwame Mensah", "Tema", "Tema East", "Samuel Okudzeto", "Afenyo", "Bolgatanga", "Ama Doku"]
 TOKEN = re.compile(correction.TOKEN)
@@ -154,6 +154,22 @@ def test_near_keys_lose_none(spark):
         assert len(got) == len(want) and {(r.span_id, r.key, r.d) for r in got} == want
 
 
+def test_variants(spark):
+    names = spark.createDataFrame([(n.lower(), n, i) for i, n in enumerate(["Jerry John Rawlings", "Ama Tetteh", "Kofi Nana-Tetteh", "Kwesi Tetteh"])], "key string, canonical string, load int")
+
+    def found(match, *texts):
+        asked = spark.createDataFrame([(t, t) for t in texts], "span_id string, span string")
+        return {r.span_id: (r.canonical, round(r.confidence, 2)) for r in match(asked, names).collect()}
+
+    assert found(variants.initials_shapes, "J.J. Rawlings", "j. rawlings", "A. Tetteh", "K. Nana Tetteh", "K. Tetteh", "X. Tetteh", "Tetteh") == {
+        "J.J. Rawlings": ("Jerry John Rawlings", 0.95), "j. rawlings": ("Jerry John Rawlings", 0.95), "A. Tetteh": ("Ama Tetteh", 0.95),
+        "K. Nana Tetteh": ("Kofi Nana-Tetteh", 0.95), "K. Tetteh": ("Kwesi Tetteh", 0.95),
+    }
+    assert found(variants.contained_key, "mr ama tetteh", "honourable mr ama tetteh", "tetteh") == {"mr ama tetteh": ("Ama Tetteh", 0.80)}
+    assert found(variants.fuzzy_scan, "ama tettey", "ama tetteh", "kwessi tettehh") == {"ama tettey": ("Ama Tetteh", 0.88), "kwessi tettehh": ("Kwesi Tetteh", 0.76)}
+    assert found(variants.phonetic_nearest, "Amma Tetteh", "Aama Teeteh") == {"Amma Tetteh": ("Ama Tetteh", 0.90), "Aama Teeteh": ("Ama Tetteh", 0.90)}
+
+
 def test_scores(spark):
     lengths = [3, 4, 6, 7, 11, 12, 40]
     rows = spark.createDataFrame([(n,) for n in lengths], "n int").select(D.distance_ceiling(F.col("n")).alias("c"), D.most_distance(F.col("n")).alias("m"), D.fuzzy_score(F.col("n") / 10).alias("s")).collect()
