@@ -87,18 +87,30 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def salted(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` dealt into 64 salts (column salt) by the hash of their ``by`` columns."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(64)).cast("int"))
+
+
+def held_salts() -> Column:
+    """Aggregate of a key's salted rows: the salts that they hold, as bits."""
+    return F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")
+
+
+def per_salt(per_key: DataFrame) -> DataFrame:
+    """A key's row once for each of its salts, to join with the salted rows; there are never more of those than rows."""
+    each = F.explode(F.expr("filter(sequence(0, 63), i -> getbit(salts, i) = 1)"))
+    return per_key.withColumn("salt", each).drop("salts")
+
+
 def beside_key(rows: DataFrame, key: str, by: list[str], aggregates: dict[str, Column], where: str = "true") -> DataFrame:
     """``rows`` with ``aggregates`` of their key, for keys that meet ``where``; no task has all rows of a key.
 
-    The aggregates are combined before their shuffle. For the join rows are dealt by the hash of their
-    ``by`` columns into 64 salts, and a key's aggregates get one row for each salt that the key's rows
-    hold, so that there are never more of those than rows.
+    The aggregates are combined before their shuffle, and the join deals a key's rows by salts.
     """
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(64)).cast("int"))
-    held = F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")
-    per_key = dealt.groupBy(key).agg(held, *(c.alias(name) for name, c in aggregates.items())).where(where)
-    per_salt = per_key.withColumn("salt", F.explode(F.expr("filter(sequence(0, 63), i -> getbit(salts, i) = 1)")))
-    return dealt.join(per_salt.drop("salts"), [key, "salt"]).drop("salt")
+    dealt = salted(rows, by)
+    per_key = dealt.groupBy(key).agg(held_salts(), *(c.alias(name) for name, c in aggregates.items())).where(where)
+    return dealt.join(per_salt(per_key), [key, "salt"]).drop("salt")
 
 
 U = np.uint64

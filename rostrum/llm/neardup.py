@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, WordHashes, beside_key, drop_saved, drop_since, made_so_far, mix, saved, shingle_set, word_hashes
+from .common import U, WordHashes, beside_key, drop_saved, drop_since, held_salts, made_so_far, mix, per_salt, salted, saved, shingle_set, word_hashes
 from .components import components
 
 #: Cells of the parity marks (2**11, so that the high 11 bits of a hash name one).
@@ -203,7 +203,8 @@ def near_duplicates(
     spark = docs.sparkSession
     sig = saved(signatures(docs, width, bands, rows, seed))
     mark = made_so_far()
-    classes = sig.where("n_shingles > 0").groupBy("set_hash").agg(F.min("node").alias("rep"))
+    dealt = salted(sig.where("n_shingles > 0"), ["node", "text_hash"])  # copies of one text may be a third of all rows
+    classes = dealt.groupBy("set_hash").agg(held_salts(), F.min("node").alias("rep"))
     chosen = classes.select(F.col("rep").alias("node"), F.col("set_hash").alias("own"))
     reps = sig.drop("doc_id").join(chosen, "node").where("set_hash = own").dropDuplicates(["node", "set_hash"])
     members = reps.select(F.explode("bands").alias("key"), F.col("node").alias("rep"), F.col("n_shingles").alias("n"))
@@ -240,8 +241,8 @@ def near_duplicates(
     found = saved(components(links.unionByName(found.select(F.col("node").alias("a"), F.col("comp").alias("b")))))
     drop_since(mark, found)
 
-    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("comp", "rep").alias("comp"))
-    some = sig.where("n_shingles > 0").join(named, "set_hash", "left")
+    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", "salts", F.coalesce("comp", "rep").alias("comp"))
+    some = dealt.join(per_salt(named), ["set_hash", "salt"]).drop("salt")
     none = sig.where("n_shingles = 0").withColumn("comp", F.col("node"))
     out = some.select(*none.columns).unionByName(none)
     named_comp = F.when(F.col("doc_id").isNotNull() & (F.col("comp") < NAMELESS), F.col("comp"))
