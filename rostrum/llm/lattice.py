@@ -26,7 +26,7 @@ from .common import drop_saved, saved
 #: What marks the begin of a word in the pieces.
 MARK = "▁"
 #: A block is closed at so many words, documents or bytes of bags; bytes of a text that are split at once.
-_WORDS, _DOCS, _BAGS, _STRETCH = 1 << 17, 50_000, 8 << 20, 1 << 22
+_WORDS, _DOCS, _BAGS, _STRETCH = 1 << 18, 50_000, 16 << 20, 1 << 22
 _ONE = 1 << 16  # expected counts are summed in such fractions, so that no order of tasks changes them
 _DEALT = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("bag", pa.binary()), ("place", pa.int32()), ("word", pa.binary()), ("n", pa.int64())])
 _DEALT_SQL = "block long, doc_id long, held_out boolean, bag binary, place int, word binary, n long"
@@ -36,16 +36,16 @@ def read_pieces(model_file: str) -> tuple[list[str | int], list[float]]:
     """(pieces, start weights) of a vocabulary; the 256 byte pieces are numbers. Weights are logarithms.
 
     The scores of a unigram vocabulary are log-probabilities. Those of one made by merges are its ranks, which
-    begin as Zipf's weights; bytes then rank last. Pieces that the vocabulary never makes itself are left out.
+    begin as Zipf's weights; bytes and a mark alone then rank last. Longer pieces that no merge makes are left out.
     """
     from sentencepiece import SentencePieceProcessor
 
     sp = SentencePieceProcessor(model_file=model_file)
-    ids = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) and sp.get_score(i) > -1e8]
+    ids = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) and (sp.get_score(i) > -1e8 or sp.id_to_piece(i) == MARK)]
     scores = [sp.get_score(i) for i in ids]
     if all(s == int(s) for s in scores):
-        low = min(scores)
-        scores = [-math.log(2 - (low if sp.is_byte(i) else s)) for i, s in zip(ids, scores)]
+        low = min(s for s in scores if s > -1e8)
+        scores = [-math.log(2 - (low if sp.is_byte(i) else max(s, low))) for i, s in zip(ids, scores)]
     return [int(sp.id_to_piece(i)[3:5], 16) if sp.is_byte(i) else sp.id_to_piece(i) for i in ids], scores
 
 
@@ -103,13 +103,98 @@ class Lattice:
         arcs = list(self.arcs(word))
         n = len(word) + 1
         alpha = self._forward(arcs, n)
-        beta = self._forward(((n - j, n - i, k, w) for i, j, k, w in reversed(arcs)), n) if len(arcs) > n else None
+        beta = self._forward(((n - j, n - i, k, w) for i, j, k, w in reversed(arcs)), n)
         for i, j, k, w in arcs:
-            share = _ONE * times if beta is None else round(_ONE * times * math.exp(alpha[i] + w + beta[n - j] - alpha[n]))
+            share = round(_ONE * times * math.exp(alpha[i] + w + beta[n - j] - alpha[n]))
             for piece in (k,) if k is not None else self.spelled((MARK + word)[i])[0]:
                 into[piece] += share
 
 
+class Lattices(Lattice):
+    """The same for many words at once: words of equal length walk the trie of the pieces side by side.
+
+    The trie is a table over the characters, but A-Z, that most pieces have and that are pieces themselves;
+    words with others, and long ones, are taken one by one.
+    """
+
+    def __init__(self, pieces: list[str | int], weights, letters: int = 200, longest: int = 48):
+        super().__init__(pieces, weights)
+        self.longest = longest
+        common = Counter(c for p in pieces if isinstance(p, str) for c in set(p) if self.tree.get(c) is not None and not "A" <= c <= "Z")
+        self.letter = np.zeros(0x110000, np.uint8)  # 0: none
+        for k, (c, _) in enumerate(common.most_common(letters)):
+            self.letter[ord(c)] = k + 1
+        step, piece = {}, [-1, -1]  # state 0 is nowhere, 1 the root
+        for k, p in enumerate(pieces):
+            if isinstance(p, str) and all(own := self.letter[[*map(ord, p)]].tolist()):
+                at = 1
+                for c in own:
+                    at = step.setdefault((at, c), len(piece))
+                    if at == len(piece):
+                        piece.append(-1)
+                piece[at] = k
+        self.step, self.piece = np.zeros((len(piece), letters + 1), np.int32), np.array(piece)
+        for (at, c), to in step.items():
+            self.step[at, c] = to
+
+    def _groups(self, many: list[str]):
+        """(places in ``many``, characters as rows by position) of words of equal length; the others' places come last, without."""
+        rest, by_length = [], {}
+        mark = self.letter[ord(MARK)]
+        for k, w in enumerate(many):
+            (by_length.setdefault(len(w), []) if mark and 0 < len(w) < self.longest else rest).append(k)
+        for n, places in by_length.items():
+            points = np.frombuffer("".join(map(many.__getitem__, places)).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n)
+            own = self.letter[points].T
+            fit = (own > 0).all(0)
+            places = np.array(places)
+            rest += places[~fit].tolist()
+            if fit.any():
+                yield places[fit], np.concatenate((np.full((1, int(fit.sum())), mark), own[:, fit]))
+        yield np.array(rest, np.int64), None
+
+    def _walk(self, letters: np.ndarray):
+        """Forward weights by position, and the arcs (from, to, words, pieces, weights) that they came by."""
+        n, size = letters.shape
+        alpha, arcs, weight = np.full((n + 1, size), -np.inf), [], np.array(self.weights)
+        alpha[0] = 0.0
+        for i in range(n):
+            live, state = np.arange(size), np.ones(size, np.int32)
+            for j in range(i + 1, n + 1):
+                state = self.step[state, letters[j - 1, live]]
+                on = state > 0
+                live, state = live[on], state[on]
+                if not len(live):
+                    break
+                k = self.piece[state]
+                if (end := k >= 0).any():
+                    own, k = live[end], k[end]
+                    arcs.append((i, j, own, k, weight[k]))
+                    alpha[j, own] = np.logaddexp(alpha[j, own], alpha[i, own] + weight[k])
+        return alpha, arcs
+
+    def forwards(self, many: list[str]) -> np.ndarray:
+        out = np.zeros(len(many))
+        for places, letters in self._groups(many):
+            out[places] = [self.forward(many[k]) for k in places] if letters is None else self._walk(letters)[0][-1]
+        return out
+
+    def expects(self, many: list[str], times: np.ndarray, into: np.ndarray) -> None:
+        for places, letters in self._groups(many):
+            if letters is None:
+                for k in places:
+                    self.expect(many[k], int(times[k]), into)
+                continue
+            alpha, arcs = self._walk(letters)
+            beta = np.full_like(alpha, -np.inf)
+            beta[-1] = 0.0
+            for i, j, own, _, w in sorted(arcs, key=lambda a: -a[0]):
+                beta[i, own] = np.logaddexp(beta[i, own], w + beta[j, own])
+            for i, j, own, k, w in arcs:
+                share = np.rint(_ONE * times[places[own]] * np.exp(alpha[i, own] + w + beta[j, own] - alpha[-1, own]))
+                np.add.at(into, k, share.astype(np.int64))
+
+
 def words(text: bytes):
     """Lists of a text's words, A-Z in lower case, a stretch of the text at a time."""
     low = text.lower()
@@ -123,8 +208,8 @@ def words(text: bytes):
 
 
 def _bag(places: np.ndarray, counts: np.ndarray) -> bytes:
-    order = np.argsort(places)
-    both = np.stack((np.diff(places[order], prepend=0), counts[order])).astype("<u4")
+    """Rising places and their counts as bytes that compress."""
+    both = np.stack((np.diff(places, prepend=0), counts)).astype("<u4")
     return np.ascontiguousarray(both.view(np.uint8).reshape(2, -1, 4).transpose(0, 2, 1)).tobytes()
 
 
@@ -133,6 +218,14 @@ def _opened(bag: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(both[0].astype(np.int64)), both[1].astype(np.int64)
 
 
+class _Places(dict):
+    """Numbers of words in the order they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        k = self[word] = len(self)
+        return k
+
+
 def _dealt(most_words: int, most_docs: int, most_bytes: int):
     """A task's documents as bags of words of their block, and each block's words with their number in training documents."""
 
@@ -141,7 +234,7 @@ def _dealt(most_words: int, most_docs: int, most_bytes: int):
 
         press = zstandard.ZstdCompressor(level=1)
         first = TaskContext.get().partitionId() << 32
-        blocks, vocabulary, train, ends, size, docs = 0, {}, np.zeros(1 << 12, np.int64), 0, 0, 0
+        blocks, vocabulary, train, ends, size, docs = 0, _Places(), np.zeros(1 << 12, np.int64), 0, 0, 0
 
         def closed():
             k = len(vocabulary)
@@ -158,11 +251,8 @@ def _dealt(most_words: int, most_docs: int, most_bytes: int):
                 return pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(rows), f.type) for f in list(_DEALT)[4:])], schema=_DEALT)
 
             for doc, held, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                counts: Counter = Counter()
-                for some in words(text.as_py()):
-                    counts.update(some)
-                places = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in counts), np.int64, len(counts))
-                n = np.fromiter(counts.values(), np.int64, len(counts))
+                found = [np.fromiter(map(vocabulary.__getitem__, some), np.int32, len(some)) for some in words(text.as_py())]
+                places, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int32), return_counts=True)
                 if len(vocabulary) > len(train):
                     train = np.concatenate((train, np.zeros(max(len(train), len(vocabulary) - len(train)), np.int64)))
                 if not held:
@@ -175,7 +265,7 @@ def _dealt(most_words: int, most_docs: int, most_bytes: int):
                     yield written()
                     yield closed()
                     rows.clear()
-                    blocks, vocabulary, train, ends, size, docs = blocks + 1, {}, np.zeros(1 << 12, np.int64), 0, 0, 0
+                    blocks, vocabulary, train, ends, size, docs = blocks + 1, _Places(), np.zeros(1 << 12, np.int64), 0, 0, 0
             yield written()
         if docs:
             yield closed()
@@ -183,16 +273,32 @@ def _dealt(most_words: int, most_docs: int, most_bytes: int):
     return run
 
 
+def _together(batches, least: int = 40_000):
+    """Batches joined until they have ``least`` rows, so that words of equal length are many."""
+    waiting, size = [], 0
+    for b in batches:
+        waiting.append(b)
+        size += len(b)
+        if size >= least:
+            yield pa.Table.from_batches(waiting)
+            waiting, size = [], 0
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
+def _strings(column) -> list[str]:
+    return [w.decode("utf-8", "replace") for w in column.to_pylist()]
+
+
 def _expected(pieces, weights):
     """(piece, n) of a task's training words (word, n), in fractions of ``_ONE``."""
 
     def run(batches):
-        lattice, out = Lattice(pieces, weights), [0] * len(pieces)
-        for b in batches:
-            for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                lattice.expect(word.decode("utf-8", "replace"), n, out)
-        got = [(k, n) for k, n in enumerate(out) if n]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int32()), pa.array([n for _, n in got], pa.int64())], names=["piece", "n"])
+        lattices, out = Lattices(pieces, weights), np.zeros(len(pieces), np.int64)
+        for t in _together(batches):
+            lattices.expects(_strings(t.column(0)), t.column(1).to_numpy(), out)
+        got = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(got.astype(np.int32)), pa.array(out[got])], names=["piece", "n"])
 
     return run
 
@@ -201,10 +307,10 @@ def _weighed(pieces, weights):
     """(word, n, logp) of words (word, n)."""
 
     def run(batches):
-        lattice = Lattice(pieces, weights)
-        for b in batches:
-            logp = [lattice.forward(w.decode("utf-8", "replace")) if w else 0.0 for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(logp, pa.float64())], names=["word", "n", "logp"])
+        lattices = Lattices(pieces, weights)
+        for t in _together(batches):
+            logp = pa.chunked_array([lattices.forwards(_strings(t.column(0)))])
+            yield from pa.Table.from_arrays([t.column(0), t.column(1), logp], names=["word", "n", "logp"]).to_batches()
 
     return run
 

@@ -217,10 +217,29 @@ def test_lattice_sums_all_segmentations():
     assert math.isfinite(tool.forward("ab" * 50_000))
 
 
+def test_lattices_side_by_side():
+    """Many words at once give what each gives alone: those in the table, with other characters, long and repeated."""
+    rng = np.random.default_rng(6)
+    weights = np.log(rng.random(len(PIECES)) / 200)
+    tool = lattice.Lattices(PIECES, weights, letters=2, longest=9)  # b is in no table
+    full = lattice.Lattices(PIECES, weights, longest=9)
+    many = ["".join(rng.choice([*"aab"], n)) for n in rng.integers(1, 14, 300)] + ["xé", "a", "a", "日", "▁a"]
+    times = rng.integers(1, 9, len(many))
+    want, counts = [full.forward(w) for w in many], [0] * len(PIECES)
+    for w, n in zip(many, times.tolist()):
+        full.expect(w, n, counts)
+    for t in (tool, full):
+        assert np.allclose(t.forwards(many), want, rtol=1e-12)
+        got = np.zeros(len(PIECES), np.int64)
+        t.expects(many, times, got)
+        assert np.abs(got - counts).max() <= len(many)  # roundings of a half
+    assert sum(len(p) for p, letters in full._groups(many) if letters is not None) > 150
+
+
 def test_bags():
     rng = np.random.default_rng(5)
     for n in (0, 1, 700):
-        places, counts = rng.permutation(2000)[:n].astype(np.int64), rng.integers(1, 400, n)
+        places, counts = np.sort(rng.permutation(2000)[:n]).astype(np.int64), rng.integers(1, 400, n)
         at, many = lattice._opened(lattice._bag(places, counts))
         assert dict(zip(at.tolist(), many.tolist())) == dict(zip(places.tolist(), counts.tolist()))
 
