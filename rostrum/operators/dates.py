@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from .spans import ahead, merged_words, settled
+from .spans import ahead, merged_words
 
 # Number words, months, and what cleaning drops.
 ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
@@ -173,5 +173,5 @@ def correct_stream(words: DataFrame, key: str, order: list[str]) -> DataFrame:
     """
     begins = F.lower("word").rlike(rf"^\s*[.,;:!?]*(?:{_STARTS.pattern})")
     rows = ahead(words, key, order, ["word", "end"], LONGEST).withColumn("hit", _dates_at(F.when(begins, F.col("next_word"))))
-    rows = settled(rows.withColumns({"text": F.col("hit.text"), "n": F.col("hit.n")}), key)
-    return merged_words(rows, key, F.col("text"), F.lit(True), {"corrected": F.col("changed")})
+    rows = rows.withColumns({"text": F.col("hit.text"), "n": F.col("hit.n")})
+    return merged_words(rows, key, F.col("text"), F.lit(True), {}).withColumnRenamed("changed", "corrected")

@@ -1,4 +1,4 @@
-"""Entity dictionary: key maps with their ownership rules, and matching strategies as joins."""
+"""Matching strategies as joins of distinct spans with the index of names."""
 
 from __future__ import annotations
 
@@ -6,52 +6,54 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import textfn as T
-from .spans import ahead
+from .names import initials_key, keys_of
+from .steps import written
 
+#: What a match tells: the name, how sure it is, by which strategy, and what the name is.
+MATCH = ("canonical", "confidence", "strategy", "kind", "type", "abbreviation")
+#: Strategies in their order, and those that guess.
+RANKS = {"exact": 0, "fused": 1, "initials": 2, "phonetic": 3, "fuzzy": 4, "substring": 5}
+APPROXIMATE = ("phonetic", "fuzzy", "substring")
 
-def key_map(records: DataFrame, aliases: DataFrame, key) -> DataFrame:
-    """(key, canonical, ordinal): who owns each key.
 
-    ``records`` has id, canonical, load (load position) and last_wins; ``aliases`` id, alias, ordinal.
-    Keys load in the order (load, alias ordinal), the canonical first. A first-wins record takes a key
-    only if it is free, a last-wins record always; so the owner is the last last-wins writer, else the
-    first writer. ``key`` maps a text Column to a key Column; empty keys are left out.
-    """
-    own = records.select("id", "canonical", "load", "last_wins", F.col("canonical").alias("text"), F.lit(-1).alias("ordinal"))
-    more = aliases.join(records, "id").select("id", "canonical", "load", "last_wins", F.col("alias").alias("text"), "ordinal")
-    rows = own.unionByName(more).select(key(F.col("text")).alias("key"), "canonical", "last_wins", F.struct("load", "ordinal").alias("at")).where("key <> ''")
-    pick = rows.groupBy("key").agg(
-        F.max(F.when(F.col("last_wins"), F.struct("at", "canonical"))).alias("last"), F.min(F.struct("at", "canonical")).alias("first")
-    )
-    owner = F.coalesce("last", "first")
-    return pick.select("key", owner["canonical"].alias("canonical"), owner["at"]["load"].alias("load"))
+def _hit(found: DataFrame, confidence, strategy: str) -> DataFrame:
+    return found.withColumns({"confidence": confidence, "strategy": F.lit(strategy)}).select("span_id", *MATCH)
+
+
+def _by_key(spans: DataFrame, index: DataFrame, kind: str, key) -> DataFrame:
+    """Spans (span_id, span) with the rows of the index under ``key`` of their text; an empty key finds nothing."""
+    asked = spans.withColumn("key", key).where("key <> ''")
+    return asked.join(keys_of(index, kind), "key")
+
+
+def exact(spans: DataFrame, index: DataFrame) -> DataFrame:
+    return _hit(_by_key(spans, index, "text", F.lower("span")), F.lit(1.0), "exact")
 
 
-def exact(spans: DataFrame, keys: DataFrame) -> DataFrame:
-    return spans.join(keys, F.lower("span") == F.col("key")).select("span_id", "canonical", F.lit(1.0).alias("confidence"), F.lit("exact").alias("strategy"))
+def fused(spans: DataFrame, index: DataFrame) -> DataFrame:
+    return _hit(_by_key(spans, index, "fused", T.fuse("span")), F.lit(0.98), "fused")
 
 
-def fused(spans: DataFrame, keys: DataFrame) -> DataFrame:
-    k = keys.select(T.fuse("key").alias("fkey"), "canonical", "load")
-    k = k.groupBy("fkey").agg(F.min_by("canonical", "load").alias("canonical"))
-    return spans.join(k, T.fuse("span") == F.col("fkey")).select("span_id", "canonical", F.lit(0.98).alias("confidence"), F.lit("fused").alias("strategy"))
+def initials(spans: DataFrame, index: DataFrame) -> DataFrame:
+    """Initials before a surname: one gives 0.95, more give 0.93."""
+    found = _by_key(spans, index, "initials", initials_key("span"))
+    return _hit(found, F.when(F.size(F.split("key", r"\.")) > 2, 0.93).otherwise(0.95), "initials")
 
 
-def phonetic(spans: DataFrame, keys: DataFrame, evidence: bool = True, least_key: int = 4, least_similarity: float = 0.6) -> DataFrame:
-    """Equal phonetic keys, scored by similarity, key length and fan-out (how many names share the key).
+def phonetic(spans: DataFrame, index: DataFrame, evidence: bool = True, least_key: int = 4, least_similarity: float = 0.6) -> DataFrame:
+    """Equal phonetic keys, scored by similarity to the name, key length and fan-out (how many names share the key).
 
-    Without ``evidence`` the first key loaded wins with a flat 0.90.
+    The surest wins, of equals the first loaded. Without ``evidence`` the first loaded wins with a flat 0.90.
     """
-    k = keys.select(T.phonetic_key("key").alias("pkey"), "key", "canonical", "load")
-    s = spans.select("span_id", "span", T.phonetic_key("span").alias("pkey"))
-    if not evidence:
-        first = k.groupBy("pkey").agg(F.min_by("canonical", F.struct("load", "key")).alias("canonical"))
-        return s.join(first, "pkey").select("span_id", "canonical", F.lit(0.90).alias("confidence"), F.lit("phonetic").alias("strategy"))
-    fan = k.groupBy("pkey").agg(F.countDistinct("canonical").alias("fanout"))
-    hit = s.where(F.length("pkey") >= least_key).join(k, "pkey").join(fan, "pkey").withColumn("sim", T.similarity(T.fuse("span"), T.fuse("key")))
-    hit = hit.where(F.col("sim") >= least_similarity).withColumn("confidence", phonetic_score(F.col("sim"), F.length("pkey"), F.col("fanout")))
-    best = hit.groupBy("span_id").agg(F.min(F.struct((-F.col("confidence")).alias("neg"), "load", "canonical")).alias("b"))
-    return best.select("span_id", F.col("b.canonical").alias("canonical"), (-F.col("b.neg")).alias("confidence"), F.lit("phonetic").alias("strategy"))
+    found = _by_key(spans, index, "phonetic", T.phonetic_key(F.lower("span")))
+    if evidence:
+        found = found.where(F.length("key") >= least_key).withColumn("sim", T.similarity(F.lower("span"), F.lower("canonical"))).where(F.col("sim") >= least_similarity)
+        found = found.withColumn("confidence", phonetic_score(F.col("sim"), F.length("key"), F.col("fanout")))
+    else:
+        found = found.withColumn("confidence", F.lit(0.90))
+    surest = F.struct(-F.round("confidence", 6), "load", "place", "canonical")
+    best = found.groupBy("span_id").agg(F.min_by(F.struct("canonical", "confidence", "kind", "type", "abbreviation"), surest).alias("b"))
+    return best.select("span_id", "b.*", F.lit("phonetic").alias("strategy")).select("span_id", *MATCH)
 
 
 def phonetic_score(similarity, key_length, fanout):
@@ -78,132 +80,170 @@ def legacy_fuzzy_score(distance):
     return F.greatest(F.lit(0.70), 1 - 0.12 * distance)
 
 
+#: Where a key of ``len`` characters is cut into most + 1 pieces.
+_CUT = {
+    "size": "len div (most + 1) + if(piece > most - len % (most + 1), 1, 0)",
+    "begin": "piece * (len div (most + 1)) + greatest(0, piece - (most + 1 - len % (most + 1)))",
+}
+
+
+def _pieces_of_keys(keys: DataFrame) -> DataFrame:
+    """``keys`` with their pieces (most, len, piece, part) for one to four edits."""
+    k = keys.withColumn("len", F.length("key")).withColumn("most", F.explode(F.array(*map(F.lit, range(1, 5)))))
+    k = k.withColumn("piece", F.explode(F.expr("sequence(0, most)"))).withColumns({c: F.expr(e) for c, e in _CUT.items()})
+    return k.withColumn("part", F.expr("substring(key, begin + 1, size)")).select("most", "len", "piece", "part", *keys.columns)
+
+
+def _pieces_of_texts(texts: DataFrame, most) -> DataFrame:
+    """Distinct texts (low) with what may be a piece of a key within ``most`` edits, by the key's length and the piece's number."""
+    s = texts.select("low").distinct().withColumn("n", F.length("low")).withColumn("most", most).where("most > 0")
+    s = s.withColumn("len", F.explode(F.expr("sequence(n - most, n + most)"))).withColumn("piece", F.explode(F.expr("sequence(0, most)")))
+    s = s.withColumns({"lo": F.expr("greatest(-piece, n - len - (most - piece))"), "hi": F.expr("least(piece, n - len + most - piece)")}).where("lo <= hi")
+    s = s.withColumns({c: F.expr(e) for c, e in _CUT.items()}).withColumn("shift", F.explode(F.expr("sequence(lo, hi)")))
+    s = s.where("begin + shift >= 0 and begin + shift + size <= n")
+    return s.select("low", "most", "len", "piece", F.expr("substring(low, begin + shift + 1, size)").alias("part")).distinct()
+
+
+def _sharing_piece(texts: DataFrame, keys: DataFrame, most) -> DataFrame:
+    """Texts (low) with the keys (key, ...) that share a piece with them at a place that ``most`` edits allow; pairs may repeat.
+
+    A key cut into most + 1 pieces has one piece untouched by ``most`` edits, which then stands in the text
+    at a place that the edits before and after it allow. So texts and keys meet by equi-joins on a piece, its
+    number and the key's length; no text meets all keys of its length.
+    """
+    met = _pieces_of_texts(texts, most).join(_pieces_of_keys(keys), ["most", "len", "piece", "part"])
+    return met.select("low", "most", *keys.columns)
+
+
 def near_keys(spans: DataFrame, keys: DataFrame, bounded: bool = False, limit=None) -> DataFrame:
     """(span_id, span, key, canonical, load, d): every key within the edit distance that its span's length allows, but 0.
 
-    A key cut into most + 1 pieces has one piece untouched by ``most`` edits, which then stands in the span
-    at a place that the edits before and after it allow. So spans and keys meet by equi-joins on a piece, its
-    number and the key's length; no span meets all keys of its length. Distinct spans are matched once.
+    Distinct spans are matched once. All pairs are the result; for the nearest key alone see ``nearest``.
     """
     limit = limit or (distance_ceiling if bounded else most_distance)  # 4 at most
-    k = keys.select("key", "canonical", "load", F.length("key").alias("len"), F.explode(F.array(*map(F.lit, range(1, 5)))).alias("most"))
-    cut = {
-        "size": "len div (most + 1) + if(piece > most - len % (most + 1), 1, 0)",
-        "begin": "piece * (len div (most + 1)) + greatest(0, piece - (most + 1 - len % (most + 1)))",
-    }
-    k = k.withColumn("piece", F.explode(F.expr("sequence(0, most)"))).withColumns({c: F.expr(e) for c, e in cut.items()})
-    k = k.select("most", "len", "piece", F.expr("substring(key, begin + 1, size)").alias("part"), "key", "canonical", "load")
-    s = spans.select(F.lower("span").alias("low")).where(F.length("low") >= 4).distinct()
-    s = s.withColumns({"n": F.length("low"), "most": limit(F.length("low"))}).where("most > 0")
-    s = s.withColumn("len", F.explode(F.expr("sequence(n - most, n + most)"))).withColumn("piece", F.explode(F.expr("sequence(0, most)")))
-    s = s.withColumns({"lo": F.expr("greatest(-piece, n - len - (most - piece))"), "hi": F.expr("least(piece, n - len + most - piece)")}).where("lo <= hi")
-    s = s.withColumns({c: F.expr(e) for c, e in cut.items()}).withColumn("shift", F.explode(F.expr("sequence(lo, hi)")))
-    s = s.where("begin + shift >= 0 and begin + shift + size <= n").select("low", "most", "len", "piece", F.expr("substring(low, begin + shift + 1, size)").alias("part"))
-    hit = s.distinct().join(k, ["most", "len", "piece", "part"]).withColumn("d", F.levenshtein("low", "key", 4)).where("d > 0 and d <= most")
+    low = spans.select(F.lower("span").alias("low")).where(F.length("low") >= 4)
+    hit = _sharing_piece(low, keys.select("key", "canonical", "load"), limit(F.col("n")))
+    hit = hit.withColumn("d", F.levenshtein("low", "key", 4)).where("d > 0 and d <= most")
     if bounded:
         hit = hit.where(F.col("d") / F.length("low") <= 0.25)
     hit = hit.select("low", "key", "canonical", "load", "d").distinct()
     return spans.select("span_id", "span", F.lower("span").alias("low")).join(hit, "low").drop("low")
 
 
-def fuzzy(spans: DataFrame, keys: DataFrame, bounded: bool = False) -> DataFrame:
-    """Nearest key by edit distance (not 0), ties to the lowest load position, then the name."""
-    best = near_keys(spans, keys, bounded).groupBy("span_id").agg(F.min(F.struct("d", "load", "canonical", "key")).alias("b"), F.max(F.length("span")).alias("n"))
-    score = fuzzy_score(F.col("b.d") / F.col("n")) if bounded else legacy_fuzzy_score(F.col("b.d"))
-    return best.select("span_id", F.col("b.canonical").alias("canonical"), score.alias("confidence"), F.lit("fuzzy").alias("strategy"))
+def _without_up_to(c, most: int):
+    """Hashes of a text and of what is left of it without any one, or ``most``, of its characters."""
+    one = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+    made = F.array_distinct(F.concat(F.array(c), one(c)))
+    for _ in range(most - 1):
+        made = F.array_distinct(F.flatten(F.transform(made, lambda t: F.when(F.length(t) > 0, F.concat(F.array(t), one(t))).otherwise(F.array(t)))))
+    return F.transform(made, lambda t: F.xxhash64(t))
 
 
-def substring(spans: DataFrame, keys: DataFrame, least: int = 6) -> DataFrame:
-    """Names whose key contains the span's text of at least ``least`` characters; the first name loaded wins.
+#: A piece that so many keys share is hot: what holds it is met by deletions instead.
+HOT = 64
 
-    Spans meet keys by their first ``least`` characters, which must stand somewhere in the key.
-    """
-    grams = F.transform(F.sequence(F.lit(1), F.length("key") - least + 1), lambda i: F.substring("key", i, F.lit(least)))
-    k = keys.where(F.length("key") >= least).select(F.explode(F.array_distinct(grams)).alias("gram"), "key", "canonical", "load")
-    s = spans.select("span_id", F.lower("span").alias("low")).where(F.length("low") >= least).withColumn("gram", F.substring("low", 1, least))
-    hit = s.join(k, "gram").where(F.col("key").contains(F.col("low"))).groupBy("span_id").agg(F.min_by("canonical", F.struct("load", "canonical")).alias("canonical"))
-    return hit.select("span_id", "canonical", F.lit(0.80).alias("confidence"), F.lit("substring").alias("strategy"))
 
+def _met(low: DataFrame, keys: DataFrame, d: int) -> DataFrame:
+    """Texts (low) with keys, all of those at ``d`` edits or fewer among them; pairs may repeat.
 
-def component(spans: DataFrame, keys: DataFrame) -> DataFrame:
-    """Single words of at least six characters that are a whole part of exactly one name."""
-    parts = keys.select(F.explode(F.split("key", " ")).alias("part"), "canonical").where(F.length("part") >= 6)
-    one = parts.groupBy("part").agg(F.countDistinct("canonical").alias("n"), F.min("canonical").alias("canonical")).where("n = 1")
-    s = spans.where(~F.col("span").contains(" ")).select("span_id", F.lower("span").alias("part"))
-    return s.join(one, "part").select("span_id", "canonical", F.lit(0.80).alias("confidence"), F.lit("component").alias("strategy"))
+    They share a piece that the edits leave untouched. Names may share most of their pieces (numbered ones do),
+    so for one and two edits hot pieces are left out, and texts that hold one meet the keys that hold one in
+    what is left of them after as many deletions.
+    """
+    if d > 2:
+        return _sharing_piece(low, keys, F.lit(d))
+    asked, held = _pieces_of_texts(low, F.lit(d)), _pieces_of_keys(keys).where(F.col("most") == d)
+    place = ["most", "len", "piece", "part"]
+    hot = held.groupBy(*place).agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(*place)
+    met = asked.join(held.join(hot, place, "left_anti"), place).select("low", *keys.columns)
+    a = asked.join(hot, place, "left_semi").select("low").distinct().select("low", F.explode(_without_up_to(F.col("low"), d)).alias("h"))
+    b = held.join(hot, place, "left_semi").select(*keys.columns).distinct().withColumn("h", F.explode(_without_up_to(F.col("key"), d)))
+    return met.unionByName(a.join(b, "h").select("low", *keys.columns))
+
+
+def nearest(spans: DataFrame, keys: DataFrame, limit, deepest: int = 4) -> DataFrame:
+    """(span_id, low, b) of the nearest key of each span of four characters or more within ``limit`` of its length.
+
+    ``b`` has d, load, key, canonical and what else of a key of the index ``keys`` has; of keys at the same
+    distance the first loaded wins. Distances are tried in rising order, each only for texts that found nothing
+    before; pairs are aggregated as they meet. Beyond two edits texts meet all keys that share a piece.
+    """
+    texts = spans.select(F.lower("span").alias("low")).where("length(low) >= 4").distinct()
+    texts = written(texts.withColumn("most", limit(F.length("low"))).where("most > 0"))
+    rest = [c for c in ("place", "key", "canonical", "kind", "type", "abbreviation") if c in keys.columns]
+    found = None
+    for d in range(1, deepest + 1):
+        open_ = texts.where(F.col("most") >= d)
+        if found is not None:
+            open_ = open_.join(found.select("low"), "low", "left_anti")
+        met = _met(open_.select("low"), keys, d).withColumn("d", F.levenshtein("low", "key", d)).where(F.col("d") > 0)
+        at = written(met.groupBy("low").agg(F.min(F.struct("d", "load", *rest)).alias("b")))
+        found = at if found is None else found.unionByName(at)
+    return spans.select("span_id", F.lower("span").alias("low")).join(found, "low")
+
+
+def fuzzy(spans: DataFrame, index: DataFrame, bounded: bool = False, limit=None) -> DataFrame:
+    """The nearest text by edit distance (not 0), ties to the first loaded.
+
+    ``bounded`` allows fewer edits, a quarter of the span's length at most, and scores by that share.
+    """
+    best = nearest(spans, keys_of(index, "text"), limit or (distance_ceiling if bounded else most_distance), 3 if bounded else 4)
+    relative = F.col("b.d") / F.length("low")
+    if bounded:
+        best = best.where(relative <= 0.25)
+    score = fuzzy_score(relative) if bounded else legacy_fuzzy_score(F.col("b.d"))
+    return best.select("span_id", "b.canonical", score.alias("confidence"), F.lit("fuzzy").alias("strategy"), "b.kind", "b.type", "b.abbreviation")
 
 
-def initials_match(spans: DataFrame, keys: DataFrame) -> DataFrame:
-    """Spans equal to the initials of a name; the first name loaded wins."""
-    made = keys.select(F.lower(F.array_join(F.transform(F.split("canonical", " "), lambda w: F.substring(w, 1, 1)), "")).alias("k"), "canonical", "load").where(F.length("k") >= 2)
-    made = made.groupBy("k").agg(F.min_by("canonical", F.struct("load", "canonical")).alias("canonical"))
-    return spans.join(made, T.fuse(F.regexp_replace("span", r"\.", "")) == F.col("k")).select("span_id", "canonical", F.lit(0.95).alias("confidence"), F.lit("initials").alias("strategy"))
+def substring(spans: DataFrame, index: DataFrame, least: int = 6) -> DataFrame:
+    """Names of which a text contains the span's, of at least ``least`` characters; the first loaded wins.
+
+    Spans meet texts by their first ``least`` characters, which must stand somewhere in the text.
+    """
+    grams = F.transform(F.sequence(F.lit(1), F.length("key") - least + 1), lambda i: F.substring("key", i, F.lit(least)))
+    k = keys_of(index, "text").where(F.length("key") >= least).withColumn("gram", F.explode(F.array_distinct(grams)))
+    s = spans.select("span_id", F.lower("span").alias("low")).where(F.length("low") >= least).withColumn("gram", F.substring("low", 1, least))
+    hit = s.join(k, "gram").where(F.col("key").contains(F.col("low")) & (F.col("key") != F.col("low")))
+    best = hit.groupBy("span_id").agg(F.min_by(F.struct("canonical", "kind", "type", "abbreviation"), F.struct("load", "place", "key")).alias("b"))
+    return _hit(best.select("span_id", "b.*"), F.lit(0.80), "substring")
 
 
-RANKS = {"exact": 0, "fused": 1, "initials": 2, "phonetic": 3, "fuzzy": 4, "component": 5, "substring": 6}
+def component(spans: DataFrame, index: DataFrame, lexicon: DataFrame | None = None, least: int = 6) -> DataFrame:
+    """Single words of at least ``least`` characters that are a whole word of the texts of one name; no ordinary word (``lexicon``: token)."""
+    one = spans.where(~F.col("span").rlike(T.U + r"\s") & (F.length("span") >= least))
+    if lexicon is not None:
+        one = one.join(lexicon.select(F.lower("token").alias("token")).distinct(), T.edge_stripped("span") == F.col("token"), "left_anti")
+    return _hit(_by_key(one, index, "component", F.lower("span")), F.lit(0.80), "substring")
 
 
-def chain(spans: DataFrame, keys: DataFrame, blocked: DataFrame | None = None, evidence: bool = True) -> DataFrame:
+def chain(
+    spans: DataFrame, index: DataFrame, blocked: DataFrame | None = None, evidence: bool = True, lexicon: DataFrame | None = None, least: int = 4
+) -> DataFrame:
     """First hit by strategy order for each span (span_id, span); the first hit ends the chain, whatever its confidence.
 
-    Spans under four characters only match exactly or fused, and so do ``blocked`` ones (token) but for
-    initials. With ``evidence`` approximate hits are scored and bounded by evidence, and a word that is
-    part of one name only stands for it; without, scores are flat and a name that contains the text does.
-    The equi-joins of the first strategies see all spans; the dearer ones only what those left over.
+    Spans under ``least`` characters only match exactly or fused; ``blocked`` ones (token) are not guessed.
+    With ``evidence`` approximate hits are scored and bounded by evidence, and a word of one name's texts
+    stands for it unless it is ordinary (``lexicon``); without, scores are flat and a name whose text contains
+    the span does. The equi-joins of the first strategies see all spans; the dearer ones what those left over.
     """
-    long = spans.where(F.length("span") >= 4)
+    spans = written(spans.select("span_id", "span"))
+    long = spans.where(F.length("span") >= least)
     loose = long
     if blocked is not None:
         loose = long.join(blocked.select(F.lower("token").alias("token")).distinct(), F.lower("span") == F.col("token"), "left_anti")
     order = F.create_map(*(F.lit(x) for kv in RANKS.items() for x in kv))
 
     def first(found: DataFrame) -> DataFrame:
-        pick = F.min_by(F.struct("canonical", "confidence", "strategy"), order[F.col("strategy")])
+        pick = F.min_by(F.struct(*MATCH), order[F.col("strategy")])
         return found.groupBy("span_id").agg(pick.alias("b")).select("span_id", "b.*")
 
-    cheap = exact(spans, keys).unionByName(fused(spans, keys)).unionByName(initials_match(long, keys)).unionByName(phonetic(loose, keys, evidence))
-    cheap = first(cheap)
+    cheap = exact(spans, index).unionByName(fused(spans, index)).unionByName(initials(long, index)).unionByName(phonetic(loose, index, evidence))
+    cheap = written(first(cheap))
     rest = loose.join(cheap, "span_id", "left_anti")
-    dear = fuzzy(rest, keys, evidence).unionByName(component(rest, keys) if evidence else substring(rest, keys))
+    dear = fuzzy(rest, index, evidence).unionByName(component(rest, index, lexicon) if evidence else substring(rest, index))
     return cheap.unionByName(first(dear))
 
 
-def title_person(words: DataFrame, key: str, order: list[str], titles: tuple[str, ...], keys: DataFrame, kinds: DataFrame, stop: tuple[str, ...] = (), least: float = 0.65) -> DataFrame:
-    """The person named after a title: (key, at, n, canonical, confidence, strategy), at counting words from 1.
-
-    Of the three, two or one words after a title word, the longest that the chain takes for a person with
-    ``least`` confidence; one stop word, or more that end in one, are passed over. Else the first word alone:
-    a person's surname (0.90, the first loaded), then its phonetic key, then a near name. ``kinds`` has
-    canonical, kind and load.
-    """
-    bare = F.regexp_replace("word", T.U + r"^[^\w]+|[^\w]+$", "")
-    rows = ahead(words.withColumn("bare", bare), key, order, ["bare"], 4).where(F.lower("bare").isin(*titles) & (F.size("next_bare") > 1))
-    names = rows.select(key, (F.col("at") + 1).alias("at"), F.slice("next_bare", 2, 3).alias("name"))
-    sizes = names.withColumn("n", F.explode(F.sequence(F.lit(1), F.size("name"))))
-    stops = F.coalesce(F.lower(F.get("name", F.col("n") - 1)).isin(*stop), F.lit(False))
-    windows = sizes.where(~stops).select(key, "at", "n", F.array_join(F.slice("name", 1, F.col("n")), " ").alias("span"))
-    persons = kinds.where("kind = 'person'").select("canonical").distinct()
-
-    def by_text(rows: DataFrame, match) -> DataFrame:
-        spans = rows.select("span").distinct().withColumn("span_id", F.col("span"))
-        found = match(spans).withColumnRenamed("span_id", "span").where(F.col("confidence") >= least)
-        return rows.join(found.join(persons, "canonical", "left_semi"), "span")
-
-    # the chain's longest window first, then what the first word alone gives
-    rank = F.create_map(F.lit("title_person"), F.lit(1), F.lit("phonetic"), F.lit(2), F.lit("fuzzy"), F.lit(3))
-    whole = by_text(windows, lambda spans: chain(spans, keys)).withColumn("rank", F.lit(0))
-    alone = names.select(key, "at", F.lit(1).alias("n"), F.get("name", F.lit(0)).alias("span"))
-    own = kinds.where("kind = 'person'").select(F.lower(F.element_at(F.split("canonical", " "), -1)).alias("surname"), "canonical", "load")
-    own = own.groupBy("surname").agg(F.min_by("canonical", F.struct("load", "canonical")).alias("canonical"))
-    by_surname = alone.join(own, F.lower("span") == F.col("surname")).withColumns({"confidence": F.lit(0.90), "strategy": F.lit("title_person")})
-    near = by_text(alone, lambda spans: phonetic(spans, keys).unionByName(fuzzy(spans, keys, bounded=True)))
-    columns = [key, "at", "n", "canonical", "confidence", "strategy"]
-    rest = by_surname.select(*columns).unionByName(near.select(*columns)).withColumn("rank", rank[F.col("strategy")])
-    every = whole.select(*columns, "rank").unionByName(rest)
-    pick = F.min_by(F.struct("n", "canonical", "confidence", "strategy"), F.struct("rank", -F.col("n")))
-    return every.groupBy(key, "at").agg(pick.alias("b")).select(key, "at", "b.*")
-
-
 def trigram_search(queries: DataFrame, names: DataFrame, least: float = 0.3, most: int = 50) -> DataFrame:
     """Names by trigram similarity to each query (queries: q; names: id, canonical, text), at most ``most`` each.
 

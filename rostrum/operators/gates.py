@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import textfn as T
-from .dictionary import exact, fused, initials_match
+from .dictionary import exact, fused, initials
 from .spans import ahead
 
 #: Gates in their order of evaluation.
@@ -16,14 +16,19 @@ GATES = (
 )
 
 
-def in_lexicon(spans: DataFrame, lexicon: DataFrame, aliases: DataFrame) -> DataFrame:
-    """``spans`` (span_id, span) with in_lexicon: every token is an ordinary word (token) and the span is no alias (alias)."""
+def in_lexicon(spans: DataFrame, lexicon: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """``spans`` (span_id, span) with in_lexicon: every token, bare of punctuation, is an ordinary word (token) and the span is no alias (alias)."""
     tokens = spans.select("span_id", F.explode(F.split(F.lower(F.trim("span")), T.U + r"\s+")).alias("token"))
     words = lexicon.select(F.lower("token").alias("token"), F.lit(True).alias("known")).distinct()
+    tokens = tokens.withColumn("token", T.edge_stripped("token"))
     all_known = tokens.join(words, "token", "left").groupBy("span_id").agg(F.every(F.coalesce("known", F.lit(False))).alias("all_known"))
-    names = aliases.select(F.lower("alias").alias("alias"), F.lit(True).alias("is_alias")).distinct()
-    out = spans.join(all_known, "span_id", "left").join(names, F.lower("span") == F.col("alias"), "left")
-    return out.select(*spans.columns, (F.coalesce("all_known", F.lit(False)) & F.col("is_alias").isNull()).alias("in_lexicon"))
+    out = spans.join(all_known, "span_id", "left")
+    known = F.coalesce("all_known", F.lit(False))
+    if aliases is not None:
+        names = aliases.select(F.lower("alias").alias("alias"), F.lit(True).alias("is_alias")).distinct()
+        out = out.join(names, F.lower("span") == F.col("alias"), "left")
+        known = known & F.col("is_alias").isNull()
+    return out.select(*spans.columns, known.alias("in_lexicon"))
 
 
 def decided(
@@ -58,13 +63,13 @@ def tally(rejections: DataFrame) -> DataFrame:
 
 
 def context_signals(
-    words: DataFrame, key: str, order: list[str], spans: DataFrame, titles: tuple[str, ...], constituencies: DataFrame, reach: int = 40, widest: int = 4
+    words: DataFrame, key: str, order: list[str], spans: DataFrame, titles: tuple[str, ...], seats: DataFrame, reach: int = 40, widest: int = 4
 ) -> DataFrame:
     """``spans`` (key, at, n; at counts words from 1, at most ``widest`` of them) with signal.
 
     A span has a signal if the last word before it that is no bare punctuation is a title, if its first word
     is capital, or if its context holds the words "member for" or, outside the span, a constituency of one
-    or two words (exact, fused or by initials). The context is the turn of its speaker, if its words have
+    or two words (exact, fused or by initials; ``seats`` is their index of names). The context is the turn of its speaker, if its words have
     one speaker, else ``reach`` words to either side. ``words`` has word, speaker and capital.
     """
     per = Window.partitionBy(key).orderBy(*order)
@@ -72,7 +77,7 @@ def context_signals(
     rows = ahead(words.withColumn("bare", bare), key, order, ["bare"], 2)
     pairs = rows.select(key, "at", F.explode(F.sequence(F.lit(1), F.size("next_bare"))).alias("k"), "next_bare").select(key, "at", "k", F.array_join(F.slice("next_bare", 1, F.col("k")), " ").alias("span"))
     texts = pairs.select("span").distinct().withColumn("span_id", F.col("span"))
-    known = exact(texts, constituencies).unionByName(fused(texts, constituencies)).unionByName(initials_match(texts, constituencies)).select(F.col("span_id").alias("span")).distinct()
+    known = exact(texts, seats).unionByName(fused(texts, seats)).unionByName(initials(texts, seats)).select(F.col("span_id").alias("span")).distinct()
     places = pairs.join(known, "span").groupBy(key, "at").agg(F.max((F.col("k") == 1).cast("int")).alias("one"), F.max((F.col("k") == 2).cast("int")).alias("two"))
     rows = rows.join(places, [key, "at"], "left").fillna(0, ["one", "two"])
     by_place = Window.partitionBy(key).orderBy("at")

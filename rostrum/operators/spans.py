@@ -2,54 +2,82 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructType
 
 
 def ahead(rows: DataFrame, key: str, order: list[str], columns: list[str], widest: int) -> DataFrame:
     """``rows`` with at (from 1) and, for each of ``columns``, an array next_<column> of its values here and in the rows that follow."""
     per = Window.partitionBy(key).orderBy(*order)
-    ahead_ = per.rowsBetween(0, widest - 1)
-    lists = {f"next_{c}": F.collect_list(F.coalesce(F.col(c), F.lit(""))).over(ahead_) if dict(rows.dtypes)[c] == "string" else F.collect_list(c).over(ahead_) for c in columns}
-    return rows.withColumns({"at": F.row_number().over(per), **lists})
+    kinds = dict(rows.dtypes)
+    here = F.struct(*((F.coalesce(F.col(c), F.lit("")) if kinds[c] == "string" else F.col(c)).alias(c) for c in columns))
+    rows = rows.withColumns({"at": F.row_number().over(per), "_next": F.collect_list(here).over(per.rowsBetween(0, widest - 1))})
+    return rows.withColumns({f"next_{c}": F.col("_next")[c] for c in columns}).drop("_next")
 
 
-def settled(rows: DataFrame, key: str) -> DataFrame:
+def _settling(names: list[str], key: str, changed: str | None, skip: str | None):
+    """Streams rows in the order of (key, at); between two rows it keeps where the last run ends, and counts."""
+
+    def run(batches):
+        now, end, gone_to, left = None, 0, 0, 0
+        for b in batches:
+            column = lambda name: b.column(names.index(name)).to_pylist()
+            sizes = column("n")
+            change = column(changed) if changed else sizes
+            more_words = column(skip) if skip else [0] * len(sizes)
+            taken, covered, gone, pos = [], [], [], []
+            for k, at, n, to_change, stays in zip(column(key), column("at"), sizes, change, more_words):
+                if k != now:
+                    now, end, gone_to, left = k, 0, 0, 0
+                inside = at <= end
+                take = n is not None and not inside
+                if take:
+                    end = at + n - 1
+                taken.append(take)
+                covered.append(inside)
+                gone.append(inside and at <= gone_to)
+                pos.append(left)
+                left += not gone[-1]
+                if take and to_change:
+                    gone_to = end
+                    left += stays
+            made = [pa.array(taken), pa.array(covered)]
+            if changed:
+                made += [pa.array(gone), pa.array(pos, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*names, "taken", "covered", *(["gone", "pos"] if changed else [])])
+
+    return run
+
+
+def settled(rows: DataFrame, key: str, changed: str | None = None, skip: str | None = None) -> DataFrame:
     """``rows`` (key, at, n: words of the run that may begin here, or null) with taken and covered.
 
     From left to right, the first run is taken, then the first that begins after it, and so on; covered rows
-    lie within a taken run that began before. A choice depends only on the runs that overlap it, directly
-    or by others between, so each such knot is settled by itself; streams are sorted, never held.
+    lie within a taken run that began before. The rows of a key stream by in order, so that neither a key
+    nor a run of overlapping ones is ever held, and the time is linear. With ``changed`` (a boolean column
+    that tells which runs become one word) also gone, the rows that such a run swallows, and pos, a count
+    from 0 of the words that are left: the run's own, and ``skip`` more where a run's first words stay.
     """
-    by_place = Window.partitionBy(key).orderBy("at")
-    before = by_place.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("last", F.col("at") + F.col("n") - 1)
-    apart = F.col("n").isNotNull() & (F.coalesce(F.max("last").over(before), F.lit(0)) < F.col("at"))
-    rows = rows.withColumn("apart", apart).withColumn("knot", F.count_if("apart").over(by_place))
-    knots = rows.where("n is not null").groupBy(key, "knot").agg(F.sort_array(F.collect_list(F.struct("at", "last"))).alias("runs"))
-    chosen = F.expr(
-        "aggregate(runs, named_struct('done', 0, 'chosen', cast(array() as array<int>)), (s, d) -> "
-        "if(d.at > s.done, named_struct('done', cast(d.last as int), 'chosen', array_append(s.chosen, cast(d.at as int))), s)).chosen"
-    )
-    rows = rows.join(knots.select(key, "knot", chosen.alias("chosen")), [key, "knot"], "left")
-    rows = rows.withColumn("taken", F.coalesce(F.array_contains("chosen", F.col("at").cast("int")), F.lit(False)))
-    covered = F.coalesce(F.max(F.when(F.col("taken"), F.col("last"))).over(before) >= F.col("at"), F.lit(False))
-    return rows.withColumn("covered", covered).drop("last", "apart", "knot", "chosen")
+    schema = StructType([*rows.schema.fields]).add("taken", BooleanType()).add("covered", BooleanType())
+    if changed:
+        schema = schema.add("gone", BooleanType()).add("pos", LongType())
+    dealt = rows.repartition(F.col(key)).sortWithinPartitions(key, "at")
+    return dealt.mapInArrow(_settling(rows.columns, key, changed, skip), schema)
 
 
 def merged_words(rows: DataFrame, key: str, text: Column, changed: Column, extra: dict[str, Column]) -> DataFrame:
-    """Settled ``rows`` (key, at, word, start, end, next_end, n) with each changed run made one word.
+    """``rows`` (key, at, word, start, end, next_end, n) with each run that is taken and ``changed`` made one word, ``text``.
 
-    ``changed`` tells which taken runs become ``text``; the words of the others stay. ``pos`` counts what is left.
+    The words of the other runs stay. ``pos`` counts what is left. ``extra`` may use changed.
     """
-    by_place = Window.partitionBy(key).orderBy("at")
-    before = by_place.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("changed", F.coalesce(F.col("taken") & changed, F.lit(False)))
-    gone = F.coalesce(F.max(F.when(F.col("changed"), F.col("at") + F.col("n") - 1)).over(before) >= F.col("at"), F.lit(False))
-    rows = rows.withColumn("gone", gone).where("not gone")
-    pick = lambda yes, no: F.when(F.col("changed"), yes).otherwise(no)
-    return rows.select(
-        F.col(key).cast("long").alias(key), (F.row_number().over(by_place) - 1).alias("pos"), pick(text, F.col("word")).alias("word"),
-        F.col("start").cast("double").alias("start"), pick(F.get("next_end", F.col("n") - 1), F.col("end")).cast("double").alias("end"),
-        *(c.alias(name) for name, c in extra.items()),
+    run_end = F.get("next_end", F.col("n") - 1)
+    rows = rows.select(
+        F.col(key).cast("long").alias(key), "at", "n", "word", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"),
+        run_end.cast("double").alias("run_end"), text.alias("text"), F.coalesce(changed & F.col("n").isNotNull(), F.lit(False)).alias("changes"), *(c.alias(name) for name, c in extra.items()),
     )
+    rows = settled(rows, key, "changes").where("not gone").withColumn("changed", F.col("taken") & F.col("changes"))
+    pick = lambda yes, no: F.when(F.col("changed"), F.col(yes)).otherwise(F.col(no))
+    kept = [F.when(F.col("changed"), F.col(name)).alias(name) for name in extra]
+    return rows.select(key, "pos", pick("text", "word").alias("word"), "start", pick("run_end", "end").alias("end"), *kept, "changed")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import textfn as T
-from .dictionary import legacy_fuzzy_score, near_keys
+from .dictionary import legacy_fuzzy_score, nearest
 
 
 def scan_ceiling(length):
@@ -18,8 +18,7 @@ def fuzzy_scan(spans: DataFrame, keys: DataFrame, blocked: DataFrame | None = No
     """Nearest key within the ceiling of the span's length, the first loaded of equals; blocked tokens match nothing."""
     if blocked is not None:
         spans = spans.join(blocked.select(F.lower("token").alias("token")).distinct(), F.lower("span") == F.col("token"), "left_anti")
-    near = near_keys(spans, keys, limit=scan_ceiling)
-    best = near.groupBy("span_id").agg(F.min(F.struct("d", "load", "canonical")).alias("b"))
+    best = nearest(spans, keys, scan_ceiling)
     return best.select("span_id", F.col("b.canonical").alias("canonical"), legacy_fuzzy_score(F.col("b.d")).alias("confidence"), F.lit("fuzzy").alias("strategy"))
 
 
