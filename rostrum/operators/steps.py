@@ -24,10 +24,10 @@ def shared_folder(spark: SparkSession) -> str:
     return spark._rostrum_steps
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again; the files go when Python ends, or by ``forget``."""
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """``df`` written as Parquet (parted by a column) to the shared folder and read again; the files go when Python ends, or by ``forget``."""
     spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/rostrum-step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

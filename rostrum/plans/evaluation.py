@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.correction import correct_documents
+from ..operators.correction import SERVICE
 from ..registry import query, table
-from .matching import damaged_parts
+from .matching import INDEX_SQL, SAID_SQL, said, said_in_texts
 
 
 @query(
@@ -134,13 +134,17 @@ def scan_rollup(spark, sf_dir):
     )
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 4 > 0 THEN p_name END AS got, p_partkey % 4 > 0 AS covered, p_partkey % 4 > 0 AS correct FROM part")
+@query(
+    f"""
+    WITH {INDEX_SQL} SELECT id, got, got IS NOT NULL AS covered, coalesce(got = canonical, false) AS correct FROM
+    (SELECT s.id, s.canonical, CASE form WHEN 1 THEN s.canonical WHEN 2 THEN a.canonical WHEN 3 THEN b.canonical WHEN 4 THEN CASE WHEN s.kind <> 'person' THEN s.canonical END END AS got
+     FROM {SAID_SQL} s LEFT JOIN surnames a ON a.key = lower(surname) LEFT JOIN initials b ON b.key = lower(substr(given, 1, 1) || '.' || surname))
+    """
+)
 def r31_span_evaluation(spark, sf_dir):
     """A gold span is judged by the correction that covers its first token's place; one left alone has none."""
-    parts, names = damaged_parts(spark, sf_dir)
-    texts = parts.select(F.col("p_partkey").alias("id"), F.concat(F.lit("Heard: "), "damaged", F.lit(", today.")).alias("text"))
-    gold = parts.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("want"), F.lit(len("Heard: ")).alias("offset"))
-    fixes = correct_documents(texts, "id", "text", names).select("id", F.explode("corrections").alias("c"))
+    fixes = said_in_texts(spark, sf_dir, SERVICE).select("id", F.explode("corrections").alias("c"))
+    gold = said(spark, sf_dir).select("id", F.col("canonical").alias("want"), F.when(F.col("form") == 2, len("Heard hon ")).otherwise(len("Heard ")).alias("offset"))
     over = gold.join(fixes, "id").where("c.start <= offset and offset < c.end").select("id", F.col("c.canonical").alias("got"))
     out = gold.join(over, "id", "left")
     return out.select("id", "got", F.col("got").isNotNull().alias("covered"), F.coalesce(F.col("got") == F.col("want"), F.lit(False)).alias("correct"))

@@ -1,6 +1,6 @@
 """Entity resolution: dictionary keys, matching strategies, gates and scores.
 
-supplier, nation and part names stand in for the dictionary; spans are the same names, damaged by rule.
+names made of customers' keys stand in for the dictionary; spans are the same names, damaged by rule.
 """
 
 from __future__ import annotations
@@ -10,187 +10,249 @@ from pyspark.sql import functions as F
 
 from ..functions import textfn as T
 from ..operators import dictionary as D
+from ..operators import correction as C
 from ..operators import evidence, gates, variants
-from ..operators.correction import correct_documents, correct_stream
+from ..operators import names as N
+from ..operators.steps import written
 from ..registry import query, table
 
 
-def records(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("id"), F.col("s_name").alias("canonical"), F.col("s_suppkey").alias("load"), (F.col("s_suppkey") % 5 == 0).alias("last_wins")
-    )
+def letters(x):
+    """Letters made of a number, in SQL."""
+    return f"translate(md5(({x})::VARCHAR), '0123456789', 'ghijklmnop')"
 
 
-def aliases(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("Alias "), F.col("s_suppkey") % 17).alias("alias"), F.lit(0).alias("ordinal"))
+def capital_sql(x):
+    return f"(upper(substr({x}, 1, 1)) || substr({x}, 2))"
 
 
-def keys(spark, sf_dir):
-    return D.key_map(records(spark, sf_dir), aliases(spark, sf_dir), F.lower)
+#: Names of two or three words made of customers' keys; three in a row share a surname, two an alias.
+RECORDS_SQL = f"""
+    (SELECT k AS id, k AS load, given, middle, surname, given || CASE WHEN k % 2 = 0 THEN ' ' || middle ELSE '' END || ' ' || surname AS canonical,
+       CASE WHEN k % 40 = 3 THEN 'party' WHEN k % 4 = 0 THEN 'location' ELSE 'person' END AS kind,
+       CASE WHEN k % 40 = 3 THEN 'party' WHEN k % 8 = 0 THEN 'supplementary' WHEN k % 4 = 0 THEN 'constituency' ELSE 'person' END AS type,
+       CASE WHEN k % 40 = 3 THEN upper(substr(given, 1, 4)) END AS abbreviation, k % 8 = 0 AS last_wins, {capital_sql("substr(a, 1, 7)")} AS alias FROM
+     (SELECT k, a, {capital_sql("substr(h, 1, 6)")} AS given, {capital_sql("substr(h, 7, 5)")} AS middle, {capital_sql("substr(f, 1, 7)")} || CASE WHEN k % 5 = 0 THEN '-' || {capital_sql("substr(f, 8, 5)")} ELSE '' END AS surname FROM
+      (SELECT c_custkey AS k, {letters("c_custkey")} AS h, {letters("c_custkey // 3")} AS f, {letters("'x' || (c_custkey // 2)")} AS a FROM customer)))
+"""
 
 
-def spans(spark, sf_dir, kind="mixed"):
-    base = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("span_id"), F.col("s_name").alias("name"))
-    k = F.col("span_id") % 4
-    damaged = F.when(k == 0, F.col("name")).when(k == 1, F.regexp_replace("name", "#", " -#")).when(k == 2, F.regexp_replace("name", "Supp", "Sup")).otherwise(F.lit("unknown thing"))
-    return base.select("span_id", damaged.alias("span"))
+def entities(spark, sf_dir):
+    """The records of RECORDS_SQL."""
+    k = F.col("c_custkey")
+    made = lambda x: F.translate(F.md5(x.cast("string").cast("binary")), "0123456789", "ghijklmnop")
+    cap = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 99))
+    h, f, a = made(k), made(F.expr("c_custkey div 3")), made(F.concat(F.lit("x"), F.expr("c_custkey div 2")))
+    surname = F.concat(cap(F.substring(f, 1, 7)), F.when(k % 5 == 0, F.concat(F.lit("-"), cap(F.substring(f, 8, 5)))).otherwise(""))
+    c = table(spark, sf_dir, "customer").select(
+        k.alias("id"), k.alias("load"), cap(F.substring(h, 1, 6)).alias("given"), cap(F.substring(h, 7, 5)).alias("middle"), surname.alias("surname"), cap(F.substring(a, 1, 7)).alias("alias")
+    )
+    k = F.col("id")
+    return c.withColumns({
+        "canonical": F.concat_ws(" ", "given", F.when(k % 2 == 0, F.col("middle")), "surname"),
+        "kind": F.when(k % 40 == 3, "party").when(k % 4 == 0, "location").otherwise("person"),
+        "type": F.when(k % 40 == 3, "party").when(k % 8 == 0, "supplementary").when(k % 4 == 0, "constituency").otherwise("person"),
+        "abbreviation": F.when(k % 40 == 3, F.upper(F.substring("given", 1, 4))), "last_wins": k % 8 == 0,
+    })
 
 
-KEYS_SQL = """
-    (SELECT key, coalesce(arg_max(canonical, load * 2 + ordinal) FILTER (WHERE last_wins), arg_min(canonical, load * 2 + ordinal)) AS canonical,
-            coalesce(max(load) FILTER (WHERE last_wins), min(load)) AS load FROM
-     (SELECT lower(s_name) AS key, s_name AS canonical, s_suppkey AS load, 0 AS ordinal, s_suppkey % 5 = 0 AS last_wins FROM supplier
-      UNION ALL SELECT lower('Alias ' || (s_suppkey % 17)), s_name, s_suppkey, 1, s_suppkey % 5 = 0 FROM supplier) GROUP BY key)
-"""
+def built_index(spark, sf_dir):
+    e = entities(spark, sf_dir)
+    return N.name_index(e.select("id", "canonical", "kind", "type", "abbreviation", "last_wins", "load"), e.select("id", "alias", F.lit(0).alias("place")))
 
 
-@query(f"SELECT key, canonical, load FROM {KEYS_SQL}")
-def e1_index_build(spark, sf_dir):
-    return keys(spark, sf_dir)
+def index_of(spark, sf_dir):
+    """The index as strategies read it: written once a session, by kind of key."""
+    made = spark.__dict__.setdefault("_rostrum_indexes", {})
+    if sf_dir not in made:
+        made[sf_dir] = written(built_index(spark, sf_dir), "key_kind")
+    return made[sf_dir]
 
 
-SPANS_SQL = "(SELECT s_suppkey AS span_id, CASE s_suppkey % 4 WHEN 0 THEN s_name WHEN 1 THEN replace(s_name, '#', ' -#') WHEN 2 THEN replace(s_name, 'Supp', 'Sup') ELSE 'unknown thing' END AS span FROM supplier)"
+def keys(spark, sf_dir):
+    return N.keys_of(index_of(spark, sf_dir), "text")
 
 
-@query(f"SELECT span_id, canonical, 1.0::DOUBLE AS confidence, 'exact' AS strategy FROM {SPANS_SQL} JOIN {KEYS_SQL} ON lower(span) = key")
-def e2_exact(spark, sf_dir):
-    return D.exact(spans(spark, sf_dir), keys(spark, sf_dir))
+def fused_sql(x):
+    return f"lower(regexp_replace({x}, '[\\s\\-'']', '', 'g'))"
+
+
+def phonetic_sql(x):
+    """The phonetic key in DuckDB, whose patterns have no look-ahead and no back-reference: runs of a letter are dropped place by place."""
+    out = f"replace({fused_sql(x)}, 'ph', 'f')"
+    for _ in range(2):  # a gh that is not at the end; twice for those that touch
+        out = f"regexp_replace({out}, 'gh(.)', 'g\\1', 'g')"
+    out = f"replace({out}, 'ck', 'k')"
+    out = f"regexp_replace(regexp_replace({out}, 'ei|ey', 'e', 'g'), 'ou|oo', 'u', 'g')"
+    for a, b in (("aa", "a"), ("ee", "e"), ("ii", "i")):
+        out = f"replace({out}, '{a}', '{b}')"
+    return f"array_to_string(list_transform([{out}], lambda z: array_to_string(list_transform(range(1, length(z) + 1), lambda i: CASE WHEN i > 1 AND z[i] = z[i - 1] THEN '' ELSE z[i] END), '')), '')"
+
+
+#: The index of names as common tables: r, texts, fused, sounds, fans, parts, surnames, initials.
+INDEX_SQL = f"""
+    r AS (SELECT * FROM {RECORDS_SQL}),
+    writes AS (SELECT lower(canonical) AS key, canonical, false AS last, load, -1 AS place FROM r UNION ALL SELECT lower(alias), canonical, last_wins, load, 0 FROM r),
+    held AS (SELECT key, arg_min(canonical, (load, place)) AS first, min(load) AS load, arg_min(place, (load, place)) AS place, arg_max(canonical, (load, place)) FILTER (WHERE last) AS last FROM writes GROUP BY key),
+    texts AS MATERIALIZED (SELECT key, coalesce(last, first) AS canonical, load, place FROM held),
+    taken AS (SELECT key, first AS canonical, load, place FROM held UNION ALL SELECT key, canonical, load, place FROM writes WHERE last),
+    fused AS (SELECT {fused_sql("key")} AS key, arg_max(canonical, (load, place)) AS canonical FROM taken GROUP BY 1),
+    sounds AS MATERIALIZED (SELECT s.key, s.canonical, h.load, h.place FROM (SELECT {phonetic_sql("lower(first)")} AS key, first AS canonical FROM held WHERE place = -1
+      UNION SELECT {phonetic_sql("lower(alias)")}, canonical FROM r WHERE type = 'supplementary') s LEFT JOIN held h ON h.key = lower(s.canonical)),
+    fans AS (SELECT key, count(*) AS fanout FROM sounds GROUP BY 1),
+    parts AS (SELECT key, min(canonical) AS canonical FROM (SELECT DISTINCT unnest(string_split(key, ' ')) AS key, canonical FROM writes) GROUP BY 1 HAVING count(*) = 1),
+    people AS (SELECT *, string_split(lower(canonical), ' ') AS w FROM r WHERE kind = 'person'),
+    surnames AS (SELECT w[-1] AS key, arg_min(canonical, load) AS canonical, min(load) AS load FROM people GROUP BY 1),
+    initials AS (SELECT key, arg_min(canonical, load) AS canonical, min(load) AS load FROM (SELECT unnest(list_distinct([w[1][1] || '.' || w[-1], CASE WHEN len(w) > 2 THEN w[2][1] ELSE w[1][1] END || '.' || w[-1],
+      CASE WHEN len(w) > 2 THEN w[1][1] || '.' || w[2][1] ELSE w[1][1] END || '.' || w[-1]])) AS key, canonical, load FROM people) GROUP BY 1)
+"""
 
 
 @query(
     f"""
-    SELECT span_id, canonical, 0.98::DOUBLE AS confidence, 'fused' AS strategy FROM {SPANS_SQL}
-    JOIN (SELECT regexp_replace(key, '[\\s\\-'']', '', 'g') AS fkey, arg_min(canonical, load) AS canonical FROM {KEYS_SQL} GROUP BY 1) ON lower(regexp_replace(span, '[\\s\\-'']', '', 'g')) = fkey
+    WITH {INDEX_SQL} SELECT key_kind, key, canonical, kind, type, abbreviation, i.load, i.place, fanout FROM
+    (SELECT 'text' AS key_kind, key, canonical, load, place, 1 AS fanout FROM texts UNION ALL SELECT 'fused', key, canonical, NULL, NULL, 1 FROM fused
+     UNION ALL SELECT 'phonetic', key, canonical, load, place, fanout FROM sounds JOIN fans USING (key) UNION ALL SELECT 'component', key, canonical, NULL, NULL, 1 FROM parts
+     UNION ALL SELECT 'surname', key, canonical, load, NULL, 1 FROM surnames UNION ALL SELECT 'initials', key, canonical, load, NULL, 1 FROM initials) i JOIN r USING (canonical)
     """
 )
-def e3_e4_fused(spark, sf_dir):
-    return D.fused(spans(spark, sf_dir), keys(spark, sf_dir))
+def e1_index_build(spark, sf_dir):
+    return built_index(spark, sf_dir)
 
 
-def initials_sql(spans, names):
-    """Spans against (key, canonical, load) by initials; names of one word have none."""
-    return f"""
-    SELECT span_id, canonical, 0.95::DOUBLE AS confidence, 'initials' AS strategy FROM {spans}
-    JOIN (SELECT k, arg_min(canonical, (load, canonical)) AS canonical FROM (SELECT lower(array_to_string(list_transform(string_split(canonical, ' '), lambda w: w[1]), '')) AS k, canonical, load FROM {names}) WHERE length(k) >= 2 GROUP BY 1)
-    ON lower(regexp_replace(replace(span, '.', ''), '[\\s\\-'']', '', 'g')) = k
-    """
+SPANS_SQL = f"""
+    (SELECT id AS span_id, CASE id % 6 WHEN 0 THEN canonical WHEN 1 THEN replace(canonical, ' ', '') WHEN 2 THEN substr(given, 1, 1) || '. ' || surname
+       WHEN 3 THEN substr(given, 1, 1) || '.' || substr(middle, 1, 1) || '. ' || surname WHEN 4 THEN substr(canonical, 1, 2) || 'z' || substr(canonical, 4) ELSE 'unknown thing' END AS span FROM {RECORDS_SQL})
+"""
 
 
-PART_NAMES_SQL = "(SELECT lower(p_name) AS key, p_name AS canonical, p_partkey AS load FROM part)"
+def spans(spark, sf_dir):
+    """The names as they stand, without spaces, as one or two initials with the surname, misspelt; and what is no name."""
+    k, e = F.col("id") % 6, entities(spark, sf_dir)
+    letter = lambda c: F.substring(c, 1, 1)
+    span = (
+        F.when(k == 0, F.col("canonical")).when(k == 1, F.regexp_replace("canonical", " ", "")).when(k == 2, F.concat(letter("given"), F.lit(". "), "surname"))
+        .when(k == 3, F.concat(letter("given"), F.lit("."), letter("middle"), F.lit(". "), "surname"))
+        .when(k == 4, F.concat(F.substring("canonical", 1, 2), F.lit("z"), F.substring("canonical", 4, 99))).otherwise("unknown thing")
+    )
+    return e.select(F.col("id").alias("span_id"), span.alias("span"))
 
 
-@query(initials_sql("(SELECT p_partkey AS span_id, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1])), '.') AS span FROM part)", PART_NAMES_SQL))
-def e5_initials(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select(F.lower("p_name").alias("key"), F.col("p_name").alias("canonical"), F.col("p_partkey").alias("load"))
-    asked = names.select(F.col("load").alias("span_id"), F.array_join(F.transform(F.split("canonical", " "), lambda w: F.upper(F.substring(w, 1, 1))), ".").alias("span"))
-    return D.initials_match(asked, names)
+def _found(df):
+    return df.select("span_id", "canonical", F.round("confidence", 9).cast("double").alias("confidence"), "strategy")
 
 
-def fused_sql(x):
-    return f"lower(regexp_replace({x}, '[\\s\\-'']', '', 'g'))"
+@query(f"WITH {INDEX_SQL} SELECT span_id, canonical, 1.0::DOUBLE AS confidence, 'exact' AS strategy FROM {SPANS_SQL} JOIN texts ON lower(span) = key")
+def e2_exact(spark, sf_dir):
+    return _found(D.exact(spans(spark, sf_dir), index_of(spark, sf_dir)))
 
 
-def phonetic_sql(x):
-    """The phonetic key in DuckDB, whose patterns have no look-ahead and no back-reference: runs of a letter are dropped place by place."""
-    out = f"replace({fused_sql(x)}, 'ph', 'f')"
-    for _ in range(2):  # a gh that is not at the end; twice for those that touch
-        out = f"regexp_replace({out}, 'gh(.)', 'g\\1', 'g')"
-    out = f"replace({out}, 'ck', 'k')"
-    out = f"regexp_replace(regexp_replace({out}, 'ei|ey', 'e', 'g'), 'ou|oo', 'u', 'g')"
-    for a, b in (("aa", "a"), ("ee", "e"), ("ii", "i")):
-        out = f"replace({out}, '{a}', '{b}')"
-    return f"array_to_string(list_transform([{out}], lambda z: array_to_string(list_transform(range(1, length(z) + 1), lambda i: CASE WHEN i > 1 AND z[i] = z[i - 1] THEN '' ELSE z[i] END), '')), '')"
+@query(f"WITH {INDEX_SQL} SELECT span_id, canonical, 0.98::DOUBLE AS confidence, 'fused' AS strategy FROM {SPANS_SQL} JOIN fused ON {fused_sql('span')} = key")
+def e3_e4_fused(spark, sf_dir):
+    return _found(D.fused(spans(spark, sf_dir), index_of(spark, sf_dir)))
+
 
+def initials_sql(spans):
+    key = "regexp_replace(replace(regexp_replace(lower(span), '\\s*\\.\\s*', '.', 'g'), ' ', '.'), '\\.$', '')"
+    return f"SELECT span_id, canonical, CASE WHEN len(string_split(key, '.')) > 2 THEN 0.93 ELSE 0.95 END::DOUBLE AS confidence, 'initials' AS strategy FROM {spans} JOIN initials ON {key} = key"
 
-def phonetic_match_sql(spans, keys):
+
+@query(f"WITH {INDEX_SQL} {initials_sql(SPANS_SQL)}")
+def e5_initials(spark, sf_dir):
+    """Initials before a surname: one at 0.95, more at 0.93; of persons alone, the first loaded."""
+    return _found(D.initials(spans(spark, sf_dir), index_of(spark, sf_dir)))
+
+
+def phonetic_match_sql(spans):
     return f"""
-    SELECT span_id, arg_min(canonical, (-score, load, canonical)) AS canonical, round(max(score), 9) AS confidence, 'phonetic' AS strategy FROM
-    (SELECT span_id, canonical, load, greatest(0.55, least(0.92, CASE WHEN fanout >= 5 THEN least(0.749, raw) ELSE raw END))::DOUBLE AS score FROM
-     (SELECT *, 0.55 + 0.27 * sim + 0.10 * least(length(pkey), 12) / 12 - 0.30 * least(fanout - 1, 10) / 10 AS raw FROM
-      (SELECT s.span_id, k.canonical, k.load, k.pkey, f.fanout, 1 - levenshtein({fused_sql("s.span")}, {fused_sql("k.key")})::DOUBLE / greatest(length({fused_sql("s.span")}), length({fused_sql("k.key")})) AS sim
-       FROM (SELECT *, {phonetic_sql("span")} AS pkey FROM {spans}) s JOIN (SELECT *, {phonetic_sql("key")} AS pkey FROM {keys}) k ON s.pkey = k.pkey AND length(s.pkey) >= 4
-       JOIN (SELECT {phonetic_sql("key")} AS pkey, count(DISTINCT canonical) AS fanout FROM {keys} GROUP BY 1) f ON f.pkey = k.pkey) WHERE sim >= 0.6)) GROUP BY 1
+    SELECT span_id, arg_min(canonical, (-round(score, 6), load, place, canonical)) AS canonical, round(arg_min(score, (-round(score, 6), load, place, canonical)), 9) AS confidence, 'phonetic' AS strategy FROM
+    (SELECT span_id, canonical, load, place, greatest(0.55, least(0.92, CASE WHEN fanout >= 5 THEN least(0.749, raw) ELSE raw END))::DOUBLE AS score FROM
+     (SELECT *, 0.55 + 0.27 * sim + 0.10 * least(length(key), 12) / 12 - 0.30 * least(fanout - 1, 10) / 10 AS raw FROM
+      (SELECT s.span_id, k.canonical, k.load, k.place, k.key, f.fanout, 1 - levenshtein(lower(s.span), lower(k.canonical))::DOUBLE / greatest(length(s.span), length(k.canonical)) AS sim
+       FROM (SELECT *, {phonetic_sql("span")} AS pkey FROM {spans}) s JOIN sounds k ON s.pkey = k.key AND length(s.pkey) >= 4 JOIN fans f ON f.key = k.key) WHERE sim >= 0.6)) GROUP BY 1
     """
 
 
-@query(phonetic_match_sql(SPANS_SQL, KEYS_SQL))
+DOUBLED_SQL = f"(SELECT id AS span_id, substr(canonical, 1, 3) || substr(canonical, 3) AS span FROM {RECORDS_SQL})"
+
+
+@query(f"WITH {INDEX_SQL} {phonetic_match_sql(DOUBLED_SQL)}")
 def e6_phonetic(spark, sf_dir):
-    return D.phonetic(spans(spark, sf_dir), keys(spark, sf_dir)).withColumn("confidence", F.round("confidence", 9))
+    doubled = F.concat(F.substring("canonical", 1, 3), F.substring("canonical", 3, 99))
+    return _found(D.phonetic(entities(spark, sf_dir).select(F.col("id").alias("span_id"), doubled.alias("span")), index_of(spark, sf_dir)))
 
 
-FUZZY_SQL = f"""
-    SELECT span_id, arg_min(canonical, (d, load, canonical)) AS canonical, greatest(0.70, 1 - 0.12 * min(d))::DOUBLE AS confidence, 'fuzzy' AS strategy FROM
-    (SELECT span_id, canonical, load, levenshtein(lower(span), key)::BIGINT AS d, CASE WHEN length(span) <= 4 THEN 1 WHEN length(span) <= 7 THEN 2 WHEN length(span) <= 11 THEN 3 ELSE 4 END AS most
-     FROM {SPANS_SQL}, {KEYS_SQL} WHERE length(span) >= 4) WHERE d > 0 AND d <= most GROUP BY 1
-"""
+MOST_SQL = "CASE WHEN length(span) <= 4 THEN 1 WHEN length(span) <= 7 THEN 2 WHEN length(span) <= 11 THEN 3 ELSE 4 END"
+NEAR_SQL = f"(SELECT span_id, span, key, canonical, load, place, levenshtein(lower(span), key)::BIGINT AS d, {MOST_SQL} AS most FROM {SPANS_SQL}, texts WHERE length(span) >= 4 AND abs(length(span) - length(key)) <= 4)"
 
 
-@query(f"SELECT span_id, canonical, round(confidence, 9) AS confidence, strategy FROM ({FUZZY_SQL})")
+@query(
+    f"WITH {INDEX_SQL} SELECT span_id, arg_min(canonical, (d, load, place, key)) AS canonical, round(greatest(0.70, 1 - 0.12 * min(d)), 9)::DOUBLE AS confidence, 'fuzzy' AS strategy FROM {NEAR_SQL} WHERE d > 0 AND d <= most GROUP BY 1"
+)
 def e7_fuzzy(spark, sf_dir):
-    return D.fuzzy(spans(spark, sf_dir), keys(spark, sf_dir)).withColumn("confidence", F.round("confidence", 9))
+    return _found(D.fuzzy(spans(spark, sf_dir), index_of(spark, sf_dir)))
 
 
-def bounded_sql(spans, keys):
+def bounded_sql(spans):
     return f"""
     SELECT span_id, canonical, round(greatest(0.55, least(0.92, 0.92 - d::DOUBLE / n)), 9)::DOUBLE AS confidence, 'fuzzy' AS strategy FROM
-    (SELECT span_id, length(span) AS n, canonical, key, d, row_number() OVER (PARTITION BY span_id ORDER BY d, load, canonical) AS rn FROM
-     (SELECT span_id, span, canonical, key, load, levenshtein(lower(span), key)::BIGINT AS d, CASE WHEN length(span) <= 3 THEN 0 WHEN length(span) <= 6 THEN 1 WHEN length(span) <= 11 THEN 2 ELSE 3 END AS most
-      FROM {spans}, {keys} WHERE length(span) >= 4) WHERE d > 0 AND d <= most AND d::DOUBLE / length(span) <= 0.25) WHERE rn = 1
+    (SELECT span_id, length(span) AS n, canonical, key, d, row_number() OVER (PARTITION BY span_id ORDER BY d, load, place, key) AS rn FROM
+     (SELECT span_id, span, canonical, key, load, place, levenshtein(lower(span), key)::BIGINT AS d, CASE WHEN length(span) <= 3 THEN 0 WHEN length(span) <= 6 THEN 1 WHEN length(span) <= 11 THEN 2 ELSE 3 END AS most
+      FROM {spans}, texts WHERE length(span) >= 4 AND abs(length(span) - length(key)) <= 3) WHERE d > 0 AND d <= most AND d::DOUBLE / length(span) <= 0.25) WHERE rn = 1
     """
 
 
-@query(bounded_sql(SPANS_SQL, KEYS_SQL))
+@query(f"WITH {INDEX_SQL} {bounded_sql(SPANS_SQL)}")
 def e8_fuzzy_bounded(spark, sf_dir):
-    return D.fuzzy(spans(spark, sf_dir), keys(spark, sf_dir), bounded=True).withColumn("confidence", F.round("confidence", 9))
+    return _found(D.fuzzy(spans(spark, sf_dir), index_of(spark, sf_dir), bounded=True))
 
 
-@query(
-    f"SELECT span_id, key, d FROM (SELECT span_id, key, levenshtein(lower(span), key)::BIGINT AS d, CASE WHEN length(span) <= 4 THEN 1 WHEN length(span) <= 7 THEN 2 WHEN length(span) <= 11 THEN 3 ELSE 4 END AS most FROM {SPANS_SQL}, {KEYS_SQL} WHERE length(span) >= 4) WHERE d > 0 AND d <= most"
-)
+@query(f"WITH {INDEX_SQL} SELECT span_id, key, d FROM {NEAR_SQL} WHERE d > 0 AND d <= most")
 def u6_near_candidates(spark, sf_dir):
     """Candidates by length and distance at once: no bucket of equal lengths and no tree is walked."""
     return D.near_keys(spans(spark, sf_dir), keys(spark, sf_dir)).select("span_id", "key", F.col("d").cast("long").alias("d"))
 
 
-COMPONENT_SQL = """
-    SELECT span_id, canonical, 0.80::DOUBLE AS confidence, 'component' AS strategy FROM (SELECT c_custkey AS span_id, CASE WHEN c_nationkey < 12 THEN c_name ELSE c_mktsegment END AS span FROM customer)
-    JOIN (SELECT part, min(canonical) AS canonical FROM (SELECT unnest(string_split(lower(c_name || ' ' || c_mktsegment), ' ')) AS part, c_name || ' ' || c_mktsegment AS canonical FROM customer) WHERE length(part) >= 6 GROUP BY 1 HAVING count(DISTINCT canonical) = 1) ON lower(span) = part
-"""
+PART_OF_NAME_SQL = f"(SELECT id AS span_id, CASE WHEN id % 2 = 0 THEN given ELSE surname END AS span FROM {RECORDS_SQL})"
 
 
-@query(COMPONENT_SQL)
+@query(f"WITH {INDEX_SQL} SELECT span_id, canonical, 0.80::DOUBLE AS confidence, 'substring' AS strategy FROM {PART_OF_NAME_SQL} JOIN parts ON lower(span) = key WHERE length(span) >= 6 AND lower(span) NOT IN (SELECT lower(given) FROM {RECORDS_SQL} WHERE id % 10 = 0)")
 def e9_component(spark, sf_dir):
-    people = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name", "c_mktsegment", F.concat_ws(" ", "c_name", "c_mktsegment").alias("canonical"))
-    names = people.select(F.lower("canonical").alias("key"), "canonical")
-    span = F.when(F.col("c_nationkey") < 12, F.col("c_name")).otherwise(F.col("c_mktsegment"))
-    return D.component(people.select(F.col("c_custkey").alias("span_id"), span.alias("span")), names)
+    """Words of one name only, but for those that the lexicon has (every tenth record's first name)."""
+    e = entities(spark, sf_dir)
+    asked = e.select(F.col("id").alias("span_id"), F.when(F.col("id") % 2 == 0, F.col("given")).otherwise(F.col("surname")).alias("span"))
+    return _found(D.component(asked, index_of(spark, sf_dir), e.where("id % 10 = 0").select(F.col("given").alias("token"))))
 
 
-@query("SELECT s_suppkey AS id, arg_min(n_name, n_nationkey) AS canonical FROM supplier JOIN nation ON contains(lower(n_name), 'nation_' || (s_suppkey % 3)) GROUP BY 1")
+@query(f"WITH {INDEX_SQL} SELECT span_id, arg_min(canonical, (load, place, key)) AS canonical, 0.80::DOUBLE AS confidence, 'substring' AS strategy FROM (SELECT id AS span_id, substr(canonical, 3, 7) AS span FROM {RECORDS_SQL}) JOIN texts ON contains(key, lower(span)) AND key <> lower(span) GROUP BY 1")
 def e10_substring(spark, sf_dir):
-    """A name that contains the text, the lowest load position first."""
-    asked = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("span_id"), F.concat(F.lit("nation_"), F.col("s_suppkey") % 3).alias("span"))
-    names = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("key"), F.col("n_name").alias("canonical"), F.col("n_nationkey").alias("load"))
-    return D.substring(asked, names).select(F.col("span_id").alias("id"), "canonical")
+    """A name that contains the text, the first loaded."""
+    asked = entities(spark, sf_dir).select(F.col("id").alias("span_id"), F.substring("canonical", 3, 7).alias("span"))
+    return _found(D.substring(asked, index_of(spark, sf_dir)))
 
 
 CHAIN_SQL = f"""
-    WITH s AS {SPANS_SQL}, k AS {KEYS_SQL}, b AS (SELECT 'unknown thing' AS token),
-    loose AS (SELECT * FROM s WHERE length(span) >= 4 AND lower(span) NOT IN (SELECT token FROM b)),
-    cheap AS (SELECT span_id, arg_min(struct_pack(canonical := canonical, confidence := confidence, strategy := strategy), r) AS h FROM (
-      SELECT span_id, canonical, 1.0::DOUBLE AS confidence, 'exact' AS strategy, 0 AS r FROM s JOIN k ON lower(span) = key
-      UNION ALL SELECT span_id, canonical, 0.98::DOUBLE, 'fused', 1 FROM s JOIN (SELECT {fused_sql("key")} AS fkey, arg_min(canonical, load) AS canonical FROM k GROUP BY 1) ON {fused_sql("span")} = fkey
-      UNION ALL SELECT *, 2 FROM ({initials_sql("(SELECT * FROM s WHERE length(span) >= 4)", "k")}) UNION ALL SELECT *, 3 FROM ({phonetic_match_sql("loose", "k")})) GROUP BY 1),
+    WITH {INDEX_SQL}, s AS (SELECT * FROM {SPANS_SQL} UNION ALL SELECT -span_id, span FROM {DOUBLED_SQL} UNION ALL SELECT 1000000000 + span_id, span FROM {PART_OF_NAME_SQL}),
+    loose AS (SELECT * FROM s WHERE length(span) >= 4 AND lower(span) <> 'unknown thing'),
+    cheap AS (SELECT span_id, arg_min(struct_pack(canonical := canonical, confidence := confidence, strategy := strategy), o) AS h FROM (
+      SELECT span_id, canonical, 1.0::DOUBLE AS confidence, 'exact' AS strategy, 0 AS o FROM s JOIN texts ON lower(span) = key
+      UNION ALL SELECT span_id, canonical, 0.98::DOUBLE, 'fused', 1 FROM s JOIN fused ON {fused_sql("span")} = key
+      UNION ALL SELECT *, 2 FROM ({initials_sql("(SELECT * FROM s WHERE length(span) >= 4)")}) UNION ALL SELECT *, 3 FROM ({phonetic_match_sql("loose")})) GROUP BY 1),
     rest AS (SELECT * FROM loose WHERE span_id NOT IN (SELECT span_id FROM cheap)),
-    dear AS (SELECT span_id, struct_pack(canonical := canonical, confidence := confidence, strategy := strategy) AS h FROM ({bounded_sql("rest", "k")}))
+    dear AS (SELECT span_id, arg_min(struct_pack(canonical := canonical, confidence := confidence, strategy := strategy), o) AS h FROM (
+      SELECT *, 4 AS o FROM ({bounded_sql("rest")}) UNION ALL SELECT span_id, canonical, 0.80::DOUBLE, 'substring', 5 FROM rest JOIN parts ON lower(span) = key WHERE length(span) >= 6) GROUP BY 1)
     SELECT span_id, h.canonical AS canonical, round(h.confidence, 9) AS confidence, h.strategy AS strategy FROM (SELECT * FROM cheap UNION ALL SELECT * FROM dear)
 """
 
 
-@query(CHAIN_SQL)  # no supplier's name has a part of six characters of its own that is not the whole name
+@query(CHAIN_SQL)
 def e11_strategy_chain(spark, sf_dir):
+    """Every strategy of the chain with evidence, over whole, damaged, doubled and partial names."""
+    e = entities(spark, sf_dir)
+    doubled = e.select((-F.col("id")).alias("span_id"), F.concat(F.substring("canonical", 1, 3), F.substring("canonical", 3, 99)).alias("span"))
+    partial = e.select((F.col("id") + 1000000000).alias("span_id"), F.when(F.col("id") % 2 == 0, F.col("given")).otherwise(F.col("surname")).alias("span"))
     blocked = spark.createDataFrame([("Unknown thing",)], "token string")
-    return D.chain(spans(spark, sf_dir), keys(spark, sf_dir), blocked).withColumn("confidence", F.round("confidence", 9))
+    return _found(D.chain(spans(spark, sf_dir).unionByName(doubled).unionByName(partial), index_of(spark, sf_dir), blocked))
 
 
 WORDS_SQL = "(SELECT event_id, user_id, ts, CASE event_type WHEN 'view' THEN 'member' WHEN 'error' THEN 'for' ELSE event_type END AS word, CASE WHEN user_id % 2 = 0 THEN (value > 30)::VARCHAR END AS speaker, value / 100 AS heard FROM events)"
@@ -209,14 +271,17 @@ def _signals(spark, sf_dir, reach):
     words = _heard(spark, sf_dir)
     at = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     one = words.select("event_id", "user_id", at.alias("at"), F.lit(1).alias("n"))
-    seats = spark.createDataFrame([("signup", "Signup", 0), ("signup purchase", "Signup Purchase", 1)], "key string, canonical string, load int")
-    return gates.context_signals(words, "user_id", ["ts", "event_id"], one, ("click",), seats, reach=reach)
+    seats = spark.createDataFrame([(0, "Signup", 0), (1, "Signup Purchase", 1)], "id long, canonical string, load long")
+    seats = seats.withColumns({"kind": F.lit("location"), "type": F.lit("constituency"), "abbreviation": F.lit(None).cast("string"), "last_wins": F.lit(False)})
+    index = N.name_index(seats, spark.createDataFrame([], "id long, alias string, place int"))
+    return gates.context_signals(words, "user_id", ["ts", "event_id"], one, ("click",), index, reach=reach)
 
 
-SIGNALS_SQL = f"""
+def signals_sql(reach):
+    return f"""
     SELECT event_id, user_id, word, heard, coalesce(before = 'click', false) OR CASE WHEN speaker IS NULL THEN near_m > 0 OR near_1 + near_2 > own ELSE turn_m > 0 OR turn_1 + turn_2 > own_turn END AS signal FROM
-    (SELECT *, sum(m) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) AS near_m, sum(one) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near_1,
-       sum(two) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) AS near_2, one + two + coalesce(lag(two) OVER w, 0) AS own,
+    (SELECT *, sum(m) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN {reach} PRECEDING AND {reach - 1} FOLLOWING) AS near_m, sum(one) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN {reach} PRECEDING AND {reach} FOLLOWING) AS near_1,
+       sum(two) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN {reach} PRECEDING AND {reach - 1} FOLLOWING) AS near_2, one + two + coalesce(lag(two) OVER w, 0) AS own,
        one + two * same + coalesce(lag(two * same) OVER w, 0) AS own_turn,
        sum(m * same) OVER (PARTITION BY user_id, turn) AS turn_m, sum(one) OVER (PARTITION BY user_id, turn) AS turn_1, sum(two * same) OVER (PARTITION BY user_id, turn) AS turn_2 FROM
      (SELECT *, coalesce((lead(turn) OVER v = turn)::INT, 0) AS same FROM
@@ -225,7 +290,16 @@ SIGNALS_SQL = f"""
           coalesce((word = 'signup' AND lead(word) OVER u = 'purchase')::INT, 0) AS two, (speaker IS DISTINCT FROM lag(speaker) OVER u)::INT AS f FROM {WORDS_SQL} WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id)))
       WINDOW v AS (PARTITION BY user_id ORDER BY rn))
      WINDOW w AS (PARTITION BY user_id ORDER BY rn))
-"""
+    """
+
+
+SIGNALS_SQL = signals_sql(3)
+
+
+@query(f"SELECT event_id AS id, user_id, signal AS has_context FROM ({signals_sql(40)})")
+def e18_e31_context_default(spark, sf_dir):
+    """As the service looks: forty words to either side, or the turn."""
+    return _signals(spark, sf_dir, 40).select(F.col("event_id").alias("id"), "user_id", F.col("signal").alias("has_context"))
 
 
 @query(f"SELECT event_id AS id, user_id, signal AS has_context FROM ({SIGNALS_SQL})")
@@ -265,7 +339,7 @@ def e16_e30_gates_in_order(spark, sf_dir):
 @query(
     f"SELECT gate, count(*) AS n FROM (SELECT word || (event_id % 50) AS span, arg_min(gate, list_position(['asr_confidence', 'lexicon', 'block_list', 'context', 'sitting_scope'], gate)) AS gate FROM ({GATED_SQL}) WHERE gate IS NOT NULL GROUP BY 1) GROUP BY 1"
 )
-def a11_gate_tally(spark, sf_dir):
+def a11_gate_tally_by_order(spark, sf_dir):
     """A span that several gates reject counts for the earliest gate in their order."""
     return gates.tally(_gated(spark, sf_dir).select(F.concat("word", F.col("event_id") % 50).alias("span"), "gate"))
 
@@ -370,16 +444,16 @@ def o17_competing_corrections(spark, sf_dir):
 
 @query(
     f"""
-    SELECT span_id, arg_min(key, rank) AS key, min(rank)::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY span_id ORDER BY d, load, key) AS rank FROM
-    (SELECT span_id, length(span) AS n, key, load, levenshtein(lower(span), key) AS d, CASE WHEN length(span) <= 4 THEN 1 WHEN length(span) <= 7 THEN 2 WHEN length(span) <= 11 THEN 3 ELSE 4 END AS most FROM {SPANS_SQL}, {KEYS_SQL} WHERE length(span) >= 4)
-    WHERE d > 0 AND d <= most) WHERE rank <= 200 AND d::DOUBLE / n <= 0.25 AND key LIKE '%5' GROUP BY 1
+    WITH {INDEX_SQL} SELECT span_id, arg_min(key, rank) AS key, min(rank)::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY span_id ORDER BY d, load, key) AS rank FROM
+    (SELECT span_id, length(span) AS n, key, load, d, most FROM {NEAR_SQL})
+    WHERE d > 0 AND d <= most) WHERE rank <= 200 AND d::DOUBLE / n <= 0.25 AND key LIKE '%a' GROUP BY 1
     """
 )
 def o13_fuzzy_candidates(spark, sf_dir):
     """Candidates by (distance, load, text), 200 at most, of which the first acceptable one is taken."""
     near = D.near_keys(spans(spark, sf_dir), keys(spark, sf_dir))
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("span_id").orderBy("d", "load", "key"))).where("rank <= 200")
-    fit = ranked.where((F.col("d") / F.length("span") <= 0.25) & F.col("key").endswith("5"))
+    fit = ranked.where((F.col("d") / F.length("span") <= 0.25) & F.col("key").endswith("a"))
     return fit.groupBy("span_id").agg(F.min_by("key", "rank").alias("key"), F.min("rank").alias("rank"))
 
 
@@ -409,52 +483,135 @@ def damaged_parts(spark, sf_dir):
     return p.withColumn("damaged", damaged), names.select(F.lower("p_name").alias("key"), F.col("p_name").alias("canonical"), "load")
 
 
-@query("SELECT p_partkey AS id, 'Heard: ' || p_name || ', today.' AS corrected, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE 1 END::BIGINT AS n FROM part")
-def e13_text_walk(spark, sf_dir):
-    """Names that lost their space, got a hyphen or capitals are written as the dictionary has them; others stay."""
-    parts, names = damaged_parts(spark, sf_dir)
-    texts = parts.select(F.col("p_partkey").alias("id"), F.concat(F.lit("Heard: "), "damaged", F.lit(", today.")).alias("text"))
-    out = correct_documents(texts, "id", "text", names)
+#: What is said of each record: its name whole, fused, by title and surname, by initial, or misspelt; persons alone by surname and initial.
+SAID_SQL = f"""
+    (SELECT *, CASE WHEN id % 6 IN (2, 3) AND kind <> 'person' THEN 1 ELSE id % 6 END AS form, substr(canonical, 1, 3) || substr(canonical, 3) AS doubled,
+       substr(canonical, 1, 2) || 'z' || substr(canonical, 4) AS misspelt FROM {RECORDS_SQL})
+"""
+
+
+def said(spark, sf_dir):
+    e = entities(spark, sf_dir)
+    form = F.when((F.col("id") % 6).isin(2, 3) & (F.col("kind") != "person"), 1).otherwise(F.col("id") % 6)
+    doubled = F.concat(F.substring("canonical", 1, 3), F.substring("canonical", 3, 99))
+    return e.withColumns({"form": form, "doubled": doubled, "misspelt": F.concat(F.substring("canonical", 1, 2), F.lit("z"), F.substring("canonical", 4, 99))})
+
+
+def text_walk_sql(guessed):
+    return f"""
+    WITH {INDEX_SQL}, s AS (SELECT * FROM {SAID_SQL}) SELECT id, 'Heard ' || CASE form WHEN 2 THEN 'hon ' || by_surname WHEN 3 THEN by_initial WHEN 4 THEN CASE WHEN {guessed} THEN canonical ELSE misspelt END WHEN 5 THEN 'unknown thing' ELSE canonical END || ', today.' AS corrected,
+      CASE WHEN form IN (0, 5) OR form = 4 AND NOT ({guessed}) THEN 0 ELSE 1 END::BIGINT AS n FROM
+    (SELECT s.*, a.canonical AS by_surname, b.canonical AS by_initial FROM s LEFT JOIN surnames a ON a.key = lower(surname) LEFT JOIN initials b ON b.key = lower(substr(given, 1, 1) || '.' || surname))
+    """
+
+
+def said_in_texts(spark, sf_dir, profile):
+    """Corrected texts of what is said, one a record."""
+    e = said(spark, sf_dir)
+    form = F.col("form")
+    what = (
+        F.when(form == 0, F.col("canonical")).when(form == 1, F.regexp_replace("canonical", " ", "")).when(form == 2, F.concat(F.lit("hon "), "surname"))
+        .when(form == 3, F.concat(F.substring("given", 1, 1), F.lit(". "), "surname")).when(form == 4, F.col("misspelt")).otherwise("unknown thing")
+    )
+    texts = e.select("id", F.concat(F.lit("Heard "), what, F.lit(", today.")).alias("text"))
+    return C.correct_documents(texts, "id", "text", index_of(spark, sf_dir), C.Lists(titles=("hon",), stop=("heard", "today")), profile)
+
+
+def _text_walk(spark, sf_dir, profile):
+    out = said_in_texts(spark, sf_dir, profile)
     return out.select("id", "corrected", F.size("corrections").cast("long").alias("n"))
 
 
-@query(
-    f"""
-    SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY p_partkey, i) - 1 AS pos, word, p_partkey + i / 10.0::DOUBLE AS start, p_partkey + last / 10.0 + 0.05::DOUBLE AS "end", strategy FROM
-    (SELECT p_size::BIGINT AS user_id, p_partkey, i, word, last, strategy FROM
-     (SELECT *, unnest(w) AS word, unnest(ix) AS i, unnest(lx) AS last, unnest(sx) AS strategy FROM
-      (SELECT p_size, p_partkey,
-         CASE p_partkey % 4 WHEN 0 THEN ['heard', string_split(p_name, ' ')[1], string_split(p_name, ' ')[2]] ELSE ['heard', p_name] END AS w,
-         CASE p_partkey % 4 WHEN 0 THEN [0, 1, 2] ELSE [0, 1] END AS ix, CASE p_partkey % 4 WHEN 0 THEN [0, 1, 2] WHEN 3 THEN [0, 2] ELSE [0, 1] END AS lx,
-         CASE p_partkey % 4 WHEN 0 THEN [NULL, NULL, NULL] WHEN 3 THEN [NULL, 'exact'] ELSE [NULL, 'fused'] END AS sx FROM part)))
+@query(text_walk_sql("kind <> 'person'"))
+def e13_text_walk(spark, sf_dir):
+    """Names that lost their spaces, stand behind a title or as an initial, or are misspelt; no context supports guessing at persons."""
+    return _text_walk(spark, sf_dir, C.SERVICE)
+
+
+@query(text_walk_sql("true"))
+def e13_text_walk_baseline(spark, sf_dir):
+    """The same without gates: persons are guessed at too."""
+    return _text_walk(spark, sf_dir, C.BASELINE)
+
+
+HEARD_SQL = "CASE WHEN id % 9 < 3 THEN 0.95 ELSE 0.4 END"
+
+
+def word_walk_sql(service):
+    """Words of each record: heard, then its name. Doubled letters sound like the name."""
+    score = "0.55 + 0.27 * (1 - 1.0 / length(doubled)) + 0.10 * least(length(sound), 12) / 12"
+    sure = f"same AND {score} >= 0.9 AND {HEARD_SQL} < 0.9 AND (kind <> 'person' OR id % 4 = 2)" if service else "same"
+    return f"""
+    WITH {INDEX_SQL}, s AS (SELECT *, {phonetic_sql("canonical")} AS sound FROM {SAID_SQL}),
+    f AS (SELECT s.*, CASE form WHEN 2 THEN a.canonical WHEN 3 THEN b.canonical ELSE s.canonical END AS become, {phonetic_sql("doubled")} = sound AS same,
+        CASE form WHEN 0 THEN string_split(s.canonical, ' ') WHEN 1 THEN [replace(s.canonical, ' ', '')] WHEN 2 THEN ['hon', surname] WHEN 3 THEN [substr(given, 1, 1) || '.' || surname] WHEN 4 THEN string_split(doubled, ' ') ELSE ['unknown', 'thing'] END AS own
+      FROM s LEFT JOIN surnames a ON a.key = lower(surname) LEFT JOIN initials b ON b.key = lower(substr(given, 1, 1) || '.' || surname)),
+    c AS (SELECT *, form = 2 OR form = 1 AND (kind = 'party' OR len(string_split(become, ' ')) <= 2) OR form = 3 AND len(string_split(become, ' ')) <= 2 OR form = 4 AND {sure} AS changed FROM f),
+    w AS (SELECT id, unnest(CASE WHEN NOT changed THEN list_transform(['heard'] || own, lambda x, i: struct_pack(word := x, first := i - 1, size := 1, strategy := NULL::VARCHAR))
+        WHEN form = 2 THEN [struct_pack(word := 'heard', first := 0, size := 1, strategy := NULL::VARCHAR), struct_pack(word := 'hon', first := 1, size := 1, strategy := NULL::VARCHAR), struct_pack(word := become, first := 2, size := 1, strategy := 'title')]
+        ELSE [struct_pack(word := 'heard', first := 0, size := 1, strategy := NULL::VARCHAR), struct_pack(word := become, first := 1, size := len(own), strategy := CASE form WHEN 1 THEN 'fused' WHEN 3 THEN 'initials' ELSE 'phonetic' END)] END) AS x FROM c)
+    SELECT id // 10 AS stream, row_number() OVER (PARTITION BY id // 10 ORDER BY id, x.first) - 1 AS pos, x.word AS word, round(id + x.first / 10.0, 6)::DOUBLE AS start, round(id + (x.first + x.size - 1) / 10.0 + 0.05, 6)::DOUBLE AS "end", x.strategy AS strategy FROM w
     """
-)
+
+
+def said_words(spark, sf_dir):
+    """Ten records a stream; of every nine the words of three are heard well."""
+    e = said(spark, sf_dir)
+    form = F.col("form")
+    own = (
+        F.when(form == 0, F.split("canonical", " ")).when(form == 1, F.array(F.regexp_replace("canonical", " ", ""))).when(form == 2, F.array(F.lit("hon"), F.col("surname")))
+        .when(form == 3, F.array(F.concat(F.substring("given", 1, 1), F.lit("."), "surname"))).when(form == 4, F.split("doubled", " ")).otherwise(F.array(F.lit("unknown"), F.lit("thing")))
+    )
+    w = e.select(F.expr("id div 10").alias("stream"), "id", F.posexplode(F.concat(F.array(F.lit("heard")), own)).alias("i", "word"))
+    start = F.col("id") + F.col("i") / 10.0
+    return w.withColumns({"start": start, "end": start + 0.05, "confidence": F.when(F.col("id") % 9 < 3, 0.95).otherwise(0.4), "capital": F.col("id") % 4 == 2})
+
+
+WALK_LISTS = C.Lists(titles=("hon",), word_stop=("heard",))
+
+
+def _word_walk(spark, sf_dir, profile):
+    out = C.correct_stream(said_words(spark, sf_dir), "stream", ["id", "i"], index_of(spark, sf_dir), WALK_LISTS, profile)
+    how = F.when(F.col("strategy").isin("title_person", "substring"), "title").otherwise(F.col("strategy"))  # a surname that is one name's only
+    return out.select("stream", "pos", "word", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), how.alias("strategy"))
+
+
+@query(word_walk_sql(True))
 def e14_word_walk(spark, sf_dir):
-    parts, names = damaged_parts(spark, sf_dir)
-    w = parts.select(F.col("p_size").cast("long").alias("user_id"), "p_partkey", F.posexplode(F.split(F.concat(F.lit("heard "), "damaged"), " ")).alias("i", "word"))
-    start = F.col("p_partkey") + F.col("i") / 10.0
-    return correct_stream(w.withColumns({"start": start, "end": start + 0.05}), "user_id", ["p_partkey", "i"], names).withColumns({"start": F.round("start", 6), "end": F.round("end", 6)})
+    """Guesses pass the gates of confidence and context only where words were heard badly and, for persons, are capital."""
+    return _word_walk(spark, sf_dir, C.SERVICE)
+
 
+@query(word_walk_sql(False))
+def e14_word_walk_baseline(spark, sf_dir):
+    return _word_walk(spark, sf_dir, C.BASELINE)
 
-PEOPLE_SQL = "(SELECT c_custkey, substr(md5(c_custkey::VARCHAR), 1, 8) || ' ' || substr(md5((c_custkey // 3)::VARCHAR), 1, 5) AS name, substr(md5((c_custkey // 3)::VARCHAR), 1, 5) AS surname FROM customer)"
+
+@query(
+    f"""
+    SELECT gate, count(*) AS n FROM (SELECT CASE WHEN {HEARD_SQL} >= 0.9 THEN 'asr_confidence' WHEN kind = 'person' AND id % 4 <> 2 THEN 'context' END AS gate FROM
+    {SAID_SQL} WHERE form = 4) WHERE gate IS NOT NULL GROUP BY 1
+    """
+)
+def a11_gate_tally(spark, sf_dir):
+    """Windows of several words that the word walk's gates reject, by their earliest gate."""
+    cut = C.word_candidates(said_words(spark, sf_dir), "stream", ["id", "i"], index_of(spark, sf_dir), WALK_LISTS)
+    return gates.tally(cut.where("n > 1").select(F.col("low").alias("span"), "gate"))
 
 
 @query(
     f"""
-    SELECT c_custkey AS id, 2 AS at, 2 AS n, name AS canonical, 'exact' AS strategy FROM {PEOPLE_SQL} WHERE c_custkey % 3 = 1
-    UNION ALL SELECT c.c_custkey, 2, 1, p.name, 'title_person' FROM {PEOPLE_SQL} c JOIN (SELECT surname, arg_min(name, c_custkey) AS name FROM {PEOPLE_SQL} WHERE c_custkey % 3 > 0 GROUP BY 1) p ON p.surname = c.surname WHERE c_custkey % 3 = 2
+    WITH {INDEX_SQL} SELECT id, 'so hon ' || CASE WHEN id % 3 = 1 AND kind = 'person' OR by_surname IS NULL THEN r.canonical ELSE by_surname END AS words FROM
+    (SELECT r.*, s.canonical AS by_surname FROM r LEFT JOIN surnames s ON s.key = lower(surname)) r WHERE kind = 'person'
     """
 )
 def e12_e15_title_person(spark, sf_dir):
-    """After a title: a person's whole name, or a surname alone, which is the first person's; a place's name is passed over."""
-    surname = F.substring(F.md5(F.floor(F.col("c_custkey") / 3).cast("string").cast("binary")), 1, 5)
-    first = F.substring(F.md5(F.col("c_custkey").cast("string").cast("binary")), 1, 8)
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat_ws(" ", first, surname).alias("canonical"), (F.col("c_custkey") % 3).alias("k"))
-    kinds = c.select("canonical", F.when(F.col("k") == 0, "place").otherwise("person").alias("kind"), F.col("id").alias("load"))
-    names = c.select(F.lower("canonical").alias("key"), "canonical", F.col("id").alias("load"))
-    said = F.when(F.col("k") == 2, F.element_at(F.split("canonical", " "), -1)).otherwise(F.col("canonical"))
-    words = c.select("id", F.posexplode(F.split(F.concat_ws(" ", F.lit("Hon."), said), " ")).alias("i", "word"))
-    return D.title_person(words, "id", ["i"], ("hon",), names, kinds).select("id", "at", "n", "canonical", "strategy")
+    """After a title: a person's whole name stays, a surname alone becomes the first person's of that surname."""
+    e = entities(spark, sf_dir).where("kind = 'person'")
+    name = F.when(F.col("id") % 3 == 1, F.split("canonical", " ")).otherwise(F.array("surname"))
+    w = e.select("id", F.posexplode(F.concat(F.array(F.lit("so"), F.lit("hon")), name)).alias("i", "word"))
+    out = C.correct_stream(w.withColumns({"start": F.col("i") + 0.0, "end": F.col("i") + 0.5}), "id", ["i"], index_of(spark, sf_dir), C.Lists(titles=("hon",)))
+    return out.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "word")))["word"], " ").alias("words"))
 
 
 @query(
