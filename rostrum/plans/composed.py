@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import textfn as T
+from ..functions.periods import period_of
 from ..operators.walks import balanced_batches
 from ..operators.spans import ahead
 from ..registry import query, table
@@ -65,45 +68,57 @@ def w6_all_uppercase_span(spark, sf_dir):
 
 @query(
     """
-    SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (ORDER BY turn) - 1 AS pos, count(*) OVER () AS n FROM conversations WHERE conv_id = (SELECT min(conv_id) FROM conversations WHERE role ILIKE '%user%'))
-    WHERE n <= 4 OR list_contains(list_transform(range(0, 4), lambda i: round_even(i * (n - 1) / 3, 0)::BIGINT), pos)
+    SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos, count(*) OVER () AS n FROM events WHERE user_id = (SELECT min(user_id) FROM events WHERE ('User ' || user_id) ILIKE '%user 1%'))
+    WHERE n <= 24 OR list_contains(list_transform(range(0, 24), lambda i: round_even(i * (n - 1) / 23, 0)::BIGINT), pos)
     """
 )
 def r26_record_summary(spark, sf_dir):
-    """A title resolves to its first record; up to four of its chunks, evenly spaced, stand for it."""
-    rows = table(spark, sf_dir, "conversations")
-    record = rows.where(F.col("role").ilike("%user%")).agg(F.min("conv_id").alias("conv_id"))
-    per = Window.partitionBy("conv_id")
-    own = rows.join(F.broadcast(record), "conv_id").select("conv_id", "turn", (F.row_number().over(per.orderBy("turn")) - 1).cast("double").alias("pos"), F.count("*").over(per).alias("n"))
-    places = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.bround(i * (F.col("n") - 1) / 3, 0).cast("double"))
-    return own.where((F.col("n") <= 4) | F.array_contains(places, F.col("pos"))).select("conv_id", "turn")
+    """A title resolves to its first record; up to 24 of its chunks, evenly spaced, stand for it."""
+    rows = table(spark, sf_dir, "events")
+    titled = F.concat(F.lit("User "), F.col("user_id").cast("string"))
+    record = rows.where(titled.ilike("%user 1%")).agg(F.min("user_id").alias("user_id"))
+    per = Window.partitionBy("user_id")
+    own = rows.join(F.broadcast(record), "user_id").select("user_id", "event_id", (F.row_number().over(per.orderBy("ts", "event_id")) - 1).cast("double").alias("pos"), F.count("*").over(per).alias("n"))
+    places = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.bround(i * (F.col("n") - 1) / 23, 0).cast("double"))
+    return own.where((F.col("n") <= 24) | F.array_contains(places, F.col("pos"))).select("user_id", "event_id")
+
+
+def recent_sql(now):
+    return f"""
+    WITH e AS (SELECT 'order' AS scope, o_orderkey AS id, o_orderdate AS t FROM orders UNION ALL SELECT 'event', event_id, ts FROM events),
+    f AS (SELECT e.*, upto, t >= upto - INTERVAL 7 DAY AND t < upto AS recent FROM e, (SELECT {now} AS upto)), c AS (SELECT count(*) FILTER (WHERE recent) AS n FROM f)
+    SELECT scope, id, scope_total, period FROM (SELECT scope, id, count(*) OVER (PARTITION BY scope) AS scope_total, row_number() OVER (PARTITION BY scope ORDER BY t DESC, id DESC) AS rn,
+      CASE WHEN n > 0 THEN 'the last 7 days' ELSE 'the whole registry' END AS period FROM f, c WHERE recent OR n = 0 AND t < upto + INTERVAL 1 DAY) WHERE rn <= 25
+    """
 
 
-@query(
-    """
-    SELECT * FROM (SELECT 'order' AS scope, o_orderkey AS id, count(*) OVER () AS scope_total, 'the whole registry' AS period FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 25)
-    UNION ALL SELECT * FROM (SELECT 'event', event_id, count(*) OVER (), 'the whole registry' FROM events ORDER BY ts DESC, event_id DESC LIMIT 25)
-    """
-)
+def _recent_activity(spark, sf_dir, now):
+    """``now`` is a table of one row (now). Both periods are asked in one plan; which one counts is a row of it, too."""
+    asked = now.select(period_of(F.lit("recent"), F.col("now")).alias("recent"), period_of(F.lit("all"), F.col("now")).alias("all"))
+    within = lambda p: (F.col("at") >= F.col(p)["start"]) & (F.col("at") < F.col(p)["end"])
+    scopes = {"order": ("orders", "o_orderkey", "o_orderdate"), "event": ("events", "event_id", "ts")}
+    rows = {scope: table(spark, sf_dir, name).select(F.col(id_).alias("id"), F.col(at).cast("timestamp").alias("at")).crossJoin(F.broadcast(asked)) for scope, (name, id_, at) in scopes.items()}
+    seen = reduce(DataFrame.unionByName, (df.where(within("recent")).agg(F.count("*").alias("n")) for df in rows.values())).agg((F.sum("n") > 0).alias("any"))
+    tops = []
+    for scope, df in rows.items():
+        found = df.crossJoin(F.broadcast(seen)).where(F.when(F.col("any"), within("recent")).otherwise(within("all")))
+        total = found.agg(F.count("*").alias("scope_total"))  # one row, before the limit
+        top = found.orderBy(F.desc("at"), F.desc("id")).limit(25).crossJoin(F.broadcast(total))
+        label = F.when(F.col("any"), F.col("recent.label")).otherwise(F.col("all.label"))
+        tops.append(top.select(F.lit(scope).alias("scope"), "id", "scope_total", label.alias("period")))
+    return reduce(DataFrame.unionByName, tops)
+
+
+@query(recent_sql("(SELECT max(ts) FROM events)"))
 def r27_recent_activity_tool(spark, sf_dir):
-    """The newest rows of each scope with its total; a recent period without rows falls back to all, and says so."""
-    from ..functions.periods import resolve
+    """The newest rows of each scope with its total, within the week before the last event."""
+    return _recent_activity(spark, sf_dir, table(spark, sf_dir, "events").agg(F.max("ts").cast("timestamp").alias("now")))
 
-    scopes = {"order": ("orders", "o_orderkey", "o_orderdate"), "event": ("events", "event_id", "ts")}
 
-    def within(period: str):
-        lo, hi, label = resolve(period, as_of="2030-01-01")
-        out = None
-        for scope, (name, id_, at) in scopes.items():
-            found = table(spark, sf_dir, name).where((F.col(at) >= F.lit(lo)) & (F.col(at) < F.lit(hi))).select(F.col(id_).alias("id"), F.col(at).alias("at"))
-            total = found.agg(F.count("*").alias("scope_total"))  # one row, before the limit
-            top = found.orderBy(F.desc("at"), F.desc("id")).limit(25).crossJoin(F.broadcast(total))
-            rows = top.select(F.lit(scope).alias("scope"), "id", "scope_total", F.lit(label).alias("period"))
-            out = rows if out is None else out.unionByName(rows)
-        return out
-
-    recent = within("recent")
-    return recent if recent.limit(1).count() else within("all")
+@query(recent_sql("TIMESTAMP '2030-01-01'"))
+def r27_recent_activity_fallback(spark, sf_dir):
+    """A recent period without rows falls back to all, and says so."""
+    return _recent_activity(spark, sf_dir, spark.range(1).select(F.lit("2030-01-01").cast("timestamp").alias("now")))
 
 
 @query()

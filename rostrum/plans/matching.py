@@ -457,11 +457,12 @@ def o13_fuzzy_candidates(spark, sf_dir):
     return fit.groupBy("span_id").agg(F.min_by("key", "rank").alias("key"), F.min("rank").alias("rank"))
 
 
-@query("SELECT doc_id, min(turn) AS chunk FROM (SELECT l.doc_id, c.turn FROM (SELECT doc_id, string_split(text, ' ')[1] AS w FROM documents) l JOIN conversations c ON c.conv_id = l.doc_id AND contains(c.text, l.w)) GROUP BY 1")
+@query("SELECT doc_id, w AS word, min(turn) AS chunk FROM (SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) l JOIN conversations c ON c.conv_id = l.doc_id AND contains(c.text, w) WHERE w <> '' GROUP BY 1, 2")
 def j17_first_chunk_with(spark, sf_dir):
-    fixes = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("conv_id"), F.split("text", " ")[0].alias("w"))
-    chunks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return fixes.join(chunks, "conv_id").where(F.col("text").contains(F.col("w"))).groupBy("doc_id").agg(F.min("turn").alias("chunk"))
+    """Every word of a text against the chunks of its record: the first that contains it."""
+    fixes = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", " ", -1))).alias("word")).where("word <> ''")
+    chunks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", "text")
+    return fixes.join(chunks, "doc_id").where(F.col("text").contains(F.col("word"))).groupBy("doc_id", "word").agg(F.min("turn").alias("chunk"))
 
 
 @query("SELECT k AS id, n FROM (SELECT a.event_id AS k, count(*) OVER (PARTITION BY a.event_id) AS n FROM events a JOIN events b ON lower(trim(a.event_type)) = lower(trim(b.event_type)) AND a.user_id = b.user_id AND b.value > 95) WHERE n = 1")

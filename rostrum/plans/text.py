@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import textfn as T
+from ..functions.periods import period_of
 from ..registry import query, table
 from .matching import phonetic_sql
 
@@ -34,13 +35,11 @@ def f5_clamp(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), T.clamp(F.col("value"), 0.25, 0.75).alias("clamped"))
 
 
-def _first_tokens(docs):
-    return docs.select(F.col("doc_id").alias("id"), T.edge_stripped(F.split("text", " ")[0]).alias("token"))
-
-
-@query("SELECT doc_id AS id, lower(regexp_replace(string_split(text, ' ')[1], '^[^\\p{L}\\p{N}\\p{M}_]+|[^\\p{L}\\p{N}\\p{M}_]+$', '', 'g')) AS token FROM documents")
+@query("SELECT id, string_agg(lower(regexp_replace(w, '^[^\\p{L}\\p{N}\\p{M}_]+|[^\\p{L}\\p{N}\\p{M}_]+$', '', 'g')), ' ' ORDER BY i) AS tokens FROM (SELECT doc_id AS id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents) GROUP BY 1")
 def f6_token_normalise(spark, sf_dir):
-    return _first_tokens(table(spark, sf_dir, "documents"))
+    """Every token of every text, in place."""
+    tokens = F.transform(F.split("text", " ", -1), T.edge_stripped)
+    return table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.array_join(tokens, " ").alias("tokens"))
 
 
 def _keys(docs):
@@ -78,32 +77,32 @@ def f12_initials(spark, sf_dir):
     """
 )
 def f13_period_month(spark, sf_dir):
-    from ..functions.periods import resolve
-
-    lo, hi, _ = resolve("1996-02", as_of="2001-08-01")
-    dates = F.col("o_orderdate")
-    return table(spark, sf_dir, "orders").where((dates >= F.lit(lo)) & (dates < F.lit(hi))).select(F.col("o_orderkey").alias("id"))
+    """The period's bounds are literals, so they fold and the filter reaches the scan."""
+    asked, dates = period_of(F.lit("1996-02"), F.lit("2001-08-01").cast("timestamp")), F.col("o_orderdate")
+    return table(spark, sf_dir, "orders").where((dates >= asked["start"]) & (dates < asked["end"])).select(F.col("o_orderkey").alias("id"))
 
 
-#: (period, its range in SQL, its label) as of noon of 15 March 2024, by the rules of periods.
-PERIODS = (
-    ("", "2024-03-08 12:00", "2024-03-15 12:00", "the last 7 days"), (" Recent", "2024-03-08 12:00", "2024-03-15 12:00", "the last 7 days"),
-    ("all time", "1970-01-01 00:00", "2024-03-16 12:00", "the whole registry"), ("Everything", "1970-01-01 00:00", "2024-03-16 12:00", "the whole registry"),
-    ("today", "2024-03-15 00:00", "2024-03-15 12:00", "today"), ("this month", "2024-03-01 00:00", "2024-03-15 12:00", "March 2024"),
-    ("last month", "2024-02-01 00:00", "2024-03-01 00:00", "February 2024"), ("last 10 days", "2024-03-05 12:00", "2024-03-15 12:00", "the last 10 days"),
-    ("2023-12", "2023-12-01 00:00", "2024-01-01 00:00", "December 2023"), ("2024-03", "2024-03-01 00:00", "2024-03-15 12:00", "March 2024"),
-    ("2024-01-02..2024-01-03", "2024-01-02 00:00", "2024-01-04 00:00", "2024-01-02 to 2024-01-03"), ("July 2023", "2023-07-01 00:00", "2023-08-01 00:00", "July 2023"),
-    ("Jan.", "2024-01-01 00:00", "2024-02-01 00:00", "January 2024"), ("february", "2024-02-01 00:00", "2024-03-01 00:00", "February 2024"),
-)
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, TIMESTAMP '{lo}', TIMESTAMP '{hi}', '{label}')" for k, (_, lo, hi, label) in enumerate(PERIODS)) + ") t(id, lo, hi, label)")
+@query(
+    """
+    SELECT id, CASE k WHEN 0 THEN now - INTERVAL 7 DAY WHEN 1 THEN TIMESTAMP '1970-01-01' WHEN 2 THEN date_trunc('day', now) WHEN 4 THEN m - INTERVAL 1 MONTH WHEN 5 THEN now - to_days(n::INT) WHEN 7 THEN date_trunc('day', now) - to_days(9)
+         WHEN 10 THEN now - INTERVAL 7 DAY WHEN 11 THEN NULL WHEN 8 THEN m - INTERVAL 12 MONTH ELSE m END::TIMESTAMP AS lo,
+       CASE k WHEN 1 THEN now + INTERVAL 1 DAY WHEN 4 THEN m WHEN 7 THEN date_trunc('day', now) - to_days(2) WHEN 8 THEN m - INTERVAL 11 MONTH WHEN 11 THEN NULL ELSE now END::TIMESTAMP AS hi,
+       CASE WHEN k IN (0, 10) THEN 'the last 7 days' WHEN k = 1 THEN 'the whole registry' WHEN k = 2 THEN 'today' WHEN k = 5 THEN 'the last ' || n || ' days' WHEN k = 4 THEN monthname(m - INTERVAL 1 MONTH) || ' ' || year(m - INTERVAL 1 MONTH)
+         WHEN k = 7 THEN strftime(now - to_days(9), '%Y-%m-%d') || ' to ' || strftime(now - to_days(3), '%Y-%m-%d') WHEN k = 8 THEN monthname(m) || ' ' || (year(m) - 1) WHEN k = 11 THEN NULL ELSE monthname(m) || ' ' || year(m) END AS label FROM
+    (SELECT o_orderkey AS id, o_orderkey % 12 AS k, o_orderkey % 90 AS n, o_orderdate + INTERVAL 12 HOUR AS now, date_trunc('month', o_orderdate) AS m FROM orders)
+    """
+)
 def f13_periods(spark, sf_dir):
-    """Every form of a period, as its range and label."""
-    from ..functions.periods import resolve
-
-    rows = [(k, *resolve(asked, "2024-03-15T12:00:00")) for k, (asked, *_) in enumerate(PERIODS)]
-    return spark.createDataFrame(rows, "id int, lo timestamp, hi timestamp, label string")
+    """Every form of a period, asked as of noon of each order's day."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderdate") + F.expr("interval 12 hours")).cast("timestamp").alias("now"))
+    k, now, day = F.col("id") % 12, F.col("now"), lambda n: F.date_format(F.date_sub("now", n), "yyyy-MM-dd")
+    forms = (
+        F.lit(None).cast("string"), F.lit(" All Time"), F.lit("today"), F.lit("This month"), F.lit("last month"), F.format_string("last %d days", F.col("id") % 90), F.date_format("now", "yyyy-MM"),
+        F.concat(day(9), F.lit(".."), day(3)), F.concat(F.date_format("now", "MMMM "), (F.year("now") - 1).cast("string")), F.concat(F.date_format("now", "MMM"), F.lit(".")), F.lit("RECENT "), F.lit("someday"),
+    )
+    asked = F.coalesce(*(F.when(k == i, form) for i, form in enumerate(forms)))
+    found = o.select("id", period_of(asked, now).alias("p"))
+    return found.select("id", F.col("p.start").cast("timestamp_ntz").alias("lo"), F.col("p.end").cast("timestamp_ntz").alias("hi"), "p.label")
 
 
 @query("SELECT o_orderkey AS id, CAST(date_trunc('month', o_orderdate) AS DATE)::VARCHAR AS lo, CAST(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH AS DATE)::VARCHAR AS hi FROM orders")
@@ -236,9 +235,9 @@ def f32_progressive_delay(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), T.progressive_delay(F.col("s_suppkey") % 12).alias("delay_ms"))
 
 
-@query("SELECT doc_id AS id, 0.5 * len(list_filter(w, lambda x: regexp_matches(x, '\\p{L}')))::DOUBLE / len(w) + 0.5 * least(len(w), 20) / 20 AS score FROM (SELECT doc_id, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '') AS w FROM documents) WHERE len(w) > 0")
+@query("SELECT doc_id AS id, CASE WHEN len(w) = 0 THEN 0 ELSE 0.5 * len(list_filter(w, lambda x: regexp_matches(x, '\\p{L}')))::DOUBLE / len(w) + 0.5 * least(len(w), 20) / 20 END::DOUBLE AS score FROM (SELECT doc_id, list_filter(regexp_split_to_array(trim(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM documents)")
 def f34_candidate_score(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("trim(text) <> ''").select(F.col("doc_id").alias("id"), T.candidate_score(F.col("text")).alias("score"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.candidate_score(F.coalesce("text", F.lit(""))).alias("score"))
 
 
 @query("SELECT conv_id, arg_max(role, (sc, role)) AS winner, max(sc) AS score FROM (SELECT conv_id, role, length(text)::BIGINT % 100 AS sc FROM conversations) WHERE sc > 0 GROUP BY 1")

@@ -6,8 +6,6 @@ import duckdb
 import pytest
 
 from rostrum import plans, registry  # noqa: F401
-from rostrum.functions.periods import resolve
-from rostrum.plans.text import PERIODS
 
 DIR = os.environ.get("ROSTRUM_SF", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -76,18 +74,32 @@ def test_whole_tables_are_compared(spark):
     assert q("e29_fallback_lookup").count() >= rows("nation")
 
 
-def test_periods():
-    now = "2024-03-15T12:00:00"
-    day = lambda x: x.isoformat(timespec="minutes")
-    for asked, lo, hi, label in PERIODS:
-        found = resolve(asked, now)
-        assert (day(found[0]), day(found[1]), found[2]) == (lo.replace(" ", "T"), hi.replace(" ", "T"), label), asked
-    assert resolve(None, now) == resolve("recent", now) and resolve("last 1 day", now)[2] == "the last 1 days"
-    assert resolve("April", now)[0].isoformat() == "2024-04-01T00:00:00"  # this year's, even if it is to come
-    assert resolve("december 2023", now)[1].year == 2024
-    for wrong in ("someday", "2024-13", "2024-01-02 to 2024-01-03", "last week", "smarch 2024"):
-        with pytest.raises(ValueError):
-            resolve(wrong, now)
+#: (period, start, end, label) as of noon of 15 March 2024.
+PERIODS = (
+    (None, "2024-03-08 12:00", "2024-03-15 12:00", "the last 7 days"), (" Recent", "2024-03-08 12:00", "2024-03-15 12:00", "the last 7 days"),
+    ("all time", "1970-01-01 00:00", "2024-03-16 12:00", "the whole registry"), ("Everything", "1970-01-01 00:00", "2024-03-16 12:00", "the whole registry"),
+    ("today", "2024-03-15 00:00", "2024-03-15 12:00", "today"), ("this month", "2024-03-01 00:00", "2024-03-15 12:00", "March 2024"),
+    ("last month", "2024-02-01 00:00", "2024-03-01 00:00", "February 2024"), ("last 10 days", "2024-03-05 12:00", "2024-03-15 12:00", "the last 10 days"),
+    ("2023-12", "2023-12-01 00:00", "2024-01-01 00:00", "December 2023"), ("2024-03", "2024-03-01 00:00", "2024-03-15 12:00", "March 2024"),
+    ("2024-01-02..2024-01-03", "2024-01-02 00:00", "2024-01-04 00:00", "2024-01-02 to 2024-01-03"), ("July 2023", "2023-07-01 00:00", "2023-08-01 00:00", "July 2023"),
+    ("Jan.", "2024-01-01 00:00", "2024-02-01 00:00", "January 2024"), ("february", "2024-02-01 00:00", "2024-03-01 00:00", "February 2024"), ("", "2024-03-08 12:00", "2024-03-15 12:00", "the last 7 days"),
+    ("April", "2024-04-01 00:00", "2024-03-15 12:00", "April 2024"), ("last 1 day", "2024-03-14 12:00", "2024-03-15 12:00", "the last 1 days"), ("december 2023", "2023-12-01 00:00", "2024-01-01 00:00", "December 2023"),
+)
+
+
+def test_periods(spark):
+    """Every form as its range and label; what is no period is null."""
+    from pyspark.sql import functions as F
+
+    from rostrum.functions.periods import period_of
+
+    wrong = ("someday", "2024-13", "2024-01-02 to 2024-01-03", "last week", "smarch 2024", "2024-02-30..2024-03-01", "last 99999999999 days")
+    asked = spark.createDataFrame([(p,) for p, *_ in PERIODS] + [(w,) for w in wrong], "asked string")
+    made = period_of(F.col("asked"), F.lit("2024-03-15 12:00:00").cast("timestamp"))
+    rows = asked.select("asked", made.alias("p")).select("asked", F.date_format("p.start", "yyyy-MM-dd HH:mm"), F.date_format("p.end", "yyyy-MM-dd HH:mm"), "p.label").collect()
+    assert [tuple(r) for r in rows] == [*PERIODS, *((w, None, None, None) for w in wrong)]
+    plan = registry.QUERIES["f13_period_month"](spark, DIR)._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in plan
 
 
 def test_settings():
