@@ -52,8 +52,8 @@ class ItemAutomaton:
                 last = self._extend(last, c)
         self.shortest = min([window, *(len(x) for x in spelled if x)])
         self.sizes = sorted({min(window, len(x)) for x in spelled if x})
-        #: state * (window + 1) + size of every whole window: the item that holds it, or a tuple of several.
-        self.owners: dict[int, int | tuple[int, ...]] = {}
+        #: state * (window + 1) + size of every whole window: the item that holds it, or a list of several in their order.
+        self.owners: dict[int, int | list[int]] = {}
         for item, ids in enumerate(spelled):
             state, length, size = 0, 0, min(window, len(ids))
             for c in ids:
@@ -63,10 +63,13 @@ class ItemAutomaton:
                     have = self.owners.get(key)
                     if have is None:
                         self.owners[key] = item
-                    elif item not in (have if isinstance(have, tuple) else (have,)):
-                        self.owners[key] = (*(have if isinstance(have, tuple) else (have,)), item)
+                    elif isinstance(have, list):
+                        if have[-1] != item:
+                            have.append(item)
+                    elif have != item:
+                        self.owners[key] = [have, item]
         del self._last, self._word, self._before
-        self._found: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
+        self._found: dict[int, list[tuple[int, list[int]]]] = {}
 
     def _state(self, length: int, link: int) -> int:
         self.length.append(length)
@@ -124,7 +127,7 @@ class ItemAutomaton:
             state = self.link[state]
         return state
 
-    def windows(self, state: int) -> list[tuple[int, tuple[int, ...]]]:
+    def windows(self, state: int) -> list[tuple[int, list[int]]]:
         """(size, items) of every whole window that is a suffix of the state's longest word run."""
         if state not in self._found:
             if len(self._found) >= 50_000:  # start again rather than grow on
@@ -134,7 +137,7 @@ class ItemAutomaton:
                 for size in self.sizes:
                     have = self.owners.get(s * (self.window + 1) + size)
                     if have is not None:
-                        out.append((size, have if isinstance(have, tuple) else (have,)))
+                        out.append((size, have if isinstance(have, list) else [have]))
                 s = self.link[s]
             self._found[state] = sorted(out)
         return self._found[state]

@@ -130,6 +130,19 @@ def _parities(s: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount((s >> U(53)).astype(np.int64), minlength=MARKS) & 1).astype(np.uint8)).view(np.int64)
 
 
+#: Pairs of one text that one task joins with its set.
+DEALT = 1024
+
+
+def _beside_sets(pairs: DataFrame, own: DataFrame, end: str, other: str) -> DataFrame:
+    """``pairs`` with the sets of their ``end``: the centre of a hot bucket is in very many pairs, which are dealt to several tasks."""
+    sized = beside_key(pairs, end, [other], {"shares": F.ceil(F.count("*") / DEALT)})
+    dealt = sized.withColumn("share", F.pmod(F.xxhash64(other), "shares"))
+    wanted = sized.groupBy(end).agg(F.max("shares").alias("shares")).join(own, end)
+    copies = wanted.withColumn("share", F.explode(F.expr("sequence(0L, shares - 1)"))).drop("shares")
+    return dealt.drop("shares").join(copies, [end, "share"]).drop("share")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, hashes: int, batch: int, percent: int, miss: float) -> DataFrame:
     """Pairs that survive the signature batches and hold on the full sets."""
     need = least_matches(hashes, batch, percent / 100, miss)
@@ -152,8 +165,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, hashes: int, batch: int, percen
             kept = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(kept), b.column(1).take(kept)], names=["a", "b"])
 
-    sides = [sets.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("hashes").alias(f"hashes_{c}")) for c in "ab"]
-    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sig_a", "sig_b", "hashes_a", "hashes_b")
+    for end, other in ("ab", "ba"):
+        own = sets.select(F.col("node").alias(end), F.col("sig").alias(f"sig_{end}"), F.col("hashes").alias(f"hashes_{end}"))
+        pairs = _beside_sets(pairs, own, end, other)
+    both = pairs.select("a", "b", "sig_a", "sig_b", "hashes_a", "hashes_b")
     return both.mapInArrow(run, "a long, b long")
 
 

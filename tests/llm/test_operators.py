@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -269,6 +270,18 @@ def test_sharding_matrix():
     assert abs(np.mean(big) - 200) < 2
 
 
+def test_items_that_share_a_line(spark):
+    """A window that very many items hold names them all, and is built in linear time."""
+    line = "read the following text and answer the question below it"
+    items = [(f"i{k}", f"{line} number {k} is about {k * 7}") for k in range(4000)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"so {line} now"), (2, "nothing of it")], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in decontaminate(docs, bench, window=10).collect()}
+    assert len(got[1].item_ids) == 4000 and got[1].n_hit == 10 and not got[2].item_ids
+    assert time.perf_counter() - began < 30
+
+
 def test_decontaminate(spark, docs, odd, empty):
     items = spark.read.parquet(f"{DIR}/benchmark.parquet").select("item_id", "text").collect()
     items += [(900, "The Mat"), (901, None), (902, "!!"), (902, "big dog"), (903, "word word word word word word word word word word word")]
@@ -669,13 +682,55 @@ def test_pii_adds_loose_shapes(spark):
         "jane.doe [at] example [dot] com", "jane(at)mail(dot)example(dot)org", "2001:db8:85a3:1:2:8a2e:370:7334", "fe80:1:2::7334",
         "(212) 555-0143", "212.555.0143", "4111.1111.1111.1111", "4111_1111_1111_1111",
     ]
-    broken = ["jane (at) 5 (dot) 30", "12:34:56:78", "(012) 555-0143", "4111.1111.1111.1112", "4111_1111_1111_1113", "300,400,1,2", "1,234,123,200"]
+    broken = ["jane (at) 5 (dot) 30", "12:34:56:78", "(112) 555-0143", "03.04.1999", "4111.1111.1111.1112", "4111_1111_1111_1113", "300,400,1,2", "1,234,123,200"]
     given = spark.createDataFrame([(i, f"some words then {s} and the end") for i, s in enumerate(loose + broken)], "doc_id long, text string")
     got = {r.doc_id: r for r in pii.detect(given, model).collect()}
     assert [s for i, s in enumerate(loose) if s in got[i].redacted or got[i].base] == []
     assert [s for i, s in enumerate(broken, len(loose)) if got[i].spans] == []
 
 
+def _planted(spark, rows, seed):
+    """Base spans behind words that announce them, other numbers behind words that never do."""
+    rng = np.random.default_rng(seed)
+    texts = []
+    for i in range(rows):
+        ip = ".".join(map(str, rng.integers(0, 256, 4)))
+        phone = "+1 ({}{:02d}) {}{:02d}-{:04d}".format(*(int(rng.integers(*r)) for r in ((2, 10), (0, 100), (2, 10), (0, 100), (0, 10_000))))
+        texts += [f"day {i}: write to user{i}@host{i}.example.org soon", f"the server {ip} is down", f"please call {phone} soon", f"version 4.{i} is out, the ratio {i} to {i + 1}", f"see part number {i * 37} of the list"]
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+
+
+def test_pii_trees_beat_the_rule(spark):
+    """Shapes that keep every rule, behind words that announce personal data or other numbers: no one-line rule tells them apart."""
+    model = pii.fit(_planted(spark, 150, 7))
+    rng = np.random.default_rng(8)
+    good, bad = [], []
+    for i in range(60):
+        ip = ",".join(map(str, rng.integers(0, 256, 4)))
+        phone = "{}{:02d}-{}{:02d}-{:04d}".format(*(int(rng.integers(*r)) for r in ((2, 10), (0, 100), (2, 10), (0, 100), (0, 10_000))))
+        away = "0{} {:03d} {:04d}".format(*(int(rng.integers(*r)) for r in ((20, 99), (0, 1000), (0, 10_000))))
+        good += [f"now the server {ip} is up", f"or call {phone} today", f"or call {away} today", f"so write to jane{i} at mail{i} dot org today"]
+        bad += [f"the ratio {ip} holds", f"version {ip} came", f"see part number {phone} below", f"see part number {away} below"]
+    rule = lambda t: any(pii.proper(k, t[a:b]) for k, a, b in pii.candidates(t))
+    assert all(map(rule, good)) and all(map(rule, bad))
+    tree = lambda t: bool(model.added(t, pii.base_spans(t)))
+    recall, wrong = sum(map(tree, good)) / len(good), sum(map(tree, bad)) / len(bad)
+    assert recall >= 0.9 and wrong <= 0.05, (recall, wrong)
+    # without contexts the trees are left with the format, and cannot do it
+    blind = pii.Model(model.trees, model.thresholds)
+    kept = sum(bool(blind.added(t, [])) for t in bad) / len(bad)
+    assert kept > wrong or sum(bool(blind.added(t, [])) for t in good) / len(good) < recall
+
+
+def test_pii_proposals():
+    """Foreign numbers, addresses in words and runs of any length are proposed; long runs take linear time."""
+    found = lambda t: {t[a:b] for _, a, b in pii.candidates(t)}
+    for t in ("030 1234 5678", "01 42 68 53 00", "(089) 636-48018", "john at example dot com", "a" * 90 + " [at] " + "b" * 80 + " [dot] c [dot] d [dot] e [dot] f [dot] g [dot] h [dot] org"):
+        assert t in found(f"so {t} then"), t
+    for big in ("0 " * 50_000, "01 " * 50_000, "a at " * 40_000, "a dot " * 40_000, "a-" * 60_000 + " at b", "01/" * 40_000):
+        assert isinstance(pii.candidates(big), list)
+
+
 def test_pii_sample_takes_copies_once(spark, monkeypatch):
     """Copies of one text do not fill the sample of the trees."""
     seen = []
@@ -683,7 +738,8 @@ def test_pii_sample_takes_copies_once(spark, monkeypatch):
     monkeypatch.setattr(pii.Boosted, "fit", lambda self, x, y: seen.append(len(x)) or real(self, x, y))
     texts = ["mail a@b.org and c@d.org and e@f.org and 10.0.0.7"] * 500 + [f"mail u{i}@h{i}.org" for i in range(40)]
     pii.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
-    distinct = {(e[0], e[1], tuple(e[2])) for t in texts for e in pii.examples(t) if e[0] % 2 == 0}
+    contexts = pii.contexts_of(spark.createDataFrame([(t,) for t in texts], "text string"))
+    distinct = {(e[0], e[1], tuple(e[2])) for t in texts for e in pii.examples(t, contexts) if e[0] % 2 == 0}
     assert seen == [len(distinct)] and len(distinct) < 1000
 
 
