@@ -51,26 +51,26 @@ def apply_aligned(words: list[str], tokens: list[str]) -> list[str]:
     return out
 
 
-def retime(text: str, words: list[tuple[str, float, float]]) -> list[tuple[str, float, float]]:
-    """Tokens of an edited text with times of the words they came from.
+def retime(text: str, words: list[tuple]) -> list[tuple]:
+    """Tokens of an edited text with time and speaker of the words (word, start, end, ...) they came from.
 
-    Equal runs keep their times, a replaced run shares its time evenly, an insertion has no length and stands
-    where the word before it ends, a deletion is gone.
+    Equal runs keep their times; each token of a replaced run takes the word at its share of the run; an
+    insertion has no length and stands where the word before it ends, or where the first one begins; a
+    deletion is gone. Without words there are no tokens.
     """
     tokens = text.split()
+    if not tokens or not words:
+        return []
     key = lambda t: re.sub(r"[^\w']+", "", t.lower())
-    diff = difflib.SequenceMatcher(None, [key(w[0]) for w in words], [key(t) for t in tokens], autojunk=False)
-    out: list[tuple[str, float, float]] = []
+    diff = difflib.SequenceMatcher(None, [key(t) for t in tokens], [key(w[0] or "") for w in words], autojunk=False)
+    out: list[tuple] = []
     for kind, a, b, c, d in diff.get_opcodes():
-        if kind == "equal":
-            out += [(t, w[1], w[2]) for t, w in zip(tokens[c:d], words[a:b])]
-        elif kind == "replace":
-            lo, hi = words[a][1], words[b - 1][2]
-            step = (hi - lo) / (d - c)
-            out += [(t, lo + k * step, lo + (k + 1) * step) for k, t in enumerate(tokens[c:d])]
-        elif kind == "insert":
-            at = words[a - 1][2] if a else words[0][1] if words else 0.0
-            out += [(t, at, at) for t in tokens[c:d]]
+        if kind == "delete":  # in the text alone
+            near = words[c - 1] if c else words[0]
+            at = near[2] if c else near[1]
+            out += [(t, at, at, *near[3:]) for t in tokens[a:b]]
+        elif kind != "insert":
+            out += [(t, *words[c + k * (d - c) // (b - a)][1:]) for k, t in enumerate(tokens[a:b])]
     return out
 
 
@@ -114,17 +114,17 @@ def split_text(text: str, most: int = 1000, overlap: int = 50, marks: tuple[str,
 
 
 def retimed(edits: DataFrame, key: str) -> DataFrame:
-    """Edited texts (key, text, words array of word, start, end) to timed tokens, one row a token."""
+    """Edited texts (key, text, words array of word, start, end, speaker) to timed tokens, one row a token."""
 
     def run(frames):
         for f in frames:
             rows = [
                 (k, i, *t) for k, text, words in zip(f[key], f["text"], f["words"])
-                for i, t in enumerate(retime(text or "", [(w["word"], w["start"], w["end"]) for w in words]))
+                for i, t in enumerate(retime(text or "", [(w["word"], w["start"], w["end"], w["speaker"]) for w in words]))
             ]
-            yield pd.DataFrame(rows, columns=[key, "pos", "word", "start", "end"])
+            yield pd.DataFrame(rows, columns=[key, "pos", "word", "start", "end", "speaker"])
 
-    return edits.select(key, "text", "words").mapInPandas(run, f"{key} long, pos int, word string, start double, end double")
+    return edits.select(key, "text", "words").mapInPandas(run, f"{key} long, pos int, word string, start double, end double, speaker string")
 
 
 def text_chunks(docs: DataFrame, key: str, text: str, most: int = 1000, overlap: int = 50) -> DataFrame:

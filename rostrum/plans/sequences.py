@@ -280,4 +280,4 @@ def r9_retimed_edits(spark, sf_dir):
         F.sort_array(F.collect_list(F.struct("ts", "event_id", F.col("speaker").alias("word"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end")))).alias("w")
     )
     kept = F.array_join(F.transform(F.filter("w", lambda x: x["event_id"] % 5 != 0), lambda x: F.when(x["event_id"] % 7 == 0, F.lit("edited")).otherwise(x["word"])), " ")
-    return retimed(w.select("user_id", kept.alias("text"), F.transform("w", lambda x: F.struct(x["word"].alias("word"), x["start"].alias("start"), x["end"].alias("end"))).alias("words")), "user_id")
+    return retimed(w.select("user_id", kept.alias("text"), F.transform("w", lambda x: F.struct(x["word"].alias("word"), x["start"].alias("start"), x["end"].alias("end"), x["word"].alias("speaker"))).alias("words")), "user_id")

@@ -36,11 +36,23 @@ def test_apply_aligned_to_merged_words():
 
 
 def test_retime():
-    words = [("one", 0.0, 1.0), ("two", 1.0, 2.0), ("three", 2.0, 4.0), ("four", 4.0, 5.0)]
+    words = [("one", 0.0, 1.0, "a"), ("two", 1.0, 2.0, "a"), ("three", 2.0, 4.0, "b"), ("four", 4.0, 5.0, "b")]
     assert A.retime("One two new things, four more", words) == [
-        ("One", 0.0, 1.0), ("two", 1.0, 2.0), ("new", 2.0, 3.0), ("things,", 3.0, 4.0), ("four", 4.0, 5.0), ("more", 5.0, 5.0)
+        ("One", 0.0, 1.0, "a"), ("two", 1.0, 2.0, "a"), ("new", 2.0, 4.0, "b"), ("things,", 2.0, 4.0, "b"), ("four", 4.0, 5.0, "b"), ("more", 5.0, 5.0, "b")
     ]
-    assert A.retime("", words) == [] and A.retime("x", []) == [("x", 0.0, 0.0)]
+    assert A.retime("x y z", [("p", 1.0, 2.0), ("q", 9.0, 10.0)]) == [("x", 1.0, 2.0), ("y", 1.0, 2.0), ("z", 9.0, 10.0)]
+    assert A.retime("now one", words[:1]) == [("now", 0.0, 0.0, "a"), ("one", 0.0, 1.0, "a")]
+    assert A.retime("one four", words) == [("one", 0.0, 1.0, "a"), ("four", 4.0, 5.0, "b")]
+    assert A.retime("", words) == A.retime("x", []) == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(tokens, tokens)
+def test_retimed_tokens_stay_in_time(a, b):
+    """Every token of the text has one row; times never go back and come from the words."""
+    got = A.retime(" ".join(a), [(w, float(k), k + 0.5, k % 2) for k, w in enumerate(b)])
+    assert [g[0] for g in got] == (a if b else [])
+    assert all(x[1] <= y[1] for x, y in zip(got, got[1:])) and all(g[2] - g[1] in (0.0, 0.5) for g in got)
 
 
 @settings(max_examples=100, deadline=None)
