@@ -17,6 +17,16 @@ from rostrum.llm.neardup import near_duplicates
 from rostrum.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: What a stage wrote for its own result, which goes once the next stage reads that result from its own files.
+_LEFT: list[DataFrame] = []
+
+
+def _drop_left(docs: DataFrame) -> None:
+    """Drop what the stage before wrote on its way, but for what ``docs`` still reads."""
+    read = docs.inputFiles()
+    for df in [df for df in _LEFT if not any(df._rostrum_path.removeprefix("file://") in f for f in read)]:
+        drop_saved(df)
+        _LEFT.remove(df)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,6 +39,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prototypes = langid.train(docs.where(~langid.held_out()))
     given = docs.select(*COLUMNS, F.col("text").alias("whole"))
     scored = saved(langid.predict(given, prototypes))
+    _LEFT.append(scored)
     out = scored.where(langid.likely(scored, list(prototypes))).withColumn("lang", F.coalesce("lang", "lang_pred"))
     return out.withColumnRenamed("whole", "text").select(*COLUMNS)
 
@@ -40,6 +51,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without a doc_id stay, one for each text, only where no document of their group has one. Texts
     without words are alone in their group. An empty table gives no rows.
     """
+    _drop_left(docs)
     kept = near_duplicates(docs, width=5, percent=80).where("kept")
     kept = kept.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "doc_id", "text_hash").distinct().withColumnRenamed("doc_id", "named")
     given = docs.withColumns({"id": F.coalesce("doc_id", F.lit(-1)), "text_hash": F.xxhash64("text")})

@@ -99,3 +99,15 @@ def test_run_matches_stages(spark):
     rows = corpus_pipeline.run(spark, DIR)
     assert rows.columns[:2] == ["doc_id", "piece"] and rows.count() > 0
     assert corpus_pipeline.ORACLE_SQL is None and 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_what_a_stage_left_goes_once_it_is_not_read(spark, tmp_path):
+    """The next stage drops what the language stage wrote, unless its documents still read it."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    corpus_pipeline._LEFT.clear()
+    lazy = corpus_pipeline.language_id(spark, docs, "/root/testdata/sf0.001")
+    corpus_pipeline._drop_left(lazy)
+    assert len(corpus_pipeline._LEFT) == 1 and lazy.count()
+    lazy.write.parquet(str(tmp_path / "docs"))
+    corpus_pipeline._drop_left(spark.read.parquet(str(tmp_path / "docs")))
+    assert not corpus_pipeline._LEFT
