@@ -80,8 +80,8 @@ def fused_sql(x):
 def phonetic_sql(x):
     """The phonetic key in DuckDB, whose patterns have no look-ahead and no back-reference: runs of a letter are dropped place by place."""
     out = f"replace({fused_sql(x)}, 'ph', 'f')"
-    for _ in range(2):  # a gh that is not at the end; twice for those that touch
-        out = f"regexp_replace({out}, 'gh(.)', 'g\\1', 'g')"
+    # every gh but one at the end, once, from left to right
+    out = f"CASE WHEN {out} LIKE '%gh' THEN replace(left({out}, length({out}) - 2), 'gh', 'g') || 'gh' ELSE replace({out}, 'gh', 'g') END"
     out = f"replace({out}, 'ck', 'k')"
     out = f"regexp_replace(regexp_replace({out}, 'ei|ey', 'e', 'g'), 'ou|oo', 'u', 'g')"
     for a, b in (("aa", "a"), ("ee", "e"), ("ii", "i")):
@@ -498,11 +498,19 @@ def said(spark, sf_dir):
     return e.withColumns({"form": form, "doubled": doubled, "misspelt": F.concat(F.substring("canonical", 1, 2), F.lit("z"), F.substring("canonical", 4, 99))})
 
 
+#: Without gates a surname behind a title may first be taken for a near text of a person.
+NEAR_SURNAME_SQL = f"""
+    near AS (SELECT id, n.canonical FROM (SELECT id, arg_min(canonical, (d, load, place, key)) AS canonical FROM
+      (SELECT s.id, t.*, levenshtein(lower(span), key) AS d, {MOST_SQL} AS most FROM (SELECT id, surname AS span FROM {SAID_SQL} WHERE form = 2) s, texts t WHERE abs(length(span) - length(key)) <= 4) WHERE d > 0 AND d <= most GROUP BY 1) n
+      JOIN r USING (id) JOIN (SELECT canonical, kind FROM r) k ON k.canonical = n.canonical AND k.kind = 'person')
+"""
+
+
 def text_walk_sql(guessed):
     return f"""
-    WITH {INDEX_SQL}, s AS (SELECT * FROM {SAID_SQL}) SELECT id, 'Heard ' || CASE form WHEN 2 THEN 'hon ' || by_surname WHEN 3 THEN by_initial WHEN 4 THEN CASE WHEN {guessed} THEN canonical ELSE misspelt END WHEN 5 THEN 'unknown thing' ELSE canonical END || ', today.' AS corrected,
+    WITH {INDEX_SQL}, s AS (SELECT * FROM {SAID_SQL}), {NEAR_SURNAME_SQL} SELECT id, 'Heard ' || CASE form WHEN 2 THEN 'hon ' || by_surname WHEN 3 THEN by_initial WHEN 4 THEN CASE WHEN {guessed} THEN canonical ELSE misspelt END WHEN 5 THEN 'unknown thing' ELSE canonical END || ', today.' AS corrected,
       CASE WHEN form IN (0, 5) OR form = 4 AND NOT ({guessed}) THEN 0 ELSE 1 END::BIGINT AS n FROM
-    (SELECT s.*, a.canonical AS by_surname, b.canonical AS by_initial FROM s LEFT JOIN surnames a ON a.key = lower(surname) LEFT JOIN initials b ON b.key = lower(substr(given, 1, 1) || '.' || surname))
+    (SELECT s.*, {"coalesce(n.canonical, a.canonical)" if guessed == "true" else "a.canonical"} AS by_surname, b.canonical AS by_initial FROM s LEFT JOIN surnames a ON a.key = lower(surname) LEFT JOIN initials b ON b.key = lower(substr(given, 1, 1) || '.' || surname) LEFT JOIN near n ON n.id = s.id)
     """
 
 
@@ -543,10 +551,10 @@ def word_walk_sql(service):
     score = "0.55 + 0.27 * (1 - 1.0 / length(doubled)) + 0.10 * least(length(sound), 12) / 12"
     sure = f"same AND {score} >= 0.9 AND {HEARD_SQL} < 0.9 AND (kind <> 'person' OR id % 4 = 2)" if service else "same"
     return f"""
-    WITH {INDEX_SQL}, s AS (SELECT *, {phonetic_sql("canonical")} AS sound FROM {SAID_SQL}),
-    f AS (SELECT s.*, CASE form WHEN 2 THEN a.canonical WHEN 3 THEN b.canonical ELSE s.canonical END AS become, {phonetic_sql("doubled")} = sound AS same,
+    WITH {INDEX_SQL}, s AS (SELECT *, {phonetic_sql("canonical")} AS sound FROM {SAID_SQL}), {NEAR_SURNAME_SQL},
+    f AS (SELECT s.*, CASE form WHEN 2 THEN {"a.canonical" if service else "coalesce(n.canonical, a.canonical)"} WHEN 3 THEN b.canonical ELSE s.canonical END AS become, {phonetic_sql("doubled")} = sound AS same,
         CASE form WHEN 0 THEN string_split(s.canonical, ' ') WHEN 1 THEN [replace(s.canonical, ' ', '')] WHEN 2 THEN ['hon', surname] WHEN 3 THEN [substr(given, 1, 1) || '.' || surname] WHEN 4 THEN string_split(doubled, ' ') ELSE ['unknown', 'thing'] END AS own
-      FROM s LEFT JOIN surnames a ON a.key = lower(surname) LEFT JOIN initials b ON b.key = lower(substr(given, 1, 1) || '.' || surname)),
+      FROM s LEFT JOIN surnames a ON a.key = lower(surname) LEFT JOIN initials b ON b.key = lower(substr(given, 1, 1) || '.' || surname) LEFT JOIN near n ON n.id = s.id),
     c AS (SELECT *, form = 2 OR form = 1 AND (kind = 'party' OR len(string_split(become, ' ')) <= 2) OR form = 3 AND len(string_split(become, ' ')) <= 2 OR form = 4 AND {sure} AS changed FROM f),
     w AS (SELECT id, unnest(CASE WHEN NOT changed THEN list_transform(['heard'] || own, lambda x, i: struct_pack(word := x, first := i - 1, size := 1, strategy := NULL::VARCHAR))
         WHEN form = 2 THEN [struct_pack(word := 'heard', first := 0, size := 1, strategy := NULL::VARCHAR), struct_pack(word := 'hon', first := 1, size := 1, strategy := NULL::VARCHAR), struct_pack(word := become, first := 2, size := 1, strategy := 'title')]
@@ -573,7 +581,7 @@ WALK_LISTS = C.Lists(titles=("hon",), word_stop=("heard",))
 
 def _word_walk(spark, sf_dir, profile):
     out = C.correct_stream(said_words(spark, sf_dir), "stream", ["id", "i"], index_of(spark, sf_dir), WALK_LISTS, profile)
-    how = F.when(F.col("strategy").isin("title_person", "substring"), "title").otherwise(F.col("strategy"))  # a surname that is one name's only
+    how = F.when(F.col("strategy").isin("title_person", "fuzzy", "substring"), "title").otherwise(F.col("strategy"))  # a surname that is one name's only
     return out.select("stream", "pos", "word", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), how.alias("strategy"))
 
 
