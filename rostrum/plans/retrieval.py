@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import textfn as T
+from ..functions.stem import STOP_WORDS, stem_sql
+from ..operators.fulltext import fulltext_index, search
 from ..registry import query, table
 
 POOL = 100
@@ -52,6 +54,27 @@ def fulltext_topk(passages: DataFrame, id_: str, text: str, words: list[str], k:
     return hits.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
+_WORDS_SQL = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda w: w <> '' AND w NOT IN ({stop}))"
+_STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
+@query(
+    f"""
+    WITH d AS (SELECT doc_id AS id, {_WORDS_SQL.format(stop=_STOP_SQL)} AS t FROM documents), a AS (SELECT item_id AS q, {_WORDS_SQL.format(stop=_STOP_SQL)} AS t FROM benchmark),
+      st AS ({stem_sql("SELECT unnest(t) AS word FROM d UNION ALL SELECT unnest(t) FROM a")}), tot AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d),
+      p AS (SELECT id, stem AS term, count(*) AS tf, any_value(len) AS len FROM (SELECT id, len(t) AS len, unnest(t) AS word FROM d) JOIN st USING (word) GROUP BY 1, 2),
+      df AS (SELECT term, count(*) AS df FROM p GROUP BY 1), w AS (SELECT DISTINCT q, stem AS term FROM (SELECT q, unnest(t) AS word FROM a) JOIN st USING (word)), s AS (
+        SELECT q, id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))), 9) AS score, count(*) AS held
+        FROM w JOIN p USING (term) JOIN df USING (term), tot GROUP BY 1, 2)
+    SELECT q, id, round(score, 6) AS score, rank FROM (SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM s JOIN (SELECT q, count(*) AS wanted FROM w GROUP BY 1) USING (q) WHERE held = wanted) WHERE rank <= 100
+    """
+)
+def r1_stemmed_search(spark, sf_dir):
+    """Every benchmark item as a search of all documents, by stems, on the written index."""
+    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), "text")
+    return search(asked, fulltext_index(docs, "doc_id", "text"), POOL).withColumn("score", F.round("score", 6))
+
+
 def ranked(top: DataFrame) -> DataFrame:
     """id and 1-based rank of at most a pool of rows (one small task)."""
     return top.select("id", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), "id")).alias("rank"))
