@@ -244,16 +244,34 @@ def chain(
     return cheap.unionByName(first(dear))
 
 
+def _rare_first(rows: DataFrame, keys: list[str], grams: DataFrame) -> DataFrame:
+    """``rows`` (keys, t) with t ordered by how many names hold a trigram, rarest first."""
+    each = rows.select(*keys, F.explode("t").alias("gram")).join(grams, "gram", "left")
+    held = F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")))  # the trigrams of one name
+    return each.groupBy(*keys).agg(held["gram"].alias("t"))
+
+
 def trigram_search(queries: DataFrame, names: DataFrame, least: float = 0.3, most: int = 50) -> DataFrame:
     """Names by trigram similarity to each query (queries: q; names: id, canonical, text), at most ``most`` each.
 
-    Similarity is shared over united distinct trigrams. An equi-join on trigrams counts the shared ones, so
-    only pairs that share one are met; the best text of a record counts.
+    Similarity is shared over united distinct trigrams; the best text of a record counts. Repeated rows count
+    once, nulls and texts without letters match nothing. Trigrams are ordered by how many names hold them:
+    two texts above ``least`` share one of each side's rarest, so the commonest ones of a text meet nobody.
+    A pair is met where its first shared trigram is, if the lengths and what stands behind allow the limit.
     """
-    q = queries.select("q", T.trigrams("q").alias("t")).select("q", F.size("t").alias("nq"), F.explode("t").alias("gram"))
-    n = names.select("id", "canonical", "text", T.trigrams("text").alias("t")).select("id", "canonical", "text", F.size("t").alias("nt"), F.explode("t").alias("gram"))
-    shared = q.join(n, "gram").groupBy("q", "id", "canonical", "text", "nq", "nt").agg(F.count("*").alias("k"))
-    scored = shared.withColumn("similarity", F.col("k") / (F.col("nq") + F.col("nt") - F.col("k"))).where(F.col("similarity") > least)
+    q = queries.select("q").distinct().select("q", T.trigrams("q").alias("t")).where("size(t) > 0")
+    n = names.select("id", "canonical", "text").distinct().withColumn("t", T.trigrams("text")).where("size(t) > 0")
+    grams = n.select(F.explode("t").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    tolerant = least - 1e-9  # so that rounding loses no pair; what is met is checked exactly
+    front = lambda t: F.slice(t, 1, F.size(t) - F.greatest(F.floor(F.size(t) * tolerant), F.lit(0)).cast("int"))
+    q = _rare_first(q, ["q"], grams).select("q", F.col("t").alias("tq"), F.posexplode(front(F.col("t"))).alias("iq", "gram"))
+    n = _rare_first(n, ["id", "canonical", "text"], grams).select("id", "canonical", F.col("t").alias("tn"), F.posexplode(front(F.col("t"))).alias("in", "gram"))
+    nq, nt = F.size("tq"), F.size("tn")
+    behind = F.least(nq - F.col("iq"), nt - F.col("in"))  # the most that can be shared if nothing before is
+    met = q.join(n, "gram").where(behind > tolerant * (nq + nt - behind))
+    met = met.where(~F.arrays_overlap(F.slice("tq", F.lit(1), F.col("iq")), F.slice("tn", F.lit(1), F.col("in"))))
+    shared = met.select("q", "id", "canonical", (nq + nt).alias("both"), F.size(F.array_intersect("tq", "tn")).alias("k"))
+    scored = shared.withColumn("similarity", F.col("k") / (F.col("both") - F.col("k"))).where(F.col("similarity") > least)
     best = scored.groupBy("q", "id", "canonical").agg(F.max("similarity").alias("similarity"))
     at = Window.partitionBy("q").orderBy(F.desc("similarity"), "canonical", "id")
     return best.withColumn("rank", F.row_number().over(at)).where(F.col("rank") <= most)
