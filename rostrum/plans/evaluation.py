@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.correction import SERVICE
+from ..operators.quantiles import quantiles
 from ..registry import query, table
 from .matching import INDEX_SQL, SAID_SQL, said, said_in_texts
 
@@ -61,6 +62,19 @@ def a22_median(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.percentile("value", 0.5).alias("median"), F.count("*").alias("n"))
 
 
+@query("SELECT l_returnflag AS flag, median(l_extendedprice)::DOUBLE AS median, count(*) AS n FROM lineitem GROUP BY 1")
+def a22_median_of_hot_keys(spark, sf_dir):
+    """The median of few keys that hold all rows, by rounds of histograms instead of a list of a key's values."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("price"))
+    return quantiles(rows, ["flag"], "price", 0.5).select("flag", F.col("quantile").alias("median"), "n")
+
+
+@query("SELECT l_linestatus AS status, quantile_disc(l_extendedprice, 0.95)::DOUBLE AS p95, count(*) AS n FROM lineitem GROUP BY 1")
+def a25_p95_of_hot_keys(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("status"), F.col("l_extendedprice").alias("price"))
+    return quantiles(rows, ["status"], "price", 0.95, between=False).select("status", F.col("quantile").alias("p95"), "n")
+
+
 @query(
     """
     SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS failed, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.95) > 90 AS slow,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import textfn as T
 from ..functions.stem import STOP_WORDS, stem_sql
 from ..operators.fulltext import fulltext_index, search
+from ..operators.vectorindex import nearest_vectors, vector_index
 from ..registry import query, table
 
 POOL = 100
@@ -104,6 +105,13 @@ def r2_vector_topk(spark, sf_dir):
     return vector_topk(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", TARGET, POOL).select("id")
 
 
+@query()
+def r2_vector_index(spark, sf_dir):
+    """The ten nearest rows of each row whose id is divisible by 50, among all rows, by the index."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest_vectors(rows.where("vec_id % 50 = 0"), vector_index(rows, "vec_id", "embedding"), "vec_id", "embedding", 10).select("q", "id", "score", "rank")
+
+
 FULLTEXT_SQL = """
     SELECT id, round(score, 9) AS score FROM (
       SELECT id, ln(1 + (n - df0 + 0.5) / (df0 + 0.5)) * tf0 * 2.2 / (tf0 + 1.2 * (0.25 + 0.75 * len / mean))

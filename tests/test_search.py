@@ -79,3 +79,82 @@ def test_a_search_reads_postings_by_term_and_no_text(spark):
     index = fulltext_index(spark.createDataFrame([(1, "ministers agreed"), (2, "water")], "id long, text string"), "id", "text")
     plan = index.postings.where("term = 'minist'")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(term,minist)" in plan and index.postings.columns == ["term", "id", "tf", "len"]
+
+
+def recall(found, exact):
+    held = Counter()
+    for q, id_ in found:
+        held[q] += id_ in exact[q]
+    return sum(held.values()) / sum(map(len, exact.values()))
+
+
+def exact_nearest(vectors, queries, k):
+    import numpy as np
+
+    ids = np.array(sorted(i for i, v in vectors.items() if v is not None))
+    x = np.array([vectors[i] for i in ids], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return {q: set(ids[np.lexsort((ids, -(x @ (np.array(vectors[q]) / np.linalg.norm(vectors[q])))))[:k]].tolist()) for q in queries}
+
+
+def test_vector_index_recall_on_the_table(spark):
+    """Every row whose id is divisible by 50 against all rows: at least 0.9 of the true ten nearest."""
+    from rostrum import plans, registry  # noqa: F401
+
+    sf = "/root/testdata/sf0.01"
+    vectors = {r.vec_id: r.embedding for r in registry.table(spark, sf, "embeddings").collect()}
+    got = registry.QUERIES["r2_vector_index"](spark, sf).collect()
+    exact = exact_nearest(vectors, [i for i, v in vectors.items() if i % 50 == 0 and v is not None], 10)
+    assert {r.q for r in got} == set(exact) and recall([(r.q, r.id) for r in got], exact) >= 0.9
+    assert all(sorted(r.rank for r in got if r.q == q) == list(range(1, 11)) for q in exact)
+
+
+def test_vector_index_of_odd_rows(spark):
+    from rostrum.operators.vectorindex import nearest_vectors, vector_index
+
+    rows = [(i, [1.0, float(i), 0.5, -float(i % 3)]) for i in range(40)] + [(40, None), (41, []), (42, [0.0] * 4), (43, [float("nan")] * 4), (None, [1.0] * 4), (44, [1.0, None, 2.0, 3.0]), (45, [1.0] * 7)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    got = nearest_vectors(df, vector_index(df, "id", "v"), "id", "v", 3).collect()
+    assert {r.q for r in got} == set(range(40)) and {r.id for r in got} <= set(range(40)) and len(got) == 120
+    assert all(r.id == r.q or r.rank > 1 or r.score > 0.999 for r in got)
+    empty = df.where("id < 0")
+    assert nearest_vectors(df, vector_index(empty, "id", "v"), "id", "v", 3).count() == 0
+
+
+def test_vector_index_of_clusters_needs_few_lists(spark):
+    import numpy as np
+
+    from rostrum.operators.vectorindex import nearest_vectors, vector_index
+
+    rng = np.random.default_rng(5)
+    middles = rng.normal(size=(40, 24)) * 3
+    vectors = {i: (middles[i % 40 if i % 3 else 0] + rng.normal(size=24) * 0.4).tolist() for i in range(3000)}  # a third of all in one cluster
+    df = spark.createDataFrame(list(vectors.items()), "id long, v array<double>")
+    asked = [i for i in vectors if i % 50 == 0]
+    got = nearest_vectors(df.where("id % 50 = 0"), vector_index(df, "id", "v"), "id", "v", 10, probes=14).collect()
+    assert recall([(r.q, r.id) for r in got], exact_nearest(vectors, asked, 10)) >= 0.9
+
+
+def test_trigram_search_equals_all_pairs(spark):
+    """The prefixes lose no pair: random names, repeated rows and queries, blanks and nulls."""
+    import random
+
+    from rostrum.operators.dictionary import trigram_search
+
+    rng = random.Random(3)
+    name = lambda: " ".join("".join(rng.choice("abcde") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 3)))
+    names = [(i, name()) for i in range(250)] + [(250, ""), (251, None), (252, "Abc Abc"), (252, "Abc Abc")]
+    queries = [name() for _ in range(60)] + [names[3][1]] * 2 + ["", None, "abc"]
+
+    def grams(t):
+        return {f"  {w} "[i : i + 3] for w in re.findall(r"[^\W_]+", (t or "").lower()) for i in range(len(w) + 1)}
+
+    want = {}
+    for q in set(queries):
+        for i, t in names:
+            a, b = grams(q), grams(t)
+            if a and b and len(a & b) / len(a | b) > 0.3:
+                want[q, i] = len(a & b) / len(a | b)
+    table = spark.createDataFrame([(i, t, t) for i, t in names], "id long, canonical string, text string")
+    got = trigram_search(spark.createDataFrame([(q,) for q in queries], "q string"), table, most=1000).collect()
+    assert len(got) == len(want) and {(r.q, r.id): r.similarity for r in got} == want and len(want) > 100
