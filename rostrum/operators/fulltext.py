@@ -37,7 +37,8 @@ def fulltext_index(passages: DataFrame, id_: str, text: str) -> FulltextIndex:
     a passage's length needs no join. Passages without words count among all, with length 0, and match nothing.
     """
     split = passages.select(F.col(id_).alias("id"), tokens(F.col(text)).alias("t"))
-    worded = split.select("id", F.size("t").cast("long").alias("len"), F.explode_outer("t").alias("word"))
+    sized = split.select("id", F.size("t").cast("long").alias("len"), "t")  # before the words are rows, so that no row carries its whole text
+    worded = sized.select("id", "len", F.explode_outer("t").alias("word"))
     counted = written(worded.groupBy("id", stem("word").alias("term"), "len").agg(F.count("word").alias("tf")))
     held = counted.where("term IS NOT NULL")
     postings = written(held.repartitionByRange("term", "id").sortWithinPartitions("term", "id").select("term", "id", "tf", "len"))
