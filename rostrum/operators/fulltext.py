@@ -31,7 +31,8 @@ def tokens(text: Column) -> Column:
 def fulltext_index(passages: DataFrame, id_: str, text: str) -> FulltextIndex:
     """The index of passages (an id of its own each).
 
-    A text is split once, and its words are counted before they are exchanged: a posting is a stem of a passage
+    Texts are split twice: for the distinct words, each of which is stemmed once, and for the postings. The
+    planner broadcasts the stems below its limit and joins by word above it. A posting is a stem of a passage
     with its count and the passage's length in words. Postings are range-parted by term and id and sorted, so a
     term in every passage is many files, a search's terms reach the scan as a filter on sorted row groups, and
     a passage's length needs no join. Passages without words count among all, with length 0, and match nothing.
@@ -39,7 +40,8 @@ def fulltext_index(passages: DataFrame, id_: str, text: str) -> FulltextIndex:
     split = passages.select(F.col(id_).alias("id"), tokens(F.col(text)).alias("t"))
     sized = split.select("id", F.size("t").cast("long").alias("len"), "t")  # before the words are rows, so that no row carries its whole text
     worded = sized.select("id", "len", F.explode_outer("t").alias("word"))
-    counted = written(worded.groupBy("id", stem("word").alias("term"), "len").agg(F.count("word").alias("tf")))
+    stems = written(worded.select("word").where("word IS NOT NULL").distinct().select("word", stem("word").alias("term")))
+    counted = written(worded.join(stems, "word", "left").groupBy("id", "term", "len").agg(F.count("word").alias("tf")))
     held = counted.where("term IS NOT NULL")
     postings = written(held.repartitionByRange("term", "id").sortWithinPartitions("term", "id").select("term", "id", "tf", "len"))
     terms = written(postings.groupBy("term").agg(F.count("*").alias("df")))
