@@ -80,39 +80,119 @@ def legacy_fuzzy_score(distance):
     return F.greatest(F.lit(0.70), 1 - 0.12 * distance)
 
 
-#: Where a key of ``len`` characters is cut into most + 1 pieces.
-_CUT = {
-    "size": "len div (most + 1) + if(piece > most - len % (most + 1), 1, 0)",
-    "begin": "piece * (len div (most + 1)) + greatest(0, piece - (most + 1 - len % (most + 1)))",
-}
+#: Where a key of ``len`` characters is cut into ``cuts`` pieces.
+_SIZE = "len div cuts + if({p} >= cuts - len % cuts, 1, 0)"
+_BEGIN = "{p} * (len div cuts) + greatest(0, {p} - (cuts - len % cuts))"
 
+#: Keys so short are met in what deletions leave, longer ones by their pieces.
+SHORT = 10
+#: A piece that so many keys share is hot: what holds it is met by deletions instead.
+HOT = 64
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all tasks: each of its rows becomes many."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _without(c, most: int, exactly: bool = False):
+    """Distinct texts that are left of one without any ``most`` of its characters, or (not ``exactly``) as many at most."""
+    one = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+    made = F.array(c)
+    for _ in range(most):
+        less = lambda t: F.when(F.length(t) > 0, one(t) if exactly else F.concat(F.array(t), one(t))).otherwise(F.array(t))
+        made = F.array_distinct(F.flatten(F.transform(made, less)))
+    return made
 
-def _pieces_of_keys(keys: DataFrame) -> DataFrame:
-    """``keys`` with their pieces (most, len, piece, part) for one to four edits."""
-    k = keys.withColumn("len", F.length("key")).withColumn("most", F.explode(F.array(*map(F.lit, range(1, 5)))))
-    k = k.withColumn("piece", F.explode(F.expr("sequence(0, most)"))).withColumns({c: F.expr(e) for c, e in _CUT.items()})
-    return k.withColumn("part", F.expr("substring(key, begin + 1, size)")).select("most", "len", "piece", "part", *keys.columns)
 
+def _left(c, lost):
+    """Hashes of what ``lost`` deletions (a column, 0 to 4) leave of a text, by its partner's length."""
+    cases = F.when(lost == 0, F.array(c))
+    for k in range(1, 5):
+        cases = cases.when(lost == k, _without(c, k, True))
+    return F.transform(cases, lambda t: F.xxhash64(F.col("n"), F.col("len"), F.col("most"), t))
 
-def _pieces_of_texts(texts: DataFrame, most) -> DataFrame:
-    """Distinct texts (low) with what may be a piece of a key within ``most`` edits, by the key's length and the piece's number."""
-    s = texts.select("low").distinct().withColumn("n", F.length("low")).withColumn("most", most).where("most > 0")
-    s = s.withColumn("len", F.explode(F.expr("sequence(n - most, n + most)"))).withColumn("piece", F.explode(F.expr("sequence(0, most)")))
-    s = s.withColumns({"lo": F.expr("greatest(-piece, n - len - (most - piece))"), "hi": F.expr("least(piece, n - len + most - piece)")}).where("lo <= hi")
-    s = s.withColumns({c: F.expr(e) for c, e in _CUT.items()}).withColumn("shift", F.explode(F.expr("sequence(lo, hi)")))
-    s = s.where("begin + shift >= 0 and begin + shift + size <= n")
-    return s.select("low", "most", "len", "piece", F.expr("substring(low, begin + shift + 1, size)").alias("part")).distinct()
 
+def _sharing_rest(asked: DataFrame, held: DataFrame, columns: list[str]) -> DataFrame:
+    """Texts (low, n, most, len) and keys (n, most, len) that are equal after deletions, as many as ``most`` edits and both lengths allow.
+
+    Within ``most`` edits the longer of both loses ``most`` characters and the other so many fewer as it is shorter.
+    """
+    more = F.col("n") - F.col("len")
+    a = _spread(asked).select("low", "most", F.explode(_left(F.col("low"), F.col("most") + F.least(more, F.lit(0)))).alias("h"))
+    b = _spread(held).select(*columns, F.explode(_left(F.col("key"), F.col("most") - F.greatest(more, F.lit(0)))).alias("h"))
+    return a.join(b.hint("merge"), "h").select("low", "most", *columns)
 
-def _sharing_piece(texts: DataFrame, keys: DataFrame, most) -> DataFrame:
-    """Texts (low) with the keys (key, ...) that share a piece with them at a place that ``most`` edits allow; pairs may repeat.
 
-    A key cut into most + 1 pieces has one piece untouched by ``most`` edits, which then stands in the text
-    at a place that the edits before and after it allow. So texts and keys meet by equi-joins on a piece, its
-    number and the key's length; no text meets all keys of its length.
+def _places(most: int) -> list[tuple[int, int, int, int, int, int]]:
+    """(most, more, i, j, si, sj): where the first two untouched ones of a key's most + 2 pieces may stand in a text that is ``more`` longer.
+
+    Every piece before the j-th but the i-th has an edit, and pieces move by as many places as edits stand before them at most.
     """
-    met = _pieces_of_texts(texts, most).join(_pieces_of_keys(keys), ["most", "len", "piece", "part"])
-    return met.select("low", "most", *keys.columns)
+    found = set()
+    for i in range(most + 1):
+        for j in range(i + 1, most + 2):
+            for si in range(-most, most + 1) if i else [0]:
+                for step in range(-most, most + 1) if j > i + 1 else [0]:
+                    left = most - max(abs(si), i) - max(abs(step), j - i - 1)
+                    found |= {(most, si + step + d, i, j, si, si + step) for d in range(-left, left + 1)}
+    return sorted(x for x in found if abs(x[1]) <= most)
+
+
+def _sharing_two_pieces(asked: DataFrame, held: DataFrame, columns: list[str]) -> DataFrame:
+    """Texts (low, n, most, len) and keys (most, len) that share two pieces of the key at places that ``most`` edits allow.
+
+    A key cut into most + 2 pieces has two that ``most`` edits leave untouched. One piece of a name is common
+    where names are many; two are not.
+    """
+    spark = asked.sparkSession
+    places = spark.createDataFrame([p for d in range(1, 5) for p in _places(d)], "most int, more int, i int, j int, si int, sj int")
+    cut = {f"{name}_{p}": F.expr(e.format(p=p)) for p in "ij" for name, e in (("size", _SIZE), ("begin", _BEGIN))}
+    hashed = lambda c, si, sj: F.expr(f"xxhash64(most, len, i, j, substring({c}, begin_i + {si} + 1, size_i), substring({c}, begin_j + {sj} + 1, size_j))")
+    a = _spread(asked).withColumn("more", F.col("n") - F.col("len")).join(F.broadcast(places), ["most", "more"]).withColumn("cuts", F.col("most") + 2).withColumns(cut)
+    a = a.where("begin_i + si >= 0 and begin_i + si + size_i <= begin_j + sj and begin_j + sj + size_j <= n").select("low", "most", hashed("low", "si", "sj").alias("h"))
+    pairs = places.select("most", "i", "j").distinct()
+    b = _spread(held).join(F.broadcast(pairs), "most").withColumn("cuts", F.col("most") + 2).withColumns(cut).select(*columns, hashed("key", 0, 0).alias("h"))
+    return a.join(b.hint("merge"), "h").select("low", "most", *columns)
+
+
+def _sharing_piece(asked: DataFrame, held: DataFrame, columns: list[str]) -> DataFrame:
+    """Texts (low, n, most, len) and keys (most, len) that share a piece of most + 1 at a place that ``most`` edits allow.
+
+    Names may share most of their pieces (numbered ones do), so hot pieces are left out, and texts that hold one
+    meet the keys that hold one in what is left of them after as many deletions.
+    """
+    cut = {"cuts": F.col("most") + 1, "piece": F.explode(F.expr("sequence(0, most)"))}
+    of = {"size": F.expr(_SIZE.format(p="piece")), "begin": F.expr(_BEGIN.format(p="piece"))}
+    a = _spread(asked).withColumns(cut).withColumns(of).withColumn("shift", F.explode(F.expr("sequence(greatest(-piece, n - len - (most - piece)), least(piece, n - len + most - piece))")))
+    a = a.where("begin + shift >= 0 and begin + shift + size <= n").select("low", "most", F.expr("xxhash64(most, len, piece, substring(low, begin + shift + 1, size))").alias("h"))
+    b = _spread(held).withColumns(cut).withColumns(of).select(*columns, "most", F.expr("xxhash64(most, len, piece, substring(key, begin + 1, size))").alias("h"))
+    hot = written(b.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h"))
+    if hot.isEmpty():
+        return a.join(b.drop("most").hint("merge"), "h").select("low", "most", *columns)
+    met = a.join(b.join(hot, "h", "left_anti").drop("most").hint("merge"), "h").select("low", "most", *columns)
+    less = lambda c: F.explode(F.transform(F.when(F.col("most") == 1, _without(c, 1)).otherwise(_without(c, 2)), lambda t: F.xxhash64(t)))
+    a = _spread(a.join(hot, "h", "left_semi").select("low", "most").distinct()).select("low", "most", less(F.col("low")).alias("h"))
+    b = _spread(b.join(hot, "h", "left_semi").select(*columns, "most").distinct()).select(*columns, "most", less(F.col("key")).alias("h"))
+    return met.unionByName(a.join(b.hint("merge"), ["most", "h"]).select("low", "most", *columns))
+
+
+def _met(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """Texts (low, most: 1 to 4) with keys, all of those within ``most`` edits among them; pairs may repeat.
+
+    Texts and keys meet by equi-joins, and only for lengths that both have. Short keys are met in what deletions
+    leave. Longer ones share a piece that one or two edits leave untouched, or two pieces that more do.
+    """
+    asked = texts.withColumn("n", F.length("low")).withColumn("len", F.explode(F.expr("sequence(n - most, n + most)")))
+    lengths = keys.select(F.length("key").alias("len")).distinct()
+    asked = asked.join(F.broadcast(lengths), "len", "left_semi")
+    wanted = asked.select("n", "most", "len").distinct()
+    held = keys.withColumn("len", F.length("key"))
+    by_length = held.join(F.broadcast(wanted.select("most", "len").distinct()), "len")
+    short, few = F.col("len") <= SHORT, F.col("most") <= 2
+    met = _sharing_rest(asked.where(short), held.where(short).join(F.broadcast(wanted), "len"), keys.columns)
+    met = met.unionByName(_sharing_piece(asked.where(~short & few), by_length.where(~short & few), keys.columns))
+    return met.unionByName(_sharing_two_pieces(asked.where(~short & ~few), by_length.where(~short & ~few), keys.columns))
 
 
 def near_keys(spans: DataFrame, keys: DataFrame, bounded: bool = False, limit=None) -> DataFrame:
@@ -121,8 +201,8 @@ def near_keys(spans: DataFrame, keys: DataFrame, bounded: bool = False, limit=No
     Distinct spans are matched once. All pairs are the result; for the nearest key alone see ``nearest``.
     """
     limit = limit or (distance_ceiling if bounded else most_distance)  # 4 at most
-    low = spans.select(F.lower("span").alias("low")).where(F.length("low") >= 4)
-    hit = _sharing_piece(low, keys.select("key", "canonical", "load"), limit(F.col("n")))
+    low = written(spans.select(F.lower("span").alias("low")).distinct()).where(F.length("low") >= 4)
+    hit = _met(low.withColumn("most", limit(F.length("low"))).where("most > 0"), keys.select("key", "canonical", "load"))
     hit = hit.withColumn("d", F.levenshtein("low", "key", 4)).where("d > 0 and d <= most")
     if bounded:
         hit = hit.where(F.col("d") / F.length("low") <= 0.25)
@@ -130,53 +210,22 @@ def near_keys(spans: DataFrame, keys: DataFrame, bounded: bool = False, limit=No
     return spans.select("span_id", "span", F.lower("span").alias("low")).join(hit, "low").drop("low")
 
 
-def _without_up_to(c, most: int):
-    """Hashes of a text and of what is left of it without any one, or ``most``, of its characters."""
-    one = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
-    made = F.array_distinct(F.concat(F.array(c), one(c)))
-    for _ in range(most - 1):
-        made = F.array_distinct(F.flatten(F.transform(made, lambda t: F.when(F.length(t) > 0, F.concat(F.array(t), one(t))).otherwise(F.array(t)))))
-    return F.transform(made, lambda t: F.xxhash64(t))
-
-
-#: A piece that so many keys share is hot: what holds it is met by deletions instead.
-HOT = 64
-
-
-def _met(low: DataFrame, keys: DataFrame, d: int) -> DataFrame:
-    """Texts (low) with keys, all of those at ``d`` edits or fewer among them; pairs may repeat.
-
-    They share a piece that the edits leave untouched. Names may share most of their pieces (numbered ones do),
-    so for one and two edits hot pieces are left out, and texts that hold one meet the keys that hold one in
-    what is left of them after as many deletions.
-    """
-    if d > 2:
-        return _sharing_piece(low, keys, F.lit(d))
-    asked, held = _pieces_of_texts(low, F.lit(d)), _pieces_of_keys(keys).where(F.col("most") == d)
-    place = ["most", "len", "piece", "part"]
-    hot = held.groupBy(*place).agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(*place)
-    met = asked.join(held.join(hot, place, "left_anti"), place).select("low", *keys.columns)
-    a = asked.join(hot, place, "left_semi").select("low").distinct().select("low", F.explode(_without_up_to(F.col("low"), d)).alias("h"))
-    b = held.join(hot, place, "left_semi").select(*keys.columns).distinct().withColumn("h", F.explode(_without_up_to(F.col("key"), d)))
-    return met.unionByName(a.join(b, "h").select("low", *keys.columns))
-
-
 def nearest(spans: DataFrame, keys: DataFrame, limit, deepest: int = 4) -> DataFrame:
     """(span_id, low, b) of the nearest key of each span of four characters or more within ``limit`` of its length.
 
     ``b`` has d, load, key, canonical and what else of a key of the index ``keys`` has; of keys at the same
     distance the first loaded wins. Distances are tried in rising order, each only for texts that found nothing
-    before; pairs are aggregated as they meet. Beyond two edits texts meet all keys that share a piece.
+    before; pairs are aggregated as they meet.
     """
-    texts = spans.select(F.lower("span").alias("low")).where("length(low) >= 4").distinct()
-    texts = written(texts.withColumn("most", limit(F.length("low"))).where("most > 0"))
+    texts = written(spans.select(F.lower("span").alias("low")).distinct()).where("length(low) >= 4")
+    texts = texts.withColumn("most", limit(F.length("low"))).where("most > 0")
     rest = [c for c in ("place", "key", "canonical", "kind", "type", "abbreviation") if c in keys.columns]
     found = None
     for d in range(1, deepest + 1):
         open_ = texts.where(F.col("most") >= d)
         if found is not None:
             open_ = open_.join(found.select("low"), "low", "left_anti")
-        met = _met(open_.select("low"), keys, d).withColumn("d", F.levenshtein("low", "key", d)).where(F.col("d") > 0)
+        met = _met(open_.select("low", F.lit(d).alias("most")), keys).withColumn("d", F.levenshtein("low", "key", d)).where(F.col("d") > 0)
         at = written(met.groupBy("low").agg(F.min(F.struct("d", "load", *rest)).alias("b")))
         found = at if found is None else found.unionByName(at)
     return spans.select("span_id", F.lower("span").alias("low")).join(found, "low")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from rostrum.operators import dictionary as D
 from rostrum.operators import variants
 
 
@@ -14,7 +15,7 @@ def spread_and_broadcast(df):
         if "BroadcastExchange" in line:
             under = []
             for j in range(k + 1, len(lines)):
-                if depth[j] <= depth[k]:
+                if depth[j] <= depth[k] or "Exchange hash" in lines[j]:  # what was counted before is known
                     break
                 under.append(lines[j])
             found += [x for x in under if "Generate explode" in x]
@@ -34,3 +35,23 @@ def test_contained_key_broadcasts_no_parts(spark, tmp_path):
     out = variants.contained_key(asked.unionByName(asked.withColumn("span_id", F.col("span_id") + 1000)), names)
     assert not spread_and_broadcast(out)
     assert {(r.span_id % 1000, r.canonical) for r in out.collect()} == {(r["load"], r.canonical) for r in names.collect()} and out.count() == 400
+
+
+def test_near_keys_broadcast_no_pieces(spark, tmp_path):
+    names = some_names(spark, tmp_path)
+    asked = names.select(F.col("load").alias("span_id"), F.concat("canonical", F.lit("xy")).alias("span"))
+    out = D.near_keys(asked, names)
+    assert not spread_and_broadcast(out)
+    assert {(r.span_id, r.key, r.d) for r in out.collect()} == {(r["load"], r.key, 2) for r in names.collect()}
+
+
+def test_far_edits_meet_few(spark):
+    """Of names without likeness each meets a few at four edits, not a share of all."""
+    n = 2000
+    names = spark.range(n).select(F.col("id").alias("load"), F.translate(F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 14), "0123456789", "ghijklmnop").alias("key"))
+    names = names.withColumn("canonical", F.col("key")).localCheckpoint()
+    asked = names.select(F.concat(F.lit("z"), F.substring("key", 2, 5), F.lit("qq"), F.substring("key", 9, 5), F.lit("z")).alias("low"), F.lit(4).alias("most"))
+    met = D._met(asked, names).localCheckpoint()
+    near = {(r.low, r.key) for r in met.where(F.levenshtein("low", "key") <= 4).collect()}
+    assert {(r.low, r.low[1:6]) for r in asked.collect()} == {(low, key[1:6]) for low, key in near if low[1:6] == key[1:6]}
+    assert met.count() < 100 * n
