@@ -55,3 +55,18 @@ def test_far_edits_meet_few(spark):
     near = {(r.low, r.key) for r in met.where(F.levenshtein("low", "key") <= 4).collect()}
     assert {(r.low, r.low[1:6]) for r in asked.collect()} == {(low, key[1:6]) for low, key in near if low[1:6] == key[1:6]}
     assert met.count() < 100 * n
+
+
+def test_retiming_holds_few_transcripts():
+    """Of a large batch a few transcripts at a time become Python objects; none is lost."""
+    import pyarrow as pa
+
+    from rostrum.operators import alignment as A
+
+    one = [{"word": w, "start": k + 0.0, "end": k + 0.5, "speaker": None} for k, w in enumerate("abc")]
+    batch = pa.RecordBatch.from_pylist([{"id": k, "text": "a x c" if k % 2 else None, "words": one if k % 3 else None} for k in range(101)])
+    made = list(A._retiming("id")([batch]))
+    assert len(made) == -(-101 // A.AT_ONCE)
+    rows = [tuple(r.values()) for b in made for r in b.to_pylist()]
+    want = [(k, i, w, i + 0.0, i + 0.5, None) for k in range(101) if k % 2 and k % 3 for i, w in enumerate("axc")]
+    assert rows == want
