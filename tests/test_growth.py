@@ -70,3 +70,14 @@ def test_retiming_holds_few_transcripts():
     rows = [tuple(r.values()) for b in made for r in b.to_pylist()]
     want = [(k, i, w, i + 0.0, i + 0.5, None) for k in range(101) if k % 2 and k % 3 for i, w in enumerate("axc")]
     assert rows == want
+
+
+def test_hot_citations_need_no_exchange(spark):
+    """Most citations name one text or none: those that few texts resolve are not dealt by the text's id."""
+    from rostrum.plans.retrieval import resolved
+
+    texts = spark.range(2_000_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("excerpt"))
+    cited = spark.range(1000).select(F.col("id").alias("answer"), F.when(F.col("id") % 2 == 0, 7).otherwise(999999999).cast("long").alias("doc_id"))
+    out = resolved(cited, texts, "doc_id")
+    assert {(r.answer, r.doc_id, r.excerpt) for r in out.collect()} == {(k, 7, "text 7") for k in range(0, 1000, 2)}
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
