@@ -14,6 +14,11 @@ KEY_KINDS = ("text", "fused", "phonetic", "component", "surname", "initials")
 INDEX = "key_kind string, key string, canonical string, kind string, type string, abbreviation string, load long, place int, fanout long"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all tasks: its rows are few bytes and much work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def words(c) -> Column:
     return F.filter(F.split(F.trim(c), T.U + r"\s+"), lambda w: w != "")
 
@@ -24,8 +29,8 @@ def initials_key(c) -> Column:
     return F.regexp_replace(joined, r"\.$", "")
 
 
-def name_index(records: DataFrame, aliases: DataFrame) -> DataFrame:
-    """key_kind, key, canonical, kind, type, abbreviation, load, place, fanout: who owns each key.
+def name_index(records: DataFrame, aliases: DataFrame, kinds: tuple[str, ...] = KEY_KINDS) -> DataFrame:
+    """key_kind, key, canonical, kind, type, abbreviation, load, place, fanout: who owns each key, of ``kinds`` of keys.
 
     ``records`` has id, canonical, kind, type, abbreviation, last_wins, load (its position in the load, each
     its own), ``aliases`` id, alias, place (from 0). Records load in their order, the canonical before its
@@ -50,7 +55,7 @@ def name_index(records: DataFrame, aliases: DataFrame) -> DataFrame:
     # names by sound: where a name's own text stands first, that is its position
     sounding = held.where("first.at.place = -1").select(F.col("first.canonical").alias("canonical"), F.col("first.canonical").alias("text"))
     spelled = aliases.join(records.where("type = 'supplementary'"), "id").select("canonical", F.col("alias").alias("text"))
-    sounds = sounding.unionByName(spelled).select(T.phonetic_key(F.lower("text")).alias("key"), "canonical").where("key <> ''").distinct()
+    sounds = spread(sounding.unionByName(spelled)).select(T.phonetic_key(F.lower("text")).alias("key"), "canonical").where("key <> ''").distinct()
     fanout = sounds.groupBy("key").agg(F.count("*").alias("fanout"))
     first_at = held.select(F.col("key").alias("low"), "first.at.*")
     sounds = sounds.join(fanout, "key").join(first_at, F.lower("canonical") == F.col("low"), "left").drop("low")
@@ -68,11 +73,13 @@ def name_index(records: DataFrame, aliases: DataFrame) -> DataFrame:
     owner = lambda rows: rows.groupBy("key").agg(F.min(F.struct("load", "canonical")).alias("o")).select("key", "o.*")
 
     rows = {"text": texts, "fused": fused, "phonetic": sounds, "component": parts, "surname": owner(surnames), "initials": owner(initials)}
-    made = [df.withColumn("key_kind", F.lit(kind)) for kind, df in rows.items()]
+    made = [df.withColumn("key_kind", F.lit(kind)) for kind, df in rows.items() if kind in kinds]
     index = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), made)
     what = records.groupBy("canonical").agg(
         F.min_by(F.struct("kind", "type"), "load").alias("what"), F.min_by("abbreviation", F.when(F.col("abbreviation").isNotNull() & (F.col("kind") == "party"), F.col("load"))).alias("abbreviation")
     )
+    index = index if "place" in index.columns else index.withColumn("place", F.lit(None).cast("int"))
+    index = index if "fanout" in index.columns else index.withColumn("fanout", F.lit(None).cast("long"))
     out = index.join(what.select("canonical", "what.*", "abbreviation"), "canonical")
     return out.select("key_kind", "key", "canonical", "kind", "type", "abbreviation", "load", F.col("place").cast("int").alias("place"), F.coalesce("fanout", F.lit(1).cast("long")).alias("fanout"))
 

@@ -81,3 +81,17 @@ def test_hot_citations_need_no_exchange(spark):
     out = resolved(cited, texts, "doc_id")
     assert {(r.answer, r.doc_id, r.excerpt) for r in out.collect()} == {(k, 7, "text 7") for k in range(0, 1000, 2)}
     assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_builds_only_the_kinds_asked_for(spark, tmp_path):
+    """A query that looks up one kind of key neither makes nor writes the others; each kind is written once."""
+    from rostrum.plans import matching as M
+
+    spark.range(40).select(F.col("id").alias("c_custkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    one = M.index_of(spark, str(tmp_path), "initials")
+    assert {r.key_kind for r in one.select("key_kind").distinct().collect()} == {"initials"}
+    assert len(one.inputFiles()) and all("key_kind=initials" in f for f in one.inputFiles())
+    both = M.index_of(spark, str(tmp_path), "initials", "text")
+    assert set(one.inputFiles()) < set(both.inputFiles())
+    whole = M.built_index(spark, str(tmp_path))
+    assert M.index_of(spark, str(tmp_path)).select(whole.columns).exceptAll(whole).isEmpty() and whole.exceptAll(M.index_of(spark, str(tmp_path)).select(whole.columns)).isEmpty()
