@@ -23,7 +23,7 @@ def _hit(found: DataFrame, confidence, strategy: str) -> DataFrame:
 def _by_key(spans: DataFrame, index: DataFrame, kind: str, key) -> DataFrame:
     """Spans (span_id, span) with the rows of the index under ``key`` of their text; an empty key finds nothing."""
     asked = spans.withColumn("key", key).where("key <> ''")
-    return asked.join(keys_of(index, kind), "key")
+    return asked.join(keys_of(index, kind).hint("merge"), "key")  # several indexes at once are too much to broadcast
 
 
 def exact(spans: DataFrame, index: DataFrame) -> DataFrame:
@@ -214,21 +214,25 @@ def nearest(spans: DataFrame, keys: DataFrame, limit, deepest: int = 4) -> DataF
     """(span_id, low, b) of the nearest key of each span of four characters or more within ``limit`` of its length.
 
     ``b`` has d, load, key, canonical and what else of a key of the index ``keys`` has; of keys at the same
-    distance the first loaded wins. Distances are tried in rising order, each only for texts that found nothing
-    before; pairs are aggregated as they meet.
+    distance the first loaded wins; (load, place, key) name a row. Distances are tried in rising order, each only
+    for texts that found nothing before; pairs are aggregated as they meet, with no more of a key than decides,
+    and the rest of the nearest ones is looked up.
     """
     texts = written(spans.select(F.lower("span").alias("low")).distinct()).where("length(low) >= 4")
     texts = texts.withColumn("most", limit(F.length("low"))).where("most > 0")
-    rest = [c for c in ("place", "key", "canonical", "kind", "type", "abbreviation") if c in keys.columns]
+    order = [c for c in ("load", "place", "key") if c in keys.columns]
+    rest = [c for c in ("canonical", "kind", "type", "abbreviation") if c in keys.columns]
+    held = keys.select(*order)
     found = None
     for d in range(1, deepest + 1):
         open_ = texts.where(F.col("most") >= d)
         if found is not None:
             open_ = open_.join(found.select("low"), "low", "left_anti")
-        met = _met(open_.select("low", F.lit(d).alias("most")), keys).withColumn("d", F.levenshtein("low", "key", d)).where(F.col("d") > 0)
-        at = written(met.groupBy("low").agg(F.min(F.struct("d", "load", *rest)).alias("b")))
+        met = _met(open_.select("low", F.lit(d).alias("most")), held).withColumn("d", F.levenshtein("low", "key", d)).where(F.col("d") > 0)
+        at = written(met.groupBy("low").agg(F.min(F.struct("d", *order)).alias("b")))
         found = at if found is None else found.unionByName(at)
-    return spans.select("span_id", F.lower("span").alias("low")).join(found, "low")
+    found = found.select("low", "b.*").join(keys.select(*order, *rest).hint("merge"), order)
+    return spans.select("span_id", F.lower("span").alias("low")).join(found.select("low", F.struct("d", *order, *rest).alias("b")), "low")
 
 
 def fuzzy(spans: DataFrame, index: DataFrame, bounded: bool = False, limit=None) -> DataFrame:
@@ -247,14 +251,16 @@ def fuzzy(spans: DataFrame, index: DataFrame, bounded: bool = False, limit=None)
 def substring(spans: DataFrame, index: DataFrame, least: int = 6) -> DataFrame:
     """Names of which a text contains the span's, of at least ``least`` characters; the first loaded wins.
 
-    Spans meet texts by their first ``least`` characters, which must stand somewhere in the text.
+    Spans meet texts by their first ``least`` characters, which must stand somewhere in the text. Parts outnumber
+    texts, so they are never broadcast and carry no more than decides; the winners are looked up.
     """
     grams = F.transform(F.sequence(F.lit(1), F.length("key") - least + 1), lambda i: F.substring("key", i, F.lit(least)))
     k = keys_of(index, "text").where(F.length("key") >= least).withColumn("gram", F.explode(F.array_distinct(grams)))
     s = spans.select("span_id", F.lower("span").alias("low")).where(F.length("low") >= least).withColumn("gram", F.substring("low", 1, least))
-    hit = s.join(k, "gram").where(F.col("key").contains(F.col("low")) & (F.col("key") != F.col("low")))
-    best = hit.groupBy("span_id").agg(F.min_by(F.struct("canonical", "kind", "type", "abbreviation"), F.struct("load", "place", "key")).alias("b"))
-    return _hit(best.select("span_id", "b.*"), F.lit(0.80), "substring")
+    k = k.select("key", "load", "place", "gram")
+    hit = s.join(k.hint("merge"), "gram").where(F.col("key").contains(F.col("low")) & (F.col("key") != F.col("low")))
+    best = hit.groupBy("span_id").agg(F.min(F.struct("load", "place", "key")).alias("b")).select("span_id", "b.key")
+    return _hit(best.join(keys_of(index, "text").drop("load", "place").hint("merge"), "key"), F.lit(0.80), "substring")
 
 
 def component(spans: DataFrame, index: DataFrame, lexicon: DataFrame | None = None, least: int = 6) -> DataFrame:

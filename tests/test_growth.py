@@ -95,3 +95,29 @@ def test_index_builds_only_the_kinds_asked_for(spark, tmp_path):
     assert set(one.inputFiles()) < set(both.inputFiles())
     whole = M.built_index(spark, str(tmp_path))
     assert M.index_of(spark, str(tmp_path)).select(whole.columns).exceptAll(whole).isEmpty() and whole.exceptAll(M.index_of(spark, str(tmp_path)).select(whole.columns)).isEmpty()
+
+
+def test_substring_broadcasts_no_parts(spark, tmp_path):
+    """The parts of all names outnumber the file that they come from."""
+    names = some_names(spark, tmp_path).withColumns({"key_kind": F.lit("text"), "place": F.lit(0), "kind": F.lit("person"), "type": F.lit("person"), "abbreviation": F.lit(None).cast("string"), "fanout": F.lit(1)})
+    out = D.substring(names.select(F.col("load").alias("span_id"), F.substring("canonical", 9, 20).alias("span")), names)
+    assert not spread_and_broadcast(out)
+    assert {(r.span_id, r.canonical) for r in out.collect()} == {(r["load"], r.canonical) for r in names.collect()}
+
+
+def test_nearest_moves_no_more_than_decides(spark, tmp_path):
+    """What a name is does not travel with each of its pieces."""
+    names = some_names(spark, tmp_path).withColumns({"place": F.lit(0), "kind": F.lit("person"), "type": F.lit("person"), "abbreviation": F.lit(None).cast("string")})
+    seen, met = [], D._met
+
+    def watched(texts, keys):
+        seen.append(set(keys.columns))
+        return met(texts, keys)
+
+    D._met = watched
+    try:
+        got = D.nearest(names.select(F.col("load").alias("span_id"), F.concat("canonical", F.lit("x")).alias("span")), names, D.distance_ceiling, 3).collect()
+    finally:
+        D._met = met
+    assert all(columns == {"load", "place", "key"} for columns in seen)
+    assert {(r.span_id, r.b.d, r.b.canonical, r.b.kind) for r in got} == {(r["load"], 1, r.canonical, "person") for r in names.collect()}
