@@ -37,11 +37,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated ones and those without a doc_id too; an empty table gives none.
     """
     prototypes = langid.train(docs.where(~langid.held_out()))
-    given = docs.select(*COLUMNS, F.col("text").alias("whole"))
-    scored = saved(langid.predict(given, prototypes))
+    scored = saved(langid.predict(docs.select(*COLUMNS), prototypes, keep=True))
     _LEFT.append(scored)
     out = scored.where(langid.likely(scored, list(prototypes))).withColumn("lang", F.coalesce("lang", "lang_pred"))
-    return out.withColumnRenamed("whole", "text").select(*COLUMNS)
+    return out.select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 GRAM = 3
 DIM = 1024
+PART = 1024  # distinct n-grams whose vectors are numbers of four or eight bytes at once
 _POINT = 21  # bits of a code point
 
 
@@ -71,7 +72,7 @@ class Encoder:
                 new = np.arange(len(grams))
             used = len(self.place)
             if used + len(new) > len(self.vectors):
-                room = max(2 * len(self.vectors), used + len(new))
+                room = max(min(2 * len(self.vectors), self.most), used + len(new))
                 more = np.zeros((room - used, self.dim), np.int8)
                 self.vectors = np.concatenate((self.vectors[:used], more))
             made = np.ones((len(new), self.dim), np.int8)
@@ -86,8 +87,8 @@ class Encoder:
     def document(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The sum of a text's n-gram vectors, a part of its distinct n-grams at a time."""
         out = np.zeros(self.dim, np.float32)
-        for i in range(0, len(grams), 8192):
-            out += counts[i : i + 8192].astype(np.float32) @ self.bound(grams[i : i + 8192]).astype(np.float32)
+        for i in range(0, len(grams), PART):
+            out += counts[i : i + PART].astype(np.float32) @ self.bound(grams[i : i + PART]).astype(np.float32)
         return out
 
 
@@ -112,8 +113,8 @@ def train(docs: DataFrame, seed: int = 5, most_languages: int = 2000) -> dict[st
             grams = np.fromiter(have, np.int64, len(have))
             weights = np.fromiter(have.values(), np.float64, len(have))
             vector = np.zeros(DIM)
-            for i in range(0, len(grams), 4096):
-                vector += weights[i : i + 4096] @ enc.bound(grams[i : i + 4096]).astype(np.float64)
+            for i in range(0, len(grams), PART):
+                vector += weights[i : i + PART] @ enc.bound(grams[i : i + PART]).astype(np.float64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * DIM), pa.array(np.arange(DIM, dtype=np.int32)), pa.array(vector)],
                 names=["lang", "dim", "value"],
@@ -134,8 +135,8 @@ def train(docs: DataFrame, seed: int = 5, most_languages: int = 2000) -> dict[st
     return {k: (v / n).astype(np.float32) for k, v in sorted(out.items()) if (n := np.linalg.norm(v))}
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], seed: int = 5) -> DataFrame:
-    """``docs`` without text, plus lang_pred, score (the cosine, at least 0; ``und`` has 0) and n_grams (distinct ones).
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], seed: int = 5, keep: bool = False) -> DataFrame:
+    """``docs`` without text (with it, to ``keep``; a second copy of it need not travel then), plus lang_pred, score (the cosine, at least 0; ``und`` has 0) and n_grams (distinct ones).
 
     A null, empty or letterless text is ``und``; without any prototype all texts are. Ties go to the
     first language in the order of names. Rows that repeat stay; an empty table gives none. Earlier
@@ -143,6 +144,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], seed: int = 5) -
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score", "n_grams")])
     rest = [c for c in docs.columns if c != "text"]
+    out = [*rest, *(["text"] if keep else [])]
     langs = list(prototypes)
     matrix = np.array([prototypes[k] for k in langs], np.float32).reshape(len(langs), DIM)
     shared = docs.sparkSession.sparkContext.broadcast(matrix)
@@ -163,12 +165,13 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], seed: int = 5) -
                 best = int(cos.argmax())
                 names.append(langs[best]), scores.append(min(1.0, max(0.0, float(cos[best]))))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[: len(rest)], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())],
-                names=[*rest, "lang_pred", "score", "n_grams"],
+                [*b.columns[: len(out)], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())],
+                names=[*out, "lang_pred", "score", "n_grams"],
             )
 
-    schema = docs.select(*rest).schema.add("lang_pred", "string").add("score", "double").add("n_grams", "long")
-    return docs.select(*rest, F.col("text").cast("string")).mapInArrow(run, schema)
+    given = docs.select(*rest, F.col("text").cast("string"))
+    schema = given.select(*out).schema.add("lang_pred", "string").add("score", "double").add("n_grams", "long")
+    return given.mapInArrow(run, schema)
 
 
 def held_out() -> Column:

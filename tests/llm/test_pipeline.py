@@ -111,3 +111,21 @@ def test_what_a_stage_left_goes_once_it_is_not_read(spark, tmp_path):
     lazy.write.parquet(str(tmp_path / "docs"))
     corpus_pipeline._drop_left(spark.read.parquet(str(tmp_path / "docs")))
     assert not corpus_pipeline._LEFT
+
+
+def test_language_id_holds_little(spark):
+    """The bound vectors that a task keeps never take more rows than their bound, and texts pass once, unchanged."""
+    import numpy as np
+
+    from rostrum.llm import langid
+
+    enc = langid.Encoder(5, 64, most=3000)
+    few = langid.Encoder(5, 64, most=100_000)
+    for k in range(6):
+        grams = np.unique(np.random.default_rng(k).integers(97, 123, (2000, 3)) @ np.array([1 << 42, 1 << 21, 1]))
+        assert (enc.document(grams, np.ones(len(grams), np.int64)) == few.document(grams, np.ones(len(grams), np.int64))).all()
+        assert len(enc.vectors) <= 3000
+    docs = spark.createDataFrame([(1, "one text"), (2, None), (3, "")], "doc_id long, text string")
+    kept = langid.predict(docs, {}, keep=True)
+    assert kept.columns == ["doc_id", "text", "lang_pred", "score", "n_grams"]
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {(1, "one text"), (2, None), (3, "")}
