@@ -3,22 +3,20 @@
 The forms are a small grammar of regular expressions over cleaned words (lower case, without ``.,;:!?``).
 Forms are tried in a fixed order at each place; the first that reads a date there replaces its words by one
 word with the first one's start and the last one's end, unless that changes nothing. Whether a date begins
-at a word depends on that word and the next few only, so a stream is read by sliding windows; what
-overlaps is settled left to right within runs of overlapping dates.
+at a word depends on that word and the next few only, so a stream is walked from left to right in order
+and no more than those few words are held back.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
-
-from .spans import ahead, merged_words
 
 # Number words, months, and what cleaning drops.
 ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
@@ -99,6 +97,8 @@ FORMS = tuple(
     )
 )
 _STARTS = re.compile("[0-9]|" + "|".join([*MONTHS, *ONES[1:], *TENS, *ORDINALS, "thirtieth"]))
+#: What a date's first or later words begin with, or are.
+_WITHIN = re.compile(rf"{_STARTS.pattern}|(?:{'|'.join(['zero', 'oh', 'o', 'of', 'and', 'thousand', *DECADES])})$")
 
 
 def clean(word: str | None) -> str:
@@ -157,21 +157,76 @@ def correct_texts(rows: DataFrame, column: str) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-@F.pandas_udf(StructType([StructField("text", StringType()), StructField("n", IntegerType())]))
-def _dates_at(ahead: pd.Series) -> pd.DataFrame:
-    found = []
-    for words in ahead:
-        words = [] if words is None else list(words)
-        found.append(date_at(" ".join(map(clean, words)), 0, words) if words else None)
-    return pd.DataFrame({"text": [f[0] if f else None for f in found], "n": pd.array([f[1] if f else None for f in found], "Int32")})
+@lru_cache(1 << 14)
+def _may_hold(word: str | None) -> bool:
+    """Whether a date may hold the word."""
+    return bool(_WITHIN.match(clean(word)))
+
+
+@lru_cache(1 << 14)
+def _date(words: tuple[str | None, ...]) -> tuple[str, int] | None:
+    """The date that begins ``words``; streams repeat their dates, so each is read once."""
+    return date_at(" ".join(map(clean, words)), 0, list(words))
+
+
+def _runs(words: list[str | None], key_ends: np.ndarray, end: int) -> list[tuple[int, int, str]]:
+    """(first, end, text) of the dates that begin before ``end``, left to right; none goes beyond its key's last word."""
+    within, out, done = list(map(_may_hold, words)), [], 0
+    for i in (k for k, may in enumerate(within[:end]) if may):
+        if i >= done:
+            hi, most = i + 1, min(i + LONGEST, int(key_ends[i]))
+            while hi < most and within[hi]:
+                hi += 1
+            if found := _date(tuple(words[i:hi])):
+                done = i + found[1]
+                out.append((i, done, found[0]))
+    return out
+
+
+def _merging(batches):
+    """Streams (key, word, start, end) in order; keeps back the words whose dates may go on, and of the last key its count."""
+    held, now, left = None, None, 0
+
+    def decided(columns: list[pa.Array], end: int) -> pa.RecordBatch:
+        """The words before ``end`` or the end of a date that begins there; the others are held."""
+        nonlocal held, now, left
+        key, word, start, stop = columns
+        n, number, null = len(key), key.fill_null(0).to_numpy(), key.is_null().to_numpy(zero_copy_only=False)
+        first = np.concatenate([[True], (number[1:] != number[:-1]) | (null[1:] != null[:-1])])
+        begins, of = np.flatnonzero(first), np.cumsum(first) - 1
+        runs = _runs(word.to_pylist(), np.append(begins[1:], n)[of], end)
+        end = max([end, *(hi for _, hi, _ in runs[-1:])])
+        kept, last, hit = np.ones(n, bool), np.arange(n), np.zeros(n, bool)
+        for lo, hi, _ in runs:
+            kept[lo + 1 : hi], last[lo], hit[lo] = False, hi - 1, True
+        word = pc.replace_with_mask(word, pa.array(hit), pa.array([to for _, _, to in runs], word.type))
+        pos = np.cumsum(kept) - 1
+        before = pos[begins]  # a key's first word is always kept
+        if key[0].as_py() == now:
+            before[0] -= left
+        pos -= before[of]
+        now, left = key[end - 1].as_py(), int(pos[end - 1]) + 1
+        held = [c.slice(end) for c in columns]
+        at = np.flatnonzero(kept[:end])
+        made = [key.take(at), pa.array(pos[at], pa.int64()), word.take(at), start.take(at), stop.take(last[at]), pa.array(hit[at])]
+        return pa.RecordBatch.from_arrays(made, names=["key", "pos", "word", "start", "end", "corrected"])
+
+    for b in batches:
+        columns = b.columns if held is None else [pa.concat_arrays(both) for both in zip(held, b.columns)]
+        held = columns
+        if (end := len(columns[0]) - LONGEST + 1) > 0:
+            yield decided(columns, end)
+    if held is not None and len(held[0]):
+        yield decided(held, len(held[0]))
 
 
 def correct_stream(words: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Words (key, order, word, start, end) with each date merged into one word; pos counts what is left.
 
-    Only words that may begin a date leave the JVM, with the next few words.
+    The words of a key stream by in order, once; neither a key nor the words around each word are ever held.
     """
-    begins = F.lower("word").rlike(rf"^\s*[.,;:!?]*(?:{_STARTS.pattern})")
-    rows = ahead(words, key, order, ["word", "end"], LONGEST).withColumn("hit", _dates_at(F.when(begins, F.col("next_word"))))
-    rows = rows.withColumns({"text": F.col("hit.text"), "n": F.col("hit.n")})
-    return merged_words(rows, key, F.col("text"), F.lit(True), {}).withColumnRenamed("changed", "corrected")
+    typed = [F.col(key).cast("long").alias("key"), "word", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end")]
+    rows = words.select(*typed, *(F.col(c).alias(f"_{k}") for k, c in enumerate(order))).repartition("key")
+    rows = rows.sortWithinPartitions("key", *(f"_{k}" for k in range(len(order)))).select("key", "word", "start", "end")
+    made = rows.mapInArrow(_merging, "key long, pos long, word string, start double, end double, corrected boolean")
+    return made.withColumnRenamed("key", key)

@@ -539,3 +539,26 @@ def test_dates_in_streams(spark):
             want += [(s[k], float(k), k + 0.5, False) for k in range(done, lo)] + ([(to, float(lo), hi - 0.5, True)] if to else [])
             done = hi
         assert got[i] == want, s
+
+
+def test_dates_across_batches_and_keys():
+    """A stream's batches may end anywhere, also within a date; keys of one word, null words and null keys hold no date together."""
+    import pyarrow as pa
+
+    said = [(1, "so"), (1, "seventh"), (1, "of"), (1, "July"), (1, "nineteen"), (1, "ninety"), (1, "two"), (1, None), (2, "march"), (3, "fifth"), (None, "two"), (None, "thousand"), (None, "and"), (4, "six")]
+    said += [(5, w) for w in ["two", "thousand", "then", "s.eventh", "July", "1992"] * 5]
+    want = [(1, 0, "so", False), (1, 1, "7th July 1992", True), (1, 2, None, False), (2, 0, "march", False), (3, 0, "fifth", False), (None, 0, "2000", True), (4, 0, "six", False)]
+    want += [(5, 3 * k + j, w, w != "then") for k in range(5) for j, w in enumerate(["2000", "then", "7th July 1992"])]
+    for size in (1, 2, 5, 9, 11, 100):
+        rows = [(k, w, float(i), i + 0.5) for i, (k, w) in enumerate(said)]
+        parts = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + size]), (pa.int64(), pa.string(), pa.float64(), pa.float64()))], names=["key", "word", "start", "end"]) for i in range(0, len(rows), size)]
+        got = [r for b in dates._merging(iter(parts)) for r in b.to_pylist()]
+        assert [(r["key"], r["pos"], r["word"], r["corrected"]) for r in got] == want, size
+        assert got[1]["start"] == 1.0 and got[1]["end"] == 6.5
+
+
+def test_dates_are_one_exchange(spark):
+    """A stream is dealt and sorted once, and words carry no window of the words after them."""
+    words = spark.createDataFrame([(1, 0, "so", 0.0, 0.5)], "id long, k int, word string, start double, end double")
+    plan = dates.correct_stream(words, "id", ["k"])._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("Exchange") == 1 and "Window" not in plan
