@@ -16,6 +16,7 @@ SAMPLE_VALUES = 16_000_000  # numbers of the sample that the driver may hold: 64
 SAMPLE_ROWS = 65_536
 SHARD_ROWS = 65_536  # rows of a list that one task meets at once, in expectation
 QUERY_BLOCK = 2_048  # queries that meet a shard at once, in expectation
+MET_VALUES = 4_000_000  # scores and table entries that a task holds at once
 
 
 @dataclass(frozen=True)
@@ -30,7 +31,29 @@ class VectorIndex:
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     half = (centres**2).sum(1) / 2
-    return np.concatenate([(half - x[i : i + 4096] @ centres.T).argmin(1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, int)
+    step = max(1, MET_VALUES // len(centres))
+    return np.concatenate([(half - x[i : i + step] @ centres.T).argmin(1) for i in range(0, len(x), step)]) if len(x) else np.zeros(0, int)
+
+
+def _probes(v: np.ndarray, centres: np.ndarray, probes: int) -> Iterator[np.ndarray]:
+    """The nearest ``probes`` centres of each row of ``v``, a bounded number of rows at a time."""
+    half, step = (centres**2).sum(1) / 2, max(1, MET_VALUES // len(centres))
+    for i in range(0, len(v), step):
+        yield np.argsort(half - v[i : i + step] @ centres.T, axis=1, kind="stable")[:, :probes].astype(np.int32)
+
+
+def _shortlisted(v: np.ndarray, codes: np.ndarray, ids: np.ndarray, centre: np.ndarray, books: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row of ``v``, ids, scores) for a bounded number of rows of ``v`` at a time: the ``most`` coded rows of highest score for each."""
+    parts, entries = books.shape[:2]
+    step = max(1, MET_VALUES // (len(ids) + parts * entries))
+    for i in range(0, len(v), step):
+        w = v[i : i + step]
+        by_entry = np.einsum("ped,qpd->pqe", books, w.reshape(len(w), parts, -1))
+        near = np.repeat((w @ centre)[:, None], len(ids), 1)
+        for p in range(parts):
+            near += by_entry[p][:, codes[:, p]]
+        top = np.argpartition(-near, most - 1, axis=1)[:, :most] if len(ids) > most else np.tile(np.arange(len(ids)), (len(w), 1))
+        yield i, ids[top], np.take_along_axis(near, top, 1)
 
 
 def _lloyd(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -48,7 +71,8 @@ def _lloyd(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 def _unit(vectors: DataFrame, id_: str, vector: str) -> DataFrame:
     v = F.col(vector)
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    rows = vectors.select(F.col(id_).alias("id"), F.transform(v, lambda x: (x / norm).cast("float")).alias("unit"), norm.alias("norm"))
+    # the length as an array, so that it is not added up anew for each number
+    rows = vectors.select(F.col(id_).alias("id"), F.zip_with(v, F.array_repeat(norm, F.size(v)), lambda x, n: (x / n).cast("float")).alias("unit"), norm.alias("norm"))
     return rows.where("id IS NOT NULL AND norm > 0 AND norm < double('infinity')").drop("norm")  # null, empty, zero and non-finite vectors have no direction
 
 
@@ -106,11 +130,14 @@ def nearest_vectors(queries: DataFrame, index: VectorIndex, id_: str, vector: st
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            v = np.array(rows["qv"].tolist(), np.float32).reshape(-1, dim)
-            near = np.argsort((centres**2).sum(1) / 2 - v @ centres.T, axis=1, kind="stable")[:, :probes]
-            yield pd.DataFrame({"q": rows["q"].repeat(probes), "qv": rows["qv"].repeat(probes), "list": near.ravel()})
-
-    probed = asked.mapInPandas(probe, f"q {kind_q}, qv array<float>, list int").withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
+            v, done = np.array(rows["qv"].tolist(), np.float32).reshape(-1, dim), 0
+            for near in _probes(v, centres, probes):
+                part = rows.iloc[done : done + len(near)]
+                done += len(near)
+                yield pd.DataFrame({"q": part["q"], "qv": part["qv"], "lists": list(near)})
+
+    # a query's lists become rows outside Python, which would hold its vector once for each
+    probed = asked.mapInPandas(probe, f"q {kind_q}, qv array<float>, lists array<int>").select("q", "qv", F.explode("lists").alias("list")).withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
     probed = probed.join(F.broadcast(index.sizes), "list").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     met = index.rows.select("list", "shard", "id", "code").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
@@ -119,14 +146,10 @@ def nearest_vectors(queries: DataFrame, index: VectorIndex, id_: str, vector: st
             return pd.DataFrame({"q": [], "id": [], "near": []})
         rows = rows.sort_values("id")  # so that ties fall alike in every run
         codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1).astype(np.intp)
-        ids, out = rows["id"].to_numpy(), []
-        centre = centres[int(rows["list"].iloc[0])]
-        for who, v in zip(q["q"], q["qv"]):
-            v = np.asarray(v, np.float32)
-            by_entry = np.einsum("ped,pd->pe", books, v.reshape(books.shape[0], -1))
-            near = v @ centre + by_entry[np.arange(books.shape[0]), codes].sum(1)
-            top = np.lexsort((ids, -near))[:shortlist] if len(ids) <= shortlist else np.argpartition(-near, shortlist - 1)[:shortlist]
-            out.append(pd.DataFrame({"q": who, "id": ids[top], "near": near[top]}))
+        ids, who, out = rows["id"].to_numpy(), q["q"].to_numpy(), []
+        v, centre = np.array(q["qv"].tolist(), np.float32).reshape(-1, dim), centres[int(rows["list"].iloc[0])]
+        for first, near_ids, near in _shortlisted(v, codes, ids, centre, books, shortlist):
+            out.append(pd.DataFrame({"q": who[first : first + len(near)].repeat(near.shape[1]), "id": near_ids.ravel(), "near": near.ravel()}))
         return pd.concat(out)
 
     keys = ["list", "shard", "block"]

@@ -135,6 +135,36 @@ def test_vector_index_of_clusters_needs_few_lists(spark):
     assert recall([(r.q, r.id) for r in got], exact_nearest(vectors, asked, 10)) >= 0.9
 
 
+def test_vector_tasks_hold_a_bounded_part(monkeypatch):
+    """However many queries and lists meet, what Python holds at once is bounded, and no part of them is lost."""
+    import numpy as np
+
+    from rostrum.operators import vectorindex as V
+
+    rng = np.random.default_rng(3)
+    v, centres, books = (rng.normal(size=s).astype(np.float32) for s in ((500, 8), (60, 8), (4, 16, 2)))
+    codes, ids = rng.integers(0, 16, (300, 4)), np.arange(300) * 2
+    monkeypatch.setattr(V, "MET_VALUES", 6000)
+    probes = list(V._probes(v, centres, 40))
+    assert max(map(len, probes)) == 100 and (np.concatenate(probes) == np.argsort((centres**2).sum(1) / 2 - v @ centres.T, 1, kind="stable")[:, :40]).all()
+    near = (v @ centres[0])[:, None] + v @ np.stack([books[p][codes[:, p]] for p in range(4)], 1).reshape(300, 8).T
+    got = list(V._shortlisted(v, codes, ids, centres[0], books, 20))
+    assert [first for first, *_ in got] == list(range(0, 500, 16))
+    assert (np.sort(np.concatenate([s for *_, s in got]), 1) - np.sort(near, 1)[:, -20:] < 1e-4).all() and {tuple(sorted(r)) for _, i, _ in got for r in i} == {tuple(sorted(ids[r])) for r in np.argsort(-near, 1)[:, :20]}
+
+
+def test_vectors_meet_lists_outside_python(spark, monkeypatch):
+    """A query's vector leaves Python once, not once for each list that it meets."""
+    from rostrum.operators import vectorindex as V
+
+    seen = []
+    df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(100)], "id long, v array<float>")
+    index, plain = V.vector_index(df, "id", "v"), type(df).mapInPandas
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, f, schema: seen.append((out := plain(self, f, schema), self)) or out)
+    V.nearest_vectors(df, index, "id", "v", 3)
+    assert [out.count() for out, _ in seen] == [asked.count() for _, asked in seen] == [100]
+
+
 def test_trigram_search_equals_all_pairs(spark):
     """The prefixes lose no pair: random names, repeated rows and queries, blanks and nulls."""
     import random
