@@ -78,8 +78,8 @@ def name_index(records: DataFrame, aliases: DataFrame, kinds: tuple[str, ...] =
     what = records.groupBy("canonical").agg(
         F.min_by(F.struct("kind", "type"), "load").alias("what"), F.min_by("abbreviation", F.when(F.col("abbreviation").isNotNull() & (F.col("kind") == "party"), F.col("load"))).alias("abbreviation")
     )
-    index = index if "place" in index.columns else index.withColumn("place", F.lit(None).cast("int"))
-    index = index if "fanout" in index.columns else index.withColumn("fanout", F.lit(None).cast("long"))
+    lacking = {"load": "long", "place": "int", "fanout": "long"}  # some kinds of keys have none of these
+    index = index.withColumns({c: F.lit(None).cast(t) for c, t in lacking.items() if c not in index.columns})
     out = index.join(what.select("canonical", "what.*", "abbreviation"), "canonical")
     return out.select("key_kind", "key", "canonical", "kind", "type", "abbreviation", "load", F.col("place").cast("int").alias("place"), F.coalesce("fanout", F.lit(1).cast("long")).alias("fanout"))
 

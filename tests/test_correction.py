@@ -279,6 +279,17 @@ def test_index(index):
     assert kinds == {k: v for k, v in brute.kind.items() if k != "Tema"}  # whose only text is another's alias
 
 
+@pytest.mark.parametrize("kind", names.KEY_KINDS)
+def test_index_of_one_kind(spark, kind):
+    """A kind of keys made alone has the columns and the rows that it has among all: some kinds have no position of their own."""
+    records = spark.createDataFrame([(0, "Ama Ofori-Atta", "person", "person", None, False, 0), (1, "Bolga Tanga", "location", "supplementary", None, True, 1)], "id long, canonical string, kind string, type string, abbreviation string, last_wins boolean, load long")
+    aliases = spark.createDataFrame([(1, "Bolga Town", 0)], "id long, alias string, place int")
+    every, alone = names.name_index(records, aliases), names.name_index(records, aliases, (kind,))
+    assert alone.dtypes == every.dtypes
+    rows = sorted(map(tuple, alone.collect()), key=repr)
+    assert rows and rows == sorted(map(tuple, every.where(F.col("key_kind") == kind).collect()), key=repr)
+
+
 def test_index_as_table(spark, index, tmp_path):
     spark.sql(f"CREATE DATABASE IF NOT EXISTS names_test LOCATION '{tmp_path}/names'")
     try:
