@@ -41,6 +41,21 @@ def test_query(spark, duck, name):
     assert rows == want
 
 
+@pytest.mark.parametrize("name", ["e2_exact", "e3_e4_fused", "e5_initials", "e6_phonetic", "e9_component"])
+def test_query_makes_its_own_index(spark, name):
+    """A query whose kinds of keys nothing has made before in the session gives the rows that it gives beside all others."""
+    found = lambda: sorted(map(tuple, registry.QUERIES[name](spark, DIR).collect()))
+    kept = spark.__dict__.pop("_rostrum_indexes", None)
+    try:
+        alone = found()
+        del spark.__dict__["_rostrum_indexes"]
+        plans.matching.index_of(spark, DIR)
+        assert alone and alone == found()
+    finally:
+        if kept is not None:
+            spark.__dict__["_rostrum_indexes"] = kept
+
+
 def test_text_functions_on_accents(spark):
     """Whole words with accents, composed or not, pass the normalisers and the whole-table queries lose no row."""
     from pyspark.sql import functions as F
